@@ -27,6 +27,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -39,7 +46,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_files, op3_mixing, op8_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_files, op3_mixing, op7_toxicity, op8_simhash, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": r"""
