@@ -27,6 +27,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets_scan import scan
 
@@ -58,7 +70,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_files, op3_mixing, op6_secrets, op7_toxicity, op8_simhash, op9_media, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_token_files, op3_mixing, op4_html, op5_language,
+        op6_secrets, op7_toxicity, op8_simhash, op9_media, op10_exact_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op10_exact_dedup": r"""
