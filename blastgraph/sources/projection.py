@@ -7,12 +7,15 @@ in SQL. ``WINDOWS`` windows are kept per dependency.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..graph import Graph
 from ..operators import edges, resolve
+from ..storage import written
 
 WINDOWS = 2
 EVENT = "k int"
@@ -134,9 +137,10 @@ class Projection:
     def raw_dependencies(self) -> DataFrame:
         return resolve.dependency_edges(self.declared, self.windows, WINDOWS)
 
-    @property
+    @cached_property
     def dependencies(self) -> DataFrame:
-        return edges.strongest(self.raw_dependencies).drop("ordinal")
+        """Written once: traversals join it at every hop."""
+        return written(edges.strongest(self.raw_dependencies).drop("ordinal"), "dependencies")
 
     @property
     def advisory_rows(self) -> DataFrame:
@@ -170,8 +174,16 @@ class Projection:
         return affected_releases(intervals, self.releases.select("package", "version", "key"))
 
     def graph(self) -> Graph:
+        """Itself: it has a graph's tables, each built when a question first asks for it."""
+        return self
+
+    def snapshot(self) -> Graph:
+        """All tables at once, to be saved."""
         return Graph(**{f: getattr(self, f) for f in Graph.__dataclass_fields__})
 
+    def dependents(self) -> DataFrame:
+        return edges.dependent_counts(self.dependencies, self.packages)
+
     def middle_package(self, share: int = 40) -> str:
         """Name of the package at ``max(part) div share``: the demonstration's compromised package."""
         top = self.table("part").agg(F.max("p_partkey").alias("m")).select(package_name(F.floor(F.col("m") / share).cast("bigint")).alias("name"))
