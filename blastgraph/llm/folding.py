@@ -53,5 +53,5 @@ def fold(text: str) -> str:
 
 def folded_words(text: str) -> str:
     """The folded words of a text, each with a blank before and after it."""
-    words = _BREAK.sub(" ", fold(text))
-    return f" {words} " if words.strip() else " "
+    words = _BREAK.sub(" ", fold(text)).strip()
+    return f" {words} " if words else " "

@@ -33,8 +33,9 @@ PLACES = 1 << 14
 EFFECTIVE = 120
 #: Bytes whose trigrams are looked up at once.
 BLOCK = 1 << 20
-#: Pseudo-counts of the parent level in the priors, and of a value in the trust tables.
-PARENT, TRUST = 5.0, 1.0
+#: Pseudo-counts of the parent level in the priors, of any value in the trust tables, and of the
+#: value that names the language itself.
+PARENT, TRUST, AGREES = 5.0, 1.0, 9.0
 #: Languages of country suffixes.
 SUFFIXES = {
     "de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "cl": "es", "uk": "en", "us": "en", "au": "en",
@@ -151,7 +152,7 @@ def _evidence(profiles: Profiles):
                 out["declared"].append(declared if declared in known else "")
                 out["address"].append(address if address in known else "")
                 out["log"].append(log.tolist())
-                out["p"].append(normalised(log).tolist())
+                out["p"].append(normalised(log).tolist() if body.strip() else [0.0] * len(log))
             many = pa.list_(pa.float64())
             arrays = [pa.array(v, many if k in ("log", "p") else pa.string()) for k, v in out.items()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "page_id", *out])
@@ -193,7 +194,8 @@ def fuse(rows: DataFrame, profiles: Profiles) -> DataFrame:
         """log P(value | language) for the known values of a kind of evidence, as a map column."""
         shares = {r[name]: np.array(r["counts"]) for r in _sums(seen.where(F.col(name) != ""), n, name).collect()}
         values = sorted(set(profiles.languages) | set(shares))
-        table = np.array([shares.get(v, np.zeros(n)) for v in values]) + TRUST
+        own = np.array([[AGREES * (v == lang) for lang in profiles.languages] for v in values])
+        table = np.array([shares.get(v, np.zeros(n)) for v in values]) + TRUST + own
         log = np.log(table / table.sum(0))
         pairs = [x for v, row in zip(values, log) for x in (F.lit(v), F.array(*[F.lit(float(y)) for y in row]))]
         none = F.array(*[F.lit(0.0)] * n)
@@ -210,7 +212,8 @@ def fuse(rows: DataFrame, profiles: Profiles) -> DataFrame:
     total = F.aggregate(F.transform("log", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
     return fused.select(
         "doc_id", "page_id", F.get(names, (F.array_position("log", top) - 1).cast("int")).alias("lang"), (1 / total).alias("probability"),
-        F.get(names, (F.array_position("p", F.array_max("p")) - 1).cast("int")).alias("text_lang"), "declared", "address",
+        F.when(F.array_max("p") > 0, F.get(names, (F.array_position("p", F.array_max("p")) - 1).cast("int"))).otherwise("und").alias("text_lang"),
+        "declared", "address",
     )
 
 
@@ -219,7 +222,7 @@ def identify(docs: DataFrame, pages: DataFrame, profiles: Profiles | None = None
     probability, text_lang, declared, address.
 
     A document's source stands for its host; documents declare nothing. Null and empty texts
-    are decided by the other evidence; ties go to the first language by code. Null and repeated
+    say nothing (text_lang "und", no soft counts) and are decided by the other evidence; ties go to the first language by code. Null and repeated
     ids and repeated rows are rows like any other; other columns are ignored; empty tables give
     an empty result.
     """
