@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 #: The white space that every contract names: blank, tab, line feed, vertical tab, form feed, return.
 WHITE = r"[\x20\x09-\x0D]+"
 NOT_WHITE = r"[^\x20\x09-\x0D]+"
@@ -15,28 +16,8 @@ NOT_WHITE = r"[^\x20\x09-\x0D]+"
 ARROW_BATCH_BYTES = 16 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where it is unset, and only on a single machine (``local[...]``), a folder of this
-    process stands in; on a cluster the setting is required.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        if spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    global _LOCAL
-    _LOCAL = _LOCAL or tempfile.mkdtemp(prefix="blastgraph-")
-    return f"file://{_LOCAL}"
-
-
-_LOCAL: str | None = None
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

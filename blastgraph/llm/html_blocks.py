@@ -20,6 +20,8 @@ INLINE = frozenset(
     " span strike strong sub sup time tt u var wbr".split()
 )
 RAW = frozenset("script style template noscript textarea title iframe svg math object xmp noembed noframes".split())
+#: Of these the ones that an end tag must close; the others count as absent where it is missing.
+TO_THE_END = frozenset("script style textarea title xmp".split())
 HIDDEN = frozenset("head select option button datalist".split())
 CLOSES = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -126,7 +128,7 @@ def blocks(html: str) -> list[Block]:
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             if tag not in INLINE and tag not in ("svg", "math"):
                 end()
-            at = stop.end() if stop else size
+            at = stop.end() if stop else size if tag in TO_THE_END else at
             continue
         if tag in ("br", "img", "wbr"):
             said(" ")
