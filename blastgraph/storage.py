@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    _LOCAL = _LOCAL or tempfile.mkdtemp(prefix="blastgraph-")
+    if _LOCAL is None:
+        _LOCAL = tempfile.mkdtemp(prefix="blastgraph-")
+        atexit.register(shutil.rmtree, _LOCAL, ignore_errors=True)
     return f"file://{_LOCAL}"
 
 
