@@ -16,7 +16,7 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Chunks that one worker keeps; the cache starts anew when it is full.
-CACHED = 400_000
+CACHED = 800_000
 #: The splitter of the vocabulary file, its \s spelled out.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
@@ -48,14 +48,16 @@ class Chunks(dict):
         self.letters = byte_letters()
 
     def __missing__(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for word in self.find(chunk):
-            if not (word.isascii() and word.isprintable()):
-                word = word.encode().decode("latin-1").translate(self.letters)
-            ids += [t.id for t in self.model.tokenize(word)]
+        words = self.find(chunk)
+        if words == [chunk]:
+            plain = chunk.isascii() and chunk.isprintable()
+            letters = chunk if plain else chunk.encode().decode("latin-1").translate(self.letters)
+            out = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        else:
+            out = b"".join([self[w] for w in words])
         if len(self) >= CACHED:
             self.clear()
-        self[chunk] = out = np.array(ids, "<u4").tobytes()
+        self[chunk] = out
         return out
 
 
