@@ -427,3 +427,62 @@ def test_pipeline_stages(spark):
 
 def test_every_operator_is_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+
+
+def brute_similar(texts, similar=0.8):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= similar * len(sets[i] | sets[j])}
+
+
+def test_similar_links_equal_brute_force_over_families(spark):
+    from blastgraph.llm import similar
+
+    r = random.Random(11)
+    texts = ["", None, "one two", "one two"]
+    for _ in range(25):
+        words = [f"w{r.randint(0, 10**6)}" for _ in range(r.randint(60, 400))]
+        for _ in range(6):
+            copy = list(words)
+            for _ in range(r.randint(0, len(words) // 40)):
+                copy[r.randrange(len(copy))] = f"x{r.randint(0, 10**6)}"
+            texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "_rid long, text string")
+    found = similar.similar_links(df)
+    want = brute_similar(texts)
+    got = {(x.a, x.b) for x in found.collect()}
+    assert got <= want
+    root = {x.v: x.root for x in components.components(found).collect()}
+    joined = sum(root.get(a, -1 - a) == root.get(b, -1 - b) for a, b in want)
+    assert joined >= 0.97 * len(want)
+    docs = df.selectExpr("_rid as doc_id", "text", "'z' as root")
+    kept = similar.similar_dedup(docs)
+    assert kept.columns == docs.columns and kept.count() == len(texts) - len(root) + len(set(root.values()))
+    assert {0, 1, 2} <= {x.doc_id for x in kept.collect()}
+    assert similar.similar_dedup(docs.limit(0)).count() == 0
+    assert similar.similar_dedup(spark.createDataFrame(ODD, SCHEMA)).count() == len(ODD) - 3
+
+
+def test_crowded_similar_keys_stay_joined():
+    from blastgraph.llm import similar
+
+    fps = np.zeros((5000, 2), np.uint64)
+    batch = similar.pa.RecordBatch.from_arrays(
+        [similar.pa.array(np.full(5000, 7)), similar.pa.array(np.arange(5000)), similar.pa.array(fps[:, 0].view(np.int64)), similar.pa.array(fps[:, 1].view(np.int64))],
+        ["key", "_rid", "f0", "f1"],
+    )
+    links = [(a, b) for out in similar._candidates([batch]) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    assert len(links) < 15_000
+    root = list(range(5000))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    assert len({find(i) for i in range(5000)}) == 1
