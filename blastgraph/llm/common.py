@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,17 +27,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes a table of ``written`` that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+#: Tables of ``written`` that are still there.
+_MADE: list[str] = []
+
+
+def made() -> list[str]:
+    return list(_MADE)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of ``written`` that no later step reads, and lets Spark's cleaner take the
+    shuffle files of plans that are gone."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+        if name in _MADE:
+            _MADE.remove(name)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table of ``written`` that ``df`` is."""
+    folders = {f.rsplit("/", 1)[0].removeprefix("file://").replace("file:", "", 1) for f in df.inputFiles()}
+    delete_all = [p for p in _MADE if p.removeprefix("file://") in folders]
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for name in delete_all:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        _MADE.remove(name)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
