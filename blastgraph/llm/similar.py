@@ -4,10 +4,12 @@ The four-bit links of ``simhash`` only join texts that are all but equal: at a J
 of 0.8 some 15 % of a fingerprint's bits differ. Here the fingerprint has ``WORDS64`` words of 64
 bits over five-word shingles; each gives two segments of 23 bits, and two neighbouring segments
 make a key of two codeword indices, several for each (``simhash.near_codewords``). Rows that meet
-under a key and agree in the first 128 bits about as well as similar texts do become candidates: a
-forest whose roots differ from key to key, and each row's nearest other row, so their number is
-linear in a key's rows. Candidates are verified twice: by the whole
-fingerprint, then by the exact Jaccard similarity of their sets of shingles.
+under a key and agree in the first 128 bits about as well as similar texts do become candidates,
+which are verified twice: by the whole fingerprint, then by the exact Jaccard similarity of their
+sets of shingles. A key with few such pairs for its rows gives them all. A crowded one first gives a
+forest whose roots differ from key to key and each row's nearest other row; when those are verified,
+all its pairs that verified links don't join yet become candidates, block against block. So each
+pair that meets under a key and passes the filters is verified, or its ends are joined anyway.
 
 Verification makes every link right. Finding is probabilistic: a pair of similarity 0.8 meets
 with the probability that the README states, more similar pairs with more.
@@ -16,6 +18,8 @@ with the probability that the README states, more similar pairs with more.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, text_or_empty, with_rid, written
+from .common import arrow_limits, delete, text_or_empty, with_rid, written
 from .components import components
 from .simhash import LOWER, SEED, SHINGLE_BLOCK, WORDS, distance, near_codewords
 
@@ -33,8 +37,12 @@ WORDS64 = 6
 SEGMENT = 23
 #: Differing bits up to which candidates go on: of the first 128, and of the whole fingerprint.
 NEAR128, NEAR_WIDE = 36, 84
-#: Rows of a key that are held at once, and rows among which a nearest one is looked for.
+#: Rows of a key that are held at once, and rows that are compared with others at once.
 IN_BLOCK, AROUND = 2048, 256
+#: Near pairs for each of its rows up to which a key gives all of them at once; beyond, it is crowded.
+A_ROW = 4
+#: Pairs of neighbouring segments, and how many of them have their keys on disk at once.
+SLOTS, AT_ONCE = 2 * WORDS64, 3
 #: Odd multipliers that mix one shingle hash into more words.
 MIXERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 WIDE = "_rid long, " + ", ".join(f"f{i} long" for i in range(WORDS64))
@@ -79,13 +87,14 @@ def _fingerprinted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), *(pa.array(table[:, i]) for i in range(WORDS64))], ["_rid", *(f"f{i}" for i in range(WORDS64))])
 
 
-def wide_keys(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and key for every pair of neighbouring segments of fingerprints (rows x WORDS64, uint64)."""
+def wide_keys(table: np.ndarray, slots: range = range(SLOTS)) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key for the named pairs of neighbouring segments of fingerprints (rows x WORDS64, uint64)."""
     mask = np.uint64((1 << SEGMENT) - 1)
-    near = [near_codewords(((table[:, i] >> np.uint64(at)) & mask).astype(np.int64)) for i in range(WORDS64) for at in (0, SEGMENT)]
+    segments = {i % SLOTS for t in slots for i in (t, t + 1)}
+    near = {i: near_codewords(((table[:, i // 2] >> np.uint64(i % 2 * SEGMENT)) & mask).astype(np.int64)) for i in segments}
     rows, keys = [], []
-    for t, (a, own_a) in enumerate(near):
-        b, own_b = near[(t + 1) % len(near)]
+    for t in slots:
+        (a, own_a), (b, own_b) = near[t], near[(t + 1) % SLOTS]
         own = own_a[:, :, None] & own_b[:, None, :]
         key = (np.int64(t) << 24) | (a[:, :, None] << 12) | b[:, None, :]
         rows.append(np.broadcast_to(np.arange(len(table))[:, None, None], own.shape)[own])
@@ -93,15 +102,18 @@ def wide_keys(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _keyed(batches):
-    for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
-        for at in range(0, len(columns[0]), 1000):
-            rid = columns[0][at : at + 1000]
-            table = np.column_stack([c[at : at + 1000] for c in columns[1:]]).view(np.uint64)
-            rows, key = wide_keys(table)
-            first = [pa.array(c[at : at + 1000][rows]) for c in columns[1:3]]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid[rows]), *first], ["key", "_rid", "f0", "f1"])
+def _keyed(slots: range):
+    def run(batches):
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            for at in range(0, len(columns[0]), 1000):
+                rid = columns[0][at : at + 1000]
+                table = np.column_stack([c[at : at + 1000] for c in columns[1:]]).view(np.uint64)
+                rows, key = wide_keys(table, slots)
+                first = [pa.array(c[at : at + 1000][rows]) for c in columns[1:3]]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid[rows]), *first], ["key", "_rid", "f0", "f1"])
+
+    return run
 
 
 def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -110,7 +122,7 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _near(key: int, rids: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
-    """Candidates among a key's rows: a forest rooted in an order of this key's own, and the nearest of each row."""
+    """First candidates among a crowded key's rows: a forest rooted in an order of this key's own, and the nearest of each row."""
     order = np.argsort((rids.view(np.uint64) ^ np.uint64(key)) * np.uint64(MIXERS[1]))
     rids, fps = rids[order], fps[order]
     links = []
@@ -128,16 +140,47 @@ def _near(key: int, rids: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def _candidates(batches):
-    """Rows (key, _rid, f0, f1) in order of the key: candidate pairs a < b."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    key, size = None, 0
+def _all_near(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs of places of a key's rows that are near in the first 128 bits; none if it is crowded."""
+    found, size = [], 0
+    for at in range(0, len(fps), AROUND):
+        i, j = np.nonzero(np.triu(apart(fps[at : at + AROUND, None, :], fps[None, at:, :]) <= NEAR128, 1))
+        found.append((i + at, j + at))
+        size += len(i)
+        if size > A_ROW * len(fps):
+            return None
+    i, j = map(np.concatenate, zip(*found))
+    return i, j
 
-    def ended():
-        return _near(key, *map(np.concatenate, zip(*held))) if size > 1 else []
 
-    def table(links):
-        return pa.RecordBatch.from_pydict({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
+def _candidates(batches):
+    """Rows (key, _rid, f0, f1) in order of the key: candidate pairs a < b. For a crowded key also its
+    ``rows``, in lists, with one of them as both a and b."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    key, size, carried = None, 0, 0
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    crowds: list[tuple[int, np.ndarray]] = []
+
+    def ended(whole: bool):
+        if size < 2:
+            return
+        rids, fps = map(np.concatenate, zip(*held))
+        if whole and (near := _all_near(fps)):
+            links.append((rids[near[0]], rids[near[1]]))
+            return
+        links.append(tuple(np.array(_near(key, rids, fps), np.int64).reshape(-1, 2).T))
+        crowds.append((key, rids[carried:]))
+
+    def table():
+        x, y = map(np.concatenate, zip(*links)) if links else (np.zeros(0, np.int64),) * 2
+        one = np.array([r[0] for _, r in crowds], np.int64)
+        out = {
+            "a": pa.array(np.concatenate([np.minimum(x, y), one])), "b": pa.array(np.concatenate([np.maximum(x, y), one])),
+            "key": pa.array([None] * len(x) + [k for k, _ in crowds], pa.int64()), "rows": pa.array([None] * len(x) + [r for _, r in crowds], pa.list_(pa.int64())),
+        }
+        links.clear()
+        crowds.clear()
+        return pa.RecordBatch.from_pydict(out)
 
     for batch in batches:
         k, rid = (batch.column(i).to_numpy() for i in range(2))
@@ -148,23 +191,77 @@ def _candidates(batches):
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(k)]])
         inner = np.ones(len(starts), bool)
         inner[0] = inner[-1] = False
-        n, links = ends - starts, []
-        two = starts[inner & (n == 2)]
-        ok = two[apart(fp[two], fp[two + 1]) <= NEAR128]
-        links += zip(rid[ok].tolist(), rid[ok + 1].tolist())
-        for i in np.flatnonzero(~inner | (n > 2)):
+        n, few = ends - starts, 2 * A_ROW + 1  # so few rows are never crowded
+        for m in range(2, few + 1):
+            at = starts[inner & (n == m)]
+            for i, j in combinations(range(m), 2) if len(at) else ():
+                ok = apart(fp[at + i], fp[at + j]) <= NEAR128
+                links.append((rid[at[ok] + i], rid[at[ok] + j]))
+        for i in np.flatnonzero(~inner | (n > few)):
             if int(k[starts[i]]) != key:
-                links += ended()
-                key, held, size = int(k[starts[i]]), [], 0
+                ended(not carried)
+                key, held, size, carried = int(k[starts[i]]), [], 0, 0
             for at in range(starts[i], ends[i], IN_BLOCK):
                 part = slice(at, min(at + IN_BLOCK, ends[i]))
                 held.append((rid[part], fp[part]))
                 size += part.stop - part.start
-                if size >= IN_BLOCK:  # a crowded key goes on from its last root, so its parts stay joined
-                    links += ended()
-                    held, size = [(rid[part][-1:], fp[part][-1:])], 1
-        yield table(links)
-    yield table(ended())
+                if size > IN_BLOCK:  # goes on from its last row, so its parts stay joined
+                    ended(False)
+                    held, size, carried = [(rid[part][-1:], fp[part][-1:])], 1, 1
+        yield table()
+    ended(not carried)
+    yield table()
+
+
+def _unjoined(batches):
+    """Rows (key, i, j, block, root, _rid, f0 ...) in order of key, i and j, which name two blocks of a
+    key's rows or twice the same: pairs a < b between them that differ in their root and pass the filters."""
+    held: list[list[np.ndarray]] = []
+    group = None
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def ended():
+        if not held:
+            return
+        block, root, rid, *fps = (np.concatenate(c) for c in zip(*held))
+        # Roots of few rows first, each row with those after it: a root of most rows is then never compared with itself.
+        _, place, size = np.unique(root, return_inverse=True, return_counts=True)
+        order = np.lexsort((rid, place, size[place]))
+        block, root, rid, fps = block[order], root[order], rid[order], np.column_stack(fps)[order].view(np.uint64)
+        ends = np.append(np.flatnonzero(root[1:] != root[:-1]) + 1, len(rid))
+        for at in range(0, len(rid), AROUND):
+            to = min(at + AROUND, len(rid))
+            end = int(ends[np.searchsorted(ends, at, "right")])
+            after = end if end >= to else at
+            near = apart(fps[at:to, None, :2], fps[None, after:, :2]) <= NEAR128
+            near &= root[at:to, None] != root[None, after:]
+            if group[1] != group[2]:
+                near &= block[at:to, None] != block[None, after:]
+            x, y = np.nonzero(near)
+            x, y = x + at, y + after
+            ok = (x < y) & (apart(fps[x], fps[y]) <= NEAR_WIDE)
+            out.append((rid[x[ok]], rid[y[ok]]))
+
+    def table():
+        x, y = map(np.concatenate, zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+        out.clear()
+        return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:3]])) + 1
+        for at, to in zip([0, *cuts], [*cuts, len(columns[0])]):
+            if (here := tuple(int(c[at]) for c in columns[:3])) != group:
+                ended()
+                group, held = here, []
+                if sum(len(x) for x, _ in out) > 1 << 16:
+                    yield table()
+            held.append([c[at:to] for c in columns[3:]])
+        yield table()
+    ended()
+    yield table()
 
 
 def _shingled(batches):
@@ -189,14 +286,8 @@ def _verified(similar: float):
     return run
 
 
-def similar_links(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """texts: _rid, text. Links a, b between rows whose shingle sets are at least so similar."""
-    spark = texts.sparkSession
-    texts = texts.select("_rid", text_or_empty().alias("text"))
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    wide = written(texts.mapInArrow(_fingerprinted, WIDE), "similar-fps")
-    keyed = wide.mapInArrow(_keyed, "key long, _rid long, f0 long, f1 long").repartition(n, "key").sortWithinPartitions("key")
-    pairs = written(keyed.mapInArrow(_candidates, "a long, b long").distinct(), "similar-pairs")
+def _similar(pairs: DataFrame, wide: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Those of the candidate pairs that are near in the whole fingerprint and so similar."""
     left = wide.select(F.col("_rid").alias("a"), *[F.col(f"f{i}").alias(f"x{i}") for i in range(WORDS64)])
     right = wide.select(F.col("_rid").alias("b"), *[F.col(f"f{i}").alias(f"y{i}") for i in range(WORDS64)])
     differing = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, WORDS64)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
@@ -209,6 +300,40 @@ def similar_links(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return written(both.mapInArrow(_verified(similar), "a long, b long"), "similar-links")
 
 
+def _crowded_pairs(crowded: DataFrame, links: DataFrame, wide: DataFrame, n: int) -> DataFrame:
+    """crowded: key, _rid. All near pairs of its keys whose ends the links don't join."""
+    roots = components(links).withColumnRenamed("v", "_rid")
+    named = written(crowded.join(roots, "_rid", "left").withColumn("root", F.coalesce("root", "_rid")), "similar-crowded")
+    apart_keys = named.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    blocks = apart_keys.select("key", F.ceil(F.col("n") / IN_BLOCK).cast("int").alias("blocks"))
+    rows = named.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("_rid"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "_rid").join(wide, "_rid")
+    rows = rows.select("key", "i", "j", "block", "root", *wide.columns).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return written(rows.mapInArrow(_unjoined, "a long, b long").distinct(), "similar-pairs")
+
+
+def similar_links(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """texts: _rid, text. Links a, b between rows whose shingle sets are at least so similar, which
+    join them as all such links between rows that meet under a key would."""
+    spark = texts.sparkSession
+    texts = texts.select("_rid", text_or_empty().alias("text"))
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wide = written(texts.mapInArrow(_fingerprinted, WIDE), "similar-fps")
+    parts = []
+    for t in range(0, SLOTS, AT_ONCE):
+        keyed = wide.mapInArrow(_keyed(range(t, t + AT_ONCE)), "key long, _rid long, f0 long, f1 long").repartition(n, "key").sortWithinPartitions("key", "_rid")
+        parts.append(written(keyed.mapInArrow(_candidates, "a long, b long, key long, rows array<long>"), "similar-met"))
+        del keyed
+        delete(spark, [])  # this part's shuffle files
+    met = reduce(DataFrame.unionByName, parts)
+    links = _similar(written(met.where("a <> b").select("a", "b").distinct(), "similar-pairs"), wide, texts, similar)
+    crowded = met.where("rows is not null").select("key", F.explode("rows").alias("_rid"))
+    if crowded.isEmpty():
+        return links
+    return links.unionByName(_similar(_crowded_pairs(crowded, links, wide, n), wide, texts, similar))
+
+
 def similar_dedup(docs: DataFrame, similar: float = SIMILAR, read: Callable[[], None] | None = None) -> DataFrame:
     """``docs`` with one row of each group of similar texts, its smallest doc_id (null last): all
     columns, unchanged. Null, empty and blank texts have no shingles and all stay. ``read`` is

@@ -486,3 +486,41 @@ def test_crowded_similar_keys_stay_joined():
     for a, b in links:
         root[find(a)] = find(b)
     assert len({find(i) for i in range(5000)}) == 1
+
+
+def test_similar_pairs_in_a_half_similar_family_equal_brute_force(spark):
+    from blastgraph.llm import similar
+
+    r = random.Random(5)
+    template = [f"t{i}" for i in range(150)]
+    own = [[f"w{r.randint(0, 10**7)}" for _ in range(54)] for _ in range(2600)]
+    for i in range(400):  # near copies of some, at 0.8 and more
+        copy = list(own[i])
+        for at in r.sample(range(54), r.randint(1, 4)):
+            copy[at] = f"x{r.randint(0, 10**7)}"
+        own.append(copy)
+    r.shuffle(own)
+    texts = [" ".join(template + x) for x in own]
+    sets = [set(similar.shingle_hashes(t).tolist()) for t in texts]
+    at: dict[int, list[int]] = {}
+    for i, x in enumerate(sets):
+        for h in x:
+            at.setdefault(h, []).append(i)
+    both = np.zeros((len(texts), len(texts)), np.int16)
+    for rows in at.values():
+        if len(rows) > 1:
+            both[np.ix_(rows, rows)] += 1
+    n = np.array([len(x) for x in sets])
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(both >= 0.8 * (n[:, None] + n[None, :] - both))) if a < b}
+    found = similar.similar_links(spark.createDataFrame(list(enumerate(texts)), "_rid long, text string"))
+    got = {(x.a, x.b) for x in found.collect()}
+    assert got <= want and len(want) >= 300
+    # All that meet under a key and pass the filters; without keys and filters left out.
+    root = {x.v: x.root for x in components.components(found).collect()}
+    lost = [(a, b) for a, b in want if root.get(a, -1 - a) != root.get(b, -1 - b)]
+    fps = np.array([similar.wide_fingerprint(np.array(sorted(x), np.uint64)) for x in sets])
+    for a, b in lost:
+        rows, keys = similar.wide_keys(fps[[a, b]])
+        meet = set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
+        assert not meet or similar.apart(fps[a, :2], fps[b, :2]) > similar.NEAR128 or similar.apart(fps[a], fps[b]) > similar.NEAR_WIDE
+    assert len(lost) <= 0.03 * len(want)
