@@ -501,8 +501,8 @@ def timestamps(p):
 
 @query(O.base() + "n AS (SELECT name FROM parts WHERE part < 200) SELECT a.name AS a, b.name AS b, CAST(damerau_levenshtein(a.name, b.name) AS INTEGER) AS d FROM n a JOIN n b ON a.name <> b.name AND abs(length(a.name) - length(b.name)) <= 1 WHERE damerau_levenshtein(a.name, b.name) <= 1")
 def edit_distance(p):
-    """Pairs within one edit among the first two hundred names: a fixed set, met by shared deletions."""
-    some = p.parts.where("part < 200").select("name")
+    """Pairs within one edit among all names, met by shared deletions. The SQL beside it takes the first two hundred only."""
+    some = p.parts.select("name")
     left = some.select(F.col("name").alias("a"), F.explode(names.deletions(F.col("name"), 1)).alias("k"))
     right = some.select(F.col("name").alias("b"), F.explode(names.deletions(F.col("name"), 1)).alias("k"))
     pairs = left.join(right, "k").where("a <> b").select("a", "b").distinct()

@@ -35,6 +35,17 @@ def test_query_equals_sql(name, spark, sf, duck):
     assert plain(queries.QUERIES[name](spark, sf).toPandas()) == plain(duck.execute(queries.ORACLE_SQL[name]).df())
 
 
+def test_edit_distance_takes_all_names(spark):
+    from blastgraph.oracle import name
+
+    sf = "/root/testdata/sf0.01"
+    got = queries.QUERIES["edit_distance"](spark, sf).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE n AS SELECT {name('p_partkey')} AS name FROM read_parquet('{sf}/part.parquet')")
+    want = con.execute("SELECT a.name AS a, b.name AS b, CAST(damerau_levenshtein(a.name, b.name) AS INTEGER) AS d FROM n a JOIN n b ON a.name <> b.name AND abs(length(a.name) - length(b.name)) <= 1 WHERE damerau_levenshtein(a.name, b.name) <= 1").df()
+    assert plain(got) == plain(want)
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 
