@@ -255,6 +255,17 @@ def _fingerprints_rid(batches):
         yield batch.rename_columns(["_rid", "fp"])
 
 
+def row_links(texts: DataFrame) -> DataFrame:
+    """texts: _rid, text. Links a, b between rows that join them as all links of their fingerprints would."""
+    texts = texts.select("_rid", text_or_empty().alias("text"))
+    fps = written(texts.mapInArrow(_fingerprints_rid, "_rid long, fp long"), "simhash-fps")
+    least = written(fps.groupBy("fp").agg(F.min("_rid").alias("least")), "simhash-distinct")
+    same = fps.join(least, "fp").where("_rid <> least").select(F.col("_rid").alias("a"), F.col("least").alias("b"))
+    links = fingerprint_links(least.select("fp"))
+    a, b = (least.select(F.col("fp").alias(x), F.col("least").alias(f"least_{x}")) for x in "ab")
+    return same.unionByName(links.join(a, "a").join(b, "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 

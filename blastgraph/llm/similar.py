@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, delete, text_or_empty, with_rid, written
+from .common import arrow_limits, delete, made, text_or_empty, with_rid, written
 from .components import components
 from .simhash import LOWER, SEED, SHINGLE_BLOCK, WORDS, distance, near_codewords
 
@@ -313,9 +313,9 @@ def _crowded_pairs(crowded: DataFrame, links: DataFrame, wide: DataFrame, n: int
     return written(rows.mapInArrow(_unjoined, "a long, b long").distinct(), "similar-pairs")
 
 
-def similar_links(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def similar_links(texts: DataFrame, similar: float = SIMILAR, known: DataFrame | None = None) -> DataFrame:
     """texts: _rid, text. Links a, b between rows whose shingle sets are at least so similar, which
-    join them as all such links between rows that meet under a key would."""
+    together with the ``known`` ones join them as all such links between rows that meet under a key would."""
     spark = texts.sparkSession
     texts = texts.select("_rid", text_or_empty().alias("text"))
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -331,20 +331,27 @@ def similar_links(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     crowded = met.where("rows is not null").select("key", F.explode("rows").alias("_rid"))
     if crowded.isEmpty():
         return links
-    return links.unionByName(_similar(_crowded_pairs(crowded, links, wide, n), wide, texts, similar))
+    joined = links.unionByName(known) if known else links
+    return links.unionByName(_similar(_crowded_pairs(crowded, joined, wide, n), wide, texts, similar))
 
 
-def similar_dedup(docs: DataFrame, similar: float = SIMILAR, read: Callable[[], None] | None = None) -> DataFrame:
+def similar_dedup(docs: DataFrame, similar: float = SIMILAR, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``docs`` with one row of each group of similar texts, its smallest doc_id (null last): all
-    columns, unchanged. Null, empty and blank texts have no shingles and all stay. ``read`` is
-    called once ``docs`` has been read and isn't needed any more."""
-    arrow_limits(docs.sparkSession)
+    columns, unchanged. Null, empty and blank texts have no shingles and all stay. ``more`` gives
+    further links a, b between the same rows (_rid, text), which join groups like these."""
+    spark = docs.sparkSession
+    arrow_limits(spark)
     lower = [c.lower() for c in docs.columns]
     doc_id, text = (f"c{lower.index(n)}" for n in ("doc_id", "text"))
     rows = with_rid(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), "similar-input")
-    if read:
-        read()
-    roots = components(similar_links(rows.select("_rid", F.col(text).alias("text")), similar))
+    texts = rows.select("_rid", F.col(text).alias("text"))
+    known = None
+    if more:
+        before = set(made())
+        known = written(more(texts), "similar-known")
+        delete(spark, [p for p in made()[:-1] if p not in before])
+    links = similar_links(texts, similar, known)
+    roots = components(links.unionByName(known) if known else links)
     grouped = rows.select("_rid", F.col(doc_id).cast("long").alias("doc_id")).join(roots.withColumnRenamed("v", "_rid"), "_rid")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_rid")).alias("first")
     stays = grouped.groupBy("root").agg(first).select(F.col("first._rid").alias("_rid"))

@@ -38,13 +38,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, then of those whose five-word shingles are at
-    least 0.8 similar, the one with the smallest id."""
+    """Of documents that links of fingerprints or of five-word shingles at least 0.8 similar join,
+    the one with the smallest id."""
     finished(spark, docs)
-    before = set(made())
-    first = simhash.near_dedup(docs)
-    tables = [p for p in made() if p not in before]
-    return similar.similar_dedup(first, read=lambda: delete(spark, tables))
+    return similar.similar_dedup(docs, more=simhash.row_links)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

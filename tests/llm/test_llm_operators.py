@@ -524,3 +524,27 @@ def test_similar_pairs_in_a_half_similar_family_equal_brute_force(spark):
         meet = set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
         assert not meet or similar.apart(fps[a, :2], fps[b, :2]) > similar.NEAR128 or similar.apart(fps[a], fps[b]) > similar.NEAR_WIDE
     assert len(lost) <= 0.03 * len(want)
+
+
+def test_near_dedup_stage_joins_both_kinds_of_links(spark):
+    import corpus_pipeline
+
+    r = random.Random(3)
+
+    def changed(words, places):
+        return " ".join(f"x{r.randint(0, 10**7)}" if i in places else w for i, w in enumerate(words))
+
+    def far(a, b):
+        return (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count()
+
+    texts = []
+    while len(texts) < 3 * 20:  # x and base are four bits apart at most; y is similar to base, but to x neither
+        words = [f"w{r.randint(0, 10**7)}" for _ in range(200)]
+        base, x, y = " ".join(words), changed(words, {100}), changed(words, {20, 50, 140, 170})
+        if far(base, x) <= 4 < min(far(x, y), far(base, y)):
+            assert brute_similar([base, x, y]) == {(0, 1), (0, 2)}
+            texts += [x, base, y]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), None)
+    kept = {r.doc_id for r in kept.collect()}
+    assert {i for i in kept if i % 3 == 0} == set(range(0, 60, 3)) and not any(i % 3 == 1 for i in kept)
+    assert len(kept) <= 22  # a pair at 0.81 meets under a key with a probability of 0.97 or so
