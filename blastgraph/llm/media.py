@@ -200,8 +200,8 @@ def sniff(value: bytes, found: ahocorasick.Automaton) -> list[Medium]:
 
 
 def embedded(value: bytes, medium: Medium, found: ahocorasick.Automaton) -> list[Medium]:
-    """Valid media that start inside the samples of an uncompressed medium."""
-    if medium.kind not in ("wav", "bmp"):
+    """Valid media that start inside the samples of a medium that ``wrap`` made."""
+    if medium.kind not in FORMATS:
         return []
     inner = payload(value[medium.start : medium.end], medium.kind)
     return sniff(inner, found)
@@ -279,7 +279,7 @@ def _sniffed(batches):
             whole = next((m for m in media if m.start == 0), None)
             kind = whole.kind if whole else ""
             samples = payload(value[: whole.end], kind) if kind in FORMATS else b""
-            carved = [m for m in media if m.start] + (embedded(value, whole, found) if whole else [])
+            carved = [m for m in media if m.start] + sniff(samples, found)
             actual = TYPES.get(kind, "application/octet-stream")
             mean = sum(samples) / len(samples) if samples else 0.0
             out["payload_bytes"].append(len(samples))

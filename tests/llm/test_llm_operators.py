@@ -548,3 +548,16 @@ def test_near_dedup_stage_joins_both_kinds_of_links(spark):
     kept = {r.doc_id for r in kept.collect()}
     assert {i for i in kept if i % 3 == 0} == set(range(0, 60, 3)) and not any(i % 3 == 1 for i in kept)
     assert len(kept) <= 22  # a pair at 0.81 meets under a key with a probability of 0.97 or so
+
+
+def test_media_are_carved_from_every_format(spark):
+    gif = "GIF89a" + "\x01\0\x01\0" + "\0\0\0" + "," + "\0" * 4 + "\x01\0\x01\0\0" + "\x02" + "\x02" + "D\x01" + "\0" + ";"
+    found = media.automaton()
+    assert [m.kind for m in media.sniff(gif.encode(), found)] == ["gif"]
+    texts = [f"{i} {gif}" for i in range(12)]
+    formats = {media.FORMATS[zlib.crc32(media.padded(t)[1]) % 3] for t in texts}
+    assert formats == {"wav", "bmp", "png"}
+    got = media.documents_as_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == 12 and all("carved=gif@" in r.feature for r in got)
+    outer = media.wrap(media.padded(texts[0])[1], "png")
+    assert [m.kind for m in media.embedded(outer, media.Medium("png", 0, len(outer)), found)] == ["gif"]
