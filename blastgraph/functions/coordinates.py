@@ -11,8 +11,8 @@ def release_key(package: Column, version: Column) -> Column:
 
 
 def package_of(key: Column) -> Column:
-    """The package of a release key, scoped names kept whole."""
-    return F.regexp_extract(key, r"^(@?[^@]+)@", 1)
+    """The package of a release key: what stands before its last "@", scoped names kept whole."""
+    return F.left(key, F.length(key) - F.length(F.substring_index(key, "@", -1)) - 1)
 
 
 def version_of(key: Column) -> Column:

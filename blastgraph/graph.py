@@ -71,3 +71,11 @@ def census_edges(graph: Graph) -> DataFrame:
         counted(S.AFFECTS, graph.affects),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def census_totals(graph: Graph, with_edges: bool = True) -> DataFrame:
+    """One row: vertices, edges (null where they aren't asked for), is_empty, counted_everything."""
+    vertices = census(graph).agg(F.sum("n").alias("vertices"))
+    edges = census_edges(graph).agg(F.sum("n").alias("edges")) if with_edges else vertices.select(F.lit(None).cast("bigint").alias("edges"))
+    both = vertices.crossJoin(edges)  # two single rows
+    return both.withColumn("is_empty", F.col("vertices") == 0).withColumn("counted_everything", F.col("edges").isNotNull())

@@ -47,17 +47,31 @@ def fold_events(events: Column) -> Column:
     return F.coalesce(F.aggregate(events, start, step, finish), F.array().cast(INTERVALS))
 
 
+def malformed(value: Column) -> Column:
+    """Whether a text is no JSON."""
+    return F.try_parse_json(value).isNull()
+
+
+def read_documents(texts: DataFrame) -> DataFrame:
+    """texts: value. Those that are JSON objects, as documents (``DOCUMENT``)."""
+    return texts.where("ltrim(value) like '{%'").where(~malformed(F.col("value"))).select(F.from_json("value", DOCUMENT).alias("d")).select("d.*")
+
+
 def parse(documents: DataFrame) -> DataFrame:
     """Documents (``DOCUMENT``) that stand and affect npm packages, a row for each package:
     osv_id, severity, published_at, summary, cwe, aliases, package, intervals, versions."""
     kept = documents.where("coalesce(withdrawn, '') = '' and coalesce(id, '') <> ''")
-    rating = F.upper(F.col("database_specific.severity"))
-    score = F.get(F.col("severity.score"), F.lit(0))
-    severity = F.when(rating.isin(*RATINGS), rating).otherwise(F.coalesce(F.when(score != "", score), F.lit("UNKNOWN")))
-    first_line = F.substring(F.substring_index(F.coalesce("details", F.lit("")), "\n", 1), 1, 300)
+    rating = F.upper("database_specific.severity")
+    score = F.get(F.filter(F.col("severity.score"), lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(0))  # the first entry that has one
+    severity = F.when(rating.isin(*RATINGS), rating).otherwise(F.coalesce(score, F.lit("UNKNOWN")))
+
+    def stripped(name: str) -> Column:
+        return F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"^\s+|\s+$", "")
+
+    headline = F.substring(F.substring_index(stripped("details"), "\n", 1), 1, 300)
     rows = kept.select(
         F.col("id").alias("osv_id"), severity.alias("severity"), times.epoch_or_unknown(F.col("published")).alias("published_at"),
-        F.coalesce(F.when(F.col("summary") != "", F.col("summary")), first_line).alias("summary"),
+        F.coalesce(F.nullif(stripped("summary"), F.lit("")), headline).alias("summary"),
         F.array_join(F.coalesce("database_specific.cwe_ids", F.array().cast("array<string>")), ",").alias("cwe"),
         F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), ",").alias("aliases"), F.explode("affected").alias("a"),
     )

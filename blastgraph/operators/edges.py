@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.coordinates import package_of
 
 
 def last_written(rows: DataFrame, key: str | list[str], order: str) -> DataFrame:
@@ -50,6 +51,6 @@ def declared_pins(pins: DataFrame) -> DataFrame:
 def dependent_counts(edges: DataFrame, packages: DataFrame) -> DataFrame:
     """package, dependents: distinct packages with a release that depends on one of its releases,
     itself not counted; every known package has a row."""
-    pairs = edges.select(F.regexp_extract("source", r"^(@?[^@]+)@", 1).alias("dependent"), F.regexp_extract("target", r"^(@?[^@]+)@", 1).alias("package"))
-    counts = pairs.where("dependent <> package").groupBy("package").agg(F.countDistinct("dependent").alias("dependents"))
+    pairs = edges.select(package_of(F.col("source")).alias("dependent"), package_of(F.col("target")).alias("package")).where("dependent <> package")
+    counts = pairs.distinct().groupBy("package").agg(F.count(F.lit(1)).alias("dependents"))
     return packages.select(F.col("name").alias("package")).join(counts, "package", "left").select("package", F.coalesce("dependents", F.lit(0)).cast("bigint").alias("dependents"))

@@ -1,18 +1,23 @@
-"""Bounded path enumeration over time-bounded edges, and vertex-level reachability.
+"""Bounded path enumeration over time-bounded edges, counts of paths, and vertex-level reachability.
 
 Paths grow backwards from the few targets, one join per hop. The window of a path (latest start,
 earliest end) is intersected at every hop and a path whose window is empty, or doesn't cover the
 moment asked for, ends there: both conditions only get stricter along a path, so nothing is lost.
 Each hop's frontier is a written table, so lineage stays one hop deep and lost executors cost
-one read. Questions about membership alone walk distinct vertices instead of paths.
+one read. Three answers, from dear to cheap: ``prefixes`` builds every chain; ``ways`` counts chains
+that agree in ends, hops and window without building them; ``spread`` and ``reaching`` walk
+distinct vertices.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.coordinates import package_of
 from ..storage import written
 
 LINK = "array<struct<rel_type:string,holder:string,depends_on:string,package:string,version:string,direct:boolean>>"
@@ -23,62 +28,152 @@ def live(valid_from: Column, valid_to: Column, as_of: int | None) -> Column:
     return (valid_from < valid_to) if as_of is None else (valid_from <= as_of) & (valid_to > as_of)
 
 
-def prefixes(targets: DataFrame, edges: DataFrame, hops: int, as_of: int | None = None, coherent: bool = True) -> DataFrame:
+def _steps(edges: DataFrame) -> DataFrame:
+    return edges.select(
+        F.col("source").alias("e_source"), F.col("target").alias("head"), "rel_type", F.col("resolved_to").alias("e_version"),
+        F.col("valid_from").alias("e_from"), F.col("valid_to").alias("e_to"),
+    )
+
+
+def prefixes(targets: DataFrame, edges: DataFrame, hops: int, as_of: int | None = None, links: bool = False) -> DataFrame:
     """Every simple chain of at most ``hops`` dependency edges that ends in a target.
 
     targets: key. edges: rel_type, source, target, resolved_to, valid_from, valid_to. Columns:
-    target, head, hops, valid_from, valid_to, keys (head first), links, build_time. The chain
-    without edges, the target itself, is among them. Without ``coherent`` windows are carried
-    but, when no moment is asked for, not tested.
+    target, head, hops, valid_from, valid_to, keys (head first), build_time, and ``links`` where
+    asked for. The chain without edges, the target itself, is among them.
     """
     start = targets.select(
         F.col("key").alias("target"), F.col("key").alias("head"), F.lit(0).alias("hops"), F.lit(0).cast("bigint").alias("valid_from"),
-        F.lit(S.OPEN_END).cast("bigint").alias("valid_to"), F.array("key").alias("keys"), F.array().cast(LINK).alias("links"), F.lit(False).alias("build_time"),
+        F.lit(S.OPEN_END).cast("bigint").alias("valid_to"), F.array("key").alias("keys"), F.lit(False).alias("build_time"), *([F.array().cast(LINK).alias("links")] if links else []),
     )
-    step = edges.select(
-        F.col("source").alias("e_source"), F.col("target").alias("head"), "rel_type", F.col("resolved_to").alias("e_version"),
-        F.col("valid_from").alias("e_from"), F.col("valid_to").alias("e_to"),
+    step = _steps(edges)
+    low, high = F.greatest("valid_from", "e_from"), F.least("valid_to", "e_to")
+    link = F.struct(
+        F.col("rel_type"), F.col("e_source").alias("holder"), F.col("head").alias("depends_on"),
+        package_of(F.col("head")).alias("package"), F.col("e_version").alias("version"), F.lit(False).alias("direct"),
     )
     frontier = written(start, "frontier")
-    found = frontier
+    found = [frontier]
     for hop in range(1, hops + 1):
-        low, high = F.greatest("valid_from", "e_from"), F.least("valid_to", "e_to")
-        grown = frontier.join(step, "head").where(~F.array_contains("keys", F.col("e_source")))
-        if coherent or as_of is not None:
-            grown = grown.where(live(low, high, as_of))
-        link = F.struct(
-            F.col("rel_type"), F.col("e_source").alias("holder"), F.col("head").alias("depends_on"),
-            F.regexp_extract("head", r"^(@?[^@]+)@", 1).alias("package"), F.col("e_version").alias("version"), F.lit(False).alias("direct"),
-        )
+        grown = frontier.join(step, "head").where(~F.array_contains("keys", F.col("e_source")) & live(low, high, as_of))
         frontier = written(
             grown.select(
                 "target", F.col("e_source").alias("head"), F.lit(hop).alias("hops"), low.alias("valid_from"), high.alias("valid_to"),
-                F.concat(F.array("e_source"), "keys").alias("keys"), F.concat(F.array(link), "links").alias("links"),
-                (F.col("build_time") | (F.col("rel_type") == S.DEV_DEPENDS_ON)).alias("build_time"),
+                F.concat(F.array("e_source"), "keys").alias("keys"), (F.col("build_time") | (F.col("rel_type") == S.DEV_DEPENDS_ON)).alias("build_time"),
+                *([F.concat(F.array(link), "links").alias("links")] if links else []),
             ),
             "frontier",
         )
         if frontier.isEmpty():
             break
-        found = found.unionByName(frontier)
-    return found
+        found.append(frontier)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _ways(targets: DataFrame, edges: DataFrame, hops: int, as_of: int | None, turning: DataFrame | None) -> DataFrame:
+    """Walks, counted. They repeat no vertex of ``turning`` (head), whose visits they carry."""
+    group = ["target", "head", "valid_from", "valid_to", "build_time", "met"]
+    step, none = _steps(edges), F.array().cast("array<string>")
+    start = targets.select(
+        F.col("key").alias("target"), F.col("key").alias("head"), F.lit(0).cast("bigint").alias("valid_from"), F.lit(S.OPEN_END).cast("bigint").alias("valid_to"),
+        F.lit(False).alias("build_time"), (none if turning is None else F.array("key")).alias("met"), F.lit(1).cast("bigint").alias("ways"), F.lit(0).alias("hops"),
+    )
+    low, high = F.greatest("valid_from", "e_from"), F.least("valid_to", "e_to")
+    frontier = written(start, "ways")
+    found = [frontier]
+    for hop in range(1, hops + 1):
+        grown = frontier.join(step, "head").where(live(low, high, as_of))
+        met = F.col("met")
+        if turning is not None:
+            grown = grown.where(~F.array_contains("met", F.col("e_source"))).join(turning.select(F.col("head").alias("e_source"), F.lit(True).alias("turns")), "e_source", "left")
+            met = F.when(F.col("turns"), F.array_sort(F.array_append("met", F.col("e_source")))).otherwise(met)
+        moved = grown.select(
+            "target", F.col("e_source").alias("head"), low.alias("valid_from"), high.alias("valid_to"),
+            (F.col("build_time") | (F.col("rel_type") == S.DEV_DEPENDS_ON)).alias("build_time"), met.alias("met"), "ways",
+        )
+        frontier = written(moved.groupBy(*group).agg(F.sum("ways").alias("ways")).withColumn("hops", F.lit(hop)), "ways")
+        if frontier.isEmpty():
+            break
+        found.append(frontier)
+    return reduce(DataFrame.unionByName, found)
+
+
+def ways(targets: DataFrame, edges: DataFrame, hops: int, as_of: int | None = None) -> DataFrame:
+    """The chains of ``prefixes``, counted: target, head, hops, valid_from, valid_to, build_time, ways.
+
+    Chains that agree in these are one row from the hop on where they meet, so a hop's rows don't
+    multiply as chains do. A chain can only repeat a vertex that lies at two distances from some
+    target; where there are such vertices, a second pass carries the visits to them (and to the
+    target), and nothing else, so that every chain counted is simple.
+    """
+    found = _ways(targets, edges, hops, as_of, None)
+    distances = found.select("target", "head", "hops").distinct().groupBy("target", "head").agg(F.count(F.lit(1)).alias("n"))
+    turning = written(distances.where("n > 1").select("head").distinct(), "ways-turning")
+    if not turning.isEmpty():
+        found = _ways(targets, edges, hops, as_of, turning)
+    return found.drop("met")
 
 
 def service_paths(prefix: DataFrame, pins: DataFrame, lockfiles: DataFrame) -> DataFrame:
     """Chains from services: each prefix whose head is pinned, through the pin and the lockfile.
-    Adds service, lockfile, entry, direct; hops, chain and links count both steps."""
+    Adds service, lockfile, entry, direct; hops, chain and links (where there are some) count both steps."""
     pin = pins.select(F.col("source").alias("lockfile"), F.col("target").alias("head"), F.col("version").alias("p_version"), F.col("package").alias("p_package"), F.col("direct").alias("p_direct"))
     owner = lockfiles.select(F.col("key").alias("lockfile"), "path", "service")
     joined = prefix.join(pin, "head").join(owner, "lockfile")
     uses = F.struct(F.lit(S.USES_LOCKFILE).alias("rel_type"), F.col("service").alias("holder"), F.col("path").alias("depends_on"), F.lit("").alias("package"), F.lit("").alias("version"), F.lit(False).alias("direct"))
     pinned = F.struct(F.lit(S.PINS).alias("rel_type"), F.col("path").alias("holder"), F.col("head").alias("depends_on"), F.col("p_package").alias("package"), F.col("p_version").alias("version"), F.col("p_direct").alias("direct"))
+    steps = [F.concat(F.array(uses, pinned), "links").alias("links")] if "links" in prefix.columns else []
     return joined.select(
         "service", "lockfile", "target", F.col("head").alias("entry"), (F.col("hops") + 2).alias("hops"), "valid_from", "valid_to",
-        (F.col("p_direct") & (F.col("hops") == 0)).alias("direct"), "build_time",
-        F.concat(F.array("service", "path"), "keys").alias("chain"), F.concat(F.array(uses, pinned), "links").alias("links"),
+        (F.col("p_direct") & (F.col("hops") == 0)).alias("direct"), "build_time", F.concat(F.array("service", "path"), "keys").alias("chain"), *steps,
     )
 
 
+def service_ways(counted: DataFrame, pins: DataFrame, lockfiles: DataFrame) -> DataFrame:
+    """``service_paths`` for counted chains: service, target, entry, hops, direct, build_time, ways."""
+    once = counted.groupBy("target", "head", "hops", "build_time").agg(F.sum("ways").alias("ways"))
+    pin = pins.select(F.col("source").alias("lockfile"), F.col("target").alias("head"), F.col("direct").alias("p_direct"))
+    owner = lockfiles.select(F.col("key").alias("lockfile"), "service")
+    return once.join(pin, "head").join(owner, "lockfile").select(
+        "service", "target", F.col("head").alias("entry"), (F.col("hops") + 2).alias("hops"), (F.col("p_direct") & (F.col("hops") == 0)).alias("direct"), "build_time", "ways"
+    )
+
+
+def spread(targets: DataFrame, edges: DataFrame, hops: int) -> tuple[DataFrame, int]:
+    """head, hops of every vertex and each number of edges at most ``hops`` over which a target is
+    reached from it, and the length of the longest simple chain. targets: key; edges: source, target.
+
+    Walks are followed over distinct vertices. One simple chain is carried along for each vertex
+    as a witness; only where no witness is left, which takes cycles, are chains enumerated.
+    """
+    step = edges.select(F.col("source").alias("e_source"), F.col("target").alias("head")).distinct()
+    frontier = written(targets.select(F.col("key").alias("head"), F.array("key").alias("witness"), F.lit(0).alias("hops")), "spread")
+    found, longest, witnessed = [frontier], 0, True
+    for hop in range(1, hops + 1):
+        simple = F.when(~F.array_contains("witness", F.col("e_source")), F.array_append("witness", F.col("e_source")))
+        grown = frontier.join(step, "head").select(F.col("e_source").alias("head"), simple.alias("witness"))
+        frontier = written(grown.groupBy("head").agg(F.min("witness").alias("witness")).withColumn("hops", F.lit(hop)), "spread")
+        seen = frontier.agg(F.count(F.lit(1)).alias("n"), F.count("witness").alias("simple")).first()
+        if not seen.n:
+            break
+        found.append(frontier)
+        longest, witnessed = (hop, True) if seen.simple else (longest, False)
+    if not witnessed:
+        longest = _longest_simple(targets, step, hops)
+    return reduce(DataFrame.unionByName, found).select("head", "hops"), longest
+
+
+def _longest_simple(targets: DataFrame, step: DataFrame, hops: int) -> int:
+    frontier = written(targets.select(F.col("key").alias("head"), F.array("key").alias("keys")), "simple")
+    for hop in range(1, hops + 1):
+        grown = frontier.join(step, "head").where(~F.array_contains("keys", F.col("e_source")))
+        # Chains over the same vertices to the same head go on alike.
+        frontier = written(grown.select(F.col("e_source").alias("head"), F.array_sort(F.array_append("keys", F.col("e_source"))).alias("keys")).distinct(), "simple")
+        if frontier.isEmpty():
+            return hop - 1
+    return hops
+
+
 def reaching(sources: DataFrame, targets: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """key of the sources from which some target is at most ``hops`` edges away, time aside.
     sources, targets: key."""

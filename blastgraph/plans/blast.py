@@ -2,73 +2,111 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.coordinates import package_of
 from ..functions.times import closed
 from ..graph import Graph
 from ..operators import traverse
 
 
-def paths(graph: Graph, bad: DataFrame, as_of: int | None = None, include_build: bool = True, max_hops: int = S.BLAST_HOPS) -> DataFrame:
+def _edges(graph: Graph, include_build: bool) -> DataFrame:
+    return graph.dependencies if include_build else graph.dependencies.where(F.col("rel_type") == S.DEPENDS_ON)
+
+
+def paths(graph: Graph, bad: DataFrame, as_of: int | None = None, include_build: bool = True, max_hops: int = S.BLAST_HOPS, links: bool = False) -> DataFrame:
     """Every live chain from a service to a bad release. bad: key. Columns: service, lockfile,
-    target, entry, hops, valid_from, valid_to, direct, build_time, chain, links."""
-    edges = graph.dependencies if include_build else graph.dependencies.where(F.col("rel_type") == S.DEPENDS_ON)
-    prefix = traverse.prefixes(bad.select("key").distinct(), edges, max_hops - 2, as_of)
+    target, entry, hops, valid_from, valid_to, direct, build_time, chain; links where asked for."""
+    prefix = traverse.prefixes(bad.select("key").distinct(), _edges(graph, include_build), max_hops - 2, as_of, links)
     return traverse.service_paths(prefix, graph.pins, graph.lockfiles)
 
 
-def shown(found: DataFrame) -> DataFrame:
-    """Paths for output: the chain as text, an open window's end as null."""
+def ways(graph: Graph, bad: DataFrame, as_of: int | None = None, include_build: bool = True, max_hops: int = S.BLAST_HOPS) -> DataFrame:
+    """The chains of ``paths``, counted instead of built: service, target, entry, hops, direct, build_time, ways."""
+    counted = traverse.ways(bad.select("key").distinct(), _edges(graph, include_build), max_hops - 2, as_of)
+    return traverse.service_ways(counted, graph.pins, graph.lockfiles)
+
+
+def text(chain: str = "chain") -> Column:
+    return F.array_join(chain, " > ")
+
+
+def shown(found: DataFrame, *more: str) -> DataFrame:
+    """Paths for output: the chain as text, an open window's end as null, and ``more`` columns."""
     return found.select(
-        "service", "target", "entry", F.col("hops").cast("bigint").alias("hops"), F.array_join("chain", " > ").alias("chain"), "valid_from",
-        closed(F.col("valid_to"), S.OPEN_END).alias("valid_to"), "direct", "build_time",
+        "service", "target", "entry", F.col("hops").cast("bigint").alias("hops"), text().alias("chain"), "valid_from",
+        closed(F.col("valid_to"), S.OPEN_END).alias("valid_to"), "direct", "build_time", *more,
     )
 
 
 def truncated(found: DataFrame, cap: int = S.BLAST_PATHS) -> DataFrame:
-    """The first ``cap`` paths by hops, service, target and chain."""
-    return found.withColumn("text", F.array_join("chain", " > ")).orderBy("hops", "service", "target", "text").limit(cap).drop("text")
-
-
-def services(graph: Graph, found: DataFrame, shown_paths: int = 0) -> DataFrame:
-    """A row for each exposed service: criticality, shortest, paths, targets, entries, direct,
-    runtime; with its first ``shown_paths`` chains where asked."""
-    columns = [
-        F.min("hops").cast("bigint").alias("shortest"), F.count(F.lit(1)).alias("paths"), F.array_join(F.sort_array(F.collect_set("target")), ",").alias("targets"),
-        F.array_join(F.sort_array(F.collect_set("entry")), ",").alias("entries"), F.bool_or("direct").alias("direct"), F.bool_or(~F.col("build_time")).alias("runtime"),
-    ]
-    if shown_paths:
-        ranked = F.sort_array(F.collect_list(F.struct("hops", "target", F.array_join("chain", " > ").alias("chain"))))
-        columns.append(F.slice(ranked, 1, shown_paths).alias("shown"))
-    return found.groupBy("service").agg(*columns).join(graph.services.select(F.col("name").alias("service"), F.coalesce(F.nullif("criticality", F.lit("")), F.lit("unknown")).alias("criticality")), "service")
-
-
-def reach_prefixes(graph: Graph, bad: DataFrame, as_of: int | None = None, max_hops: int = S.REACH_HOPS) -> DataFrame:
-    """Chains of runtime dependencies back from the bad releases; without a moment, windows that
-    never met stay, as reach asks what could be pulled in at all."""
-    edges = graph.dependencies.where(F.col("rel_type") == S.DEPENDS_ON)
-    return traverse.prefixes(bad.select("key").distinct(), edges, max_hops, as_of, coherent=False)
+    """The first ``cap`` paths by hops, service, target and chain. Their ``truncated`` says
+    whether there are more."""
+    order = ("hops", "service", "target", "text")
+    first = found.withColumn("text", text()).orderBy(*order).limit(cap + 1)
+    ranked = first.withColumn("_n", F.row_number().over(Window.orderBy(*order)))  # at most ``cap`` + 1 rows
+    most = F.max("_n").over(Window.partitionBy())
+    return ranked.withColumn("truncated", most > cap).where(F.col("_n") <= cap).drop("_n", "text")
+
+
+def radius(found: DataFrame) -> DataFrame:
+    """One row over counted chains: paths, services, deepest."""
+    return found.agg(
+        F.coalesce(F.sum("ways"), F.lit(0)).cast("bigint").alias("paths"), F.countDistinct("service").alias("services"), F.max("hops").cast("bigint").alias("deepest")
+    )
 
 
-def reach(graph: Graph, bad: DataFrame, as_of: int | None = None, max_hops: int = S.REACH_HOPS) -> DataFrame:
-    """One row: packages and releases reached besides the bad ones, and the longest chain."""
-    found = reach_prefixes(graph, bad, as_of, max_hops)
-    heads = found.select("head", "hops").where("hops > 0")
-    keys = bad.select(F.col("key").alias("head"))
-    names = bad.select("package").distinct()
-    others = heads.join(keys, "head", "left_anti").select("head").distinct()
-    packages = heads.select(F.regexp_extract("head", r"^(@?[^@]+)@", 1).alias("package")).distinct().join(names, "package", "left_anti")
-    return (
-        others.agg(F.count(F.lit(1)).alias("releases"))
-        .crossJoin(packages.agg(F.count(F.lit(1)).alias("packages")))  # three single rows
-        .crossJoin(heads.agg(F.coalesce(F.max("hops"), F.lit(0)).cast("bigint").alias("max_depth")))
+def services(graph: Graph, found: DataFrame) -> DataFrame:
+    """A row for each exposed service, from counted chains: criticality, shortest, paths, targets,
+    entries, direct, runtime."""
+
+    def listed(column: str) -> Column:
+        return F.array_join(F.sort_array(F.collect_set(column)), ",")
+
+    rows = found.groupBy("service").agg(
+        F.min("hops").cast("bigint").alias("shortest"), F.sum("ways").alias("paths"), listed("target").alias("targets"), listed("entry").alias("entries"),
+        F.bool_or("direct").alias("direct"), F.bool_or(~F.col("build_time")).alias("runtime"),
     )
+    criticality = F.coalesce(F.nullif("criticality", F.lit("")), F.lit("unknown"))
+    return rows.join(graph.services.select(F.col("name").alias("service"), criticality.alias("criticality")), "service")
+
+
+def first_chains(found: DataFrame, each: int) -> DataFrame:
+    """service, rank, hops, target, chain: the first ``each`` chains of every service by hops,
+    target and chain; the rest is cut before it is gathered."""
+    rows = found.select("service", "hops", "target", text().alias("chain"))
+    rank = F.row_number().over(Window.partitionBy("service").orderBy("hops", "target", "chain"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= each).select("service", "rank", "hops", "target", "chain")
 
 
-def reach_packages(graph: Graph, bad: DataFrame, as_of: int | None = None) -> DataFrame:
+def _runtime_at(graph: Graph, as_of: int | None) -> DataFrame:
+    """Runtime dependencies, those that hold at a moment where one is given. Without one, windows
+    that never met count too, as reach asks what could be pulled in at all."""
+    edges = graph.dependencies.where(F.col("rel_type") == S.DEPENDS_ON)
+    return edges if as_of is None else edges.where(traverse.live(F.col("valid_from"), F.col("valid_to"), as_of))
+
+
+def _spread(graph: Graph, bad: DataFrame, as_of: int | None, max_hops: int) -> tuple[DataFrame, int]:
+    found, longest = traverse.spread(bad.select("key").distinct(), _runtime_at(graph, as_of), max_hops)
+    return found.where("hops > 0"), longest
+
+
+def reach(graph: Graph, bad: DataFrame, as_of: int | None = None, max_hops: int = S.REACH_HOPS) -> DataFrame:
+    """One row: releases and packages reached besides the bad ones, and the longest chain. Nothing
+    is capped, so unlike a list of paths it is never cut short."""
+    found, longest = _spread(graph, bad, as_of, max_hops)
+    others = found.select("head").distinct().join(bad.select(F.col("key").alias("head")), "head", "left_anti")
+    named = found.select(package_of(F.col("head")).alias("package")).distinct().join(bad.select("package").distinct(), "package", "left_anti")
+    counted = others.select(F.lit(1).alias("r"), F.lit(0).alias("p")).unionByName(named.select(F.lit(0).alias("r"), F.lit(1).alias("p")))
+    return counted.agg(
+        F.coalesce(F.sum("r"), F.lit(0)).cast("bigint").alias("releases"), F.coalesce(F.sum("p"), F.lit(0)).cast("bigint").alias("packages")
+    ).withColumn("max_depth", F.lit(longest).cast("bigint"))
+
+
+def reach_packages(graph: Graph, bad: DataFrame, as_of: int | None = None, max_hops: int = S.REACH_HOPS) -> DataFrame:
     """The packages reached and the fewest hops to each."""
-    found = reach_prefixes(graph, bad, as_of).where("hops > 0")
-    named = found.select(F.regexp_extract("head", r"^(@?[^@]+)@", 1).alias("package"), "hops")
+    found, _ = _spread(graph, bad, as_of, max_hops)
+    named = found.select(package_of(F.col("head")).alias("package"), "hops")
     return named.join(bad.select("package").distinct(), "package", "left_anti").groupBy("package").agg(F.min("hops").cast("bigint").alias("hops"))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ingest, samples
 from . import oracle as O
 from . import schema as S
 from .functions import coordinates, distance, semver, times
-from .graph import census, census_edges
+from .graph import census, census_edges, census_totals
 from .operators import advisories, edges, names, pins, resolve, traverse
 from .plans import blast, compromise, evaluate, fix, people
 from .sources import lockfiles, packuments
-from .sources.projection import Projection
+from .sources.projection import Projection, package_name
 
 #: Demonstration parameters: a moment, the typosquat radar's threshold, the share for chain lists.
 AS_OF = 915_148_800
@@ -28,7 +29,7 @@ def query(sql: str | None = None):
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(Projection(spark, sf_dir))
+            return f(Projection.of(spark, sf_dir))
 
         run.__doc__ = f.__doc__
         QUERIES[f.__name__] = run
@@ -114,6 +115,13 @@ def edge_census(p):
 QUERIES["census_edges"], ORACLE_SQL["census_edges"] = QUERIES.pop("edge_census"), ORACLE_SQL.pop("edge_census")
 
 
+@query(O.plain("""SELECT vertices, edges, vertices = 0 AS is_empty, TRUE AS counted_everything FROM (SELECT
+    (SELECT count(*) FROM parts) + (SELECT count(*) FROM rel) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM lock) + (SELECT count(*) FROM adv) AS vertices,
+    2 * (SELECT count(*) FROM rel) + (SELECT count(*) FROM dep) + (SELECT count(*) FROM can) + (SELECT count(*) FROM lock) + (SELECT count(*) FROM pins) + (SELECT count(*) FROM affects) AS edges)"""))
+def census_total(p):
+    return census_totals(p.graph())
+
+
 @query(O.plain("SELECT (SELECT count(*) FROM decl) AS declared, (SELECT count(*) FROM dep) AS edges, (SELECT count(*) FROM pins) AS pins, (SELECT count(DISTINCT osv_id) FROM affects) AS matched_advisories"))
 def ingest_stats(p):
     def n(df, name, what=F.lit(1)):
@@ -135,7 +143,7 @@ def resolution_windows(p):
 
 @query(O.plain("SELECT rel_type, source, target, range, resolved_to, kind, valid_from, valid_to FROM dep"))
 def depends_on_edges(p):
-    return p.dependencies
+    return p.dependencies.select("rel_type", "source", "target", "range", "resolved_to", "kind", "valid_from", "valid_to")
 
 
 @query(O.plain("SELECT key, package, version, published_at FROM rel QUALIFY row_number() OVER (PARTITION BY package ORDER BY published_at DESC, version DESC) <= 3"))
@@ -227,8 +235,7 @@ def blast_paths(p):
 
 @query(O.blast() + "SELECT count(*) AS paths, count(DISTINCT service) AS services, CAST(max(hops) AS BIGINT) AS deepest FROM paths")
 def blast_radius(p):
-    found = blast.paths(p.graph(), bad_of(p))
-    return found.agg(F.count(F.lit(1)).alias("paths"), F.countDistinct("service").alias("services"), F.max("hops").cast("bigint").alias("deepest"))
+    return blast.radius(blast.ways(p.graph(), bad_of(p)))
 
 
 QUERIES["blast"], ORACLE_SQL["blast"] = QUERIES.pop("blast_radius"), ORACLE_SQL.pop("blast_radius")
@@ -247,12 +254,19 @@ def blast_no_build(p):
 @query(O.blast() + O.SERVICES)
 def blast_services(p):
     graph = p.graph()
-    return blast.services(graph, blast.paths(graph, bad_of(p)))
+    return blast.services(graph, blast.ways(graph, bad_of(p)))
 
 
-@query(O.blast() + O.SHOWN + " ORDER BY hops, service, target, chain LIMIT 100")
+@query(O.blast() + O.SHOWN.replace(" FROM paths", ", (SELECT count(*) FROM paths) > 100 AS truncated FROM paths") + " ORDER BY hops, service, target, chain LIMIT 100")
 def blast_truncated(p):
-    return blast.shown(blast.truncated(blast.paths(p.graph(), bad_of(p)), 100))
+    found = blast.truncated(blast.paths(p.graph(), bad_of(p)), 100)
+    return blast.shown(found, "truncated")
+
+
+@query(O.blast() + """SELECT service, CAST(rank AS BIGINT) AS rank, CAST(hops AS BIGINT) AS hops, target, chain FROM (
+    SELECT *, row_number() OVER (PARTITION BY service ORDER BY hops, target, chain) AS rank FROM paths) WHERE rank <= 25""")
+def blast_first_chains(p):
+    return blast.first_chains(blast.paths(p.graph(), bad_of(p)), 25).withColumn("hops", F.col("hops").cast("bigint")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(O.base() + O.prefixes(6) + " SELECT target, head, CAST(hops AS BIGINT) AS hops, valid_from, valid_to, array_to_string(keys, ' > ') AS chain FROM pre")
@@ -283,6 +297,12 @@ def upgrade_reaching(p):
     return traverse.reaching(p.releases.select("key"), bad_of(p).select("key"), runtime, S.UPGRADE_HOPS)
 
 
+@query(O.base() + O.prefixes(6, "d.rel_type = 'DEPENDS_ON'", "TRUE") + """ SELECT r.package, CAST(min(hops) AS BIGINT) AS hops FROM pre JOIN rel r ON r.key = pre.head
+    WHERE hops > 0 AND r.package NOT IN (SELECT package FROM bad) GROUP BY r.package""")
+def reach_packages(p):
+    return blast.reach_packages(p.graph(), bad_of(p))
+
+
 # Fix
 
 _NUMBERED = """, first AS (SELECT *, min(hops) OVER (PARTITION BY service) AS shortest FROM paths), numbered AS (
@@ -292,39 +312,63 @@ hops_on AS (
     UNION ALL SELECT path_id, l.rel_type, l.holder, l.depends_on, l.version FROM (SELECT path_id, unnest(links) AS l FROM numbered)) """
 
 
+def _chains(p: Projection) -> DataFrame:
+    """The chains that plans are made for."""
+    return blast.paths(p.graph(), bad_of(p, NEAR), links=True)
+
+
 @query(O.blast(share=NEAR) + _NUMBERED + "SELECT rel_type, holder, depends_on, version, count(DISTINCT path_id) AS severs, rel_type = 'PINS' AS mine FROM hops_on GROUP BY rel_type, holder, depends_on, version")
 def chokepoint_candidates(p):
-    found = blast.paths(p.graph(), bad_of(p, NEAR))
-    return fix.candidates(fix.numbered(found)).select("rel_type", "holder", "depends_on", "version", "severs", "mine")
+    return fix.changes(fix.numbered(_chains(p))).select("rel_type", "holder", "depends_on", "version", "severs", "mine")
 
 
 @query(O.blast() + "SELECT count(*) AS naive FROM (SELECT DISTINCT service, target FROM paths)")
 def naive_cost(p):
-    return fix.naive_cost(blast.paths(p.graph(), bad_of(p)))
+    return fix.naive_cost(blast.ways(p.graph(), bad_of(p)))
 
 
 @query()
 def fix_remediate(p):
-    """Cuts of the cover: description, severs, mine, and the totals. The cover is a search, which SQL can't say."""
-    found = fix.remediate(fix.numbered(blast.paths(p.graph(), bad_of(p, NEAR))))
-    rows = [(fix.describe(c), c.paths.bit_count(), c.mine, found.exact, found.paths, found.severed, found.naive) for c in found.cuts]
-    return p.spark.createDataFrame(rows, "description string, severs long, mine boolean, exact boolean, paths long, severed long, naive long")
+    """The chosen changes. The choice is a search, which SQL can't say; ``fix_coverage`` checks what it achieves."""
+    return fix.choose(fix.numbered(_chains(p))).changes
+
+
+@query(O.blast(share=NEAR) + _NUMBERED + """SELECT service, count(*) AS paths, count(*) AS cut, CAST(0 AS BIGINT) AS left_over FROM numbered GROUP BY service""")
+def fix_coverage(p):
+    """For each service its chains and those that a chosen change lies on: all of them."""
+    paths = fix.written(fix.numbered(_chains(p)), "fix-paths")
+    cut = fix.severed_paths(paths, fix.choose(paths).changes)
+    n = F.count(F.when(F.col("cut"), 1))
+    return cut.groupBy("service").agg(F.count(F.lit(1)).alias("paths"), n.alias("cut"), (F.count(F.lit(1)) - n).alias("left_over"))
+
+
+@query(O.blast(share=NEAR) + _NUMBERED + """SELECT count(*) AS paths, count(*) AS severed, count(DISTINCT (service, target)) AS naive, TRUE AS no_more_than_naive,
+    (SELECT count(*) FROM paths) > 4000 AS truncated, (SELECT count(*) FROM paths) <= 4000 AS complete FROM numbered""")
+def fix_totals(p):
+    totals = fix.choose(fix.numbered(_chains(p))).totals
+    return totals.select("paths", "severed", "naive", (F.col("changes") <= F.col("naive")).alias("no_more_than_naive"), "truncated", "complete")
 
 
 @query()
 def fix_plan(p):
-    """The cuts with their verified upgrades, re-planned around dead ends."""
-    graph, bad = p.graph(), bad_of(p, NEAR)
-    return fix.plan_rows(p.spark, fix.plan(graph, blast.paths(graph, bad), bad))
+    """The changes with their verified upgrades, chosen anew around dead ends."""
+    return fix.plan(p.graph(), _chains(p), bad_of(p, NEAR)).changes
+
+
+@query()
+def fix_plan_totals(p):
+    return fix.plan(p.graph(), _chains(p), bad_of(p, NEAR)).totals
 
 
 def _pin_links(p: Projection) -> DataFrame:
-    """Every runtime target that a seventh version's window was pinned to, as cuts."""
-    pinned = p.pins.where("direct and version = '1.2.0'").select("package", "version").distinct()
-    return pinned.select(F.concat_ws("@", "package", "version").alias("cut"), F.lit(True).alias("mine"), "package", "version")
+    """Every direct pin as a change of our own."""
+    pinned = p.pins.where("direct").select("package", "version").distinct()
+    return pinned.select(F.concat_ws("@", "package", "version").alias("change"), F.lit(True).alias("mine"), "package", "version")
 
 
-_LINKS = "links AS (SELECT DISTINCT package || '@' || version AS cut, package, version FROM pins WHERE direct AND version = '1.2.0'), ups AS (SELECT l.cut, r.package, r.key, r.version AS to_version, row_number() OVER (PARTITION BY l.cut ORDER BY r.ln) AS rank FROM links l JOIN rel r ON r.package = l.package AND r.ln > 2 WHERE r.key NOT IN (SELECT key FROM bad) QUALIFY rank <= 6)"
+_LINKS = """links AS (SELECT DISTINCT package || '@' || version AS change, package, version, CAST(split_part(version, '.', 2) AS INTEGER) AS ln FROM pins WHERE direct),
+    ups AS (SELECT l.change, r.package, r.key, r.version AS to_version, row_number() OVER (PARTITION BY l.change ORDER BY r.ln) AS rank
+        FROM links l JOIN rel r ON r.package = l.package AND r.ln > l.ln WHERE r.key NOT IN (SELECT key FROM bad) QUALIFY rank <= 6)"""
 
 
 @query(O.base() + _LINKS + " SELECT * FROM ups")
@@ -333,9 +377,10 @@ def upgrades(p):
 
 
 @query(O.base() + _LINKS + """, up AS (SELECT key, 0 AS depth FROM bad UNION SELECT d.source, u.depth + 1 FROM up u JOIN dep d ON d.target = u.key AND d.rel_type = 'DEPENDS_ON' WHERE u.depth < 4),
-    judged AS (SELECT cut, min(CASE WHEN key NOT IN (SELECT key FROM up) OR package IN (SELECT package FROM bad) THEN rank END) AS best, count(*) AS n FROM ups GROUP BY cut)
-    SELECT l.cut, TRUE AS mine, l.package, l.version, coalesce((SELECT to_version FROM ups u WHERE u.cut = l.cut AND u.rank = j.best), '') AS to_version,
-        j.best IS NULL AND coalesce(j.n, 0) > 0 AS reachable FROM links l LEFT JOIN judged j ON j.cut = l.cut""")
+    judged AS (SELECT change, min(CASE WHEN key NOT IN (SELECT key FROM up) OR package IN (SELECT package FROM bad) THEN rank END) AS best, count(*) AS n FROM ups GROUP BY change),
+    found AS (SELECT l.change, l.package, l.version, u.to_version, j.n FROM links l LEFT JOIN judged j USING (change) LEFT JOIN ups u ON u.change = l.change AND u.rank = j.best)
+    SELECT change, TRUE AS mine, package, version, coalesce(to_version, '') AS to_version, to_version IS NOT NULL AS available,
+        to_version IS NULL AND coalesce(n, 0) > 0 AS reachable, to_version IS NOT NULL AS clean, FALSE AS upstream FROM found""")
 def upgrade_verdicts(p):
     return fix.verdicts(p.graph(), _pin_links(p), bad_of(p))
 
@@ -453,55 +498,76 @@ def eval_scores(p):
     return evaluate.scores(expected, found)
 
 
-# Functions and parsers on fixed input, against rows fixed by hand
-
+# Functions on values made from the tables
 
-def _rows(p: Projection, schema: str, rows: list[tuple]) -> DataFrame:
-    return p.spark.createDataFrame(rows, schema)
+_SPELLINGS = """CASE ln % 6 WHEN 0 THEN package || '@' || version WHEN 1 THEN '/' || package || '@' || version WHEN 2 THEN '"' || package || '@npm:' || version || '"'
+    WHEN 3 THEN '/' || package || '/' || version WHEN 4 THEN package || '@' || version || '(peer@2.0.0)(@s/other@1.0.0)' ELSE 'just' || part END"""
 
 
-@query(O.values("spec, name, version", [
-    ("name@1.0.0", "name", "1.0.0"), ("@scope/name@2.0.0", "@scope/name", "2.0.0"), ("react-dom@18.2.0(react@18.2.0)", "react-dom", "18.2.0"), ("/lodash@4.17.21", "lodash", "4.17.21"),
-    ("/lodash/4.17.20", "lodash", "4.17.20"), ("/@babel/core/7.17.0", "@babel/core", "7.17.0"), ("lodash@npm:4.17.20", "lodash", "4.17.20"), ("plain", "", "")]))
+@query(O.plain(f"""SELECT {_SPELLINGS} AS spec, CASE WHEN ln % 6 = 5 THEN '' ELSE package END AS name, CASE WHEN ln % 6 = 5 THEN '' ELSE version END AS version FROM rel"""))
 def coordinate_split(p):
-    specs = ["name@1.0.0", "@scope/name@2.0.0", "react-dom@18.2.0(react@18.2.0)", "/lodash@4.17.21", "/lodash/4.17.20", "/@babel/core/7.17.0", "lodash@npm:4.17.20", "plain"]
-    return _rows(p, "spec string", [(s,) for s in specs]).withColumn("c", coordinates.split_coordinate(F.col("spec"))).select("spec", "c.name", "c.version")
+    rows = p.raw_releases.withColumn("ln", F.split("version", r"\.")[1].cast("int")).select(F.expr(_SPELLINGS).alias("spec"))
+    return rows.withColumn("c", coordinates.split_coordinate(F.col("spec"))).select("spec", "c.name", "c.version")
 
 
-_SORTED = ["1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.1", "1.0.0", "1.9.0", "1.10.0"]
+_TAGS = ("alpha", "alpha.1", "alpha.beta", "beta", "beta.2", "beta.11", "rc.1", "")
+_VERSIONS = "SELECT DISTINCT l_suppkey % 3 AS major, CAST(l_quantity AS INTEGER) % 12 AS minor, l_linenumber AS patch, l_partkey % 8 AS tag FROM lineitem"
+_VERSION = f"major || '.' || minor || '.' || patch || CASE WHEN tag = 7 THEN '' ELSE '-' || ['{"','".join(_TAGS)}'][tag + 1] END"
 
 
-@query(O.values("version, place", [(v, i + 1) for i, v in enumerate(_SORTED)]))
+def _versions(p: Projection) -> DataFrame:
+    """Distinct versions, most of them prereleases: version, and what it was made of."""
+    parts = p.table("lineitem").select(
+        (F.col("l_suppkey") % 3).alias("major"), (F.col("l_quantity").cast("int") % 12).alias("minor"), F.col("l_linenumber").alias("patch"), (F.col("l_partkey") % 8).alias("tag")
+    ).distinct()
+    tag = F.get(F.array(*[F.lit(f"-{t}" if t else "") for t in _TAGS]), F.col("tag").cast("int"))
+    return parts.withColumn("version", F.concat(F.concat_ws(".", "major", "minor", "patch"), tag))
+
+
+@query(f"SELECT {_VERSION} AS version, row_number() OVER (ORDER BY major, minor, patch, tag) AS place FROM ({_VERSIONS})")
 def semver_sort(p):
     from pyspark.sql import Window
 
-    rows = _rows(p, "version string", [(v,) for v in reversed(_SORTED)]).withColumn("k", semver.version_key(F.col("version")))
-    return rows.select("version", F.row_number().over(Window.orderBy("k")).alias("place"))
+    rows = _versions(p).select("version", semver.version_key(F.col("version")).alias("k"))
+    return rows.select("version", F.row_number().over(Window.orderBy("k")).alias("place"))  # a bounded set: what the rule above can give
 
 
-_CASES = [
-    ("1.2.3", "^1.0.0", True), ("2.0.0", "^1.0.0", False), ("0.2.5", "^0.2.3", True), ("0.3.0", "^0.2.3", False), ("1.1.0-beta.1", "^1.0.0", False),
-    ("1.2.3-beta.2", ">=1.2.3-beta.1 <2", True), ("1.5.0", "1.x", True), ("1.5.0", "~1.4", False), ("2.3.9", "1.2 - 2.3", True), ("3.0.0", "1 || 3", True),
-    ("1.0.0", "*", True), ("1.0.0", "", True), ("1.0.0", "latest", False), ("1.0.0", "git+ssh://host/x", False), ("v1.4.0", ">1.3", True),
-]
+#: Ranges, and by hand when a version of major, minor, patch and tag (7: none) is in each.
+_RANGES = {
+    "^1.2.3": "tag = 7 AND major = 1 AND (minor, patch) >= (2, 3)", "^0.2.3": "tag = 7 AND major = 0 AND minor = 2 AND patch >= 3", "~1.4": "tag = 7 AND major = 1 AND minor = 4",
+    "~2.0.3": "tag = 7 AND major = 2 AND minor = 0 AND patch >= 3", "1.x": "tag = 7 AND major = 1", "*": "tag = 7", "": "tag = 7",
+    "0.3 - 1.2": "tag = 7 AND ((major = 0 AND minor >= 3) OR (major = 1 AND minor <= 2))", "0.3.2 - 1.2.4": "tag = 7 AND (major, minor, patch) >= (0, 3, 2) AND (major, minor, patch) <= (1, 2, 4)",
+    ">1.3": "tag = 7 AND (major > 1 OR (major = 1 AND minor > 3))", "<=1.3": "tag = 7 AND (major = 0 OR (major = 1 AND minor <= 3))", "0.1 || 2": "tag = 7 AND (major = 2 OR (major = 0 AND minor = 1))",
+    ">=1.2.3-beta.2 <2": "major = 1 AND ((tag = 7 AND (minor, patch) >= (2, 3)) OR (minor = 2 AND patch = 3 AND tag >= 4))",
+    "^1.2.3-beta": "major = 1 AND ((tag = 7 AND (minor, patch) >= (2, 3)) OR (minor = 2 AND patch = 3 AND tag >= 3))",
+    "1.2.3-rc.1": "major = 1 AND minor = 2 AND patch = 3 AND tag = 6", "latest": "FALSE", "git+ssh://host/x": "FALSE", "workspace:*": "FALSE",
+}
 
 
-@query(O.values("version, range, ok", _CASES))
+@query(f"WITH v AS ({_VERSIONS}) " + " UNION ALL ".join(f"SELECT {_VERSION} AS version, '{r}' AS range, {ok} AS ok FROM v" for r, ok in _RANGES.items()))
 def semver_satisfies(p):
-    rows = _rows(p, "version string, range string", [c[:2] for c in _CASES])
-    parsed = rows.join(resolve.parsed_ranges(rows), "range")
+    ranges = p.spark.createDataFrame([(r,) for r in _RANGES], "range string")
+    rows = _versions(p).select("version").crossJoin(F.broadcast(ranges))  # the ranges above
+    parsed = rows.join(resolve.parsed_ranges(ranges), "range")
     return parsed.select("version", "range", semver.satisfies(semver.version_key(F.col("version")), F.col("parsed")).alias("ok"))
 
 
-@query(O.values("stamp, seconds", [("2022-01-01T00:00:00Z", 1640995200), ("2022-01-01T00:00:00.500Z", 1640995200), ("2022-06-01T00:00:00+00:00", 1654041600), ("yesterday", 0), ("", 0)]))
+_STAMP = "CASE o_orderkey % 6 WHEN 0 THEN d || 'T00:00:00Z' WHEN 1 THEN d || 'T00:00:00.500Z' WHEN 2 THEN d || 'T02:30:00+02:30' WHEN 3 THEN d WHEN 4 THEN 'on ' || d ELSE '' END"
+
+
+@query(f"""SELECT o_orderkey AS id, {_STAMP} AS stamp, CASE WHEN o_orderkey % 6 <= 3 THEN CAST(epoch(CAST(d AS DATE)) AS BIGINT) ELSE 0 END AS seconds,
+    CASE WHEN o_orderkey % 6 <= 3 THEN CAST(epoch(CAST(d AS DATE)) AS BIGINT) END AS moment FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)""")
 def timestamps(p):
-    stamps = ["2022-01-01T00:00:00Z", "2022-01-01T00:00:00.500Z", "2022-06-01T00:00:00+00:00", "yesterday", ""]
-    return _rows(p, "stamp string", [(s,) for s in stamps]).select("stamp", times.epoch_or_unknown(F.col("stamp")).alias("seconds"))
+    rows = p.table("orders").select(F.col("o_orderkey").alias("id"), "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d")).select("id", F.expr(_STAMP).alias("stamp"))
+    return rows.select("id", "stamp", times.epoch_or_unknown(F.col("stamp")).alias("seconds"), times.moment(F.col("stamp")).alias("moment"))
 
 
-@query(O.base() + "n AS (SELECT name FROM parts WHERE part < 200) SELECT a.name AS a, b.name AS b, CAST(damerau_levenshtein(a.name, b.name) AS INTEGER) AS d FROM n a JOIN n b ON a.name <> b.name AND abs(length(a.name) - length(b.name)) <= 1 WHERE damerau_levenshtein(a.name, b.name) <= 1")
+@query(O.plain("""SELECT a.name AS a, b.name AS b, CAST(damerau_levenshtein(a.name, b.name) AS INTEGER) AS d FROM (
+        SELECT DISTINCT x.name AS a, y.name AS b FROM (SELECT name, unnest(list_append(list_transform(range(1, length(name) + 1), lambda i: name[1:i - 1] || name[i + 1:]), name)) AS k FROM parts) x
+        JOIN (SELECT name, unnest(list_append(list_transform(range(1, length(name) + 1), lambda i: name[1:i - 1] || name[i + 1:]), name)) AS k FROM parts) y USING (k) WHERE x.name <> y.name) m
+    JOIN parts a ON a.name = m.a JOIN parts b ON b.name = m.b WHERE damerau_levenshtein(a.name, b.name) <= 1"""))
 def edit_distance(p):
-    """Pairs within one edit among all names, met by shared deletions. The SQL beside it takes the first two hundred only."""
+    """Pairs within one edit among all names, met by shared deletions."""
     some = p.parts.select("name")
     left = some.select(F.col("name").alias("a"), F.explode(names.deletions(F.col("name"), 1)).alias("k"))
     right = some.select(F.col("name").alias("b"), F.explode(names.deletions(F.col("name"), 1)).alias("k"))
@@ -509,104 +575,138 @@ def edit_distance(p):
     return pairs.withColumn("d", distance.distance(F.col("a"), F.col("b"), 1)).where("d <= 1")
 
 
-_PACKUMENT = """{"name": "widget", "time": {"created": "2019-01-01T00:00:00Z", "modified": "2023-01-01T00:00:00Z", "1.0.0": "2020-01-01T00:00:00Z", "1.1.0": "2021-01-01T00:00:00Z", "2.0.0": "2022-01-01T00:00:00Z", "bad": "soon"},
-"maintainers": [{"name": "alice", "email": "a@x.org"}, "bob <b@x.org>"],
-"versions": {"1.0.0": {"dependencies": {"left": "^1.0.0"}, "dist": {"integrity": "sha512-x"}, "_npmUser": {"name": "alice"}},
-"1.1.0": {"dependencies": {"left": "^1.1.0"}, "peerDependencies": {"react": ">=16"}, "optionalDependencies": {"opt": "*"}, "deprecated": "use 2", "_npmUser": {"name": "bob"}},
-"2.0.0": {"devDependencies": {"jest": "~29.0"}, "dependencies": {"odd": 3}, "dist": {"shasum": "abc123"}}, "junk": 5}}"""
-
+# Parsers and ingest on documents made from the tables
 
-def _documents(p: Projection) -> DataFrame:
-    return _rows(p, "document string", [(_PACKUMENT,), ("{}",), ("not json",)])
 
-
-@query(O.values("package, version, published_at", [("widget", "1.0.0", 1577836800), ("widget", "1.1.0", 1609459200), ("widget", "2.0.0", 1640995200)]))
+@query(samples.SQL + "SELECT package, version, published_at FROM mrel")
 def packument_times(p):
-    return packuments.version_times(_documents(p))
+    return packuments.version_times(samples.packuments(p))
 
 
-@query(O.values("package, version, dependency, range, kind", [
-    ("widget", "1.0.0", "left", "^1.0.0", "runtime"), ("widget", "1.1.0", "left", "^1.1.0", "runtime"), ("widget", "1.1.0", "react", ">=16", "peer"),
-    ("widget", "1.1.0", "opt", "*", "optional"), ("widget", "2.0.0", "jest", "~29.0", "dev")]))
+@query(samples.SQL + f"""SELECT package, version, {O.name('dep')} AS dependency, {samples._RANGE}[r + 1] AS range, kind FROM mdecl
+    UNION ALL SELECT package, version, 'ghost' || part, '^1.0.0', 'runtime' FROM mrel WHERE part % 7 = 0""")
 def declared_dependencies(p):
-    return packuments.dependencies(_documents(p))
+    return packuments.dependencies(samples.packuments(p))
 
 
-@query(O.values("key, published_at, integrity, deprecated, publisher", [
-    ("widget@1.0.0", 1577836800, "sha512-x", False, "alice"), ("widget@1.1.0", 1609459200, "", True, "bob"), ("widget@2.0.0", 1640995200, "abc123", False, "")]))
+@query(samples.SQL + "SELECT key, published_at, CASE WHEN ln % 2 = 1 THEN 'sha512-' || part || '-' || ln ELSE 'x' || part || '-' || ln END AS integrity, ln = 3 AS deprecated, publisher FROM mrel")
 def packument_releases(p):
-    return packuments.releases(_documents(p)).select("key", "published_at", "integrity", "deprecated", "publisher")
+    return packuments.releases(samples.packuments(p)).select("key", "published_at", "integrity", "deprecated", "publisher")
 
 
-@query(O.values("package, username, email", [("widget", "alice", "a@x.org"), ("widget", "bob", "b@x.org")]))
+@query(samples.SQL + "SELECT package, min(publisher) AS username, min(publisher) || '@x.org' AS email FROM mrel GROUP BY package")
 def packument_maintainers(p):
-    return packuments.maintainers(_documents(p))
-
-
-_EVENTS = [
-    ("a", '[{"introduced":"1.0.0"},{"fixed":"1.2.3"}]', "1.0.0/1.2.3/"), ("b", '[{"introduced":"1.0.0"},{"fixed":"1.2.3"},{"introduced":"2.0.0"},{"fixed":"2.1.0"}]', "1.0.0/1.2.3/;2.0.0/2.1.0/"),
-    ("c", '[{"introduced":"1.0.0"}]', "1.0.0//"), ("d", '[{"introduced":"1.0.0"},{"introduced":"2.0.0"}]', "1.0.0//;2.0.0//"),
-    ("e", '[{"introduced":"1.0.0"},{"last_affected":"1.9.9"}]', "1.0.0//1.9.9"), ("f", '[{"fixed":"1.0.0"}]', ""),
-]
+    return packuments.maintainers(samples.packuments(p))
 
 
-@query(O.values("id, intervals", [(i, out) for i, _, out in _EVENTS]))
+@query(samples.SQL + f"""SELECT osv_id AS id, CASE event_id % 3 WHEN 0 THEN i || '/' || f || '/' WHEN 1 THEN i || '//' || f ELSE i || '//;' || f || '//' END AS intervals
+    FROM (SELECT *, {samples._VERSION}[1 + k % 3] AS i, {samples._VERSION}[3 + k % 5] AS f FROM madv)""")
 def advisory_events(p):
-    rows = _rows(p, "id string, events string", [e[:2] for e in _EVENTS])
-    folded = advisories.fold_events(F.from_json("events", f"array<{advisories.EVENT}>"))
+    """Events that open and fix, open and end with a last affected version, or open twice."""
+    rows = p.table("events").where("event_type = 'error'").withColumn("k", F.from_json("props", "k int")["k"])
+    number, opened, second = F.col("event_id"), samples._at(samples.VERSIONS, F.col("k") % 3), samples._at(samples.VERSIONS, 2 + F.col("k") % 5)
+    kind = F.when(number % 3 == 0, "fixed").when(number % 3 == 1, "last_affected").otherwise("introduced")
+    events = F.to_json(F.array(F.create_map(F.lit("introduced"), opened), F.create_map(kind, second)))
+    folded = advisories.fold_events(F.from_json(events, f"array<{advisories.EVENT}>"))
     text = F.array_join(F.transform(folded, lambda i: F.concat_ws("/", i["introduced"], i["fixed"], i["last_affected"])), ";")
-    return rows.select("id", text.alias("intervals"))
+    return rows.select(F.concat(F.lit("A-"), number).alias("id"), text.alias("intervals"))
 
 
-_ADVISORIES = [
-    '{"id":"A-1","summary":"","details":"first line\\nsecond","published":"2022-01-01T00:00:00Z","aliases":["CVE-1","CVE-2"],"database_specific":{"severity":"high","cwe_ids":["CWE-79"]},"affected":[{"package":{"ecosystem":"NPM","name":"left"},"ranges":[{"type":"SEMVER","events":[{"introduced":"0"},{"fixed":"1.2.0"}]},{"type":"GIT","events":[{"introduced":"abc"}]}]}]}',
-    '{"id":"A-2","summary":"gone","withdrawn":"2022-02-01T00:00:00Z","affected":[{"package":{"ecosystem":"npm","name":"left"},"versions":["1.0.0"]}]}',
-    '{"id":"A-3","summary":"other","affected":[{"package":{"ecosystem":"PyPI","name":"left"},"versions":["1.0.0"]}]}',
-    '{"id":"A-4","summary":"listed","severity":[{"type":"CVSS_V3","score":"CVSS:3.1/AV:N"}],"affected":[{"package":{"ecosystem":"npm","name":"right"},"versions":["1.0.0","1.0.1"]}]}',
-]
-
-
-@query(O.values("osv_id, severity, published_at, summary, cwe, aliases, package, intervals, versions", [
-    ("A-1", "HIGH", 1640995200, "first line", "CWE-79", "CVE-1,CVE-2", "left", 1, 0), ("A-4", "CVSS:3.1/AV:N", 0, "listed", "", "", "right", 0, 2)]))
+@query(samples.SQL + f"SELECT osv_id, severity, published_at, summary, cwe, aliases, {O.name('part')} AS package, 1 AS intervals, 0 AS versions FROM stands")
 def advisory_parse(p):
-    rows = _rows(p, "value string", [(a,) for a in _ADVISORIES]).select(F.from_json("value", advisories.DOCUMENT).alias("d")).select("d.*")
-    return advisories.parse(rows).select(
+    return advisories.parse(advisories.read_documents(samples.advisories(p))).select(
         "osv_id", "severity", "published_at", "summary", "cwe", "aliases", "package", F.size("intervals").alias("intervals"), F.size("versions").alias("versions")
     )
 
 
-def _pins(p: Projection, path: str, document: str, manifest: str | None) -> DataFrame:
-    files = _rows(p, "service string, path string, document string, manifest string", [("shop", path, document, manifest)])
-    return lockfiles.pins(files).select("kind", "name", "version", "direct")
+def _pins(files: DataFrame) -> DataFrame:
+    return lockfiles.pins(files).select("path", "kind", "format_version", "name", "version", "direct")
 
 
-_NPM = '{"lockfileVersion":3,"packages":{"":{"dependencies":{"express":"^4"}},"node_modules/express":{"version":"4.17.1"},"node_modules/lodash":{"version":"4.17.20"},"node_modules/express/node_modules/debug":{"version":"2.6.9"},"node_modules/own":{"link":true}}}'
-_NPM1 = '{"lockfileVersion":1,"dependencies":{"express":{"version":"4.17.1","dependencies":{"debug":{"version":"2.6.9"}}},"lodash":{"version":"4.17.20"}}}'
-_YARN = '# yarn lockfile v1\n\n"@babel/core@^7.0.0", "@babel/core@^7.1.0":\n  version "7.17.0"\n  dependencies:\n    react "^17"\n\nlodash@^4.17.0:\n  version "4.17.20"\n'
-_PNPM = "lockfileVersion: '9.0'\nimporters:\n  .:\n    dependencies:\n      lodash:\n        specifier: ^4\n        version: 4.17.20\npackages:\n  lodash@4.17.20: {}\nsnapshots:\n  react-dom@17.0.2(react@17.0.2): {}\n"
+def _lock_sql(path: str, kind: str, form: str, direct: str, more: str = "") -> str:
+    return samples.SQL + f"SELECT 'orders/' || source || '/{path}' AS path, '{kind}' AS kind, '{form}' AS format_version, name, version, {direct} AS direct FROM item_of {more}"
 
 
-@query(O.values("kind, name, version, direct", [("npm", "express", "4.17.1", True), ("npm", "lodash", "4.17.20", False), ("npm", "debug", "2.6.9", False)]))
+@query(_lock_sql("package-lock.json", "npm", "3", "top AND named"))
 def lockfile_npm(p):
-    return _pins(p, "shop/package-lock.json", _NPM, None)
+    return _pins(samples.npm(p))
 
 
-@query(O.values("kind, name, version, direct", [("npm", "express", "4.17.1", True), ("npm", "debug", "2.6.9", False), ("npm", "lodash", "4.17.20", False)]))
+@query(_lock_sql("package-lock.json", "npm", "1", "outermost AND named"))
 def lockfile_npm_v1(p):
-    return _pins(p, "shop/package-lock.json", _NPM1, '{"dependencies":{"express":"^4"}}')
+    return _pins(samples.npm_nested(p))
 
 
-@query(O.values("kind, name, version, direct", [("yarn", "@babel/core", "7.17.0", True), ("yarn", "lodash", "4.17.20", False)]))
+@query(_lock_sql("yarn.lock", "yarn", "1", "named"))
 def lockfile_yarn(p):
-    return _pins(p, "shop/yarn.lock", _YARN, '{"devDependencies":{"@babel/core":"^7"}}')
+    return _pins(samples.yarn(p))
+
 
+@query(_lock_sql("yarn.lock", "yarn", "6", "named"))
+def lockfile_yarn_berry(p):
+    return _pins(samples.berry(p))
 
-@query(O.values("kind, name, version, direct", [("pnpm", "lodash", "4.17.20", True), ("pnpm", "react-dom", "17.0.2", False)]))
+
+@query(_lock_sql("pnpm-lock.yaml", "pnpm", "9.0", "named", "UNION ALL SELECT DISTINCT 'orders/' || source || '/pnpm-lock.yaml', 'pnpm', '9.0', 'plain', '0.0.1', FALSE FROM item_of"))
 def lockfile_pnpm(p):
-    return _pins(p, "shop/pnpm-lock.yaml", _PNPM, None)
+    return _pins(samples.pnpm(p))
+
+
+@query(samples.SQL + "SELECT 'npm' AS kind, source, array_to_string(list_sort(list(DISTINCT name) FILTER (declared)), ',') AS names FROM item_of GROUP BY source")
+def declared_names(p):
+    rows = samples.npm_nested(p).select(F.split("path", "/")[1].cast("long").alias("source"), lockfiles.declared_names(F.col("manifest")).alias("names"))
+    return rows.select(F.lit("npm").alias("kind"), "source", F.nullif(F.array_join(F.sort_array("names"), ","), F.lit("")).alias("names"))
 
 
-@query(O.values("path", [("a/package-lock.json",), ("b/pnpm-lock.yaml",), ("c/yarn.lock",)]))
+@query("SELECT 'orders/' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '/package-lock.json' WHEN o_orderkey % 3 = 1 THEN '/pnpm-lock.yaml' ELSE '/yarn.lock' END AS path FROM orders")
 def lockfile_precedence(p):
-    found = ["a/yarn.lock", "a/package-lock.json", "b/yarn.lock", "b\\pnpm-lock.yaml", "c/yarn.lock", "c/readme"]
-    return lockfiles.preferred(_rows(p, "path string, document string", [(f, "") for f in found])).select("path")
+    """Every order's folder has a yarn.lock and other files, two thirds a better lockfile beside it."""
+    key = F.col("o_orderkey")
+    better = F.when(key % 3 == 0, F.array(F.lit("/package-lock.json"), F.lit("\\pnpm-lock.yaml"))).when(key % 3 == 1, F.array(F.lit("\\pnpm-lock.yaml"))).otherwise(F.array().cast("array<string>"))
+    found = p.table("orders").select(key, F.explode(F.concat(F.array(F.lit("/yarn.lock"), F.lit("/readme")), better)).alias("file"))
+    return lockfiles.preferred(found.select(F.concat(F.lit("orders/"), key.cast("string"), "file").alias("path"), F.lit("").alias("document"))).select("path")
+
+
+def _ingested(p: Projection) -> ingest.Ingested:
+    return p.shared("ingested", lambda: ingest.build(samples.packuments(p), p.services, samples.lockfiles(p), samples.advisories(p), versions_kept=samples.KEPT, windows_kept=samples.WINDOWS))
+
+
+@query(samples.SQL + "SELECT * FROM mdep")
+def ingest_graph(p):
+    """Dependency edges from package documents with real ranges."""
+    return _ingested(p).graph.dependencies
+
+
+@query(samples.SQL + "SELECT service || ':' || path AS source, r.key AS target, name AS package, m.version, direct FROM mpins m JOIN kept r ON r.package = name AND r.version = m.version")
+def ingest_pins(p):
+    return _ingested(p).graph.pins.select("source", "target", "package", "version", "direct")
+
+
+@query(samples.SQL + "SELECT * FROM maffects")
+def ingest_affects(p):
+    return _ingested(p).graph.affects
+
+
+@query(samples.SQL + """SELECT 'Package' AS label, count(DISTINCT package) AS n FROM mrel UNION ALL SELECT 'Release', count(*) FROM kept
+    UNION ALL SELECT 'Maintainer', count(*) FROM (SELECT DISTINCT publisher FROM kept UNION SELECT min(publisher) FROM mrel GROUP BY part) UNION ALL SELECT 'Service', count(*) FROM customer
+    UNION ALL SELECT 'Lockfile', count(DISTINCT source) FROM item_of UNION ALL SELECT 'Advisory', count(DISTINCT osv_id) FROM maffects""")
+def ingest_census(p):
+    return census(_ingested(p).graph)
+
+
+@query(samples.SQL + """, req AS (SELECT DISTINCT dep, r FROM facts)
+    SELECT 'declared' AS counter, count(*) AS n FROM facts
+    UNION ALL SELECT 'unresolvable_ranges', count(*) FROM req WHERE r = 8
+    UNION ALL SELECT 'unsatisfied_ranges', count(*) FROM req WHERE r <> 8 AND NOT EXISTS (SELECT 1 FROM mwin w WHERE w.part = req.dep AND w.r = req.r)
+    UNION ALL SELECT 'unwritten_targets', count(*) FROM mraw WHERE target NOT IN (SELECT key FROM kept)
+    UNION ALL SELECT 'depends_on', count(*) FROM mdep WHERE rel_type = 'DEPENDS_ON' UNION ALL SELECT 'dev_depends_on', count(*) FROM mdep WHERE rel_type = 'DEV_DEPENDS_ON'
+    UNION ALL SELECT 'packages', count(DISTINCT package) FROM mrel UNION ALL SELECT 'releases', count(*) FROM kept
+    UNION ALL SELECT 'maintainers', count(*) FROM (SELECT DISTINCT publisher FROM kept UNION SELECT min(publisher) FROM mrel GROUP BY part)
+    UNION ALL SELECT 'services', count(*) FROM customer UNION ALL SELECT 'lockfiles', count(DISTINCT source) FROM item_of
+    UNION ALL SELECT 'pins', count(*) FROM mpins m JOIN kept r ON r.package = name AND r.version = m.version UNION ALL SELECT 'direct_pins', count(*) FROM mpins WHERE direct
+    UNION ALL SELECT 'unmatched_pins', count(DISTINCT (name, version)) FROM mpins WHERE NOT EXISTS (SELECT 1 FROM kept r WHERE r.package = name AND r.version = mpins.version)
+    UNION ALL SELECT 'advisory_records', count(*) FROM madv UNION ALL SELECT 'advisory_malformed', count(*) FROM madv WHERE event_id % 17 = 0
+    UNION ALL SELECT 'advisories_parsed', count(*) FROM stands UNION ALL SELECT 'advisories', count(DISTINCT osv_id) FROM maffects
+    UNION ALL SELECT 'advisories_out_of_scope', count(*) FROM stands WHERE osv_id NOT IN (SELECT osv_id FROM maffects) UNION ALL SELECT 'affects', count(*) FROM maffects""")
+def ingest_counters(p):
+    return _ingested(p).counters

@@ -1,27 +1,36 @@
-"""Lockfiles of npm, yarn and pnpm as pins.
+"""Lockfiles of npm, yarn and pnpm as pins, in column expressions.
 
-A lockfile is one small document, so a parser sees it whole: documents are distributed, and each
-goes through ``mapInPandas`` once. YAML formats need PyYAML; without it only they are refused.
+A file is one row. The JSON formats are opened one level at a time: maps come out as keys with
+their values as JSON text, so odd entries drop out and never break a schema. The YAML formats are
+turned into JSON text first, the only step in Python. A classic yarn.lock is read as lines, which
+a window gives the header they stand under. Malformed files have no pins.
 """
 
 from __future__ import annotations
 
 import json
-import re
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ..functions.coordinates import from_module_path, split_coordinate
+from ..storage import written
 
 try:
     import yaml
 except ImportError:  # the npm formats and classic yarn work without it
     yaml = None
 
-#: File names in order of precedence, and dependency blocks that declare a direct pin.
+#: File names in order of precedence, further ones that are read, and the blocks of
+#: a manifest that declare a direct pin.
 PRECEDENCE = ("package-lock.json", "pnpm-lock.yaml", "yarn.lock")
+KINDS = {"package-lock.json": "npm", "npm-shrinkwrap.json": "npm", "yarn.lock": "yarn", "pnpm-lock.yaml": "pnpm"}
 DECLARING = ("dependencies", "devDependencies", "optionalDependencies")
-PINS = "service string, path string, kind string, format_version string, name string, version string, direct boolean"
+TEXTS = "map<string,string>"
+FILE = ("service", "path", "kind", "format_version")
 
 
 class UnknownLockfile(ValueError):
@@ -30,153 +39,159 @@ class UnknownLockfile(ValueError):
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """path, document of lockfiles below a folder, the one of highest precedence in each."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document"))
     return preferred(files)
 
 
+def read_with_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """folder, path, document, manifest of the preferred lockfile of each folder below a path, with the
+    package.json beside it (null: none)."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document"))
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    manifests = files.where("path like '%/package.json'").select(folder.alias("folder"), F.col("document").alias("manifest"))
+    return preferred(files).withColumn("folder", folder).join(manifests, "folder", "left").select("folder", "path", "document", "manifest")
+
+
+def base_name(path: Column) -> Column:
+    return F.substring_index(F.translate(path, "\\", "/"), "/", -1)
+
+
 def preferred(files: DataFrame) -> DataFrame:
     """The lockfile of highest precedence of each folder; path has forward slashes."""
-    known = files.withColumn("path", F.translate("path", "\\", "/")).withColumn("base", F.substring_index("path", "/", -1))
-    place = F.array_position(F.array(*[F.lit(p) for p in PRECEDENCE]), F.col("base"))
+    known = files.withColumn("path", F.translate("path", "\\", "/"))
+    place = F.array_position(F.array(*[F.lit(p) for p in PRECEDENCE]), base_name(F.col("path")))
     ranked = known.withColumn("place", place).where("place > 0").withColumn("folder", F.regexp_replace("path", "/?[^/]*$", ""))
     first = Window.partitionBy("folder").orderBy("place")
-    return ranked.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "place", "base", "folder")
-
-
-def coordinate(text: str) -> tuple[str, str]:
-    """(name, version) of a coordinate in any spelling, ("", "") where it is none."""
-    bare = text.strip().strip("\"'").split("(", 1)[0].removeprefix("/")
-    at = bare.rfind("@")
-    if at > 0:
-        name, version = bare[:at], bare[at + 1 :].removeprefix("npm:")
-        return (name, version) if version else ("", "")
-    name, _, version = bare.rpartition("/")
-    return (name, version) if name and version[:1].isdigit() else ("", "")
-
-
-def declared_names(manifest: str | None) -> set[str] | None:
-    """Names that a manifest declares; None without a manifest, which isn't the same as none."""
-    if manifest is None:
-        return None
-    try:
-        body = json.loads(manifest)
-    except ValueError:
-        return None
-    if not isinstance(body, dict):
-        return None
-    return {n for block in DECLARING for n in (body.get(block) if isinstance(body.get(block), dict) else ())}
-
-
-def npm(document: str, declared: set[str] | None) -> tuple[str, list[tuple[str, str, bool]]]:
-    """Pins of a package-lock.json: the flat ``packages`` map, else the nested tree of version 1."""
-    body = json.loads(document)
-    flat = body.get("packages")
-    if not isinstance(flat, dict):
-        return str(body.get("lockfileVersion", 1)), _tree(body.get("dependencies"), declared or set(), True)
-    if declared is None:
-        root = flat.get("") or {}
-        declared = {n for block in DECLARING for n in root.get(block) or ()}
-    pins = []
-    for path, entry in flat.items():
-        if not path or not isinstance(entry, dict) or entry.get("link") or not entry.get("version"):
-            continue
-        inner = path.rpartition("node_modules/")[2].strip("/")
-        hoisted = path.count("node_modules/") == 1
-        pins.append((entry.get("name") or inner, entry["version"], hoisted and inner in declared))
-    return str(body.get("lockfileVersion", "")), pins
-
-
-def _tree(entries, declared: set[str], top: bool) -> list[tuple[str, str, bool]]:
-    pins = []
-    for name, entry in (entries or {}).items():
-        if isinstance(entry, dict):
-            if entry.get("version"):
-                pins.append((name, entry["version"], top and name in declared))
-            pins += _tree(entry.get("dependencies"), declared, False)
-    return pins
-
-
-_HEADER = re.compile(r"^(?!\s|#)(.+):\s*$")
-_VERSION = re.compile(r'^\s+version:?\s+"?([^"\s]+)"?\s*$')
-
-
-def yarn(document: str, declared: set[str] | None) -> tuple[str, list[tuple[str, str, bool]]]:
-    """Pins of a yarn.lock: the first version line below a header binds to all its specs."""
-    if "__metadata:" in document:
-        return _berry(document, declared or set())
-    pins, specs = [], []
-    for line in document.splitlines():
-        if m := _HEADER.match(line):
-            specs = [s.strip().strip('"') for s in m[1].split(",")]
-        elif specs and (m := _VERSION.match(line)):
-            pins += [(name, m[1], name in (declared or ())) for name in (coordinate(s)[0] for s in specs) if name]
-            specs = []
-    return "1", pins
-
-
-def _yaml(document: str):
-    if yaml is None:
-        raise UnknownLockfile("this format needs PyYAML")
-    try:
-        return yaml.safe_load(document) or {}
-    except yaml.YAMLError:
-        return {}
+    return ranked.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "place", "folder")
 
 
-def _berry(document: str, declared: set[str]) -> tuple[str, list[tuple[str, str, bool]]]:
-    body = _yaml(document)
-    pins = []
-    for specs, entry in body.items():
-        if specs == "__metadata" or not isinstance(entry, dict) or "workspace:" in specs + str(entry.get("resolution", "")):
-            continue
-        for name in {coordinate(s)[0] for s in specs.split(",")} - {""}:
-            pins.append((name, str(entry.get("version", "")), name in declared))
-    return str((body.get("__metadata") or {}).get("version", "")), pins
+def kind_of(path: str) -> str:
+    """The package manager whose lockfile has this name; UnknownLockfile where none has."""
+    base = path.replace("\\", "/").rpartition("/")[2]
+    if base not in KINDS:
+        raise UnknownLockfile(path)
+    return KINDS[base]
 
 
-def pnpm(document: str, declared: set[str] | None) -> tuple[str, list[tuple[str, str, bool]]]:
-    """Pins of a pnpm-lock.yaml: keys of packages and snapshots; direct by name, in any version."""
-    body = _yaml(document)
-    if declared is None:
-        roots = [body, *(body.get("importers") or {}).values()]
-        declared = {n for r in roots for block in DECLARING for n in (r.get(block) if isinstance(r, dict) and isinstance(r.get(block), dict) else ())}
-    keys = [*(body.get("packages") or {}), *(body.get("snapshots") or {})]
-    found = [coordinate(str(k)) for k in keys]
-    return str(body.get("lockfileVersion", "")), [(n, v, n in declared) for n, v in found if n]
+def _kind() -> Column:
+    known = reduce(lambda when, k: when.when(base_name(F.col("path")) == k, KINDS[k]), KINDS, F.when(F.lit(False), ""))
+    return known.otherwise(F.raise_error(F.concat(F.lit("UnknownLockfile: "), F.col("path"))))
 
 
-PARSERS = {"package-lock.json": ("npm", npm), "npm-shrinkwrap.json": ("npm", npm), "yarn.lock": ("yarn", yarn), "pnpm-lock.yaml": ("pnpm", pnpm)}
+def _keys(json_text: Column, path: str) -> Column:
+    return F.coalesce(F.json_object_keys(F.get_json_object(json_text, path)), F.array().cast("array<string>"))
 
 
-def parse(path: str, document: str, manifest: str | None = None) -> tuple[str, str, list[tuple[str, str, bool]]]:
-    """kind, format version and pins of a lockfile, each (name, version) once, direct if any entry is."""
-    base = path.replace("\\", "/").rpartition("/")[2]
-    if base not in PARSERS:
-        raise UnknownLockfile(path)
-    kind, parser = PARSERS[base]
-    try:
-        version, pins = parser(document, declared_names(manifest))
-    except (ValueError, AttributeError, TypeError) as e:  # a malformed document has no pins
-        if isinstance(e, UnknownLockfile):
-            raise
-        version, pins = "", []
-    once: dict[tuple[str, str], bool] = {}
-    for name, pinned, direct in pins:
-        if name and pinned:
-            once[name, pinned] = once.get((name, pinned), False) or direct
-    return kind, version, [(n, v, d) for (n, v), d in once.items()]
+def _entries(json_text: Column, path: str = "$") -> Column:
+    return F.coalesce(F.from_json(F.get_json_object(json_text, path), TEXTS), F.create_map().cast(TEXTS))
+
+
+def declared_names(manifest: Column) -> Column:
+    """Names that a manifest declares; null without a readable manifest, which isn't the same as none."""
+    found = F.array_distinct(F.concat(*[_keys(manifest, f"$.{block}") for block in DECLARING]))
+    return F.when(F.json_object_keys(manifest).isNotNull(), found)
+
+
+def _direct(name: Column) -> Column:
+    return F.coalesce(F.array_contains(F.col("declared"), name), F.lit(False))
+
+
+@F.pandas_udf(StringType())
+def yaml_as_json(documents: pd.Series) -> pd.Series:
+    """YAML documents as JSON text; null where one can't be read."""
+    if yaml is None:
+        raise UnknownLockfile("this format needs PyYAML")
+
+    def of(document: str) -> str | None:
+        try:
+            return json.dumps(yaml.safe_load(document), default=str)
+        except (yaml.YAMLError, TypeError, ValueError):
+            return None
+
+    return documents.map(of, na_action="ignore")
+
+
+def npm_flat(files: DataFrame) -> DataFrame:
+    """Pins of the flat ``packages`` map of versions 2 and 3, keyed by install path. Links to
+    workspaces aren't pins; only what is installed at the top can be direct."""
+    opened = files.withColumn("packages", _entries(F.col("body"), "$.packages")).where(F.size("packages") > 0)
+    own = F.coalesce("declared", declared_names(F.try_element_at("packages", F.lit(""))))
+    each = opened.select(*FILE, own.alias("declared"), F.explode("packages").alias("at", "entry")).where("at <> ''")
+    linked = F.coalesce(F.get_json_object("entry", "$.link"), F.lit("")).isin("", "false")
+    name = F.coalesce(F.nullif(F.get_json_object("entry", "$.name"), F.lit("")), from_module_path(F.col("at")))
+    inner = each.where(linked).withColumn("name", name).withColumn("top", F.regexp_count("at", F.lit("node_modules/")) == 1)
+    return inner.select(*FILE, "name", F.get_json_object("entry", "$.version").alias("version"), (F.col("top") & _direct(F.col("name"))).alias("direct"))
+
+
+def npm_nested(files: DataFrame) -> DataFrame:
+    """Pins of the nested tree of version 1, level by level; only the first level can be direct."""
+    closed = files.where(F.size(_entries(F.col("body"), "$.packages")) == 0)
+    level = closed.select(*FILE, "declared", F.get_json_object("body", "$.dependencies").alias("tree"), F.lit(True).alias("top")).where("tree is not null")
+    found = []
+    while True:
+        named = level.select(*FILE, "declared", "top", F.explode(_entries(F.col("tree"))).alias("name", "entry"))
+        level = written(named.select(
+            *FILE, "declared", "name", F.get_json_object("entry", "$.version").alias("version"), (F.col("top") & _direct(F.col("name"))).alias("direct"),
+            F.get_json_object("entry", "$.dependencies").alias("tree"), F.lit(False).alias("top"),
+        ), "npm-tree")
+        if level.isEmpty():
+            break
+        found.append(level.select(*FILE, "name", "version", "direct"))
+        level = level.where("tree is not null")
+    return reduce(DataFrame.unionByName, found) if found else level.select(*FILE, "name", "version", "direct")
+
+
+def yarn_classic(files: DataFrame) -> DataFrame:
+    """Pins of a classic yarn.lock: unindented lines that end in a colon are headers, each a list of
+    specs; the first indented version below binds to all of them."""
+    file = [*FILE, "id"]
+    lines = files.withColumn("id", F.xxhash64("document")).select(*file, "declared", F.posexplode(F.split("document", "\r?\n")).alias("at", "line")).where(r"line not rlike '^\\s*(#|$)'")
+    header = F.regexp_extract("line", r"^(\S.*):\s*$", 1)
+    version = F.regexp_extract("line", r'^\s+"?version"?[:\s]\s*"?([^"\s]+)"?\s*$', 1)
+    read_lines = lines.select(*file, "declared", "at", F.nullif(header, F.lit("")).alias("header"), F.nullif(version, F.lit("")).alias("version"))
+    above = F.last("header", ignorenulls=True).over(Window.partitionBy(*file).orderBy("at"))
+    pinned = read_lines.withColumn("header", above).where("header is not null and version is not null")
+    first = pinned.groupBy(*file, "declared", "header").agg(F.min_by("version", "at").alias("version"))
+    spec = first.select(*FILE, "declared", "version", F.explode(F.split("header", ",")).alias("spec"))
+    named = spec.withColumn("name", split_coordinate(F.col("spec"))["name"])
+    return named.select(*FILE, "name", "version", _direct(F.col("name")).alias("direct"))
+
+
+def yarn_berry(files: DataFrame) -> DataFrame:
+    """Pins of a newer yarn.lock: keys are lists of specs; workspaces aren't pins."""
+    each = files.select(*FILE, "declared", F.explode(_entries(F.col("body"))).alias("specs", "entry"))
+    resolution = F.coalesce(F.get_json_object("entry", "$.resolution"), F.lit(""))
+    real = each.where((F.col("specs") != "__metadata") & ~F.contains(F.concat("specs", resolution), F.lit("workspace:")))
+    spec = real.select(*FILE, "declared", F.get_json_object("entry", "$.version").alias("version"), F.explode(F.split("specs", ",")).alias("spec"))
+    named = spec.withColumn("name", split_coordinate(F.col("spec"))["name"])
+    return named.select(*FILE, "name", "version", _direct(F.col("name")).alias("direct"))
+
+
+def pnpm(files: DataFrame) -> DataFrame:
+    """Pins of a pnpm-lock.yaml: the keys of packages and snapshots are coordinates. Direct is what
+    the manifest, else the file's own importers, declare, in any version."""
+    blocks = [_keys(F.col("body"), f"$.{b}") for b in DECLARING]
+    importers = F.transform(F.map_values(_entries(F.col("body"), "$.importers")), lambda i: F.concat(*[_keys(i, f"$.{b}") for b in DECLARING]))
+    own = F.coalesce("declared", F.concat(*blocks, F.flatten(importers)))
+    keys = F.concat(_keys(F.col("body"), "$.packages"), _keys(F.col("body"), "$.snapshots"))
+    each = files.select(*FILE, own.alias("declared"), F.explode(keys).alias("key")).withColumn("c", split_coordinate(F.col("key")))
+    return each.select(*FILE, "c.name", "c.version", _direct(F.col("c.name")).alias("direct"))
 
 
 def pins(files: DataFrame) -> DataFrame:
-    """files: service, path, document, manifest (null: none). A row for each pin (``PINS``)."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                manifest = r.manifest if isinstance(r.manifest, str) else None
-                kind, version, found = parse(r.path, r.document, manifest)
-                rows += [(r.service, r.path, kind, version, n, v, d) for n, v, d in found]
-            yield pd.DataFrame(rows, columns=["service", "path", "kind", "format_version", "name", "version", "direct"])
-
-    return files.select("service", "path", "document", "manifest").mapInPandas(run, PINS)
+    """files: service, path, document, manifest (null: none). A row for each (name, version) of a
+    lockfile, direct if any of its entries is: service, path, kind, format_version, name, version,
+    direct. A file name that no format has fails the job."""
+    opened = written(files.select("service", "path", "document", _kind().alias("kind"), declared_names(F.col("manifest")).alias("declared")), "lockfiles")
+    berry = (F.col("kind") == "yarn") & F.contains(F.col("document"), F.lit("__metadata:"))
+    parts = []
+    json_files = opened.where("kind = 'npm'").withColumn("body", F.col("document"))
+    npm = json_files.withColumn("format_version", F.coalesce(F.get_json_object("body", "$.lockfileVersion"), F.lit("")))
+    parts += [npm_flat(npm), npm_nested(npm)]
+    parts.append(yarn_classic(opened.where((F.col("kind") == "yarn") & ~berry).withColumn("format_version", F.lit("1"))))
+    newer = opened.where(berry).withColumn("body", yaml_as_json("document"))
+    parts.append(yarn_berry(newer.withColumn("format_version", F.coalesce(F.get_json_object("body", "$.__metadata.version"), F.lit("")))))
+    pnpm_files = opened.where("kind = 'pnpm'").withColumn("body", yaml_as_json("document"))
+    parts.append(pnpm(pnpm_files.withColumn("format_version", F.coalesce(F.get_json_object("body", "$.lockfileVersion"), F.lit("")))))
+    found = reduce(DataFrame.unionByName, parts).where("coalesce(name, '') <> '' and coalesce(version, '') <> ''")
+    return found.groupBy(*FILE, "name", "version").agg(F.bool_or("direct").alias("direct"))

@@ -7,6 +7,7 @@ in SQL. ``WINDOWS`` windows are kept per dependency.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,11 +35,36 @@ def _seconds(stamp: str) -> Column:
     return F.unix_timestamp(F.col(stamp).cast("timestamp"))
 
 
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of a folder's files: what is built from them is right as long as these stay."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 class Projection:
-    """The tables of a folder as graph tables, each built when asked for."""
+    """The tables of a folder as graph tables, each built when asked for. What questions read again
+    and again (releases, dependencies, dependents) is written when first asked for; ``of`` gives all
+    questions of a session over the same files the same Projection, so it is written once."""
+
+    _known: dict[tuple, Projection] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._shared: dict[str, object] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Projection:
+        key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir, _state(spark, sf_dir))
+        if key not in cls._known:
+            cls._known[key] = cls(spark, sf_dir)
+        return cls._known[key]
+
+    def shared(self, name: str, make: Callable):
+        """What ``make`` gave when it was first asked for under this name."""
+        if name not in self._shared:
+            self._shared[name] = make()
+        return self._shared[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -47,16 +73,17 @@ class Projection:
     def parts(self) -> DataFrame:
         return self.table("part").select(F.col("p_partkey").alias("part"), package_name(F.col("p_partkey")).alias("name"))
 
-    @property
+    @cached_property
     def raw_releases(self) -> DataFrame:
+        """Written once: everything else is made from it."""
         made = self.table("lineitem").groupBy("l_partkey", "l_linenumber").agg(
             F.min("l_shipdate").alias("first"), F.min("l_suppkey").alias("publisher")
         )
         version = F.concat(F.lit("1."), F.col("l_linenumber").cast("string"), F.lit(".0"))
-        return made.select(
+        return written(made.select(
             F.col("l_partkey").alias("part"), package_name(F.col("l_partkey")).alias("package"), version.alias("version"),
             F.concat(package_name(F.col("l_partkey")), F.lit("@"), version).alias("key"), _seconds("first").alias("published_at"), "publisher",
-        )
+        ), "releases")
 
     @property
     def releases(self) -> DataFrame:
@@ -139,8 +166,9 @@ class Projection:
 
     @cached_property
     def dependencies(self) -> DataFrame:
-        """Written once: traversals join it at every hop."""
-        return written(edges.strongest(self.raw_dependencies).drop("ordinal"), "dependencies")
+        """Written once, sorted by target: traversals join it at every hop."""
+        found = edges.strongest(self.raw_dependencies).drop("ordinal")
+        return written(found.repartition("target").sortWithinPartitions("target"), "dependencies")
 
     @property
     def advisory_rows(self) -> DataFrame:
@@ -182,7 +210,8 @@ class Projection:
         return Graph(**{f: getattr(self, f) for f in Graph.__dataclass_fields__})
 
     def dependents(self) -> DataFrame:
-        return edges.dependent_counts(self.dependencies, self.packages)
+        """Written once: what it counts changes with the edges only."""
+        return self.shared("dependents", lambda: written(edges.dependent_counts(self.dependencies, self.packages), "dependents"))
 
     def middle_package(self, share: int = 40) -> str:
         """Name of the package at ``max(part) div share``: the demonstration's compromised package."""
