@@ -4,8 +4,9 @@
     python -m blastgraph.cli GRAPH blast --package lodash [--versions SPEC] [--as-of DATE] [--runtime-only]
     python -m blastgraph.cli GRAPH fix | reach | pivot | typosquat | evaluate ...
     python -m blastgraph.cli GRAPH project TABLES
+    python -m blastgraph.cli GRAPH ingest --documents DIR --organisation FILE --repositories DIR --advisories ZIP
 
-Exit status: 1 where nothing answers to what was asked for, 2 for a wrong call.
+``--json FILE`` writes an answer as JSON lines beside showing it. Exit status: 1 where nothing answers to what was asked for, 2 for a wrong call.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ingest
 from .functions.times import moment
-from .graph import Graph, census, census_edges
+from .graph import Graph, census, census_edges, census_totals
 from .plans import blast, compromise, evaluate, fix, people
 from .sources.projection import Projection
 
@@ -40,9 +42,13 @@ def _as_of(spark: SparkSession, text: str | None) -> int | None:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="blastgraph")
     p.add_argument("graph", help="folder of a saved graph")
+    p.add_argument("--json", help="folder to write the answer to, as JSON lines")
     commands = p.add_subparsers(dest="command", required=True)
     commands.add_parser("doctor").add_argument("--edges", action="store_true")
-    commands.add_parser("overview")
+    commands.add_parser("overview").add_argument("--advisories", action="store_true")
+    c = commands.add_parser("ingest")
+    for name in ("documents", "organisation", "repositories", "advisories"):
+        c.add_argument(f"--{name}", required=True)
     commands.add_parser("project").add_argument("tables")
     for name in ("blast", "fix", "reach"):
         c = commands.add_parser(name)
@@ -67,11 +73,17 @@ def answer(spark: SparkSession, args) -> DataFrame:
     if args.command == "project":
         Projection(spark, args.tables).snapshot().save(args.graph)
         return census(Graph.load(spark, args.graph))
+    if args.command == "ingest":
+        made = ingest.from_folders(spark, args.documents, args.organisation, args.repositories, args.advisories)
+        made.graph.save(args.graph)
+        return made.counters
     graph = Graph.load(spark, args.graph)
     if args.command == "doctor":
-        return census_edges(graph) if args.edges else census(graph)
+        rows = census_edges(graph).withColumnRenamed("rel_type", "label") if args.edges else census(graph)
+        total = census_totals(graph, args.edges).select(F.lit("all").alias("label"), F.expr("vertices + coalesce(edges, 0)").alias("n"))
+        return (census(graph).unionByName(rows) if args.edges else rows).unionByName(total)
     if args.command == "overview":
-        return people.top_packages(graph)
+        return people.latest_advisories(graph) if args.advisories else people.top_packages(graph)
     if args.command == "pivot":
         return people.pivot(graph, args.package, args.limit)
     if args.command == "typosquat":
@@ -84,18 +96,34 @@ def answer(spark: SparkSession, args) -> DataFrame:
     bad, as_of = _bad(graph, args), _as_of(spark, args.as_of)
     if args.command == "reach":
         return blast.reach(graph, bad, as_of)
-    found = blast.paths(graph, bad, as_of, not args.runtime_only)
+    runtime = not args.runtime_only
     if args.command == "fix":
-        return fix.plan_rows(spark, fix.plan(graph, found, bad))
-    return blast.services(graph, found, args.paths).orderBy("shortest", "service")
+        made = fix.plan(graph, blast.paths(graph, bad, as_of, runtime, links=True), bad)
+        return made.changes.select("change", "description", "severs", "to_version", "available", "reachable", "upstream").crossJoin(made.totals)  # one row
+    found = blast.services(graph, blast.ways(graph, bad, as_of, runtime))
+    if args.paths:
+        chains = blast.first_chains(blast.paths(graph, bad, as_of, runtime), args.paths)
+        found = found.join(chains.groupBy("service").agg(F.sort_array(F.collect_list(F.struct("rank", "chain"))).alias("chains")), "service")  # at most --paths each
+    return found.orderBy("shortest", "service")
+
+
+def show(found: DataFrame) -> None:
+    """Every row, one line each, fetched partition by partition."""
+    print(*found.columns, sep="\t")
+    for row in found.toLocalIterator():
+        print(*row, sep="\t")
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("blastgraph").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        answer(spark, args).show(1000, truncate=False)
-    except compromise.UnknownCompromise as e:
+        found = answer(spark, args)
+        if args.json:
+            found.write.mode("overwrite").json(args.json)
+            found = spark.read.schema(found.schema).json(args.json)
+        show(found)
+    except compromise.NothingKnown as e:
         print(f"nothing answers to {e}", file=sys.stderr)
         return 1
     return 0

@@ -106,11 +106,15 @@ def affected_releases(advisories: DataFrame, releases: DataFrame) -> DataFrame:
     bounds = advisories.select("osv_id", "package", "versions", F.transform("intervals", lambda i: F.struct(
         i["introduced"].alias("introduced"), F.coalesce(i["fixed"], F.lit("")).alias("fixed"), bound(i["introduced"]).alias("low"),
         bound(i["fixed"]).alias("high"), bound(i["last_affected"]).alias("last"))).alias("intervals"))
-    keyed = releases.select("package", "version", F.col("key").alias("target"), semver.version_key(F.col("version")).alias("k"))
-    pairs = bounds.join(keyed, "package")
-    hit = F.get(F.filter("intervals", lambda i: covers(F.col("k"), i)), F.lit(0))
-    listed = F.array_contains("versions", F.col("version"))
-    found = pairs.withColumn("hit", hit).where(F.col("hit").isNotNull() | listed)
+    release = F.struct("version", F.col("key").alias("target"), semver.version_key(F.col("version")).alias("k"))
+    known = releases.groupBy("package").agg(F.collect_list(release).alias("known"))
+
+    def judged(r: Column) -> Column:
+        hit = F.get(F.filter("intervals", lambda i: covers(r["k"], i)), F.lit(0))
+        return F.struct(r["version"].alias("version"), r["target"].alias("target"), hit.alias("hit"), F.array_contains("versions", r["version"]).alias("listed"))
+
+    met = F.filter(F.transform("known", judged), lambda m: m["hit"].isNotNull() | m["listed"])
+    found = bounds.join(known, "package").select("osv_id", "package", F.explode(met).alias("m")).select("osv_id", "package", "m.*")
     rows = found.select(
         "osv_id", "target", "package", "version", F.coalesce("hit.introduced", F.lit("")).alias("introduced"), F.coalesce("hit.fixed", F.lit("")).alias("fixed_in"),
         F.when(F.col("hit").isNotNull(), "range").otherwise("enumerated").alias("range_source"),

@@ -27,9 +27,11 @@ def resolution_windows(timeline: DataFrame, requests: DataFrame, candidates: int
     """
     newest = Window.partitionBy("package").orderBy(F.desc("published_at"), F.desc("version"))
     recent = timeline.select("package", "version", "published_at").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= candidates)
-    keyed = recent.select("package", "version", "published_at", semver.version_key(F.col("version")).alias("key"))
+    candidate = F.struct("version", "published_at", semver.version_key(F.col("version")).alias("key"))
+    listed = recent.groupBy("package").agg(F.collect_list(candidate).alias("listed"))  # at most ``candidates`` to a package
     wanted = requests.select("package", "range").distinct().join(parsed_ranges(requests), "range").where("parsed is not null")
-    fitting = wanted.join(keyed, "package").where(semver.satisfies(F.col("key"), F.col("parsed")))
+    fits = F.filter("listed", lambda c: semver.satisfies(c["key"], F.col("parsed")))
+    fitting = wanted.join(listed, "package").select("package", "range", F.explode(fits).alias("c")).select("package", "range", "c.*")
     order = Window.partitionBy("package", "range").orderBy("published_at", "version")
     best = F.max("key").over(order.rowsBetween(Window.unboundedPreceding, -1))
     risers = fitting.withColumn("best", best).where("best is null or key > best")

@@ -9,7 +9,7 @@ from ..functions import semver
 from ..graph import Graph
 
 
-class UnknownCompromise(LookupError):
+class NothingKnown(LookupError):
     """Nothing in the graph answers to an advisory, a package or a range."""
 
 
@@ -29,10 +29,15 @@ def bad_by_advisory(graph: Graph, osv_id: str) -> DataFrame:
     return hit.join(graph.releases, "key").select("key", "package", "version", "published_at", "fixed_in")
 
 
+def header(graph: Graph, osv_id: str) -> DataFrame:
+    """summary, severity, published_at of an advisory."""
+    return graph.advisories.where(F.col("osv_id") == osv_id).select("osv_id", "summary", "severity", "published_at")
+
+
 def known(bad: DataFrame, what: str) -> DataFrame:
-    """``bad`` itself, or UnknownCompromise where it is empty."""
+    """``bad`` itself, or NothingKnown where it is empty."""
     if bad.isEmpty():
-        raise UnknownCompromise(what)
+        raise NothingKnown(what)
     return bad
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.coordinates import package_of
 from ..functions.distance import distance
 from ..graph import Graph
+from ..operators import traverse
+from ..operators.names import deletions
+from ..storage import written
 from . import blast, compromise
 
 
@@ -22,19 +26,46 @@ def incidents(graph: Graph, limit: int = 20) -> DataFrame:
     return once.orderBy(F.desc("published_at"), "osv_id").limit(limit)
 
 
+#: Compromised names up to which the comparison sends them to every task.
+NAMES_AT_ONCE = 1_000
+
+
 def by_name_similarity(packages: DataFrame, bad: DataFrame, max_distance: int = 3, limit: int = 25) -> DataFrame:
-    """package, distance: names nearest to a compromised name. bad: at most a handful of rows."""
-    wrong = F.broadcast(bad.select(F.col("package").alias("wrong")).distinct())
-    near = packages.join(wrong, F.abs(F.length("package") - F.length("wrong")) <= max_distance)
+    """package, distance: names nearest to a compromised name. A few compromised names go to every
+    task; many of them are met by shared deletions instead."""
+    wrong = written(bad.select(F.col("package").alias("wrong")).distinct(), "wrong-names")
+    if wrong.limit(NAMES_AT_ONCE + 1).count() <= NAMES_AT_ONCE:
+        near = packages.join(F.broadcast(wrong), F.abs(F.length("package") - F.length("wrong")) <= max_distance)
+    else:
+        forms = (t.withColumn("k", F.explode(deletions(F.col(c), max_distance))) for t, c in ((packages, "package"), (wrong, "wrong")))
+        near = next(forms).join(next(forms), "k").select("package", "wrong").distinct()
     measured = near.withColumn("d", distance(F.col("package"), F.col("wrong"), max_distance)).where(F.col("d") <= max_distance)
     return measured.groupBy("package").agg(F.min("d").cast("bigint").alias("distance")).orderBy("distance", "package").limit(limit)
 
 
 def service_by_service(graph: Graph, bad: DataFrame, cap: int = S.BASELINE_PATHS) -> DataFrame:
-    """The baseline that asks for each service alone, at most ``cap`` paths each: service, paths."""
-    found = blast.paths(graph, bad)
-    order = Window.partitionBy("service").orderBy("hops", "target", F.array_join("chain", " > "))
-    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).groupBy("service").agg(F.count(F.lit(1)).alias("paths"))
+    """What asking for each service alone would show, at most ``cap`` paths each: service, paths."""
+    found = blast.ways(graph, bad).groupBy("service").agg(F.sum("ways").alias("paths"))
+    return found.select("service", F.least("paths", F.lit(cap)).cast("bigint").alias("paths"))
+
+
+def walk_alone(graph: Graph, service: str, bad: DataFrame, max_hops: int = S.BLAST_HOPS) -> bool:
+    """Whether one service is exposed, asked for it alone and forwards: from what its lockfiles pin,
+    along dependencies whose windows meet. Knows nothing of the batched plan, which goes backwards."""
+    own = graph.lockfiles.where(F.col("service") == service).select(F.col("key").alias("source"))
+    window = [F.lit(0).cast("bigint").alias("low"), F.lit(S.OPEN_END).cast("bigint").alias("high")]
+    frontier = written(graph.pins.join(own, "source", "left_semi").select("target").distinct().select(F.col("target").alias("head"), *window), "walk")
+    keys = bad.select(F.col("key").alias("head"))
+    step = graph.dependencies.select(F.col("source").alias("head"), "target", "valid_from", "valid_to")
+    for _ in range(max_hops - 1):
+        if not frontier.join(keys, "head", "left_semi").isEmpty():
+            return True
+        low, high = F.greatest("low", "valid_from"), F.least("high", "valid_to")
+        grown = frontier.join(step, "head").where(low < high)
+        frontier = written(grown.select(F.col("target").alias("head"), low.alias("low"), high.alias("high")).distinct(), "walk")
+        if frontier.isEmpty():
+            break
+    return False
 
 
 def scores(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -54,18 +85,44 @@ def scores(expected: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def upper_median(values: list[float]) -> float:
-    return sorted(values)[len(values) // 2] if values else 0.0
+CASE = "osv_id string, severity string, exposed long, blast_ms double, baseline_ms double, round_trips long, agrees boolean, matched long, missed long, invented long, precision double, recall double"
 
 
-def report(spark: SparkSession, graph: Graph, limit: int = 20) -> DataFrame:
-    """A row for each recent incident: osv_id, exposed, blast_ms, baseline_ms, agrees."""
+def report(spark: SparkSession, graph: Graph, limit: int = 20, alone: int = 3) -> DataFrame:
+    """A row for each recent incident (``CASE``). blast_ms: the batched plan for all services.
+    baseline_ms, round_trips: ``alone`` services, picked by a hash of their names, each walked on its
+    own; agrees: whether the plan says the same of these. Name similarity is scored against the
+    packages on the chains, as it can't name services."""
     rows = []
     for r in incidents(graph, limit).collect():  # at most ``limit`` incidents
-        bad = compromise.bad_by_advisory(graph, r.osv_id)
+        bad = written(compromise.bad_by_advisory(graph, r.osv_id), "bad")
         began = time.perf_counter()
-        exposed = {x.service for x in blast.paths(graph, bad).select("service").distinct().collect()}
+        found = written(blast.ways(graph, bad), "exposed")
+        exposed = found.agg(F.countDistinct("service").alias("n")).first().n
         middle = time.perf_counter()
-        alone = {x.service for x in service_by_service(graph, bad).select("service").collect()}
-        rows.append((r.osv_id, len(exposed), (middle - began) * 1e3, (time.perf_counter() - middle) * 1e3, exposed == alone))
-    return spark.createDataFrame(rows, "osv_id string, exposed long, blast_ms double, baseline_ms double, agrees boolean")
+        picked = [x.name for x in graph.services.select("name").orderBy(F.xxhash64("name", F.lit(r.osv_id)), "name").limit(alone).collect()]
+        walked = {name: walk_alone(graph, name, bad) for name in picked}
+        ended = time.perf_counter()
+        hit = {x.service for x in found.where(F.col("service").isin(picked)).select("service").distinct().collect()} if picked else set()
+        others = bad.select("package").distinct()
+        chains = traverse.ways(bad.select("key").distinct(), graph.dependencies, S.BLAST_HOPS - 2)
+        implicated = chains.select(package_of(F.col("head")).alias("item")).distinct().join(others.withColumnRenamed("package", "item"), "item", "left_anti")
+        ranked = by_name_similarity(graph.packages.select(F.col("name").alias("package")).join(others, "package", "left_anti"), bad).select(F.col("package").alias("item"))
+        score = scores(implicated.withColumn("case", F.lit(r.osv_id)), ranked.withColumn("case", F.lit(r.osv_id))).first()
+        judged = (score.matched, score.missed, score.invented, score.precision, score.recall) if score else (0, 0, 0, 1.0, 1.0)
+        agrees = all(walked[name] == (name in hit) for name in picked)
+        rows.append((r.osv_id, r.severity, exposed, (middle - began) * 1e3, (ended - middle) * 1e3, len(picked), agrees, *judged))
+    return spark.createDataFrame(rows, CASE)
+
+
+def summary(cases: DataFrame) -> DataFrame:
+    """One row over a report's cases: cases, agreement (1 for none), median_speedup (upper median),
+    round_trips, and the mean similarity_precision and similarity_recall of exposed cases (0 for none)."""
+    speed = F.coalesce(F.try_divide("baseline_ms", "blast_ms"), F.lit(0.0))
+    exposed = F.col("exposed") > 0
+    middle = F.get(F.sort_array(F.collect_list(speed)), F.floor(F.count(F.lit(1)) / 2).cast("int"))  # of at most ``limit`` cases
+    return cases.agg(
+        F.count(F.lit(1)).alias("cases"), F.coalesce(F.avg(F.col("agrees").cast("double")), F.lit(1.0)).alias("agreement"), F.coalesce(middle, F.lit(0.0)).alias("median_speedup"),
+        F.coalesce(F.sum("round_trips"), F.lit(0)).alias("round_trips"), F.coalesce(F.avg(F.when(exposed, F.col("precision"))), F.lit(0.0)).alias("similarity_precision"),
+        F.coalesce(F.avg(F.when(exposed, F.col("recall"))), F.lit(0.0)).alias("similarity_recall"),
+    )

@@ -7,34 +7,36 @@ import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+
+def _documents(name: str, content: bytes):
+    if name.endswith(".json"):
+        yield name, content
+    elif name.endswith(".zip"):
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for member in archive.infolist():
+                if not member.is_dir() and member.filename.endswith(".json"):
+                    yield f"{name}!{member.filename}", archive.read(member)
 
 
 def _members(batches):
-    """Every JSON member of the archives, in batches of bounded size."""
+    """Every JSON document of the files, in batches of bounded size."""
     for batch in batches:
-        for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            names, values, held = [], [], 0
-            with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
-                for member in archive.infolist():
-                    if member.is_dir() or not member.filename.endswith(".json"):
-                        continue
-                    value = archive.read(member).decode("utf-8", "replace")
-                    names.append(f"{name}!{member.filename}")
-                    values.append(value)
-                    held += len(value)
-                    if held > 8 << 20:
-                        yield pa.RecordBatch.from_pydict({"name": pa.array(names), "value": pa.array(values)})
-                        names, values, held = [], [], 0
-            if names:
-                yield pa.RecordBatch.from_pydict({"name": pa.array(names), "value": pa.array(values)})
+        names, values, held = [], [], 0
+        for i in range(batch.num_rows):
+            for name, content in _documents(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()):
+                names.append(name)
+                values.append(content.decode("utf-8", "replace"))
+                held += len(content)
+                if held > 8 << 20:
+                    yield pa.RecordBatch.from_pydict({"name": pa.array(names), "value": pa.array(values)})
+                    names, values, held = [], [], 0
+        yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "value": pa.array(values, pa.string())})
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """name, value of each JSON document: the members of the ZIP files of a path (a file, a folder or
     a pattern), or JSON files themselves. One archive is read by one task, and its documents are
     dealt out before anything parses them. What isn't JSON stays a row, so it can be counted."""
-    files = spark.read.format("binaryFile").load(path)
-    packed = files.where("path like '%.zip'").select("path", "content").mapInArrow(_members, "name string, value string")
-    plain = files.where("path like '%.json'").select(F.col("path").alias("name"), F.decode("content", "UTF-8").alias("value"))
-    return packed.unionByName(plain).repartition(spark.sparkContext.defaultParallelism)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(_members, "name string, value string").repartition(spark.sparkContext.defaultParallelism)

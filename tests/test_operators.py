@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from blastgraph import schema as S
 from blastgraph.functions import coordinates, distance
-from blastgraph.operators import advisories, edges, hitting_set, names, pins, resolve, traverse
-from blastgraph.sources import lockfiles, org, packuments
+from blastgraph.functions import semver
+from blastgraph.operators import advisories, edges, names, pins, resolve, traverse
+from blastgraph.operators.cover import smallest_cover
+from blastgraph.sources import archives, lockfiles, org, packuments
 
 
 def rows(df):
@@ -25,11 +27,26 @@ def windows(spark, timeline, spec):
     return [(x.version, x.valid_from, x.valid_to) for x in resolve.resolution_windows(t, r).orderBy("valid_from").collect()]
 
 
-def test_resolution_windows(spark):
-    assert windows(spark, {"1.0.0": 100, "1.1.0": 200, "2.0.0": 300, "1.2.0": 400}, "^1.0.0") == [("1.0.0", 100, 200), ("1.1.0", 200, 400), ("1.2.0", 400, S.OPEN_END)]
-    assert windows(spark, {"1.0.0": 100, "1.5.0": 200, "1.1.0": 300}, "^1.0.0") == [("1.0.0", 100, 200), ("1.5.0", 200, S.OPEN_END)]
-    assert windows(spark, {"1.0.0": 100, "1.1.0-beta.1": 200}, "^1.0.0") == [("1.0.0", 100, S.OPEN_END)]
-    assert windows(spark, {"1.0.0": 100}, "git+ssh://x") == [] == windows(spark, {"1.0.0": 100}, "^9")
+def naive_windows(timeline, fits):
+    """Publications in order; a fitting version that beats all before it takes over."""
+    out, best = [], None
+    for at, version in sorted((at, v) for v, at in timeline.items()):
+        if fits(version) and (best is None or semver.key_of(version) > semver.key_of(best)):
+            if out:
+                out[-1][2] = at
+            out.append([version, at, S.OPEN_END])
+            best = version
+    return [tuple(w) for w in out]
+
+
+def test_resolution_windows_equal_a_replay_of_the_timeline(spark):
+    r = random.Random(8)
+    timeline = {f"{r.randint(1, 3)}.{r.randint(0, 4)}.{r.randint(0, 2)}{r.choice(['', '', '-rc.1'])}": at for at in range(10, 500, 10)}
+    stable = lambda v: "-" not in v
+    assert windows(spark, timeline, "*") == naive_windows(timeline, stable)
+    assert windows(spark, timeline, "^2.1.0") == naive_windows(timeline, lambda v: stable(v) and (2, 1) <= semver.key_of(v)[:2] < (3, 0))
+    assert windows(spark, timeline, "~3.2.0") == naive_windows(timeline, lambda v: stable(v) and semver.key_of(v)[:2] == (3, 2))
+    assert windows(spark, timeline, "file:../x") == [] == windows(spark, timeline, ">=9")
 
 
 def test_windows_follow_one_another(spark):
@@ -90,7 +107,15 @@ def test_prefixes_equal_brute_force(spark):
     targets = spark.createDataFrame([("a",), ("b",)], "key string")
     e = graph_edges(spark, links)
     found = traverse.prefixes(targets, e, 4).collect()
-    assert {(p.target, tuple(p["keys"]), p.valid_from, p.valid_to) for p in found} == brute_paths(links, "ab", 4)
+    brute = brute_paths(links, "ab", 4)
+    assert {(p.target, tuple(p["keys"]), p.valid_from, p.valid_to) for p in found} == brute
+    counted: dict = {}
+    for t, keys, x, y in brute:  # the graph has cycles, so some walks aren't simple
+        counted[t, keys[0], len(keys) - 1, x, y] = counted.get((t, keys[0], len(keys) - 1, x, y), 0) + 1
+    got: dict = {}
+    for p in traverse.ways(targets, e, 4).collect():
+        got[p.target, p.head, p.hops, p.valid_from, p.valid_to] = got.get((p.target, p.head, p.hops, p.valid_from, p.valid_to), 0) + p.ways
+    assert got == counted
     at = {(p.target, tuple(p["keys"])) for p in traverse.prefixes(targets, e, 4, as_of=30).collect()}
     assert at == {(t, k) for t, k, x, y in brute_paths(links, "ab", 4) if x <= 30 < y}
     reached = {x.key for x in traverse.reaching(e.select(F.col("source").alias("key")), targets, e, 7).collect()}
@@ -100,42 +125,51 @@ def test_prefixes_equal_brute_force(spark):
     assert reached == {s for s, *_ in links if s in seen}
 
 
+def test_spread_equals_brute_force_with_and_without_cycles(spark):
+    r = random.Random(10)
+    for letters, n in (("abcdefgh", 9), ("abcde", 12), ("abc", 5)):
+        links = sorted({tuple(r.sample(letters, 2)) for _ in range(n)})
+        always = [(s, d, 0, S.OPEN_END) for s, d in links]
+        found, longest = traverse.spread(spark.createDataFrame([("a",)], "key string"), graph_edges(spark, always), 6)
+        simple = brute_paths(always, "a", 6)
+        assert longest == max(len(keys) - 1 for _, keys, *_ in simple)
+        assert {x.head for x in found.collect()} == {keys[0] for _, keys, *_ in simple}
+        least = {x.head: x.hops for x in found.groupBy("head").agg(F.min("hops").alias("hops")).collect()}
+        assert all(least[keys[0]] <= len(keys) - 1 for _, keys, *_ in simple)
+
+
 def test_service_paths(spark):
     e = graph_edges(spark, [("w@1", "bad@1", 10, 20)])
     pin = spark.createDataFrame([("l1", "w", "1", "w@1", True), ("l1", "bad", "1", "bad@1", True), ("l2", "bad", "1", "bad@1", False)], "source string, package string, version string, target string, direct boolean")
     lock = spark.createDataFrame([("l1", "p1", "shop"), ("l2", "p2", "api")], "key string, path string, service string")
-    found = traverse.service_paths(traverse.prefixes(spark.createDataFrame([("bad@1",)], "key string"), e, 6), pin, lock)
+    target = spark.createDataFrame([("bad@1",)], "key string")
+    found = traverse.service_paths(traverse.prefixes(target, e, 6, links=True), pin, lock)
+    ways = traverse.service_ways(traverse.ways(target, e, 6), pin, lock)
+    assert rows(ways.select("service", "entry", "hops", "direct", "ways")) == rows(found.groupBy("service", "entry", "hops", "direct").count())
     assert {(p.service, p.entry, p.hops, p.direct) for p in found.collect()} == {("shop", "w@1", 3, False), ("shop", "bad@1", 2, True), ("api", "bad@1", 2, False)}
     links = found.where("hops = 3").first()["links"]
     assert [(x.rel_type, x.holder, x.depends_on) for x in links] == [("USES_LOCKFILE", "shop", "p1"), ("PINS", "p1", "w@1"), ("DEPENDS_ON", "w@1", "bad@1")]
 
 
-def test_exact_cover_beats_greedy():
-    cuts = [hitting_set.Cut(("wide",), False, 0b0111100), hitting_set.Cut(("left",), False, 0b0001111), hitting_set.Cut(("right",), False, 0b1110000)]
-    chosen, exact = hitting_set.cover(cuts, 7)
-    assert {c.link[0] for c in chosen} == {"left", "right"} and exact
-    tie = [hitting_set.Cut(("theirs",), False, 1), hitting_set.Cut(("own",), True, 1)]
-    assert hitting_set.greedy(tie, 1)[0].mine
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 255), min_size=1, max_size=9))
-def test_cover_is_never_larger_than_greedy_nor_than_the_best(masks):
-    cuts = [hitting_set.Cut((i,), False, m) for i, m in enumerate(masks)]
-    chosen, _ = hitting_set.cover(cuts, 8)
-    whole = 0
-    for m in masks:
-        whole |= m
-    if whole == 255:
-        best = next(n for n in range(1, 9) if any(_union(c) == 255 for c in combinations(masks, n)))
-        assert len(chosen) == best or best > hitting_set.EXACT_CUTS
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 7), max_size=4), max_size=10), st.permutations(range(8)))
+def test_cover_meets_every_row_with_the_fewest_options(rows, preference):
+    found = smallest_cover(rows, preference)
+    real = [r for r in rows if r]
+    assert all(r & set(found.chosen) for r in real) and found.proven and found.unmet == len(rows) - len(real)
+    best = next(n for n in range(9) if any(all(r & set(c) for r in real) for c in combinations(range(8), n)))
+    assert len(found.chosen) == best
 
 
-def _union(masks):
-    out = 0
-    for m in masks:
-        out |= m
-    return out
+def test_cover_prefers_and_splits():
+    assert smallest_cover([{"a", "b"}, {"a", "b"}], ["b", "a"]).chosen == ["b"]
+    # Taking the option with most rows first would need three.
+    rows = [{"wide", "x"}, {"wide", "x"}, {"wide", "y"}, {"wide", "y"}, {"x"}, {"y"}]
+    assert smallest_cover(rows, ["wide", "x", "y"]).chosen == ["x", "y"]
+    assert smallest_cover([], ["a"]).chosen == [] and smallest_cover([set()], ["a"]).unmet == 1
+    hard = [frozenset(random.Random(i).sample(range(60), 4)) for i in range(300)]
+    short = smallest_cover(hard, range(60), effort=1)
+    assert not short.proven and all(r & set(short.chosen) for r in hard)
 
 
 def naive_osa(a, b):
@@ -156,20 +190,20 @@ def test_osa(a, b, ceiling):
 
 def test_native_distance(spark):
     r = random.Random(2)
-    pairs = [("".join(r.choices("ab", k=r.randint(0, 5))), "".join(r.choices("ab", k=r.randint(0, 5)))) for _ in range(400)] + [("lodash", "lodahs"), ("ca", "abc"), ("", "")]
+    pairs = [("".join(r.choices("ab", k=r.randint(0, 5))), "".join(r.choices("ab", k=r.randint(0, 5)))) for _ in range(400)] + [("abcdef", "abdcef"), ("ca", "abc"), ("", "")]
     df = spark.createDataFrame(pairs, "a string, b string")
     for k in (1, 2):
         assert all(x.d == min(naive_osa(x.a, x.b), k + 1) for x in df.withColumn("d", distance.distance(F.col("a"), F.col("b"), k)).collect())
 
 
 def test_typosquats(spark):
-    p = spark.createDataFrame([("lodash", 900), ("lodahs", 0), ("@evil/lodash", 3), ("lo-dash", 1), ("lodsh", 2), ("other", 0), ("react", 800)], "package string, dependents long")
-    o = spark.createDataFrame([("lodash", "john"), ("lo-dash", "john"), ("lodahs", "eve")], "package string, maintainer string")
+    p = spark.createDataFrame([("widgetry", 900), ("wigdetry", 0), ("@fake/widgetry", 3), ("widget-ry", 1), ("widgtry", 2), ("unlike", 0), ("sprocket", 800)], "package string, dependents long")
+    o = spark.createDataFrame([("widgetry", "ann"), ("widget-ry", "ann"), ("wigdetry", "bob")], "package string, maintainer string")
     found = {x.name: x for x in names.suspects(p, o).collect()}
-    assert {k: v.trick for k, v in found.items()} == {"lodahs": "one edit", "@evil/lodash": "scoped copy", "lo-dash": "punctuation", "lodsh": "one edit"}
-    assert [k for k, v in found.items() if v.shares_maintainer] == ["lo-dash"] and found["@evil/lodash"].ratio == 3 / 900
-    two = {x.name for x in names.suspects(p.unionByName(spark.createDataFrame([("lodxxh", 0)], p.schema)), o, max_distance=2).collect()}
-    assert "lodxxh" in two
+    assert {k: v.trick for k, v in found.items()} == {"wigdetry": "one edit", "@fake/widgetry": "scoped copy", "widget-ry": "punctuation", "widgtry": "one edit"}
+    assert [k for k, v in found.items() if v.shares_maintainer] == ["widget-ry"] and found["@fake/widgetry"].ratio == 3 / 900
+    two = {x.name for x in names.suspects(p.unionByName(spark.createDataFrame([("widxxtry", 0)], p.schema)), o, max_distance=2).collect()}
+    assert "widxxtry" in two
 
 
 def test_advisory_intervals(spark):
@@ -189,19 +223,48 @@ def test_coordinates(spark):
     assert path.select(coordinates.from_module_path(F.col("p")).alias("n")).first().n == "@s/b"
 
 
-def test_lockfiles_tolerate_and_merge():
-    assert lockfiles.parse("x/package-lock.json", "not json")[2] == [] == lockfiles.parse("yarn.lock", "")[2]
-    nested = '{"lockfileVersion":2,"packages":{"":{"dependencies":{"a":"1"}},"node_modules/a":{"version":"1.0.0"},"node_modules/b/node_modules/a":{"version":"1.0.0"}}}'
-    assert lockfiles.parse("package-lock.json", nested)[2] == [("a", "1.0.0", True)]
-    assert lockfiles.parse("package-lock.json", nested, "{}")[2] == [("a", "1.0.0", False)]
-    berry = '__metadata:\n  version: 6\n"lodash@npm:^4.17.0, lodash@npm:^4.17.1":\n  version: 4.17.20\n"own@workspace:.":\n  version: 0.0.0-use.local\n'
-    assert lockfiles.parse("yarn.lock", berry, '{"dependencies":{"lodash":"^4"}}') == ("yarn", "6", [("lodash", "4.17.20", True)])
-    try:
-        lockfiles.parse("Gemfile.lock", "")
-    except lockfiles.UnknownLockfile:
-        pass
-    else:
-        raise AssertionError
+def parsed(spark, path, document, manifest=None):
+    files = spark.createDataFrame([("shop", path, document, manifest)], "service string, path string, document string, manifest string")
+    return rows(lockfiles.pins(files).select("kind", "format_version", "name", "version", "direct"))
+
+
+def test_lockfiles_tolerate_and_merge(spark):
+    assert parsed(spark, "x/package-lock.json", "not json") == [] == parsed(spark, "yarn.lock", "") == parsed(spark, "p/pnpm-lock.yaml", ": [")
+    twice = '{"lockfileVersion":2,"packages":{"":{"dependencies":{"z":"1"}},"node_modules/z":{"version":"3.1.0"},"node_modules/y/node_modules/z":{"version":"3.1.0"},"odd":7}}'
+    assert parsed(spark, "package-lock.json", twice) == [("npm", "2", "z", "3.1.0", True)]
+    assert parsed(spark, "npm-shrinkwrap.json", twice, "{}") == [("npm", "2", "z", "3.1.0", False)]
+    assert parsed(spark, "package-lock.json", '{"dependencies":{"z":{"version":"1.0.0"},"odd":[1]}}', '{"dependencies":{"z":"1"}}') == [("npm", "", "z", "1.0.0", True)]
+    lines = "# a comment\r\n\r\nz@1, z@^1.0.0:\r\n  resolved x\r\n  version 1.0.3\r\n  version 9.9.9\r\n"
+    assert parsed(spark, "yarn.lock", lines) == [("yarn", "1", "z", "1.0.3", False)]
+    newer = '__metadata:\n  version: 8\n"z@npm:^3.0.0, z@npm:3.1.0":\n  version: 3.1.0\n"mine@workspace:.":\n  version: 0.0.0-use.local\n'
+    assert parsed(spark, "yarn.lock", newer, '{"dependencies":{"z":"^3"}}') == [("yarn", "8", "z", "3.1.0", True)]
+    importers = "lockfileVersion: '6.0'\nimporters:\n  .:\n    devDependencies:\n      z:\n        version: 3.1.0\npackages:\n  /z@3.1.0:\n    dev: true\n  /y/2.0.0: {}\n"
+    assert parsed(spark, "pnpm-lock.yaml", importers) == [("pnpm", "6.0", "y", "2.0.0", False), ("pnpm", "6.0", "z", "3.1.0", True)]
+
+
+def test_unknown_lockfiles_fail(spark):
+    for call in (lambda: lockfiles.kind_of("Cargo.lock"), lambda: parsed(spark, "Cargo.lock", "")):
+        try:
+            call()
+        except Exception as e:
+            assert "UnknownLockfile" in type(e).__name__ + str(e)
+        else:
+            raise AssertionError
+
+
+def test_archives_count_what_is_no_json(spark, tmp_path):
+    import zipfile
+
+    good = '{"id":"A","summary":" \\n","details":"\\n\\n  head \\nmore","severity":[{"type":"x"},{"score":"S"}],"affected":[{"package":{"ecosystem":"npm","name":"z"},"versions":["1"]}]}'
+    with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
+        z.writestr("a/A.json", good)
+        z.writestr("a/B.json", '{"id":')
+        z.writestr("a/C.json", "[1]")
+        z.writestr("readme.txt", "no")
+    found = archives.read(spark, str(tmp_path / "all.zip"))
+    assert found.count() == 3 and found.where(advisories.malformed(F.col("value"))).count() == 1
+    row = advisories.parse(advisories.read_documents(found)).first()
+    assert (row.osv_id, row.summary, row.severity, row.published_at) == ("A", "head ", "S", 0)
 
 
 def test_pins_and_recent(spark):

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from blastgraph import cli, queries
+from blastgraph import ingest as load
 from blastgraph.graph import Graph, census
 from blastgraph.plans import blast, compromise, evaluate, fix
 from blastgraph.sources.projection import Projection
@@ -35,17 +36,6 @@ def test_query_equals_sql(name, spark, sf, duck):
     assert plain(queries.QUERIES[name](spark, sf).toPandas()) == plain(duck.execute(queries.ORACLE_SQL[name]).df())
 
 
-def test_edit_distance_takes_all_names(spark):
-    from blastgraph.oracle import name
-
-    sf = "/root/testdata/sf0.01"
-    got = queries.QUERIES["edit_distance"](spark, sf).toPandas()
-    con = duckdb.connect()
-    con.execute(f"CREATE TABLE n AS SELECT {name('p_partkey')} AS name FROM read_parquet('{sf}/part.parquet')")
-    want = con.execute("SELECT a.name AS a, b.name AS b, CAST(damerau_levenshtein(a.name, b.name) AS INTEGER) AS d FROM n a JOIN n b ON a.name <> b.name AND abs(length(a.name) - length(b.name)) <= 1 WHERE damerau_levenshtein(a.name, b.name) <= 1").df()
-    assert plain(got) == plain(want)
-
-
 def test_entry_module(spark):
     import __spark_entry__ as entry
 
@@ -65,29 +55,78 @@ def test_snapshot_and_plan(spark, saved):
     assert census(graph).where("n > 0").count() == 6
     bad = compromise.bad_by_range(graph, "pkg20", ">=1.2.0 <1.6.0")
     assert {r.version for r in bad.collect()} <= {"1.2.0", "1.3.0", "1.4.0", "1.5.0"}
-    found = blast.paths(graph, bad)
+    found = blast.paths(graph, bad, links=True)
     made = fix.plan(graph, found, bad)
-    assert made.remediation.paths > 0 and made.remediation.severed == made.remediation.paths or made.rounds == 3
+    totals = made.totals.first()
+    assert totals.paths > 0 and totals.severed == totals.paths and totals.complete != totals.truncated or totals.rounds == 3
+    assert totals.followable == (totals.complete and totals.blocked == 0)
     bad_keys = {r.key for r in bad.collect()}
-    assert not {f"{v.package}@{v.to_version}" for v in made.verdicts} & bad_keys
-    assert fix.remediate(fix.numbered(found.limit(0))).complete is False
-    with pytest.raises(compromise.UnknownCompromise):
+    assert not {f"{v.package}@{v.to_version}" for v in made.changes.collect()} & bad_keys
+    few = fix.numbered(found, 5)
+    assert few.count() == 5 and {r.truncated for r in few.collect()} == {True}
+    assert not fix.choose(few).totals.first().complete
+    assert fix.choose(fix.numbered(found.limit(0))).totals.first().complete is False
+    with pytest.raises(compromise.NothingKnown):
         compromise.known(compromise.bad_by_range(graph, "nothing"), "nothing")
 
 
+def chains(spark, *paths):
+    """Numbered chains from lists of (rel_type, holder, depends_on)."""
+    rows = [(i, "shop", paths[i][-1][2], False, [(*link, link[2].split("@")[0], "1", False) for link in paths[i]]) for i in range(len(paths))]
+    return spark.createDataFrame(rows, "path_id long, service string, target string, truncated boolean, links array<struct<rel_type:string,holder:string,depends_on:string,package:string,version:string,direct:boolean>>")
+
+
+def test_fix_chooses_the_fewest_changes_and_own_pins_first(spark):
+    pin = lambda a, b: ("PINS", a, b)
+    dep = lambda a, b: ("DEPENDS_ON", a, b)
+    shared = chains(spark, [("USES_LOCKFILE", "shop", "l1"), pin("l1", "web@1"), dep("web@1", "bad@1")], [pin("l2", "web@1"), dep("web@1", "bad@1")])
+    made = fix.choose(shared)
+    assert [(r.holder, r.severs, r.mine) for r in made.changes.collect()] == [("web@1", 2, False)]
+    assert (made.totals.first().severed, made.totals.first().exact, made.totals.first().complete) == (2, True, True)
+    lone = fix.choose(chains(spark, [pin("l1", "web@1"), dep("web@1", "bad@1")])).changes.collect()
+    assert [r.mine for r in lone] == [True] and "l1" in lone[0].description
+    around = fix.choose(shared, made.changes).changes.collect()
+    assert sorted(r.holder for r in around) == ["l1", "l2"]
+    cut = fix.severed_paths(shared, made.changes)
+    assert cut.where("cut").count() == 2
+
+
 def test_command_line(spark, saved, capsys):
     assert cli.main([saved, "doctor"]) == 0
     assert cli.main([saved, "reach", "--package", "pkg20"]) == 0
     assert cli.main([saved, "blast", "--package", "no-such-package"]) == 1
     with pytest.raises(SystemExit):
         cli.main([saved, "blast"])
+    assert cli.main([saved, "fix", "--package", "pkg20"]) == 0
+    assert cli.main([saved, "--json", f"{saved}-json", "blast", "--package", "pkg20", "--paths", "2"]) == 0
+    assert spark.read.json(f"{saved}-json").count() > 0
     assert "Release" in capsys.readouterr().out
 
 
+def test_ingest_from_files(spark, tmp_path):
+    doc = {"name": "left", "time": {"1.0.0": "2020-01-01T00:00:00Z"}, "versions": {"1.0.0": {"_npmUser": {"name": "ann"}}}}
+    right = {"name": "right", "time": {"2.0.0": "2021-01-01T00:00:00Z"}, "versions": {"2.0.0": {"dependencies": {"left": "^1.0.0", "gone": "*"}}}}
+    for d in (doc, right):
+        (tmp_path / "docs").mkdir(exist_ok=True)
+        (tmp_path / "docs" / f"{d['name']}.json").write_text(json.dumps(d))
+    (tmp_path / "repos" / "shop").mkdir(parents=True)
+    (tmp_path / "repos" / "shop" / "package-lock.json").write_text('{"lockfileVersion":3,"packages":{"node_modules/right":{"version":"2.0.0"}}}')
+    (tmp_path / "repos" / "shop" / "package.json").write_text('{"dependencies":{"right":"^2"}}')
+    (tmp_path / "org.json").write_text('{"org":"acme","services":[{"name":"shop","path":"shop","committed_at":"2022-01-01T00:00:00Z"}]}')
+    (tmp_path / "adv").mkdir()
+    (tmp_path / "adv" / "A.json").write_text('{"id":"A","affected":[{"package":{"ecosystem":"npm","name":"left"},"ranges":[{"type":"SEMVER","events":[{"introduced":"0"}]}]}]}')
+    made = load.from_folders(spark, str(tmp_path / "docs"), str(tmp_path / "org.json"), str(tmp_path / "repos"), str(tmp_path / "adv"))
+    counters = {r.counter: r.n for r in made.counters.collect()}
+    assert (counters["releases"], counters["depends_on"], counters["pins"], counters["affects"], counters["unmatched_pins"]) == (2, 1, 1, 1, 0)
+    bad = compromise.bad_by_advisory(made.graph, "A")
+    assert [(r.service, r.entry, r.hops) for r in blast.paths(made.graph, bad).collect()] == [("shop", "right@2.0.0", 3)]
+
+
 def test_evaluation(spark, saved):
-    report = evaluate.report(spark, Graph.load(spark, saved), 2).collect()
-    assert len(report) == 2 and all(r.agrees for r in report)
-    assert evaluate.upper_median([1.0, 2.0, 3.0, 4.0]) == 3.0 and evaluate.upper_median([]) == 0.0
+    report = evaluate.report(spark, Graph.load(spark, saved), 2, alone=2)
+    total = evaluate.summary(report).first()
+    assert (total.cases, total.agreement, total.round_trips) == (2, 1.0, 4)
+    assert evaluate.summary(report.limit(0)).first().agreement == 1.0
 
 
 def test_streaming_advisories(spark, tmp_path):
