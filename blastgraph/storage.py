@@ -26,8 +26,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_LOCAL}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def path_of(df: DataFrame) -> str | None:
+    """The folder of a table that ``written`` gave, None for any other DataFrame."""
+    return getattr(df, "_written_to", None)
