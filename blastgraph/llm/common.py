@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..storage import shared_folder
 
 #: The white space that every contract names: blank, tab, line feed, vertical tab, form feed, return.
@@ -24,60 +25,82 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: its lineage ends there,
     so a lost executor costs one task's read and never a recomputation of what lies before."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    _MADE.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = storage.written(df, name, "zstd")
+    for scope in _SCOPES:
+        scope.add(out)
+    return out
 
 
-#: Tables of ``written`` that are still there.
-_MADE: list[str] = []
+def delete(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def made() -> list[str]:
-    return list(_MADE)
+def dropped(df: DataFrame) -> None:
+    """Deletes the table of ``written`` that ``df`` is; nothing may read it any more."""
+    path = storage.path_of(df)
+    if path:
+        delete(df.sparkSession, path)
+
+
+class Scratch:
+    """The tables that ``written`` makes inside a ``with`` block. ``clear`` deletes them all but those
+    that the given results still read; tables of other queries in the session are never touched."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def add(self, df: DataFrame) -> None:
+        self.paths.append(storage.path_of(df))
+
+    def __enter__(self) -> Scratch:
+        _SCOPES.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _SCOPES.remove(self)
+
+    def clear(self, *but: DataFrame) -> None:
+        read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in but for f in df.inputFiles()}
+        for path in [p for p in self.paths if p.rsplit("/", 1)[-1] not in read]:
+            delete(self.spark, path)
+            self.paths.remove(path)
+        free_shuffles(self.spark)
 
 
-def delete(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables of ``written`` that no later step reads, and lets Spark's cleaner take the
-    shuffle files of plans that are gone."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
-        if name in _MADE:
-            _MADE.remove(name)
+_SCOPES: list[Scratch] = []
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are gone: it does so when the JVM, and before
+    it Python, notice that nothing refers to them."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the table of ``written`` that ``df`` is."""
-    folders = {f.rsplit("/", 1)[0].removeprefix("file://").replace("file:", "", 1) for f in df.inputFiles()}
-    delete_all = [p for p in _MADE if p.removeprefix("file://") in folders]
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for name in delete_all:
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
-        _MADE.remove(name)
+def places(columns: list[str], *names: str) -> list[int]:
+    """Where the named columns are: an exact name first, else the first that equals it but for case."""
+    out = []
+    for name in names:
+        found = [i for i, c in enumerate(columns) if c == name] or [i for i, c in enumerate(columns) if c.lower() == name.lower()]
+        if not found:
+            raise ValueError(f"column {name!r} is missing; there are {columns}")
+        out.append(found[0])
+    return out
+
+
+def numbered_columns(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns renamed by position, so that no two clash, and the new names of the
+    named ones. ``toDF`` with the old names turns it back."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain, [f"c{i}" for i in places(df.columns, *names)]
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns only, resolved by position: an exact name first, else the first that
-    equals it but for case, so other columns with clashing names never make it ambiguous."""
-    cols = df.columns
-    places = []
-    for name in names:
-        if name in cols:
-            places.append(cols.index(name))
-        else:
-            found = [i for i, c in enumerate(cols) if c.lower() == name.lower()]
-            if not found:
-                raise ValueError(f"column {name!r} is missing; there are {cols}")
-            places.append(found[0])
-    plain = df.toDF(*[f"c{i}" for i in range(len(cols))])
-    return plain.select(*[F.col(f"c{i}").alias(n) for i, n in zip(places, names)])
+    """The named columns only, found by ``places``, so other columns with clashing names never
+    make it ambiguous."""
+    plain, found = numbered_columns(df, *names)
+    return plain.select(*[F.col(c).alias(n) for c, n in zip(found, names)])
 
 
 def with_rid(df: DataFrame, name: str) -> DataFrame:

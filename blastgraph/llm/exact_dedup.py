@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, pick, text_or_empty, with_rid, written
+from .common import WHITE, numbered_columns, pick, text_or_empty, with_rid, written
 
 FIRST = 256
 GROWTH = 16
@@ -90,10 +90,10 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without the copies: the rows and columns that stay, unchanged."""
-    whole = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    lower = [c.lower() for c in docs.columns]
-    doc_id, text = (f"c{lower.index(n)}" for n in ("doc_id", "text"))
+    """``docs`` without the copies: the rows and columns that stay, unchanged. Columns are found, and
+    null, empty and repeated rows count, as in ``duplicate_groups``, so the same rows stay; an empty
+    table stays empty."""
+    whole, (doc_id, text) = numbered_columns(docs, "doc_id", "text")
     rows = with_rid(whole, "radix-input")
     copies = _split(
         rows.select("_rid", F.col(doc_id).cast("long").alias("doc_id"), normalised(text).cast("binary").alias("bytes"))

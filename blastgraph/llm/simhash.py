@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, pick, text_or_empty, with_rid, written
+from .common import arrow_limits, numbered_columns, pick, text_or_empty, with_rid, written
 from .components import components
 
 RADIUS = 4
@@ -289,11 +289,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component, its smallest doc_id (null last): all columns, unchanged."""
+    """``docs`` with one row of each component, its smallest doc_id (null last): all columns,
+    unchanged. Columns are found, and null, empty and repeated rows linked, as in
+    ``near_duplicates``; an empty table stays empty."""
     arrow_limits(docs.sparkSession)
-    lower = [c.lower() for c in docs.columns]
-    doc_id, text = (f"c{lower.index(n)}" for n in ("doc_id", "text"))
-    rows = with_rid(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), "simhash-input")
+    whole, (doc_id, text) = numbered_columns(docs, "doc_id", "text")
+    rows = with_rid(whole, "simhash-input")
     grouped = _grouped(rows.select("_rid", text_or_empty(text).alias("text")))
     grouped = grouped.join(rows.select("_rid", F.col(doc_id).cast("long").alias("doc_id")), "_rid")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_rid")).alias("first")
