@@ -1,10 +1,12 @@
 """Packing: first-fit decreasing with a tournament tree, in randomised groups of documents.
 
 Documents are tokenised once and cut every ``SEQUENCE`` tokens; only the pieces' lengths and
-checksums go on. Pieces are dealt at random to groups of about ``GROUP_TOKENS`` tokens, so a
-group's memory is bounded and no source or run of copies gathers in one; each group is packed
-on its own. Full pieces take a sequence each. The others go, longest first, to the first open
-sequence with room, which a tournament tree over the sequences' free room finds in O(log n).
+checksums go on. Documents are dealt at random, by row, to groups of about ``GROUP_TOKENS`` tokens,
+so no source, run of copies or repeated row gathers in one group; each group is packed on its own.
+A group holds a few thousand pieces, and at most those of one longest document more: a text of two
+gigabytes, the most a row can hold, has some hundred thousand. Full pieces take a sequence each. The
+others go, longest first, to the first open sequence with room, which a tournament tree over the
+sequences' free room finds in O(log n).
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ SEQUENCE = 4096
 #: A group holds about so many tokens: 512 sequences, a few thousand pieces.
 GROUP_TOKENS = 512 * SEQUENCE
 SEED = 7041
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long"
+PIECES = "_rid long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Tournament:
@@ -73,18 +76,14 @@ def first_fit_decreasing(lengths: list[int], room: int) -> tuple[list[int], list
 def _pieces(path: str, room: int):
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "place")}
-            for doc_id, text, place in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            out: dict[str, list] = {k: [] for k in ("_rid", "doc_id", "start", "length", "ids_crc32", "doc_tokens")}
+            for rid, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 ids = memoryview(encode(text, path, END_ID))
                 n = len(ids) // 4
                 for start in range(0, n, room):
                     part = ids[4 * start : 4 * (start + room)]
-                    out["doc_id"].append(doc_id)
-                    out["start"].append(start)
-                    out["length"].append(len(part) // 4)
-                    out["ids_crc32"].append(zlib.crc32(part))
-                    out["doc_tokens"].append(n)
-                    out["place"].append(place ^ (start * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF))
+                    for name, value in zip(out, (rid, doc_id, start, len(part) // 4, zlib.crc32(part), n)):
+                        out[name].append(value)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     return run
@@ -92,13 +91,12 @@ def _pieces(path: str, room: int):
 
 def _packed(room: int):
     def run(key, pieces):
-        pieces = pieces.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = first_fit_decreasing(pieces["length"].tolist(), room)
-        out = pieces[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].copy()
-        out["sequence_id"] = [(int(key[0]) << 32) | b for b in bins]
-        out["offset"] = offsets
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
+        pieces = pieces.sort_by([("length", "descending"), ("_rid", "ascending"), ("start", "ascending")])
+        bins, offsets = first_fit_decreasing(pieces["length"].to_pylist(), room)
+        first = key[0].as_py() << 32
+        pieces = pieces.select(["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        pieces = pieces.append_column("sequence_id", pa.array([first | b for b in bins], pa.int64()))
+        return pieces.append_column("offset", pa.array(offsets, pa.int64()))
 
     return run
 
@@ -108,20 +106,15 @@ def pack(docs: DataFrame, path: str | None = None, room: int = SEQUENCE, group_t
 
     Null and empty texts are documents of the end id alone. Null and repeated ids and repeated
     rows are packed as rows of their own; other columns are ignored; an empty table gives an
-    empty result. A sequence id is unique over all groups.
+    empty result. A sequence id is unique over all groups. Which documents share a group follows
+    from their places in the input, so another file layout packs the same pieces in other company.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     path = path or vocabulary_path()
-    texts = pick(docs, "doc_id", "text").select(
-        F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"),
-        F.xxhash64(F.lit(SEED), "doc_id", "text").alias("place"),
-    )
+    texts = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     pieces = written(texts.mapInArrow(_pieces(path, room), PIECES), "pack-pieces")
     tokens = pieces.agg(F.sum("length").alias("n")).first().n or 0
     groups = max(1, -(-tokens // group_tokens))
-    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("place", "start"), F.lit(groups)))
-    return dealt.groupBy("pack").applyInPandas(
-        _packed(room),
-        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
-    )
+    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("_rid", F.lit(SEED)), F.lit(groups)))
+    return dealt.groupBy("pack").applyInArrow(_packed(room), PACKED)

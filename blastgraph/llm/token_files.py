@@ -9,8 +9,8 @@ A shard is a run of documents in ascending id. Its file is
   frames, a descriptor byte and the magic number.
 
 A reader takes the last bytes of a file, then the index, and then only the frames that hold the
-requested documents, each checked against its checksum. Ids are stored with two bytes where the
-vocabulary allows it, else four. Files are written through ``pyarrow.fs``, which reads the
+requested documents, each checked against its checksum. Ids are stored with two bytes where all of
+the vocabulary's fit, else four. Files are written through ``pyarrow.fs``, which reads the
 scheme of the shared folder's address. A task writes under a name of its own; the manifest that
 Spark commits names the files that count, so a lost or repeated task leaves no half shard.
 """
@@ -30,8 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, pick, scratch_path, text_or_empty, written
-from .tokens import END_ID, encode, vocabulary_path
+from .common import arrow_limits, dropped, pick, scratch_path, text_or_empty, written
+from .tokens import END_ID, encode, vocabulary_path, vocabulary_size
 
 #: Magic numbers of zstandard's skippable frames and of its seekable format.
 INDEX_MAGIC, SEEK_FRAME_MAGIC, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -39,10 +39,21 @@ CHECKSUMS = 0x80
 FRAME_TOKENS = 1 << 17
 #: About so many tokens go to a shard.
 SHARD_TOKENS = 32 << 20
-WIDTH = 2
 LEVEL = 3
 
 
+def id_width(path: str) -> int:
+    """Bytes of a stored id: two where every id of the vocabulary and the end id fit, else four."""
+    return 2 if max(vocabulary_size(path) - 1, END_ID) < 1 << 16 else 4
+
+
+def narrowed(ids: np.ndarray, width: int) -> bytes:
+    """Ids as unsigned integers of ``width`` bytes; an id that doesn't fit is an error, never cut."""
+    if len(ids) and int(ids.max()) >> 8 * width:
+        raise OverflowError(f"id {int(ids.max())} doesn't fit into {width} bytes")
+    return ids.astype(f"<u{width}").tobytes()
+
+
 def open_store(uri: str):
     """Filesystem and path of an address: file:, hdfs:, s3: and what else pyarrow reads."""
     return pafs.FileSystem.from_uri(uri)
@@ -51,7 +62,7 @@ def open_store(uri: str):
 class ShardWriter:
     """Writes one shard; memory is one frame and the index."""
 
-    def __init__(self, uri: str, width: int = WIDTH, frame_tokens: int = FRAME_TOKENS):
+    def __init__(self, uri: str, width: int, frame_tokens: int = FRAME_TOKENS):
         fs, path = open_store(uri)
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
         self.out = fs.open_output_stream(path, compression=None)
@@ -64,7 +75,7 @@ class ShardWriter:
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.ids.append(doc_id)
         self.counts.append(len(ids))
-        self.pending += ids.astype(self.type).tobytes()
+        self.pending += narrowed(ids, self.type.itemsize)
         whole = len(self.pending) // self.frame_bytes * self.frame_bytes
         for at in range(0, whole, self.frame_bytes):
             self._frame(bytes(self.pending[at : at + self.frame_bytes]))
@@ -150,21 +161,21 @@ class ShardReader:
         return out
 
 
-def _encoded(path: str):
+def _encoded(path: str, width: int):
     def run(batches):
         for batch in batches:
-            ids = [encode(x, path, END_ID) for x in batch.column(1).to_pylist()]
+            ids = [encode(x, path, END_ID) for x in batch.column(2).to_pylist()]
             crc = [zlib.crc32(x) for x in ids]
-            packed = [np.frombuffer(x, "<u4").astype(f"<u{WIDTH}").tobytes() for x in ids]
+            packed = [narrowed(np.frombuffer(x, "<u4"), width) for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(packed, pa.binary())],
-                ["doc_id", "n_tokens", "crc", "ids"],
+                [*batch.columns[:2], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(packed, pa.binary())],
+                ["_rid", "doc_id", "n_tokens", "crc", "ids"],
             )
 
     return run
 
 
-def _shards(folder: str):
+def _shards(folder: str, width: int):
     def run(batches):
         writer = uri = shard = None
         docs = 0
@@ -172,8 +183,8 @@ def _shards(folder: str):
             for doc_id, place, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if writer is None:
                     shard, uri = place, f"{folder}/shard-{place:08d}-{uuid.uuid4().hex}.tokens.zst"
-                    writer = ShardWriter(uri)
-                writer.add(doc_id, np.frombuffer(ids, f"<u{WIDTH}"))
+                    writer = ShardWriter(uri, width)
+                writer.add(doc_id, np.frombuffer(ids, f"<u{width}"))
                 docs += 1
         if writer is not None:
             tokens = writer.close()
@@ -187,15 +198,18 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
     spark = docs.sparkSession
     arrow_limits(spark)
     path, folder = path or vocabulary_path(), folder or scratch_path(spark, "token-files")
-    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    encoded = written(texts.mapInArrow(_encoded(path), "doc_id long, n_tokens long, crc long, ids binary"), "token-ids")
+    width = id_width(path)
+    texts = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    encoded = written(texts.mapInArrow(_encoded(path, width), "_rid long, doc_id long, n_tokens long, crc long, ids binary"), "token-ids")
     total = encoded.agg(F.sum("n_tokens").alias("n")).first().n or 0
     cores = spark.sparkContext.defaultParallelism
     shards = max(1, -(-total // shard_tokens), min(cores, -(-total // (shard_tokens // 16))))
-    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("n_tokens"), F.col("crc")]
+    # The row's own number divides ranges of rows that share an id, or have none.
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("n_tokens"), F.col("crc"), F.col("_rid")]
     ranged = encoded.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     ranged = ranged.select("doc_id", F.spark_partition_id().cast("long").alias("place"), "ids")
-    manifest = written(ranged.mapInArrow(_shards(folder), "shard long, uri string, docs long, tokens long"), "token-manifest")
+    manifest = written(ranged.mapInArrow(_shards(folder, width), "shard long, uri string, docs long, tokens long"), "token-manifest")
+    dropped(encoded)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long"))
 
