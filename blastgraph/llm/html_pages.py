@@ -43,13 +43,17 @@ class Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         self.html: list[str] = []
-        #: A page's own habit: something behind most words, or capitals.
-        self.habit = self.r.choice(["", "", "", "", "", "", " |", "%%%", "!!", "***", "A"])
+        #: A page's own habit: a run of one sign behind most words, or capitals.
+        self.habit = self.r.choice(["", "", "", "", "", "", self.signs(), self.signs(), self.signs(), self.signs(), "A"])
         self.words = ["".join(self.r.choices(SYLLABLES, k=self.r.randint(1, 4))) for _ in range(60)]
 
+    def signs(self) -> str:
+        """One to three of any sign that means nothing in markup, at times set off by a blank."""
+        return self.r.choice(["", " "]) + self.r.choice("!#$%*+-/:;=?@\\^_|~") * self.r.randint(1, 3)
+
     def text(self, low: int, high: int) -> str:
         n = int(low + (high - low) * self.r.random() ** 2)
-        words = [self.r.choice(self.words) + self.r.choices(["", ",", ".", "%%%", "!!", " |"], [14, 1, 2, 0.1, 0.2, 0.1])[0] for _ in range(n)]
+        words = [self.r.choice(self.words) + self.r.choices(["", ",", ".", self.signs()], [14, 1, 2, 0.4])[0] for _ in range(n)]
         if self.habit and self.r.random() < 0.8:
             words = [w.upper() if self.habit == "A" else w + self.habit for w in words]
         said = " ".join(words) or "ba"
