@@ -3,18 +3,21 @@
 Folding maps accents, look-alike letters of other scripts and digits inside words to plain
 letters. Lexicon entries are words and word beginnings; their weights are log-odds between toxic
 and clean training documents, kept where the evidence beats what chance gives among all
-candidates. A match inside an exception phrase doesn't count; phrases are given, and learned as
-neighbours of entries that point to clean documents. The sum of a document's weights, itself and
-normalised by length, goes through a logistic curve fitted on the same training documents.
+candidates. A match inside an exception phrase doesn't count; exceptions are learned, as
+neighbours of entries that point to clean documents, and a caller may name more. The sum of a
+document's weights, itself and normalised by length, goes through a logistic curve fitted on the
+same training documents.
 
 Training reads at most ``SAMPLE`` labelled rows, chosen by a hash of doc_id; the held-out fifth
-is never among them. Counts are aggregated by Spark; the driver gets the lexicon and one short
-row per sampled document.
+is never among them. Nothing else is bounded: every word of the sampled texts is a candidate, and
+all entries and phrases that pass their tests are kept. Counts are aggregated by Spark; the driver
+gets the candidates that lean to toxic documents and one short row per sampled document.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -25,17 +28,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, pick, text_or_empty, written
+from .common import arrow_limits, numbered_columns, pick, text_or_empty, written
 from .folding import folded_words
 
-#: Bounds of training: labelled rows, lexicon entries, learned exception phrases.
-SAMPLE, ENTRIES, PHRASES = 20_000, 2_000, 500
+#: Bound of training: labelled rows.
+SAMPLE = 20_000
 #: Evidence that an entry may lack against the best of all candidates by chance.
 BELOW_CHANCE = 6
 PREFIXES = (4, 5, 6)
-LONGEST = 40
-#: Phrases in which an entry is meant otherwise.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "scum line", "pond scum")
+#: Smallest hashes of three words in a row that training documents must share to count as copies.
+SKETCHES = 3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,7 +51,7 @@ class Model:
     curve: intercept, slope on the sum, slope on the sum by length."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    phrases: tuple[str, ...] = EXCEPTIONS
+    phrases: tuple[str, ...] = ()
     curve: tuple[float, float, float] = (-6.0, 0.0, 0.0)
 
     def automaton(self) -> ahocorasick.Automaton:
@@ -75,9 +77,13 @@ def matches(words: str, automaton: ahocorasick.Automaton) -> dict[int, float]:
             spared.append((start, end))
         elif weight > best.get(start, 0.0):
             best[start] = weight
-    for start, end in spared:
-        for at in [a for a in best if start <= a < end]:
-            del best[at]
+    starts = sorted(best) if spared else []
+    done = 0
+    for start, end in sorted(spared):  # each match is looked at once, however phrases overlap
+        done = max(done, bisect_left(starts, start))
+        while done < len(starts) and starts[done] < end:
+            del best[starts[done]]
+            done += 1
     return best
 
 
@@ -104,14 +110,15 @@ def log_likelihood_ratio(t: int, c: int, toxic: int, clean: int) -> float:
 
 
 def _sketched(batches):
-    """Adds the smallest hash of three words in a row: near copies mostly share it."""
+    """Adds the smallest hashes of three words in a row under ``SKETCHES`` seeds: near copies mostly
+    share all of them, texts with a common passage hardly ever."""
     for batch in batches:
         sketch = []
         for text in batch.column(0).to_pylist():
             w = text.split()
             rows = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
-            sketch.append(min(xxhash.xxh32_intdigest(x) for x in rows))
-        yield batch.append_column("sketch", pa.array(sketch, pa.int64()))
+            sketch.append([min(xxhash.xxh64_intdigest(x, seed) for x in rows) - (1 << 63) for seed in range(SKETCHES)])
+        yield batch.append_column("sketch", pa.array(sketch, pa.list_(pa.int64())))
 
 
 def _presence(batches):
@@ -120,7 +127,7 @@ def _presence(batches):
         counts = (Counter(), Counter())
         for text, toxic in zip(*(batch.column(i).to_pylist() for i in range(2))):
             words = set(folded_words(text).split())
-            entries = {f" {w} " for w in words if len(w) <= LONGEST}
+            entries = {f" {w} " for w in words}
             entries |= {f" {w[:n]}" for w in words for n in PREFIXES if len(w) > n}
             counts[toxic].update(entries)
         names = list(counts[0].keys() | counts[1].keys())
@@ -194,13 +201,13 @@ def _lexicon(counted: list, toxic: int, clean: int, candidates: int) -> dict[str
         shorter = [chosen[k] for n in PREFIXES if n <= len(word) and (k := f" {word[:n]}") in chosen and k != row.entry]
         if not shorter or weight > max(shorter) + 1:
             chosen[row.entry] = weight
-    best = sorted(chosen.items(), key=lambda e: (-e[1], e[0]))[:ENTRIES]
-    return dict(best)
+    return chosen
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model from at most ``sample`` labelled training rows. Without toxic or without clean
-    rows the lexicon is empty and every score is the same."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = ()) -> Model:
+    """The model from at most ``sample`` labelled training rows. Labels without an id or a value are
+    left out; of repeated ones for an id toxic stands; every row of ``docs`` with a chosen id counts,
+    copies once. Without toxic or without clean rows the lexicon is empty and every score the same."""
     arrow_limits(docs.sparkSession)
     known = pick(labels, "doc_id", "toxic").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
@@ -210,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # At most ``sample`` short rows: a bounded broadcast.
     rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     # Copies of one document would count as evidence each; one of them stays.
-    sketched = rows.mapInArrow(_sketched, "text string, toxic int, sketch long")
+    sketched = rows.mapInArrow(_sketched, "text string, toxic int, sketch array<long>")
     single = sketched.groupBy("sketch", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = written(single.select("text", "toxic"), "toxic-sample")
     classes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -220,12 +227,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     totals = rows.mapInArrow(_presence, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     totals = written(totals, "toxic-entries")
     likely = totals.where(F.col("t") >= 3).where(F.col("t") * F.lit(clean) > 4 * F.col("c") * F.lit(toxic))
-    counted = likely.orderBy(F.desc("t"), "entry").limit(10 * ENTRIES).collect()
-    model = Model(_lexicon(counted, toxic, clean, totals.count()))
+    model = Model(_lexicon(likely.collect(), toxic, clean, totals.count()), tuple(exceptions))
     near = rows.mapInArrow(_neighbours(model), "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     mild = near.where(F.col("c") >= 5).where(F.col("c") * F.lit(toxic) > 20 * F.col("t") * F.lit(clean))
-    learned = [r.entry for r in mild.orderBy(F.desc("c"), "entry").limit(PHRASES).collect()]
-    model.phrases = (*EXCEPTIONS, *learned)
+    model.phrases = (*exceptions, *sorted(r.entry.strip() for r in mild.select("entry").collect()))
     seen = rows.mapInArrow(_featured(model), "toxic int, total double, rate double").toPandas()
     seen = seen.sort_values(list(seen.columns))
     model.curve = logistic(seen[["total", "rate"]].to_numpy(), seen["toxic"].to_numpy(float))
@@ -257,11 +262,12 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows that the model predicts toxic: all columns, unchanged."""
+    """``docs`` without the rows that the model predicts toxic: all columns, unchanged. Columns are
+    found, and null, empty and repeated rows scored, as in ``score_documents``; an empty table stays
+    empty."""
     arrow_limits(docs.sparkSession)
-    whole = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    at = [c.lower() for c in docs.columns].index("text")
-    staged = whole.select(text_or_empty(f"c{at}").alias("text"), *whole.columns)
+    whole, (text,) = numbered_columns(docs, "text")
+    staged = whole.select(text_or_empty(text).alias("text"), *whole.columns)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema.fields)
     kept = staged.mapInArrow(_scored(model), f"{kinds}, score double").where("score < 0.5")
     return kept.drop("score").toDF(*docs.columns)
