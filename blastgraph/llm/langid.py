@@ -10,8 +10,9 @@ For each text and language four kinds of evidence multiply:
   suffix's, and that towards the whole corpus's.
 
 How far declarations and addresses can be trusted, and the priors of hosts, domains, suffixes
-and the corpus, are soft counts of the text evidence by grouped aggregation over all rows; a
-row's own share is taken out of its host's counts. Profiles come from at most ``SAMPLE`` rows of
+and the corpus, are soft counts of the text evidence by grouped aggregation over all rows. A
+row's own share is taken out of the counts of its host, its domain, its suffix and the corpus, so
+a host that is alone in its domain doesn't confirm itself. Profiles come from at most ``SAMPLE`` rows of
 ``documents`` with a known language, by a hash of doc_id.
 """
 
@@ -179,16 +180,15 @@ def fuse(rows: DataFrame, profiles: Profiles) -> DataFrame:
         return seen.select("doc_id", "page_id", F.lit("und").alias("lang"), F.lit(0.0).alias("probability"), F.lit("und").alias("text_lang"), "declared", "address")
     hosts = written(_sums(seen, n, "host", "domain", "suffix"), "lang-hosts")
     flat = hosts.select(F.posexplode("counts").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c")).collect()
-    corpus = np.array([r.c for r in sorted(flat, key=lambda r: r.i)] or [1.0] * n) + 1.0
-    base = F.array(*[F.lit(float(x)) for x in corpus / corpus.sum()])
+    corpus = np.array([r.c for r in sorted(flat, key=lambda r: r.i)] or [1.0] * n)
+    base = F.array(*[F.lit(float(x)) for x in corpus])
 
-    def level(*by: str) -> DataFrame:
+    def level(name: str, *by: str) -> DataFrame:
         parts = [F.sum(F.get("counts", F.lit(i))) for i in range(n)]
-        return hosts.groupBy(*by).agg(F.array(*parts).alias("counts"))
+        return hosts.groupBy(*by).agg(F.array(*parts).alias(name))
 
-    suffixes = level("suffix").select("suffix", _prior(F.col("counts"), base).alias("of_suffix"))
-    domains = level("domain", "suffix").join(suffixes, "suffix").select("domain", "suffix", _prior(F.col("counts"), F.col("of_suffix")).alias("of_domain"))
-    priors = written(hosts.join(domains, ["domain", "suffix"]).select("host", "domain", "suffix", "counts", "of_domain"), "lang-priors")
+    levels = level("of_domain", "domain", "suffix").join(level("of_suffix", "suffix"), "suffix")
+    priors = written(hosts.join(levels, ["domain", "suffix"]).select("host", "domain", "suffix", F.col("counts").alias("of_host"), "of_domain", "of_suffix"), "lang-priors")
 
     def trust(name: str):
         """log P(value | language) for the known values of a kind of evidence, as a map column."""
@@ -204,9 +204,15 @@ def fuse(rows: DataFrame, profiles: Profiles) -> DataFrame:
     def plus(a, b):
         return F.zip_with(a, b, lambda x, y: x + y)
 
-    own = F.transform(F.zip_with("counts", "p", lambda c, x: c - x), lambda x: F.greatest(x, F.lit(0.0)))
+    def others(counts):
+        """Counts without the row's own share."""
+        return F.zip_with(counts, F.col("p"), lambda c, x: F.greatest(c - x, F.lit(0.0)))
+
+    prior = F.transform(others(base), lambda c: (c + 1) / F.lit(float(corpus.sum() + n)))
+    for counts in ("of_suffix", "of_domain", "of_host"):
+        prior = _prior(others(F.col(counts)), prior)
     joined = seen.join(priors, ["host", "domain", "suffix"])
-    log = plus(plus(F.col("log"), trust("declared")), plus(trust("address"), F.transform(_prior(own, F.col("of_domain")), lambda x: F.log(x))))
+    log = plus(plus(F.col("log"), trust("declared")), plus(trust("address"), F.transform(prior, lambda x: F.log(x))))
     fused = joined.select("doc_id", "page_id", "declared", "address", "p", log.alias("log"))
     top = F.array_max("log")
     total = F.aggregate(F.transform("log", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)

@@ -7,8 +7,11 @@ declared type; valid media found further in are carved out, outermost first.
 
 ``store`` keeps a text losslessly as a medium: its UTF-8 bytes, zero-padded to a positive
 multiple of 64, are the 8-bit samples of a WAV file, the pixels of a BMP or of a PNG, 64 to a
-row. Which of the three, and the declared type, follow from the content, so equal texts give
-equal media.
+row. Which of the three follows from the content, so equal texts give equal media. The declared
+type is a column of the table where it has one; what is sniffed replaces it where they differ.
+
+Time is linear in a value's length but for media nested in media of the same kind: what a
+validator looks for to the right of a hit is remembered for the hits behind it.
 """
 
 from __future__ import annotations
@@ -50,6 +53,20 @@ def automaton() -> ahocorasick.Automaton:
 # Validators: the end of a medium that starts at ``at``, or 0 if its structure or lengths are wrong.
 
 
+class Value(bytes):
+    """Bytes that remember where a needle was found, so that hits from left to right don't each
+    look through all that follows them."""
+
+    def next(self, needle: bytes, at: int) -> int:
+        """The first place of ``needle`` from ``at`` on, -1 if there is none."""
+        known = self.__dict__.setdefault("known", {})
+        low, found = known.get(needle, (len(self) + 1, -1))
+        if at < low or -1 < found < at:
+            found = self.find(needle, at)
+            known[needle] = (at, found)
+        return found
+
+
 def _wav(b: bytes, at: int) -> int:
     if at + 44 > len(b) or b[at + 8 : at + 12] != b"WAVE":
         return 0
@@ -113,7 +130,7 @@ def _gif(b: bytes, at: int) -> int:
     return 0
 
 
-def _jpeg(b: bytes, at: int) -> int:
+def _jpeg(b: Value, at: int) -> int:
     pos = at + 2
     while pos + 4 <= len(b) and b[pos] == 0xFF:
         mark, size = b[pos + 1], struct.unpack_from(">H", b, pos + 2)[0]
@@ -121,25 +138,30 @@ def _jpeg(b: bytes, at: int) -> int:
             return 0
         pos += 2 + size
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", pos)
+            end = b.next(b"\xff\xd9", pos)
             return end + 2 if end >= 0 else 0
     return 0
 
 
-def _gzip(b: bytes, at: int) -> int:
-    unpack = zlib.decompressobj(31)
+def _gzip(b: Value, at: int) -> int:
+    """Decompressed in steps, of which none is kept."""
+    unpack, pos = zlib.decompressobj(31), at
     try:
-        for pos in range(at, len(b), 1 << 16):
-            unpack.decompress(b[pos : pos + (1 << 16)])
+        while pos < len(b):
+            part = b[pos : pos + (1 << 16)]
+            pos += len(part)
+            while part and not unpack.eof:
+                unpack.decompress(part, 1 << 20)
+                part = unpack.unconsumed_tail
             if unpack.eof:
-                return min(pos + (1 << 16), len(b)) - len(unpack.unused_data)
+                return pos - len(unpack.unused_data)
     except zlib.error:
         pass
     return 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: Value, at: int) -> int:
+    end = b.next(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return 0
     size, offset, note = struct.unpack_from("<IIH", b, end + 12)
@@ -147,26 +169,81 @@ def _zip(b: bytes, at: int) -> int:
     return stop if at + offset + size == end and stop <= len(b) and b[at + offset : at + offset + 4] == b"PK\x01\x02" else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
+def _pdf(b: Value, at: int) -> int:
     if not b[at + 5 : at + 8].replace(b".", b"").isdigit():
         return 0
-    end = b.find(b"%%EOF", at)
-    return end + 5 if b.find(b"startxref", at, max(end, 0)) > 0 else 0
+    end = b.next(b"%%EOF", at)
+    return end + 5 if 0 < b.next(b"startxref", at) < end else 0
+
+
+def _crc_table(polynomial: int, bits: int) -> list[int]:
+    top, mask, out = 1 << bits - 1, (1 << bits) - 1, []
+    for byte in range(256):
+        crc = byte << bits - 8
+        for _ in range(8):
+            crc = (crc << 1 ^ (polynomial if crc & top else 0)) & mask
+        out.append(crc)
+    return out
 
 
-def _flac(b: bytes, at: int) -> int:
-    pos, first = at + 4, True
-    while pos + 4 <= len(b):
+#: The check polynomials of FLAC's frame headers and frames.
+CRC8, CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_header(b: bytes, pos: int) -> tuple[int, int]:
+    """End of a frame's header and the samples in its block; zeros where there is no such header."""
+    if pos + 6 > len(b) or b[pos] != 0xFF or b[pos + 1] & 0xFE != 0xF8:
+        return 0, 0
+    size, rate, first = b[pos + 2] >> 4, b[pos + 2] & 15, b[pos + 4]
+    more = 0 if first < 0x80 else next((n for n in range(1, 7) if not first << n & 0x40), 7)
+    at = pos + 5 + more
+    extra = {6: 1, 7: 2}.get(size, 0)
+    end = at + extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if not size or rate == 15 or b[pos + 3] & 1 or end >= len(b):
+        return 0, 0
+    samples = 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << size - 8 if size > 7 else int.from_bytes(b[at : at + extra], "big") + 1
+    crc = 0
+    for x in b[pos:end]:
+        crc = CRC8[crc ^ x]
+    return (end + 1, samples) if crc == b[end] else (0, 0)
+
+
+def _flac(b: Value, at: int) -> int:
+    """Metadata blocks, then frames one by one: a frame ends where its check sum comes out and
+    either the next header or, with all samples there, nothing more of the stream follows."""
+    pos, head, total = at + 4, 0, 0
+    while not head & 0x80:
+        if pos + 4 > len(b):
+            return 0
+        first = pos == at + 4
         head, size = b[pos], int.from_bytes(b[pos + 1 : pos + 4], "big")
         if first and (head & 0x7F or size != 34):
             return 0
-        pos, first = pos + 4 + size, False
-        if head & 0x80:
-            return len(b) if pos < len(b) and b[pos] == 0xFF else 0
-    return 0
-
-
-def _ogg(b: bytes, at: int) -> int:
+        if first:
+            total = int.from_bytes(b[pos + 17 : pos + 22], "big") & (1 << 36) - 1
+        pos += 4 + size
+    seen = 0
+    while True:
+        start, samples = _flac_header(b, pos)
+        if not start:
+            return 0
+        seen += samples
+        crc, end, last = 0, 0, 0
+        for i in range(pos, len(b)):
+            crc = (crc << 8 & 0xFFFF) ^ CRC16[crc >> 8 ^ b[i]]
+            if not crc and i > start:
+                if total and seen >= total or _flac_header(b, i + 1)[0]:
+                    end = i + 1
+                    break
+                last = last or i + 1
+        if not end and not total:  # a stream of unknown length ends with its last whole frame
+            return last
+        if not end or total and seen >= total:
+            return end
+        pos = end
+
+
+def _ogg(b: Value, at: int) -> int:
     pos = at
     while b[pos : pos + 4] == b"OggS" and pos + 27 <= len(b) and b[pos + 4] == 0:
         segments = b[pos + 26]
@@ -190,7 +267,7 @@ def sniff(value: bytes, found: ahocorasick.Automaton) -> list[Medium]:
     """The valid media of a value by start. Media inside another are not listed; in a value
     whose own format holds compressed or raw content, what lies within belongs to it."""
     out: list[Medium] = []
-    reach = 0
+    reach, value = 0, Value(value)
     for last, (kind, back) in found.iter(value.decode("latin-1")):
         start = last - back
         if start >= reach and (end := VALIDATORS[kind](value, start)) > start:
@@ -253,20 +330,21 @@ def padded(text: str) -> tuple[int, bytes]:
 
 def _stored(batches):
     for batch in batches:
-        n, media, declared = [], [], []
-        for text in batch.column(1).to_pylist():
+        n, media = [], []
+        for text in batch.column(2).to_pylist():
             size, samples = padded(text)
-            check = zlib.crc32(samples)
             n.append(size)
-            media.append(wrap(samples, FORMATS[check % 3]))
-            declared.append(TYPES[FORMATS[check // 3 % 3]])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(declared), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "declared", "media"])
+            media.append(wrap(samples, FORMATS[zlib.crc32(samples) % 3]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(1), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "declared", "media"])
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, declared, media: each whole text as a medium, as a table that is read back."""
+def store(docs: DataFrame, declared: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, declared, media: each whole text as a medium, as a table that is read back.
+    ``declared`` names the column with the media type that a row claims; without it none does."""
     arrow_limits(docs.sparkSession)
-    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = pick(docs, "doc_id", "text", *([declared] if declared else []))
+    claimed = F.col(declared).cast("string") if declared else F.lit(None).cast("string")
+    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), claimed.alias("declared"), text_or_empty().alias("text"))
     return written(texts.mapInArrow(_stored, "doc_id long, n_bytes long, declared string, media binary"), "media")
 
 
@@ -288,7 +366,8 @@ def _sniffed(batches):
             out["media_bytes"].append(len(value))
             out["media_sha256"].append(hashlib.sha256(value).hexdigest())
             places = "+".join(f"{m.kind}@{m.start}-{m.end}" for m in carved)
-            out["feature"].append(f"type={actual};declared={'right' if actual == declared else 'corrected'};mean={mean:.3f};carved={places}")
+            claim = "none" if declared is None else "right" if actual == declared else "corrected"
+            out["feature"].append(f"type={actual};declared={claim};mean={mean:.3f};carved={places}")
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(out.values(), kinds))], ["doc_id", "n_bytes", *out])
 
@@ -302,11 +381,11 @@ def media_features(stored: DataFrame) -> DataFrame:
     )
 
 
-def documents_as_media(docs: DataFrame) -> DataFrame:
+def documents_as_media(docs: DataFrame, declared: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature.
+    media_bytes, media_sha256, feature. declared: the column of claimed types, if there is one.
 
     Null texts count as empty (64 zero bytes); null and repeated ids and repeated rows are rows
     like any other; other columns are ignored; an empty table gives an empty result.
     """
-    return media_features(store(docs))
+    return media_features(store(docs, declared))
