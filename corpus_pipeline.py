@@ -1,7 +1,10 @@
 """The corpus pipeline: toxicity, exact dedup, near-dedup, mixing, packing.
 
 ``run`` applies the stages in order; each is written as Parquet in the shared folder and read
-again as the next one's documents. All but the last return the columns of ``documents``.
+again as the next one's documents. All but the last return the columns of ``documents``. Every
+stage finds the columns it needs by an exact name, else by one that equals it but for case; null
+texts count as empty ones, repeated rows as rows; an empty table passes through all stages and
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,51 +12,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from blastgraph.llm import exact_dedup, mixing, packing, similar, simhash, toxicity
-from blastgraph.llm.common import delete, made, scratch_path
+from blastgraph.llm.common import Scratch, scratch_path
 
+#: Intermediate tables of the stages so far.
+_stages: list[Scratch] = []
 
-#: Intermediate tables that were there before the first stage: other queries' own.
-_others: set[str] = set()
 
-
-def finished(spark: SparkSession, docs: DataFrame) -> None:
-    """Deletes the intermediate tables of this pipeline's earlier stages, whose results lie in
-    ``docs`` by now; a table that ``docs`` itself still reads stays."""
-    read = " ".join(docs.inputFiles())
-    delete(spark, [p for p in made() if p not in _others and p.rsplit("/", 1)[-1] not in read])
+def _scratch(spark: SparkSession, docs: DataFrame) -> Scratch:
+    """Keeps track of a stage's intermediate tables. Those of the stages before it, whose results lie
+    in ``docs`` by now, are deleted, but for what ``docs`` itself still reads."""
+    for earlier in _stages:
+        earlier.clear(docs)
+    _stages[:] = [s for s in _stages if s.paths]
+    _stages.append(Scratch(spark))
+    return _stages[-1]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model trained on the labelled documents doesn't reject."""
-    _others.update(made())
+    """Documents that the model trained on the labelled documents doesn't reject; an empty text is
+    scored as one."""
+    _stages.clear()  # those of another run, whose result may still be read
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     source = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return toxicity.drop_toxic(docs, toxicity.train(source, labels))
+    with _scratch(spark, docs):
+        return toxicity.drop_toxic(docs, toxicity.train(source, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text, the one with the smallest id."""
-    finished(spark, docs)
-    return exact_dedup.exact_dedup(docs)
+    """Of documents with equal text, the one with the smallest id, ids before null."""
+    with _scratch(spark, docs):
+        return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of fingerprints or of five-word shingles at least 0.8 similar join,
-    the one with the smallest id."""
-    finished(spark, docs)
-    return similar.similar_dedup(docs, more=simhash.row_links)
+    the one with the smallest id, ids before null."""
+    with _scratch(spark, docs):
+        return similar.similar_dedup(docs, more=simhash.row_links)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    finished(spark, docs)
-    return mixing.mixed_documents(docs)
+    """Each document as often as the mix takes it; one without words never, a null source is a
+    source of its own."""
+    with _scratch(spark, docs):
+        return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences."""
-    finished(spark, docs)
-    return packing.pack(docs)
+    with _scratch(spark, docs):
+        return packing.pack(docs)
 
 
 STAGES = [
