@@ -7,8 +7,8 @@ in two parts, the first of which finishes at time 1, so that a source's taken wo
 by less than a word however long its documents are. The mix is the prefix of the global order by
 finish time that fits the total budget.
 
-Scale: cumulative sizes are two-level prefix sums over hash ranges of each source, as many as there
-are rows for, so a hot source spreads over many windows; the global order is cut by range
+Scale: cumulative sizes are two-level prefix sums over hash ranges of each source, about as many as a
+range has rows, so a hot source spreads over many windows; the global order is cut by range
 partitioning: sizes are summed per range of finish time, the range that crosses the budget is
 divided again, and only a small last range is sorted. Sources are ranked in ranges too. The driver
 holds a few scalars.
@@ -25,8 +25,8 @@ from .common import NOT_WHITE, numbered_columns, pick, text_or_empty, with_rid,
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
-#: Bits of a document's place in its source's queue; documents that a window over a range holds.
-PLACE_BITS, IN_RANGE = 60, 50_000
+#: Bits of a document's place in its source's queue.
+PLACE_BITS = 60
 #: Finish-time ranges per pass; a crossing range of at most so many parts is sorted as it is.
 CUT_RANGES, SORTED_AT_ONCE = 1024, 4096
 SEED = 20240229
@@ -83,8 +83,8 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
 def _queued(sized: DataFrame) -> DataFrame:
     """Each document with the cumulative size of its source up to and with it."""
-    ranges = max(0, math.ceil(math.log2(max(1, sized.count()) / IN_RANGE)))
-    ranged = sized.withColumn("r", F.shiftright("h", PLACE_BITS - ranges))
+    bits = math.ceil(math.log2(max(1, sized.count())) / 2)
+    ranged = sized.withColumn("r", F.shiftright("h", PLACE_BITS - bits))
     sums = ranged.groupBy("skey", "r").agg(F.sum("size").alias("in_range"))
     before = Window.partitionBy("skey").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.withColumn("base", F.coalesce(F.sum("in_range").over(before), F.lit(0)))
