@@ -8,10 +8,12 @@ import random
 import re
 import struct
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from blastgraph.llm import (
     components, exact_dedup, folding, html_blocks, html_extract, langid, media, mixing, packing, queries, secrets_scan, simhash, token_files, tokens, toxicity,
@@ -42,11 +44,9 @@ def docs(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
 
 
-def clashing(df):
+def clashing(df, *but):
     """Extra columns whose names an operator might use itself."""
-    from pyspark.sql import functions as F
-
-    names = ("_rid", "size", "key", "g", "n", "rest", "TEXT", "fp", "score", "copies", "pack", "sequence_id", "Doc_Id")
+    names = [n for n in ("_rid", "size", "key", "g", "n", "rest", "TEXT", "fp", "score", "copies", "pack", "sequence_id", "Doc_Id") if n not in but]
     return df.select("*", *[F.lit("z").alias(n) for n in names])
 
 
@@ -64,9 +64,11 @@ OPERATORS = {
 @pytest.mark.parametrize("name", OPERATORS)
 def test_odd_rows_clashing_columns_and_empty_tables(name, odd, none):
     op = OPERATORS[name]
+    if name == "packing":  # which documents share a sequence follows from the table's layout
+        op = lambda d: OPERATORS[name](d).drop("sequence_id", "offset")
     plain = rows(op(odd))
     assert len(plain) >= len(ODD)
-    assert rows(op(clashing(odd))) == plain or name == "packing"
+    assert rows(op(clashing(odd))) == plain
     assert op(none).count() == 0
 
 
@@ -94,22 +96,68 @@ def test_exact_dedup_splits_at_every_digit_border(spark):
     assert all(r.group_size == texts.count(texts[r.doc_id]) and r.keep_id == texts.index(texts[r.doc_id]) for r in found)
 
 
-def test_mix_targets_and_budget(odd, docs):
-    for df in (odd, docs):
+def brute_mix(df, order):
+    """Weighted fair queueing, one part after the other: words each document has in the mix.
+    ``order``: the shuffled place of a row in its source's queue."""
+    source = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), order(r)) for r in df.collect()]
+    names = sorted({s for _, s, _, _ in source if s is not None}) + [None] * any(s is None for _, s, _, _ in source)
+    sizes = {n: sum(z for _, s, z, _ in source if s == n) for n in names}
+    weight = {n: (1, 2, 3)[i % 3] for i, n in enumerate(names)}
+    total = sum(sizes.values())
+    level, full = 0.0, set()
+    while len(full) < len(names):  # raise the level, leaving out who is at the limit
+        level = (total - sum(3 * sizes[n] for n in full)) / sum(weight[n] for n in names if n not in full)
+        over = {n for n in names if weight[n] * level >= 3 * sizes[n]}
+        if over <= full:
+            break
+        full |= over
+    target = {n: min(weight[n] * level, float(3 * sizes[n])) for n in names}
+    parts, at = [], dict.fromkeys(names, 0)
+    for i in sorted(range(len(source)), key=lambda i: (source[i][3], source[i][0] is not None, source[i][0] or 0, source[i][2])):
+        _, n, size, h = source[i]
+        at[n] += size
+        for copy in range(3):
+            end, limit = at[n] + copy * sizes[n], int(target[n])
+            behind = min(max(end - limit, 0), size)
+            for part, words, last in ((2 * copy, size - behind, min(end, limit)), (2 * copy + 1, behind, end)):
+                if words:
+                    parts.append((last / target[n], names.index(n), h, part, i, words))
+    taken, used = [0] * len(source), 0
+    for *_, i, words in sorted(parts):
+        used += words
+        if used > total:
+            break
+        taken[i] += words
+    return sorted(((d, z, sizes[n], target[n], t) for (d, n, z, _), t in zip(source, taken)), key=repr)
+
+
+def place(r):
+    text = f"{mixing.SEED}:{'' if r.doc_id is None else r.doc_id}:{r.text or ''}"
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
+def test_mix_equals_brute_force_and_meets_its_targets(spark, odd, docs):
+    few = spark.createDataFrame([(i, "w " * (i % 7), None, f"s{i % 5}" if i % 11 else None, 0) for i in range(400)], SCHEMA)
+    for df in (odd, docs, few):
         got = mixing.mix(df).collect()
+        assert sorted(((r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in got), key=repr) == brute_mix(df, place)
         assert rows(mixing.mix(df)) == sorted((tuple(r) for r in got), key=repr)
-        total = sum(r["size"] for r in got)
-        assert sum(r.taken for r in got) <= total
-        assert all(r.taken == r.copies * r["size"] and 0 <= r.copies <= 3 and r.target <= 3 * r.source_size for r in got)
-        largest = max(r["size"] for r in got)
+        assert all(0 <= r.taken <= 3 * r["size"] and abs(r.taken - r.copies * r["size"]) <= r["size"] / 2 for r in got)
         by_source: dict = {}
         for r in got:
             by_source.setdefault((r.target, r.source_size), []).append(r.taken)
-        assert all(abs(sum(t) - target) <= 2 * largest for (target, _), t in by_source.items())
-        assert abs(sum(t for t, _ in by_source) - min(total, 3 * total)) < 1e-3 * max(1, total) or len(by_source) == 1
+        sources = len({r.source for r in df.select("source").collect()})
+        assert all(-1 < sum(t) - target * (len(t) and 1) < sources + 1 for (target, _), t in by_source.items()) or len(by_source) < sources
         assert mixing.mixed_documents(df).count() == sum(r.copies for r in got)
 
 
+def test_mix_cuts_in_small_ranges(spark, monkeypatch, docs):
+    whole = rows(mixing.mix(docs))
+    monkeypatch.setattr(mixing, "CUT_RANGES", 3)
+    monkeypatch.setattr(mixing, "SORTED_AT_ONCE", 2)
+    assert rows(mixing.mix(docs)) == whole
+
+
 def test_tournament_gives_first_fit():
     r = random.Random(5)
     for _ in range(30):
@@ -130,6 +178,9 @@ def check_packed(df, found):
     sequences: dict = {}
     for r in found:
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    groups: dict = {}
+    for r in found:  # a document's pieces share a group, unless rows repeat
+        groups.setdefault((r.doc_id, r.doc_tokens, r.start), set()).add(r.sequence_id >> 32)
     for parts in sequences.values():
         at = 0
         for offset, length in sorted(parts):
@@ -146,6 +197,22 @@ def test_packing_places_every_token_once(odd, docs):
     many = packing.pack(docs, group_tokens=8 * 4096).collect()
     assert len({r.sequence_id >> 32 for r in many}) > 1
     check_packed(docs, many)
+    homes: dict = {}
+    for r in many:
+        homes.setdefault(r.doc_id, set()).add(r.sequence_id >> 32)
+    assert all(len(g) == 1 for g in homes.values())
+
+
+def test_packing_keeps_large_ids_and_spreads_repeated_rows(spark):
+    ids = [2**60 + 1, None, 2**53 + 1, -(2**62) - 1]
+    df = spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string")
+    assert {r.doc_id for r in packing.pack(df).collect()} == set(ids)
+    same = spark.createDataFrame([(7, "ten words that are all the same in every row")] * 400, "doc_id long, text string")
+    found = packing.pack(same, group_tokens=512).collect()
+    sizes: dict = {}
+    for r in found:
+        sizes[r.sequence_id >> 32] = sizes.get(r.sequence_id >> 32, 0) + r.length
+    assert len(found) == 400 and len(sizes) > 4 and max(sizes.values()) < 1500
 
 
 def test_tokens_equal_the_tokenizer(docs):
@@ -153,15 +220,47 @@ def test_tokens_equal_the_tokenizer(docs):
 
     path = tokens.vocabulary_path()
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     r = random.Random(3)
     letters = "aΣσςİıſK'sS1½_-<|> \t\n\x1c\x85 　éßﬁ😀‍漢"
-    texts = [x.text for x in docs.limit(40).collect()] + ["".join(r.choices(letters, k=r.randint(1, 50))) for _ in range(500)] + ["it's we'll <|endoftext|>", ""]
+    texts = [x.text for x in docs.limit(40).collect()] + ["".join(r.choices(letters, k=r.randint(1, 50))) for _ in range(500)] + ["it's we'll <|endoftext|> x", "", "<|startoftext|><|endoftext|>É<|ENDOFTEXT|>"]
+    texts += ["".join(r.choices(["<|endoftext|>", "<|startoftext|>", "e", "\u0301", "Σ", " ", "<|", "'s"], k=r.randint(1, 9))) for _ in range(300)]
     for t in texts:
         ids = np.frombuffer(tokens.encode(t, path, None), "<u4").tolist()
         assert ids == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_other_pipelines_go_through_the_tokenizer_itself():
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    text = "Hello wörld  <|endoftext|>\n x"
+    assert not tokens.chunks(path).by_chunk
+    assert np.frombuffer(tokens.encode(text, path, None), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_token_cache_is_bounded(monkeypatch):
+    known = tokens.Chunks(tokens.vocabulary_path())
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)
+    for i in range(500):
+        known.run(f"word{i} other{i}")
+    assert known.held <= 20_000 and len(known) < 150
+    long = "x" * 5000
+    assert known.run(long) == tokens.chunks(tokens.vocabulary_path()).run(long) and long not in known
+
+
+def test_ids_that_do_not_fit_are_an_error():
+    assert token_files.narrowed(np.array([65535], "<u4"), 2) == b"\xff\xff"
+    with pytest.raises(OverflowError):
+        token_files.narrowed(np.array([65536], "<u4"), 2)
+    assert token_files.id_width(tokens.vocabulary_path()) == 2
+
+
+def test_repeated_rows_spread_over_shards(spark, tmp_path):
+    same = spark.createDataFrame([(7, "the same words in every row " * 40)] * 300, "doc_id long, text string").repartition(4)
+    manifest = token_files.write_token_files(same, f"file://{tmp_path}", shard_tokens=12_000).collect()
+    assert len(manifest) > 2 and max(m.tokens for m in manifest) < 0.7 * sum(m.tokens for m in manifest)
+
+
 def test_token_files_round_trip(spark, docs, tmp_path):
     manifest = token_files.write_token_files(docs, f"file://{tmp_path}", shard_tokens=20_000)
     got = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r.doc_id)
@@ -289,6 +388,19 @@ def test_secrets_base_spans_and_ownership(spark, docs):
     assert got[3].n_live == 2 and f"live:5:{5 + len(own)}" in got[3].spans
 
 
+def test_live_spans_and_ownership_equal_brute_force(docs):
+    source = docs.collect()
+    held: dict = {}
+    for r in source:
+        for _, _, _, value in secrets_scan.base_spans(r.text or ""):
+            held.setdefault(value, set()).add((r.source or "").split("/")[0])
+    for r, got in zip(sorted(source, key=lambda r: r.doc_id), secrets_scan.scan(docs).orderBy("doc_id").collect(), strict=True):
+        spans = secrets_scan.base_spans(r.text or "")
+        live = sorted((a, b) for _, a, b, v in spans if len(held[v]) == 1 and secrets_scan.looks_random(v))
+        assert [tuple(map(int, s.split(":")[1:])) for s in got.spans.split(",") if s.startswith("live")] == live
+        assert (got.n_live, got.n_copied) == (len(live), sum(len(held[v]) > 1 for *_, v in spans))
+
+
 def test_toxicity_folds_matches_and_spares():
     assert folding.folded_words("Ïd1оt!") == " idiot "
     assert folding.folded_words("") == " " and folding.folded_words("!!") == " "
@@ -300,6 +412,56 @@ def test_toxicity_folds_matches_and_spares():
     assert toxicity.score(" trash ", found, model.curve) > 0.5 > toxicity.score(" ", found, model.curve)
 
 
+def naive_matches(words, weights, phrases):
+    """Largest weight of an entry that starts at each place, but for those inside a phrase."""
+    found = {}
+    for at in range(len(words)):
+        here = [w for e, w in weights.items() if words.startswith(e, at)]
+        if here and max(here) > 0:
+            found[at] = max(here)
+    for phrase in phrases:
+        folded, at = folding.folded_words(phrase), -1
+        while (at := words.find(folded, at + 1)) >= 0:
+            found = {k: v for k, v in found.items() if not at <= k < at + len(folded) - 1}
+    return found
+
+
+def test_toxicity_matches_equal_a_naive_search():
+    r = random.Random(4)
+    for _ in range(300):
+        say = lambda n: " ".join("".join(r.choices("ab", k=r.randint(1, 3))) for _ in range(n))
+        weights = {f" {say(1)}" + " " * r.randint(0, 1): r.random() + 0.1 for _ in range(4)}
+        phrases = tuple(say(2) for _ in range(r.randint(0, 3)))
+        words = f" {say(r.randint(1, 25))} "
+        assert toxicity.matches(words, toxicity.Model(weights, phrases).automaton()) == naive_matches(words, weights, phrases)
+
+
+def test_toxicity_exceptions_take_linear_time():
+    import time
+
+    found = toxicity.Model({" bin ": 2.0}, ("bin lid",)).automaton()
+    took = []
+    for n in (4_000, 32_000):
+        began = time.perf_counter()
+        assert toxicity.matches(" bin lid" * n + " ", found) == {}
+        took.append(time.perf_counter() - began)
+    assert took[1] < 25 * took[0] + 0.1
+
+
+def test_toxicity_training_takes_any_labels(spark, none):
+    labels = [(i, 1, i % 3 == 0) for i in range(60)] + [(None, 1, True), (3, 1, False), (3, 1, None), (4, None, None), (999, 1, True)]
+    docs = [(i, f"plain text number {i} " + ("vile " if i % 3 == 0 else "nice ") * 3) for i in range(60)] + [(None, "vile"), (5, None), (6, "")] * 2
+    df = spark.createDataFrame([(d, t, None, None, 0) for d, t in docs], SCHEMA)
+    known = spark.createDataFrame([(a, b, int(c) if c is not None else None) for a, b, c in labels], "doc_id long, quality int, toxic int")
+    model = toxicity.train(df, known)
+    other = toxicity.train(clashing(df), known.select("*", F.lit("z").alias("TOXIC"), F.lit("z").alias("entry"), F.lit("z").alias("Doc_ID")))
+    assert model == other and any("vile" in e for e in model.weights)
+    empty = known.limit(0)
+    assert toxicity.train(df, empty).weights == {} == toxicity.train(none, known).weights
+    long = spark.createDataFrame([(1, "nice " * 2_000_000 + "vile " * 3, None, None, 0)], SCHEMA)
+    assert 0 <= toxicity.score_documents(long, model).first().score <= 1
+
+
 def test_toxicity_held_out_accuracy(spark, none):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -308,6 +470,7 @@ def test_toxicity_held_out_accuracy(spark, none):
     got = toxicity.score_documents(docs.join(known, "doc_id", "left_semi"), model).where("held_out").join(known, "doc_id").collect()
     right = sum(r.predicted == r.toxic for r in got)
     assert right / len(got) > 0.97
+    assert sum(r.predicted and not r.toxic for r in got) <= 0.01 * len(got)
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
     empty = toxicity.train(none, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert toxicity.score_documents(docs, empty).where("predicted = 1").isEmpty()
@@ -353,22 +516,130 @@ def test_other_validators():
         assert not media.sniff(value[: len(value) // 2], found)
 
 
+def texts(html):
+    return [b.text for b in html_blocks.blocks(html)]
+
+
+def flac_frame(number):
+    head = bytes([0xFF, 0xF8, 0x19, 0x08, number])
+    crc = 0
+    for x in head:
+        crc = media.CRC8[crc ^ x]
+    body, crc16 = head + bytes([crc, 0, 0x12, 0x34]), 0
+    for x in body:
+        crc16 = (crc16 << 8 & 0xFFFF) ^ media.CRC16[crc16 >> 8 ^ x]
+    return body + crc16.to_bytes(2, "big")
+
+
+@pytest.mark.parametrize("total", [384, 0])
+def test_flac_ends_with_its_last_frame(total):
+    info = (192).to_bytes(2, "big") * 2 + bytes(6) + (44100 << 44 | 15 << 36 | total).to_bytes(8, "big") + bytes(16)
+    stream = b"fLaC" + bytes([0x80, 0, 0, 34]) + info + flac_frame(0) + flac_frame(1)
+    image, found = media.wrap(b"\1" * 64, "png"), media.automaton()
+    carried = b"xx" + stream + b"yy" + image
+    assert [(m.kind, m.start, m.end) for m in media.sniff(carried, found)] == [("flac", 2, 2 + len(stream)), ("png", 4 + len(stream), len(carried))]
+    assert media.sniff(stream[: 50], found) == []
+
+
+def test_hits_without_an_end_take_linear_time():
+    import time
+
+    found = media.automaton()
+    for magic in (b"%PDF-1.4 ", b"PK\x03\x04 ", b"\xff\xd8\xff\xda\0\x02"):
+        took = []
+        for n in (4_000, 32_000):
+            began = time.perf_counter()
+            assert media.sniff(magic * n, found) == []
+            took.append(time.perf_counter() - began)
+        assert took[1] < 30 * took[0] + 0.2
+
+
+def test_declared_types_are_judged(spark):
+    df = spark.createDataFrame([(1, "abc", "image/gif"), (2, "abc", "audio/wav"), (3, "abc", "image/bmp"), (4, "abc", "image/png"), (5, "abc", None)], "doc_id long, text string, kind string")
+    claims = {r.doc_id: r.feature.split(";")[1] for r in media.documents_as_media(df, "kind").collect()}
+    assert claims[1] == "declared=corrected" and claims[5] == "declared=none" and sorted(claims[i] for i in (2, 3, 4)).count("declared=right") == 1
+    assert {r.feature.split(";")[1] for r in media.documents_as_media(df).collect()} == {"declared=none"}
+
+
 def test_html_blocks():
     page = "<head><title>t</title></head><body><ul><li>1<li>2</ul><p>a<p>b <b>c<i>d</b></i><br>e &amp;amp; f<script>x='</p>'</script><!-- no --><form>g<button>h</button></form></body>"
-    assert [b.text for b in html_blocks.blocks(page)] == ["1", "2", "a", "b cd e &amp; f", "g"]
-    assert html_blocks.blocks("") == [] and html_blocks.blocks("<p") == [] and [b.text for b in html_blocks.blocks("plain")] == ["plain"]
+    assert texts(page) == ["1", "2", "a", "b cd e &amp; f", "g"]
+    assert texts("") == [] and texts("<p") == [] and texts("plain") == ["plain"]
+
+
+@pytest.mark.parametrize("html, want", [
+    ('<p class=x">hello</p><p>more "quoted" end</p><p>last</p>', ["hello", 'more "quoted" end', "last"]),
+    ("<p title='a>one</p><p>it's two</p><p>three</p>", ["one", "it's two", "three"]),
+    ('<p title="open>one</p><p>two</p>', ["one", "two"]), ("<a title=Don't>x</a> y", ["x y"]), ('<p class="a"">q</p><p>r "s"</p>', ["q", 'r "s"']),
+    ('<p title="a > b">c</p>', ["c"]), ("<p data-x = '1 > 2' a=>d</p>", ["d"]), ('<p title="<i>">e</p>', ["e"]), ("&am<b>p;</b> &amp;lt;", ["&amp; &lt;"]),
+    ("a < b <p>c", ["a < b", "c"]), ("<p>x<math><mi>y</mi></math>z<object><p>w</p></object>", ["xyz", "w"]), ("<xmp><b>&amp;</xmp>t", ["<b>&amp;", "t"]),
+    ("<svg><p>a</p>", ["a"]), ("<p>a</nope>b", ["a", "b"]), ("<!-- open <p>a", []), ("<a b='\"'>c</a>", ["c"]),
+])
+def test_odd_markup_loses_no_text(html, want):
+    assert texts(html) == want
+
+
+def test_deep_and_long_pages():
+    deep = '<div class="wrap post">' * 10_000 + "<p>in</p>" * 500 + "</div>" * 10_000
+    found = html_blocks.blocks("<main>" + deep)
+    assert len(found) == 500 and found[0].at.last == ("div", "div", "p") and found[0].at.bits & html_blocks._bit("main")
+    assert len(html_blocks.blocks("<p>a" * 200_000)) == 200_000
+    assert len(html_blocks.blocks("<svg>" * 50_000 + "</i>" * 50_000 + "<li>b" * 50_000)) == 50_000
+
+
+def test_long_pages_are_labelled_as_short_ones():
+    model = html_extract.Labeller()
+    page = html_blocks.blocks("".join(f"<div class='c{i % 7}'><p>word{i} and {i * i}</p></div>" for i in range(300)))
+    whole = model.label([page])[0]
+    assert np.allclose(model.label_long(page, 64), whole, atol=1e-5) and np.allclose(model.label_long(page, 7), whole, atol=1e-5)
+
+
+class Article(HTMLParser):
+    """The texts of an article's block elements, by the standard library's parser."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.skipped, self.parts, self.found = 0, 0, [], []
+        self.feed(html)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.found.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag not in html_blocks.INLINE:
+            self.flush()
+        self.depth += tag == "article"
+        self.skipped += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        if tag not in html_blocks.INLINE:
+            self.flush()
+        self.depth -= tag == "article"
+        self.skipped -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.depth and not self.skipped:
+            self.parts.append(data)
 
 
 def test_html_extraction(spark):
     made = [html_extract.made_page(s) for s in range(50_000, 50_150)]
-    right = np.concatenate([(p >= 0.5) == y for (_, y), p in zip(made, html_extract.trained().label([html_extract.vectors(b) for b, _ in made]))])
+    right = np.concatenate([(p >= 0.5) == y for (_, y), p in zip(made, html_extract.trained().label([b for b, _ in made]))])
     assert right.mean() > 0.96
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r, got in zip(pages.orderBy("page_id").collect(), html_extract.main_text(pages).orderBy("page_id").collect(), strict=True):
-        want = "\n\n".join(b.text for b in html_blocks.blocks(r.html) if "article" in b.path)
+        want = "\n\n".join(Article(r.html).found)
         assert got.text == want and got.n_chars == len(want)
     odd = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "", "x"), (None, None, "<p>", "x")], "page_id long, url string, html string, TEXT string")
     assert rows(html_extract.main_text(odd)) == sorted([(1, "u", "", 0), (1, "u", "", 0), (None, None, "", 0)], key=repr)
+    names = ("text", "HTML", "Page_Id", "URL", "n_chars", "blocks")
+    assert rows(html_extract.main_text(pages.select("*", *[F.lit("<p>z").alias(n) for n in names]))) == rows(html_extract.main_text(pages))
     assert html_extract.main_text(odd.limit(0)).count() == 0
 
 
@@ -407,6 +678,13 @@ def test_language_evidence(spark, odd, none):
     empty = pages.limit(0)
     assert langid.identify(clashing(odd), empty).count() == len(ODD)
     assert langid.identify(none, empty).count() == 0
+    # A host alone in its domain has no support but its text: the same as a host of no name.
+    lone = "http://only.one-of-a-kind.zz/x"
+    page = [(1, lone, "<p>casa y"), (2, "", "<p>casa y")]
+    got_lone = {r.page_id: r for r in langid.identify(docs, spark.createDataFrame(page, "page_id long, url string, html string")).where("page_id is not null").collect()}
+    assert abs(got_lone[1].probability - got_lone[2].probability) < 0.2 and got_lone[1].lang == got_lone[2].lang
+    wide = langid.identify(docs.limit(50), clashing(pages.withColumn("doc_id", F.lit(1))).select("*", F.lit("z").alias("URL")))
+    assert wide.count() == 50 + pages.count()
     silent = spark.createDataFrame([(1, "http://a.fr/x", "<html lang=fr></html>"), (2, None, None)], "page_id long, url string, html string")
     one = {r.page_id: r.lang for r in langid.identify(docs, silent).where("page_id is not null").collect()}
     assert one[1] == "fr" and one[2]
@@ -425,6 +703,51 @@ def test_pipeline_stages(spark):
     check_packed(kept, corpus_pipeline.run(spark, sf).collect())
 
 
+def test_stages_find_columns_as_the_queries_do(spark):
+    df = spark.createDataFrame([(1, "other", "same text", "a"), (2, "thing", "same text", "b"), (3, "third", "vile", "c")], "doc_id long, TEXT string, text string, source string")
+    model = toxicity.Model({" vile ": 9.0}, (), (-3.0, 1.0, 1.0))
+    assert exact_dedup.duplicate_groups(df).where("kept").count() == 2
+    for stage, ids in ((exact_dedup.exact_dedup, {1, 3}), (simhash.near_dedup, {1, 3}), (lambda d: toxicity.drop_toxic(d, model), {1, 2})):
+        out = stage(df)
+        assert out.columns == df.columns and {r.doc_id for r in out.collect()} == ids
+    taken = {r.doc_id: r.copies for r in mixing.mix(df).collect()}
+    mixed: dict = {}
+    for r in mixing.mixed_documents(df).collect():
+        mixed[r.doc_id] = mixed.get(r.doc_id, 0) + 1
+    assert mixed == {k: v for k, v in taken.items() if v}
+
+
+def test_pipeline_takes_odd_rows_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    # Files with names that differ in case only aren't for every reader; stages get those in the test above.
+    for name, docs in (("clash", clashing(odd, "TEXT", "Doc_Id")), ("none", none)):
+        sf = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+        found = corpus_pipeline.run(spark, sf).collect()
+        assert bool(found) == (name != "none")
+        stage = spark.read.parquet(f"{sf}/documents.parquet")
+        kept = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_copies(spark, stage, sf), sf)
+        texts = [norm(r.text) for r in kept.collect()]
+        assert len(texts) == len(set(texts)) and kept.columns == stage.columns
+
+
+def test_pipeline_deletes_its_own_tables_only(spark):
+    import corpus_pipeline
+    from blastgraph.llm.common import written
+    from blastgraph.storage import path_of
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    mine = written(docs.select("doc_id"), "mine")
+    waiting = simhash.near_duplicates(docs)  # still lazy while the pipeline runs
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert mine.count() == waiting.count() == docs.count() and path_of(mine)
+    assert sum(len(s.paths) for s in corpus_pipeline._stages) < 8
+
+
 def test_every_operator_is_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
 
@@ -459,6 +782,8 @@ def test_similar_links_equal_brute_force_over_families(spark):
     assert joined >= 0.97 * len(want)
     docs = df.selectExpr("_rid as doc_id", "text", "'z' as root")
     kept = similar.similar_dedup(docs)
+    other_layout = similar.similar_dedup(docs.orderBy(F.xxhash64("doc_id")).repartition(5))
+    assert {x.doc_id for x in kept.collect()} == {x.doc_id for x in other_layout.collect()}
     assert kept.columns == docs.columns and kept.count() == len(texts) - len(root) + len(set(root.values()))
     assert {0, 1, 2} <= {x.doc_id for x in kept.collect()}
     assert similar.similar_dedup(docs.limit(0)).count() == 0
@@ -473,8 +798,8 @@ def test_crowded_similar_keys_stay_joined():
         [similar.pa.array(np.full(5000, 7)), similar.pa.array(np.arange(5000)), similar.pa.array(fps[:, 0].view(np.int64)), similar.pa.array(fps[:, 1].view(np.int64))],
         ["key", "_rid", "f0", "f1"],
     )
-    links = [(a, b) for out in similar._candidates([batch]) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
-    assert len(links) < 15_000
+    links = [(a, b) for out in similar._met([batch]) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    assert len(links) == 4999
     root = list(range(5000))
 
     def find(i):
@@ -488,13 +813,16 @@ def test_crowded_similar_keys_stay_joined():
     assert len({find(i) for i in range(5000)}) == 1
 
 
-def test_similar_pairs_in_a_half_similar_family_equal_brute_force(spark):
+@pytest.mark.parametrize("block_rows", [4096, 300])
+def test_similar_pairs_in_a_half_similar_family_equal_brute_force(spark, monkeypatch, block_rows):
     from blastgraph.llm import similar
 
+    monkeypatch.setattr(similar, "BLOCK_ROWS", block_rows)
+
     r = random.Random(5)
     template = [f"t{i}" for i in range(150)]
-    own = [[f"w{r.randint(0, 10**7)}" for _ in range(54)] for _ in range(2600)]
-    for i in range(400):  # near copies of some, at 0.8 and more
+    own = [[f"w{r.randint(0, 10**7)}" for _ in range(54)] for _ in range(1100)]
+    for i in range(250):  # near copies of some, at 0.8 and more
         copy = list(own[i])
         for at in r.sample(range(54), r.randint(1, 4)):
             copy[at] = f"x{r.randint(0, 10**7)}"
@@ -514,7 +842,7 @@ def test_similar_pairs_in_a_half_similar_family_equal_brute_force(spark):
     want = {(int(a), int(b)) for a, b in zip(*np.nonzero(both >= 0.8 * (n[:, None] + n[None, :] - both))) if a < b}
     found = similar.similar_links(spark.createDataFrame(list(enumerate(texts)), "_rid long, text string"))
     got = {(x.a, x.b) for x in found.collect()}
-    assert got <= want and len(want) >= 300
+    assert got <= want and len(want) >= 180
     # All that meet under a key and pass the filters; without keys and filters left out.
     root = {x.v: x.root for x in components.components(found).collect()}
     lost = [(a, b) for a, b in want if root.get(a, -1 - a) != root.get(b, -1 - b)]
