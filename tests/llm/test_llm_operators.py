@@ -735,6 +735,8 @@ def test_pipeline_takes_odd_rows_and_empty_tables(spark, odd, none, tmp_path):
 
 
 def test_pipeline_deletes_its_own_tables_only(spark):
+    import os
+
     import corpus_pipeline
     from blastgraph.llm.common import written
     from blastgraph.storage import path_of
@@ -742,10 +744,14 @@ def test_pipeline_deletes_its_own_tables_only(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     mine = written(docs.select("doc_id"), "mine")
-    waiting = simhash.near_duplicates(docs)  # still lazy while the pipeline runs
-    assert corpus_pipeline.run(spark, sf).count() > 0
-    assert mine.count() == waiting.count() == docs.count() and path_of(mine)
-    assert sum(len(s.paths) for s in corpus_pipeline._stages) < 8
+    waiting = secrets_scan.scan(docs)  # still lazy while the pipeline runs
+    corpus_pipeline._stages.clear()
+    first = corpus_pipeline.drop_copies(spark, docs, sf)
+    made = list(corpus_pipeline._stages[-1].paths)
+    kept = written(first, "kept")
+    mixed = corpus_pipeline.mix_sources(spark, kept, sf)
+    assert made and not any(os.path.exists(p.removeprefix("file://")) for p in made)
+    assert mixed.count() > 0 and mine.count() == waiting.count() == docs.count() and path_of(mine)
 
 
 def test_every_operator_is_registered():
@@ -765,7 +771,7 @@ def test_similar_links_equal_brute_force_over_families(spark):
 
     r = random.Random(11)
     texts = ["", None, "one two", "one two"]
-    for _ in range(25):
+    for _ in range(14):
         words = [f"w{r.randint(0, 10**6)}" for _ in range(r.randint(60, 400))]
         for _ in range(6):
             copy = list(words)
@@ -795,8 +801,8 @@ def test_crowded_similar_keys_stay_joined():
 
     fps = np.zeros((5000, 2), np.uint64)
     batch = similar.pa.RecordBatch.from_arrays(
-        [similar.pa.array(np.full(5000, 7)), similar.pa.array(np.arange(5000)), similar.pa.array(fps[:, 0].view(np.int64)), similar.pa.array(fps[:, 1].view(np.int64))],
-        ["key", "_rid", "f0", "f1"],
+        [similar.pa.array(x) for x in (np.full(5000, 7), np.arange(5000), np.arange(5000), fps[:, 0].view(np.int64), fps[:, 1].view(np.int64))],
+        ["key", "_rid", "label", "f0", "f1"],
     )
     links = [(a, b) for out in similar._met([batch]) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
     assert len(links) == 4999
