@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import conversation_trie, importance, mixing
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -71,16 +71,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_token_files, op3_mixing, op4_html, op5_language,
-        op6_secrets, op7_toxicity, op8_simhash, op9_media, op10_exact_dedup,
+        op6_secrets, op7_toxicity, op8_simhash, op9_media, op10_exact_dedup, op11_importance, op13_conversation_trie,
     )
 }
 
 ORACLE_SQL = {
     "op3_mixing": mixing.ORACLE_SQL,
+    "op11_importance": importance.ORACLE_SQL,
+    "op13_conversation_trie": conversation_trie.ORACLE_SQL,
     "op10_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
