@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_trie, importance, mixing
+from . import conversation_trie, importance, jaccard_join, mixing
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,6 +75,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(_table(spark, sf_dir, "conversations"))
 
@@ -83,13 +87,15 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_token_files, op3_mixing, op4_html, op5_language,
-        op6_secrets, op7_toxicity, op8_simhash, op9_media, op10_exact_dedup, op11_importance, op13_conversation_trie,
+        op6_secrets, op7_toxicity, op8_simhash, op9_media, op10_exact_dedup, op11_importance, op12_jaccard_join,
+        op13_conversation_trie,
     )
 }
 
 ORACLE_SQL = {
     "op3_mixing": mixing.ORACLE_SQL,
     "op11_importance": importance.ORACLE_SQL,
+    "op12_jaccard_join": jaccard_join.ORACLE_SQL,
     "op13_conversation_trie": conversation_trie.ORACLE_SQL,
     "op10_exact_dedup": r"""
         WITH t AS (
