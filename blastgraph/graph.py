@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from . import schema as S
 from .operators import edges as E
+from .operators import traverse as T
+from .storage import written
 
 
 @dataclass
@@ -46,6 +48,12 @@ class Graph:
     def load(cls, spark: SparkSession, folder: str) -> Graph:
         return cls(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(cls)})
 
+    def loops(self) -> DataFrame:
+        """package of those that may lie on a cycle of dependencies; found once."""
+        if "_loops" not in self.__dict__:
+            self.__dict__["_loops"] = written(T.looping(self.dependencies), "loops")
+        return self.__dict__["_loops"]
+
     def dependents(self) -> DataFrame:
         return E.dependent_counts(self.dependencies, self.packages)
 

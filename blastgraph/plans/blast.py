@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions.coordinates import package_of
 from ..functions.times import closed
 from ..graph import Graph
 from ..operators import traverse
+from ..storage import written
 
 
 def _edges(graph: Graph, include_build: bool) -> DataFrame:
@@ -25,7 +28,7 @@ def paths(graph: Graph, bad: DataFrame, as_of: int | None = None, include_build:
 
 def ways(graph: Graph, bad: DataFrame, as_of: int | None = None, include_build: bool = True, max_hops: int = S.BLAST_HOPS) -> DataFrame:
     """The chains of ``paths``, counted instead of built: service, target, entry, hops, direct, build_time, ways."""
-    counted = traverse.ways(bad.select("key").distinct(), _edges(graph, include_build), max_hops - 2, as_of)
+    counted = traverse.ways(bad.select("key").distinct(), _edges(graph, include_build), max_hops - 2, as_of, graph.loops())
     return traverse.service_ways(counted, graph.pins, graph.lockfiles)
 
 
@@ -51,6 +54,20 @@ def truncated(found: DataFrame, cap: int = S.BLAST_PATHS) -> DataFrame:
     return ranked.withColumn("truncated", most > cap).where(F.col("_n") <= cap).drop("_n", "text")
 
 
+def first_paths(graph: Graph, bad: DataFrame, as_of: int | None = None, include_build: bool = True, max_hops: int = S.BLAST_HOPS, cap: int = S.BLAST_PATHS) -> DataFrame:
+    """``truncated`` paths without the others: short chains come first, so growing them stops at the hop at
+    which there are ``cap`` and one more."""
+    found: list[DataFrame] = []
+    missing = cap + 1
+    for level in traverse.prefix_levels(bad.select("key").distinct(), _edges(graph, include_build), max_hops - 2, as_of):
+        here = traverse.service_paths(level, graph.pins, graph.lockfiles).withColumn("text", text())
+        found.append(written(here.orderBy("service", "target", "text").limit(missing).drop("text"), "first-paths"))
+        missing -= found[-1].count()
+        if not missing:
+            break
+    return truncated(reduce(DataFrame.unionByName, found), cap)
+
+
 def radius(found: DataFrame) -> DataFrame:
     """One row over counted chains: paths, services, deepest."""
     return found.agg(

@@ -211,6 +211,23 @@ def discover(p):
     return traverse.discover(seeds, declared, known, 4).select("package", F.col("depth").cast("bigint").alias("depth"))
 
 
+@query(O.base() + f"""links AS (SELECT DISTINCT r.package, {O.name('d.dep')} AS dependency, d.kind FROM decl d JOIN rel r ON r.key = d.source),
+    seeds AS (SELECT DISTINCT package, part FROM rel WHERE part % 10 = 9),
+    walk AS (SELECT package, 0 AS depth, [lpad(((SELECT max(part) FROM seeds) - part)::VARCHAR, 12, '0')] AS path FROM seeds
+        UNION ALL SELECT l.dependency, w.depth + 1, list_append(path, l.dependency) FROM walk w JOIN links l ON l.package = w.package
+        WHERE w.depth < 3 AND (w.depth = 0 OR l.kind = 'runtime') AND w.package IN (SELECT package FROM rel)),
+    first AS (SELECT package, min({{'depth': depth, 'path': path}}) AS best FROM walk WHERE package IN (SELECT package FROM rel) GROUP BY package),
+    placed AS (SELECT package, row_number() OVER (ORDER BY best) - 1 AS place, best.depth AS depth FROM first)
+    SELECT package, CAST(depth AS BIGINT) AS depth, place FROM placed WHERE place < (SELECT count(*) FROM part) // 5""")
+def discover_budget(p):
+    """A crawl from every tenth package, the last first, that stops within a level at a fifth of the packages."""
+    known = p.packages.select(F.col("name").alias("package"))
+    tenth = p.raw_releases.where("part % 10 = 9").select("package", "part").distinct()
+    seeds = tenth.select("package", (-F.col("part")).alias("place"))
+    declared = p.declared.select(coordinates.package_of(F.col("source")).alias("package"), "dependency", "kind")
+    return traverse.discover(seeds, declared, known, 3, p.table("part").count() // 5).select("package", F.col("depth").cast("bigint").alias("depth"), "place")
+
+
 # Compromise, blast, reach
 
 
@@ -259,8 +276,7 @@ def blast_services(p):
 
 @query(O.blast() + O.SHOWN.replace(" FROM paths", ", (SELECT count(*) FROM paths) > 100 AS truncated FROM paths") + " ORDER BY hops, service, target, chain LIMIT 100")
 def blast_truncated(p):
-    found = blast.truncated(blast.paths(p.graph(), bad_of(p)), 100)
-    return blast.shown(found, "truncated")
+    return blast.shown(blast.first_paths(p.graph(), bad_of(p), cap=100), "truncated")
 
 
 @query(O.blast() + """SELECT service, CAST(rank AS BIGINT) AS rank, CAST(hops AS BIGINT) AS hops, target, chain FROM (
@@ -314,7 +330,7 @@ hops_on AS (
 
 def _chains(p: Projection) -> DataFrame:
     """The chains that plans are made for."""
-    return blast.paths(p.graph(), bad_of(p, NEAR), links=True)
+    return fix.chains(p.graph(), bad_of(p, NEAR))
 
 
 @query(O.blast(share=NEAR) + _NUMBERED + "SELECT rel_type, holder, depends_on, version, count(DISTINCT path_id) AS severs, rel_type = 'PINS' AS mine FROM hops_on GROUP BY rel_type, holder, depends_on, version")

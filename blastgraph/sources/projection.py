@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..graph import Graph
-from ..operators import edges, resolve
+from ..operators import edges, resolve, traverse
 from ..storage import written
 
 WINDOWS = 2
@@ -213,6 +213,10 @@ class Projection:
         """Written once: what it counts changes with the edges only."""
         return self.shared("dependents", lambda: written(edges.dependent_counts(self.dependencies, self.packages), "dependents"))
 
+    def loops(self) -> DataFrame:
+        """Written once, as the dependencies are."""
+        return self.shared("loops", lambda: written(traverse.looping(self.dependencies), "loops"))
+
     def middle_package(self, share: int = 40) -> str:
         """Name of the package at ``max(part) div share``: the demonstration's compromised package."""
         top = self.table("part").agg(F.max("p_partkey").alias("m")).select(package_name(F.floor(F.col("m") / share).cast("bigint")).alias("name"))
