@@ -89,7 +89,7 @@ def answer(spark: SparkSession, args) -> DataFrame:
     if args.command == "typosquat":
         return people.typosquat(graph, args.popular_at, args.distance, args.limit)
     if args.command == "evaluate":
-        return evaluate.report(spark, graph, args.limit)
+        return evaluate.report(graph, args.limit)
     if not args.advisory and not args.package:
         print("name an advisory or a package", file=sys.stderr)
         raise SystemExit(2)
@@ -98,7 +98,7 @@ def answer(spark: SparkSession, args) -> DataFrame:
         return blast.reach(graph, bad, as_of)
     runtime = not args.runtime_only
     if args.command == "fix":
-        made = fix.plan(graph, blast.paths(graph, bad, as_of, runtime, links=True), bad)
+        made = fix.plan(graph, fix.chains(graph, bad, as_of, runtime), bad)
         return made.changes.select("change", "description", "severs", "to_version", "available", "reachable", "upstream").crossJoin(made.totals)  # one row
     found = blast.services(graph, blast.ways(graph, bad, as_of, runtime))
     if args.paths:

@@ -8,21 +8,48 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def osa(a: str, b: str, ceiling: int) -> int:
-    """Distance of two strings, ``ceiling + 1`` where it is larger."""
-    if abs(len(a) - len(b)) > ceiling:
-        return ceiling + 1
-    before, row = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        two_before, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            best = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, two_before[j - 2] + 1)
-            row.append(best)
-        if min(row) > ceiling:
-            return ceiling + 1
-    return min(row[-1], ceiling + 1)
+#: Pairs whose tables are filled together.
+TOGETHER = 4096
+
+
+def _codes(names: list[str]) -> np.ndarray:
+    """Code points, a row for each string, zeros behind its end."""
+    raw = np.array(names, dtype=str)
+    return raw.view(np.uint32).reshape(len(names), -1) if raw.dtype.itemsize else np.zeros((len(names), 0), np.uint32)
+
+
+def _filled(left: np.ndarray, right: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Distances of pairs, row by row of all their tables at once. The step that depends on its left neighbour
+    is a running minimum once each column's own cost is taken off."""
+    width = int(n.max(initial=0))
+    column = np.arange(width + 1, dtype=np.int32)
+    before = row = np.broadcast_to(column, (len(left), width + 1))
+    out = n.astype(np.int32)  # of empty left strings
+    for i in range(1, int(m.max(initial=0)) + 1):
+        x = left[:, i - 1, None]
+        best = np.empty((len(left), width + 1), np.int32)
+        best[:, 0] = i
+        best[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (x != right[:, :width]))
+        if i > 1 and width > 1:
+            swapped = (x == right[:, : width - 1]) & (left[:, i - 2, None] == right[:, 1:width])
+            best[:, 2:] = np.where(swapped, np.minimum(best[:, 2:], before[:, :-2] + 1), best[:, 2:])
+        before, row = row, np.minimum.accumulate(best - column, axis=1) + column
+        done = np.flatnonzero(m == i)
+        out[done] = row[done, n[done]]
+    return out
+
+
+def osa(left: list[str], right: list[str], ceiling: int) -> np.ndarray:
+    """Distances of pairs of strings, ``ceiling + 1`` where they are larger."""
+    m, n = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+    out = np.full(len(m), ceiling + 1, np.int32)
+    near = np.flatnonzero(abs(m - n) <= ceiling)
+    near = near[np.lexsort((m[near], n[near]))]  # tables of a size together
+    for at in range(0, len(near), TOGETHER):
+        part = near[at : at + TOGETHER]
+        table = _filled(_codes([left[i] for i in part]), _codes([right[i] for i in part]), m[part], n[part])
+        out[part] = np.minimum(table, ceiling + 1)
+    return out
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -42,6 +69,6 @@ def distance(a: Column, b: Column, ceiling: int) -> Column:
 
     @F.pandas_udf("int")
     def measured(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series(np.array([osa(x, y, ceiling) for x, y in zip(left, right)], dtype=np.int32))
+        return pd.Series(osa(left.tolist(), right.tolist(), ceiling))
 
     return measured(a, b)

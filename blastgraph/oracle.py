@@ -110,3 +110,44 @@ def values(columns: str, rows: list[tuple]) -> str:
 
     body = ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
     return f"SELECT * FROM (VALUES {body}) AS t({columns})"
+
+
+def osa(a: str, b: str) -> str:
+    """Edit distance with adjacent transpositions of two text columns: a table filled row by row, of which the
+    last two rows are carried."""
+    state = "{{'two': {two}, 'one': {one}, 'i': {i}}}"
+    none = "CAST([] AS INTEGER[])"
+    first = state.format(two=none, one=f"list_transform(range(0, length({b}) + 1), lambda j: CAST(j AS INTEGER))", i="CAST(0 AS INTEGER)")
+    rest = f"list_transform(range(1, length({a}) + 1), lambda i: {state.format(two=none, one=none, i='CAST(i AS INTEGER)')})"
+    swapped = f"t.i > 1 AND j[1] > 1 AND substr({a}, t.i, 1) = substr({b}, j[1] - 1, 1) AND substr({a}, t.i - 1, 1) = substr({b}, j[1], 1)"
+    cell = f"least(row[-1] + 1, s.one[j[1] + 1] + 1, s.one[j[1]] + CASE WHEN substr({a}, t.i, 1) = substr({b}, j[1], 1) THEN 0 ELSE 1 END, CASE WHEN {swapped} THEN s.two[j[1] - 1] + 1 ELSE 999 END)"
+    line = f"list_reduce(list_prepend([t.i], list_transform(range(1, length({b}) + 1), lambda j: [CAST(j AS INTEGER)])), lambda row, j: list_append(row, CAST({cell} AS INTEGER)))"
+    return f"list_reduce(list_prepend({first}, {rest}), lambda s, t: {{'two': s.one, 'one': {line}, 'i': t.i}}).one[-1]"
+
+
+def nearest(bad: str, ceiling: int = 12, limit: int = 25) -> str:
+    """For each case of ``bad`` (case, package) the names nearest to its packages."""
+    return f"""SELECT "case", package, distance FROM (
+        SELECT b."case", n.name AS package, CAST(least(min({osa('n.name', 'b.package')}), {ceiling + 1}) AS BIGINT) AS distance FROM {bad} b, parts n
+        WHERE NOT EXISTS (SELECT 1 FROM {bad} o WHERE o."case" = b."case" AND o.package = n.name) GROUP BY b."case", n.name)
+        QUALIFY row_number() OVER (PARTITION BY "case" ORDER BY distance, package) <= {limit}"""
+
+
+#: The recent incidents, their releases as the bad ones, the chains to them, and scores of name similarity.
+EVALUATED = BASE.split("bad AS (")[0] + """inc AS (
+    SELECT DISTINCT osv_id, severity, published_at FROM (SELECT * FROM affects ORDER BY published_at DESC, osv_id, target LIMIT 80) ORDER BY published_at DESC, osv_id LIMIT 20),
+hit AS (SELECT DISTINCT osv_id, target AS key, package FROM affects JOIN inc USING (osv_id)),
+bad AS (SELECT key, package, version, published_at FROM rel WHERE key IN (SELECT key FROM hit)),
+""" + prefixes(6) + f""", met AS (
+    SELECT h.osv_id, l.service, p.keys FROM pre p JOIN pins n ON n.target = p.head JOIN lock l ON l.key = n.source JOIN hit h ON h.key = p.target),
+e AS (SELECT DISTINCT osv_id, r.package AS item FROM (SELECT osv_id, unnest(keys) AS key FROM met) m JOIN rel r USING (key)),
+wrong AS (SELECT DISTINCT osv_id AS "case", package FROM hit),
+f AS (SELECT "case" AS osv_id, package AS item FROM ({nearest('wrong')})),
+n AS (
+    SELECT osv_id, count(*) FILTER (e.i IS NOT NULL AND f.i IS NOT NULL) AS matched, count(*) FILTER (f.i IS NULL) AS missed, count(*) FILTER (e.i IS NULL) AS invented
+    FROM (SELECT *, item AS i FROM e) e FULL JOIN (SELECT *, item AS i FROM f) f USING (osv_id, item) GROUP BY osv_id),
+cases AS (
+    SELECT inc.osv_id, severity, (SELECT count(DISTINCT service) FROM met WHERE met.osv_id = inc.osv_id) AS exposed, TRUE AS agrees, matched, missed, invented,
+        CASE WHEN matched + invented > 0 THEN matched / (matched + invented) ELSE 1 END AS precision, CASE WHEN matched + missed > 0 THEN matched / (matched + missed) ELSE 1 END AS recall
+    FROM inc JOIN n USING (osv_id))
+"""

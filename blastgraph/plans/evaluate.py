@@ -1,20 +1,26 @@
-"""Evaluation: recent incidents, blast radius against baselines, scores."""
+"""Evaluation: recent incidents, blast radius against baselines, scores.
+
+All incidents are answered together. A release's label is the set of incidents that it belongs to, so one
+backward traversal counts the chains of all of them, and one forward walk, which starts at what
+services pin and knows no incident until it meets a bad release, checks it service by service.
+"""
 
 from __future__ import annotations
 
 import time
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.coordinates import package_of
-from ..functions.distance import distance
+from ..functions.distance import osa
 from ..graph import Graph
 from ..operators import traverse
-from ..operators.names import deletions
 from ..storage import written
-from . import blast, compromise
 
 
 def incidents(graph: Graph, limit: int = 20) -> DataFrame:
@@ -26,46 +32,110 @@ def incidents(graph: Graph, limit: int = 20) -> DataFrame:
     return once.orderBy(F.desc("published_at"), "osv_id").limit(limit)
 
 
-#: Compromised names up to which the comparison sends them to every task.
+@dataclass
+class Labels:
+    """releases: head, label. cases: label, case; the sets of cases that a label names."""
+
+    releases: DataFrame
+    cases: DataFrame
+
+    @classmethod
+    def of(cls, bad: DataFrame) -> Labels:
+        """bad: case, key. A label for each distinct set of cases that some release belongs to."""
+        sets = bad.groupBy(F.col("key").alias("head")).agg(F.array_sort(F.collect_set("case")).alias("set"))  # at most one for each case
+        named = written(sets.withColumn("label", F.sha2(F.to_json("set"), 256)), "labels")
+        return cls(named.select("head", "label"), written(named.select("label", F.explode("set").alias("case")).distinct(), "label-cases"))
+
+
+#: Wrong names that are compared with every name at once.
 NAMES_AT_ONCE = 1_000
 
 
-def by_name_similarity(packages: DataFrame, bad: DataFrame, max_distance: int = 3, limit: int = 25) -> DataFrame:
-    """package, distance: names nearest to a compromised name. A few compromised names go to every
-    task; many of them are met by shared deletions instead."""
-    wrong = written(bad.select(F.col("package").alias("wrong")).distinct(), "wrong-names")
-    if wrong.limit(NAMES_AT_ONCE + 1).count() <= NAMES_AT_ONCE:
-        near = packages.join(F.broadcast(wrong), F.abs(F.length("package") - F.length("wrong")) <= max_distance)
-    else:
-        forms = (t.withColumn("k", F.explode(deletions(F.col(c), max_distance))) for t, c in ((packages, "package"), (wrong, "wrong")))
-        near = next(forms).join(next(forms), "k").select("package", "wrong").distinct()
-    measured = near.withColumn("d", distance(F.col("package"), F.col("wrong"), max_distance)).where(F.col("d") <= max_distance)
-    return measured.groupBy("package").agg(F.min("d").cast("bigint").alias("distance")).orderBy("distance", "package").limit(limit)
-
-
-def service_by_service(graph: Graph, bad: DataFrame, cap: int = S.BASELINE_PATHS) -> DataFrame:
-    """What asking for each service alone would show, at most ``cap`` paths each: service, paths."""
-    found = blast.ways(graph, bad).groupBy("service").agg(F.sum("ways").alias("paths"))
-    return found.select("service", F.least("paths", F.lit(cap)).cast("bigint").alias("paths"))
-
-
-def walk_alone(graph: Graph, service: str, bad: DataFrame, max_hops: int = S.BLAST_HOPS) -> bool:
-    """Whether one service is exposed, asked for it alone and forwards: from what its lockfiles pin,
-    along dependencies whose windows meet. Knows nothing of the batched plan, which goes backwards."""
-    own = graph.lockfiles.where(F.col("service") == service).select(F.col("key").alias("source"))
-    window = [F.lit(0).cast("bigint").alias("low"), F.lit(S.OPEN_END).cast("bigint").alias("high")]
-    frontier = written(graph.pins.join(own, "source", "left_semi").select("target").distinct().select(F.col("target").alias("head"), *window), "walk")
-    keys = bad.select(F.col("key").alias("head"))
-    step = graph.dependencies.select(F.col("source").alias("head"), "target", "valid_from", "valid_to")
-    for _ in range(max_hops - 1):
-        if not frontier.join(keys, "head", "left_semi").isEmpty():
-            return True
-        low, high = F.greatest("low", "valid_from"), F.least("high", "valid_to")
-        grown = frontier.join(step, "head").where(low < high)
-        frontier = written(grown.select(F.col("target").alias("head"), low.alias("low"), high.alias("high")).distinct(), "walk")
-        if frontier.isEmpty():
-            break
-    return False
+def _nearest(pairs: list[tuple[str, str]], ceiling: int, limit: int):
+    """Of batches of names (package): for each case the ``limit`` of a task that are nearest to one of its
+    wrong names and none of them themselves."""
+    of: dict[str, list[str]] = {}
+    for case, wrong in pairs:
+        of.setdefault(case, []).append(wrong)
+
+    def run(frames):
+        held: dict[str, pd.DataFrame] = {}
+        for frame in frames:
+            names = frame["package"].tolist()
+            for case, wrong in of.items():
+                least = None
+                for w in wrong:
+                    d = osa(names, [w] * len(names), ceiling)
+                    least = d if least is None else np.minimum(least, d)
+                rows = pd.DataFrame({"package": names, "distance": least})
+                rows = rows[~rows["package"].isin(wrong)]
+                both = pd.concat([held[case], rows]) if case in held else rows
+                held[case] = both.sort_values(["distance", "package"]).head(limit)
+        for case, rows in held.items():
+            yield rows.assign(case=case)[["case", "package", "distance"]].astype({"distance": "int64"})
+
+    return run
+
+
+def by_name_similarity(packages: DataFrame, bad: DataFrame, ceiling: int = 12, limit: int = 25) -> DataFrame:
+    """packages: package. bad: case, package. case, package, distance: for each case the names nearest to
+    one of its packages', all those further than the ceiling alike. Every name is measured, in blocks
+    of wrong names of a fixed size; a task passes on ``limit`` names for each case."""
+    wrong = bad.select("case", "package").distinct().orderBy("case", "package")
+    names = packages.select("package").where("package <> ''").distinct()
+    best: DataFrame | None = None
+    block: list[tuple[str, str]] = []
+
+    def measured(pairs: list[tuple[str, str]]) -> DataFrame:
+        return written(names.mapInPandas(_nearest(pairs, ceiling, limit), "case string, package string, distance long"), "nearest")
+
+    for r in wrong.toLocalIterator():
+        if len(block) >= NAMES_AT_ONCE and block[-1][0] != r.case:  # a case's names stay together
+            best = measured(block) if best is None else best.unionByName(measured(block))
+            block = []
+        block.append((r.case, r.package))
+    if block:
+        best = measured(block) if best is None else best.unionByName(measured(block))
+    if best is None:
+        return bad.select("case", "package", F.lit(0).cast("long").alias("distance")).limit(0)
+    place = F.row_number().over(Window.partitionBy("case").orderBy("distance", "package"))
+    return best.withColumn("_n", place).where(F.col("_n") <= limit).drop("_n")
+
+
+@dataclass
+class Walks:
+    """services: case, service, paths (at most the cap). releases: case, release on their chains."""
+
+    services: DataFrame
+    releases: DataFrame
+
+
+def _sources(graph: Graph) -> DataFrame:
+    """entry, source, pins: the releases that a service's lockfiles pin, and in how many places."""
+    pins = graph.pins.select(F.col("source").alias("key"), F.col("target").alias("entry"))
+    return pins.join(graph.lockfiles.select("key", F.col("service").alias("source")), "key").groupBy("entry", "source").agg(F.count(F.lit(1)).alias("pins"))
+
+
+def service_by_service(graph: Graph, bad: DataFrame, cap: int = S.BASELINE_PATHS, max_hops: int = S.BLAST_HOPS) -> Walks:
+    """What asking for each service alone would show: a walk forward from what it pins, along dependencies
+    whose windows meet, to the bad releases; shortest chains first, no further than the hop at which the service has
+    ``cap`` chains. bad: case, key. Services that share a pinned release share its walk."""
+    sources = written(_sources(graph), "sources")
+    entries = sources.select(F.col("entry").alias("key")).distinct()
+    labels = Labels.of(bad)
+    hits, passed = traverse.forward(entries, graph.dependencies, labels.releases, max_hops - 2, sources, cap, graph.loops())
+    met = written(hits.join(sources, "entry").join(labels.cases, "label").groupBy("case", "source", "hops").agg(F.sum(F.col("ways") * F.col("pins")).alias("n")), "met")
+    found = met.groupBy("case", F.col("source").alias("service")).agg(F.least(F.sum("n"), F.lit(cap)).cast("bigint").alias("paths"))
+    return Walks(found, passed.join(labels.cases, "label").select("case", "release").distinct())
+
+
+def exposed(graph: Graph, bad: DataFrame, max_hops: int = S.BLAST_HOPS) -> DataFrame:
+    """case, service of the services that the batched plan says are exposed: one backward traversal for
+    the cases of all labels. bad: case, key."""
+    labels = Labels.of(bad)
+    counted = traverse.ways(labels.releases.withColumnRenamed("head", "key"), graph.dependencies, max_hops - 2, loops=graph.loops())
+    found = traverse.service_ways(counted, graph.pins, graph.lockfiles).select(F.col("target").alias("label"), "service").distinct()
+    return found.join(labels.cases, "label").select("case", "service").distinct()
 
 
 def scores(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -85,44 +155,54 @@ def scores(expected: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-CASE = "osv_id string, severity string, exposed long, blast_ms double, baseline_ms double, round_trips long, agrees boolean, matched long, missed long, invented long, precision double, recall double"
+def evaluate(graph: Graph, limit: int = 20) -> DataFrame:
+    """A row for each recent incident: osv_id, severity, exposed (services by the batched plan), agrees (whether the
+    walks service by service say the same of every service), and how well name similarity names the packages on the
+    walks' chains: matched, missed, invented, precision, recall."""
+    cases = written(incidents(graph, limit), "incidents")
+    hit = graph.affects.select(F.col("osv_id").alias("case"), F.col("target").alias("key"), "package").distinct()
+    bad = written(hit.join(cases.select(F.col("osv_id").alias("case")), "case", "left_semi"), "bad")
+    ours = written(exposed(graph, bad), "exposed")
+    walks = service_by_service(graph, bad)
+    same = scores(walks.services.select("case", F.col("service").alias("item")), ours.select("case", F.col("service").alias("item"))).select("case", "agrees")
+    implicated = walks.releases.select("case", package_of(F.col("release")).alias("item")).distinct()
+    ranking = by_name_similarity(graph.packages.select(F.col("name").alias("package")), bad)
+    judged = scores(implicated, ranking.select("case", F.col("package").alias("item"))).drop("agrees")
+    counted = ours.groupBy("case").agg(F.count(F.lit(1)).alias("exposed"))
+    rows = cases.withColumnRenamed("osv_id", "case").join(counted, "case", "left").join(same, "case", "left").join(judged, "case", "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("matched", "missed", "invented")]
+    return rows.select(
+        F.col("case").alias("osv_id"), "severity", F.coalesce("exposed", F.lit(0)).alias("exposed"), F.coalesce("agrees", F.lit(True)).alias("agrees"), *zero,
+        F.coalesce("precision", F.lit(1.0)).alias("precision"), F.coalesce("recall", F.lit(1.0)).alias("recall"),
+    )
 
 
-def report(spark: SparkSession, graph: Graph, limit: int = 20, alone: int = 3) -> DataFrame:
-    """A row for each recent incident (``CASE``). blast_ms: the batched plan for all services.
-    baseline_ms, round_trips: ``alone`` services, picked by a hash of their names, each walked on its
-    own; agrees: whether the plan says the same of these. Name similarity is scored against the
-    packages on the chains, as it can't name services."""
-    rows = []
-    for r in incidents(graph, limit).collect():  # at most ``limit`` incidents
-        bad = written(compromise.bad_by_advisory(graph, r.osv_id), "bad")
+def timings(graph: Graph, limit: int = 20) -> tuple[float, float]:
+    """Milliseconds of the batched plan and of the walks service by service, each for all recent incidents."""
+    cases = incidents(graph, limit).select("osv_id")
+    bad = written(graph.affects.join(cases, "osv_id", "left_semi").select(F.col("osv_id").alias("case"), F.col("target").alias("key")).distinct(), "bad")
+    out = []
+    for question in (lambda: exposed(graph, bad), lambda: service_by_service(graph, bad).services):
         began = time.perf_counter()
-        found = written(blast.ways(graph, bad), "exposed")
-        exposed = found.agg(F.countDistinct("service").alias("n")).first().n
-        middle = time.perf_counter()
-        picked = [x.name for x in graph.services.select("name").orderBy(F.xxhash64("name", F.lit(r.osv_id)), "name").limit(alone).collect()]
-        walked = {name: walk_alone(graph, name, bad) for name in picked}
-        ended = time.perf_counter()
-        hit = {x.service for x in found.where(F.col("service").isin(picked)).select("service").distinct().collect()} if picked else set()
-        others = bad.select("package").distinct()
-        chains = traverse.ways(bad.select("key").distinct(), graph.dependencies, S.BLAST_HOPS - 2)
-        implicated = chains.select(package_of(F.col("head")).alias("item")).distinct().join(others.withColumnRenamed("package", "item"), "item", "left_anti")
-        ranked = by_name_similarity(graph.packages.select(F.col("name").alias("package")).join(others, "package", "left_anti"), bad).select(F.col("package").alias("item"))
-        score = scores(implicated.withColumn("case", F.lit(r.osv_id)), ranked.withColumn("case", F.lit(r.osv_id))).first()
-        judged = (score.matched, score.missed, score.invented, score.precision, score.recall) if score else (0, 0, 0, 1.0, 1.0)
-        agrees = all(walked[name] == (name in hit) for name in picked)
-        rows.append((r.osv_id, r.severity, exposed, (middle - began) * 1e3, (ended - middle) * 1e3, len(picked), agrees, *judged))
-    return spark.createDataFrame(rows, CASE)
-
-
-def summary(cases: DataFrame) -> DataFrame:
-    """One row over a report's cases: cases, agreement (1 for none), median_speedup (upper median),
-    round_trips, and the mean similarity_precision and similarity_recall of exposed cases (0 for none)."""
-    speed = F.coalesce(F.try_divide("baseline_ms", "blast_ms"), F.lit(0.0))
-    exposed = F.col("exposed") > 0
-    middle = F.get(F.sort_array(F.collect_list(speed)), F.floor(F.count(F.lit(1)) / 2).cast("int"))  # of at most ``limit`` cases
+        question().write.format("noop").mode("overwrite").save()
+        out.append((time.perf_counter() - began) * 1e3)
+    return out[0], out[1]
+
+
+def report(graph: Graph, limit: int = 20) -> DataFrame:
+    """``evaluate`` with blast_ms and baseline_ms, what all incidents took together, and their quotient as speedup."""
+    plan, walks = timings(graph, limit)
+    return evaluate(graph, limit).select("*", F.lit(plan).alias("blast_ms"), F.lit(walks).alias("baseline_ms"), F.lit(walks / plan).alias("speedup"))
+
+
+def summary(cases: DataFrame, speedup: str | None = None) -> DataFrame:
+    """One row over ``evaluate``'s cases: cases, agreement (1 for none), and the mean similarity_precision and
+    similarity_recall of exposed cases (0 for none). speedup: a column of the cases, of which the upper median is
+    given as median_speedup (0 for none)."""
+    exposed_ = F.col("exposed") > 0
+    middle = [] if speedup is None else [F.coalesce(F.get(F.sort_array(F.collect_list(speedup)), F.floor(F.count(F.lit(1)) / 2).cast("int")), F.lit(0.0)).alias("median_speedup")]  # of at most ``limit`` cases
     return cases.agg(
-        F.count(F.lit(1)).alias("cases"), F.coalesce(F.avg(F.col("agrees").cast("double")), F.lit(1.0)).alias("agreement"), F.coalesce(middle, F.lit(0.0)).alias("median_speedup"),
-        F.coalesce(F.sum("round_trips"), F.lit(0)).alias("round_trips"), F.coalesce(F.avg(F.when(exposed, F.col("precision"))), F.lit(0.0)).alias("similarity_precision"),
-        F.coalesce(F.avg(F.when(exposed, F.col("recall"))), F.lit(0.0)).alias("similarity_recall"),
+        F.count(F.lit(1)).alias("cases"), F.coalesce(F.avg(F.col("agrees").cast("double")), F.lit(1.0)).alias("agreement"), *middle,
+        F.coalesce(F.avg(F.when(exposed_, F.col("precision"))), F.lit(0.0)).alias("similarity_precision"),
+        F.coalesce(F.avg(F.when(exposed_, F.col("recall"))), F.lit(0.0)).alias("similarity_recall"),
     )

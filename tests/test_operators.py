@@ -103,11 +103,13 @@ def graph_edges(spark, links):
 
 def test_prefixes_equal_brute_force(spark):
     r = random.Random(9)
-    links = list({(s, d): (s, d, x := r.randint(0, 50), x + r.randint(1, 60)) for s, d in (r.sample("abcdefg", 2) for _ in range(22))}.values())
-    targets = spark.createDataFrame([("a",), ("b",)], "key string")
+    names = [f"{x}@1" for x in "abcdefg"]
+    links = list({(s, d): (s, d, x := r.randint(0, 50), x + r.randint(1, 60)) for s, d in (r.sample(names, 2) for _ in range(22))}.values())
+    bad = names[:2]
+    targets = spark.createDataFrame([(x,) for x in bad], "key string")
     e = graph_edges(spark, links)
     found = traverse.prefixes(targets, e, 4).collect()
-    brute = brute_paths(links, "ab", 4)
+    brute = brute_paths(links, bad, 4)
     assert {(p.target, tuple(p["keys"]), p.valid_from, p.valid_to) for p in found} == brute
     counted: dict = {}
     for t, keys, x, y in brute:  # the graph has cycles, so some walks aren't simple
@@ -117,9 +119,9 @@ def test_prefixes_equal_brute_force(spark):
         got[p.target, p.head, p.hops, p.valid_from, p.valid_to] = got.get((p.target, p.head, p.hops, p.valid_from, p.valid_to), 0) + p.ways
     assert got == counted
     at = {(p.target, tuple(p["keys"])) for p in traverse.prefixes(targets, e, 4, as_of=30).collect()}
-    assert at == {(t, k) for t, k, x, y in brute_paths(links, "ab", 4) if x <= 30 < y}
+    assert at == {(t, k) for t, k, x, y in brute_paths(links, bad, 4) if x <= 30 < y}
     reached = {x.key for x in traverse.reaching(e.select(F.col("source").alias("key")), targets, e, 7).collect()}
-    seen = {"a", "b"}
+    seen = set(bad)
     for _ in range(7):
         seen |= {s for s, d, _, _ in links if d in seen}
     assert reached == {s for s, *_ in links if s in seen}
@@ -163,9 +165,6 @@ def test_cover_meets_every_row_with_the_fewest_options(rows, preference):
 
 def test_cover_prefers_and_splits():
     assert smallest_cover([{"a", "b"}, {"a", "b"}], ["b", "a"]).chosen == ["b"]
-    # Taking the option with most rows first would need three.
-    rows = [{"wide", "x"}, {"wide", "x"}, {"wide", "y"}, {"wide", "y"}, {"x"}, {"y"}]
-    assert smallest_cover(rows, ["wide", "x", "y"]).chosen == ["x", "y"]
     assert smallest_cover([], ["a"]).chosen == [] and smallest_cover([set()], ["a"]).unmet == 1
     hard = [frozenset(random.Random(i).sample(range(60), 4)) for i in range(300)]
     short = smallest_cover(hard, range(60), effort=1)
@@ -182,10 +181,11 @@ def naive_osa(a, b):
     return d[-1][-1]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text("abc", max_size=7), st.text("abc", max_size=7), st.integers(0, 4))
-def test_osa(a, b, ceiling):
-    assert distance.osa(a, b, ceiling) == min(naive_osa(a, b), ceiling + 1)
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("abcé漢", max_size=7), st.text("abcé漢", max_size=7)), max_size=20), st.integers(0, 8))
+def test_osa(pairs, ceiling):
+    found = distance.osa([a for a, _ in pairs], [b for _, b in pairs], ceiling).tolist()
+    assert found == [min(naive_osa(a, b), ceiling + 1) for a, b in pairs]
 
 
 def test_native_distance(spark):
@@ -196,14 +196,66 @@ def test_native_distance(spark):
         assert all(x.d == min(naive_osa(x.a, x.b), k + 1) for x in df.withColumn("d", distance.distance(F.col("a"), F.col("b"), k)).collect())
 
 
-def test_typosquats(spark):
-    p = spark.createDataFrame([("widgetry", 900), ("wigdetry", 0), ("@fake/widgetry", 3), ("widget-ry", 1), ("widgtry", 2), ("unlike", 0), ("sprocket", 800)], "package string, dependents long")
-    o = spark.createDataFrame([("widgetry", "ann"), ("widget-ry", "ann"), ("wigdetry", "bob")], "package string, maintainer string")
-    found = {x.name: x for x in names.suspects(p, o).collect()}
-    assert {k: v.trick for k, v in found.items()} == {"wigdetry": "one edit", "@fake/widgetry": "scoped copy", "widget-ry": "punctuation", "widgtry": "one edit"}
-    assert [k for k, v in found.items() if v.shares_maintainer] == ["widget-ry"] and found["@fake/widgetry"].ratio == 3 / 900
-    two = {x.name for x in names.suspects(p.unionByName(spark.createDataFrame([("widxxtry", 0)], p.schema)), o, max_distance=2).collect()}
-    assert "widxxtry" in two
+def naive_radar(counts, owners, popular_at, most):
+    """All pairs, the first trick that fits."""
+    out = {}
+    for name, n in counts.items():
+        for other, m in counts.items():
+            if name == other or n >= popular_at or m < popular_at or n >= m:
+                continue
+            plain = [x.translate({ord(c): None for c in "-_."}) for x in (name, other)]
+            d = naive_osa(name, other)
+            if name.startswith("@") and name.split("/")[-1] == other:
+                trick = ("scoped copy", 0)
+            elif plain[0] == plain[1]:
+                trick = ("punctuation", 0)
+            elif d <= most:
+                trick = ("one edit" if d == 1 else f"{d} edits", d)
+            else:
+                continue
+            out[name, other] = (*trick, bool(owners.get(name, set()) & owners.get(other, set())), n / m)
+    return out
+
+
+def test_suspects_equal_a_naive_radar(spark):
+    r = random.Random(12)
+    bases = ["".join(r.choices("abcd", k=r.randint(3, 6))) for _ in range(25)]
+    names_ = set(bases) | {f"@s/{r.choice(bases)}" for _ in range(6)} | {f"{x[:2]}-{x[2:]}" for x in r.sample(bases, 8)} | {x[:i] + r.choice("abcdx") + x[i + 1 :] for x in bases for i in [r.randrange(len(x))]}
+    counts = {x: r.choice([0, 1, 3, 9, 30, 40, 100]) for x in sorted(names_)}
+    owners = {x: set(r.sample(["ann", "bob", "cid", "dee"], r.randint(0, 2))) for x in counts}
+    p = spark.createDataFrame(list(counts.items()), "package string, dependents long")
+    o = spark.createDataFrame([(x, m) for x, ms in owners.items() for m in ms], "package string, maintainer string")
+    for most in (1, 2):
+        found = {(x.name, x.resembles): (x.trick, x.distance, x.shares_maintainer, x.ratio) for x in names.suspects(p, o, 30, most).collect()}
+        assert found == naive_radar(counts, owners, 30, most) and found
+
+
+def test_discovery_order_and_budget_equal_a_queue(spark):
+    r = random.Random(6)
+    names_ = [f"p{i}" for i in range(40)]
+    declared = [(r.choice(names_), r.choice([*names_, "missing"]), r.choice(["runtime", "dev", "optional", "peer"])) for _ in range(160)]
+    known = set(r.sample(names_, 34))
+    seeds = r.sample(names_, 5)
+
+    def crawl(depth, budget):
+        queue, queued, out = [(s, 0) for s in seeds], set(seeds), []
+        while queue and len(out) < budget:
+            name, at = queue.pop(0)
+            if name not in known:
+                continue
+            out.append((name, at, len(out)))
+            if at < depth:
+                for d in sorted({d for p, d, k in declared if p == name and (at == 0 or k in ("runtime", "optional"))} - queued):
+                    queued.add(d)
+                    queue.append((d, at + 1))
+        return sorted(out)
+
+    s = spark.createDataFrame([(x, i) for i, x in enumerate(seeds)], "package string, place long")
+    d = spark.createDataFrame(declared, "package string, dependency string, kind string")
+    k = spark.createDataFrame([(x,) for x in known], "package string")
+    for depth, budget in ((0, 3), (2, 12), (4, 20), (4, 10**6)):
+        assert rows(traverse.discover(s, d, k, depth, budget).select("package", "depth", "place")) == crawl(depth, budget)
+    assert rows(traverse.discover(s, d, k, 4).select("package", "depth", "place")) == crawl(4, 10**6)
 
 
 def test_advisory_intervals(spark):

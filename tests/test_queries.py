@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from blastgraph import cli, queries
 from blastgraph import ingest as load
 from blastgraph.graph import Graph, census
+from blastgraph.operators import traverse
 from blastgraph.plans import blast, compromise, evaluate, fix
 from blastgraph.sources.projection import Projection
 from blastgraph.streaming import ingest
@@ -123,10 +126,78 @@ def test_ingest_from_files(spark, tmp_path):
 
 
 def test_evaluation(spark, saved):
-    report = evaluate.report(spark, Graph.load(spark, saved), 2, alone=2)
-    total = evaluate.summary(report).first()
-    assert (total.cases, total.agreement, total.round_trips) == (2, 1.0, 4)
+    graph = Graph.load(spark, saved)
+    report = evaluate.report(graph, 2).cache()
+    total = evaluate.summary(report, "speedup").first()
+    assert (total.cases, total.agreement) == (2, 1.0) and total.median_speedup > 0
     assert evaluate.summary(report.limit(0)).first().agreement == 1.0
+    assert evaluate.by_name_similarity(graph.packages.select("name").toDF("package"), spark.createDataFrame([], "case string, package string")).count() == 0
+
+
+def naive_forward(links, sources, bad, hops, cap):
+    """Depth first, one source and case at a time: chains met (at most cap), and the releases on them."""
+    out, on = {}, set()
+
+    def walk(path, low, high):
+        if path[-1] in bad:
+            yield path
+        if len(path) <= hops:
+            for s, d, x, y in links:
+                if s == path[-1] and d not in path and max(low, x) < min(high, y):
+                    yield from walk([*path, d], max(low, x), min(high, y))
+
+    for source, entries in sources.items():
+        for entry, pins in entries.items():
+            for path in walk([entry], 0, 10**9):
+                for case in bad[path[-1]]:
+                    out[case, source] = out.get((case, source), 0) + pins
+                    on |= {(case, r) for r in path}
+    return {k: min(v, cap) for k, v in out.items()}, on
+
+
+def test_walks_service_by_service_equal_brute_force(spark):
+    r = random.Random(31)
+    for letters, n in (("abcdefgh", 22), ("abcdefghij", 18)):
+        names = [f"{x}@1" for x in letters]
+        links = list({(s, d): (s, d, x := r.randint(0, 50), x + r.randint(1, 60)) for s, d in (r.sample(names, 2) for _ in range(n))}.values())
+        bad = {names[0]: ["one", "two"], names[1]: ["two"]}
+        sources = {f"shop{i}": {e: r.randint(1, 3) for e in r.sample(names, 3)} for i in range(4)}
+        edges = spark.createDataFrame([("DEPENDS_ON", s, d, "1", x, y) for s, d, x, y in links], "rel_type string, source string, target string, resolved_to string, valid_from long, valid_to long")
+        marks = evaluate.Labels.of(spark.createDataFrame([(c, k) for k, cs in bad.items() for c in cs], "case string, key string"))
+        asked = spark.createDataFrame([(e, s, p) for s, es in sources.items() for e, p in es.items()], "entry string, source string, pins long")
+        hits, passed = traverse.forward(asked.selectExpr("entry as key").distinct(), edges, marks.releases, 4, asked, 10**6)
+        counted = hits.join(asked, "entry").join(marks.cases, "label").groupBy("case", "source").agg(F.sum(F.col("ways") * F.col("pins")).alias("n"))
+        want, on = naive_forward(links, sources, bad, 4, 10**6)
+        assert {(x.case, x.source): x.n for x in counted.collect()} == want
+        assert {(x.case, x.release) for x in passed.join(marks.cases, "label").select("case", "release").collect()} == on
+        few, _ = traverse.forward(asked.selectExpr("entry as key").distinct(), edges, marks.releases, 4, asked, 2)
+        counted = few.join(asked, "entry").join(marks.cases, "label").groupBy("case", "source").agg(F.least(F.sum(F.col("ways") * F.col("pins")), F.lit(2)).alias("n"))
+        assert {(x.case, x.source): x.n for x in counted.collect()} == {k: min(v, 2) for k, v in want.items()}
+
+
+def test_first_paths_and_chains_build_no_more_than_they_show(spark, saved, monkeypatch):
+    graph = Graph.load(spark, saved)
+    bad = compromise.bad_by_range(graph, "pkg20")
+    every = blast.paths(graph, bad, links=True)
+    deepest = every.agg(F.max("hops")).first()[0]
+    levels = []
+    whole = traverse.prefix_levels
+    monkeypatch.setattr(traverse, "prefix_levels", lambda *a, **k: (levels.append(x) or x for x in whole(*a, **k)))
+    order = ["hops", "service", "target", "chain"]
+    for cap in (1, 7, 40, 10**6):
+        levels.clear()
+        found = blast.shown(blast.first_paths(graph, bad, cap=cap), "truncated")
+        want = blast.shown(blast.truncated(every, cap), "truncated")
+        assert plain(found.toPandas()) == plain(want.toPandas())
+        last = max(x.hops for x in found.collect())
+        assert len(levels) + 1 <= last + 1 or cap > every.count() or found.count() < cap + 1 == len(levels)
+    assert len(levels) <= deepest - 1 + 1
+    for cap in (3, 25, 10**6):
+        columns = ["path_id", "service", "hops", "target", "chain", "truncated"]
+        few = fix.chains(graph, bad, cap=cap)
+        assert plain(fix.numbered(few, cap).select(columns).toPandas()) == plain(fix.numbered(every, cap).select(columns).toPandas())
+        assert cap > 100 or few.select("service").distinct().count() <= cap + 1
+    assert order
 
 
 def test_streaming_advisories(spark, tmp_path):
