@@ -1,7 +1,7 @@
 """From documents to a graph: package documents, lockfiles with their services, advisories.
 
 ``build`` is one declarative plan from parsed tables to a Graph; what several later tables read is
-written once. ``Ingested.counters`` counts what came in and what was left out, and why.
+written once. ``snapshots.refresh`` takes the same steps in stages that survive a crash and are brought up to date. ``Ingested.counters`` counts what came in and what was left out, and why.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import schema as S
 from .graph import Graph
 from .operators import advisories as A
-from .operators import edges, pins, resolve
+from .operators import edges, pins, resolve, traverse
 from .sources import lockfiles, packuments
 from .storage import written
 
@@ -34,44 +34,53 @@ def _counted(name: str, rows: DataFrame, what: Column | None = None) -> DataFram
     return rows.agg(n.cast("bigint").alias("n")).select(F.lit(name).alias("counter"), "n")
 
 
-def _dependencies(documents: DataFrame, releases: DataFrame, dev_packages: DataFrame | None, windows_kept: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Edges between written releases, and the counters of resolution."""
-    declared = packuments.dependencies(documents)
-    timeline = written(packuments.version_times(documents), "timeline")
-    crawled = timeline.select(F.col("package").alias("dependency")).distinct()
-    facts = declared.join(releases.select("package", "version", "key", "published_at"), ["package", "version"]).join(crawled, "dependency", "left_semi")
+def reduced(documents: DataFrame, versions_kept: int = S.VERSIONS_KEPT) -> dict[str, DataFrame]:
+    """What later steps need of package documents, each package's rows from its own documents alone: releases (the
+    latest ``versions_kept``), packages, people, timeline, declared."""
+    return {
+        "releases": packuments.recent(packuments.releases(documents), versions_kept), "packages": packuments.packages(documents), "people": packuments.maintainers(documents),
+        "timeline": packuments.version_times(documents), "declared": packuments.dependencies(documents),
+    }
+
+
+def facts_of(tables: dict[str, DataFrame], dev_packages: DataFrame | None = None) -> DataFrame:
+    """source, published_at, dependency, range, kind of what kept releases declare on packages that were crawled."""
+    crawled = tables["timeline"].select(F.col("package").alias("dependency")).distinct()
+    releases = tables["releases"].select("package", "version", "key", "published_at")
+    facts = tables["declared"].join(releases, ["package", "version"]).join(crawled, "dependency", "left_semi")
     if dev_packages is not None:
         near = dev_packages.select("package").distinct().withColumn("near", F.lit(True))
         facts = facts.join(near, "package", "left").where("kind <> 'dev' or near").drop("near")
-    facts = written(facts.select(F.col("key").alias("source"), "published_at", "dependency", "range", "kind"), "declared")
+    return facts.select(F.col("key").alias("source"), "published_at", "dependency", "range", "kind")
+
+
+def windows_of(facts: DataFrame, timeline: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(windows of the ranges asked for; package, range, parses, met of each: whether it is a range, and has a release)."""
     requests = facts.select(F.col("dependency").alias("package"), "range").distinct()
     windows = written(resolve.resolution_windows(timeline, requests), "windows")
-    judged = requests.join(resolve.parsed_ranges(requests), "range").join(windows.select("package", "range").distinct().withColumn("met", F.lit(True)), ["package", "range"], "left")
+    met = windows.select("package", "range").distinct().withColumn("met", F.lit(True))
+    judged = requests.join(resolve.parsed_ranges(requests), "range").join(met, ["package", "range"], "left")
+    return windows, judged.select("package", "range", F.col("parsed").isNotNull().alias("parses"), F.coalesce("met", F.lit(False)).alias("met"))
+
+
+EDGE = ("rel_type", "source", "target", "range", "resolved_to", "kind", "valid_from", "valid_to")
+
+
+def linked(facts: DataFrame, windows: DataFrame, releases: DataFrame, windows_kept: int = S.WINDOWS_PER_DEPENDENCY) -> DataFrame:
+    """Edges with ``written``: those between kept releases once each, the strongest; and those to releases that
+    weren't kept."""
     resolved = written(resolve.dependency_edges(facts, windows, windows_kept), "resolved")
-    known = written(edges.strongest(edges.known_endpoints(resolved, releases, releases)).drop("ordinal"), "dependencies")
-    counters = [
-        _counted("declared", facts), _counted("unresolvable_ranges", judged, F.col("parsed").isNull()),
-        _counted("unsatisfied_ranges", judged, F.col("parsed").isNotNull() & F.col("met").isNull()),
-        _counted("unwritten_targets", edges.unwritten_targets(resolved, releases)),
-        _counted("depends_on", known, F.col("rel_type") == S.DEPENDS_ON), _counted("dev_depends_on", known, F.col("rel_type") == S.DEV_DEPENDS_ON),
-    ]
-    return known, counters
+    known = edges.strongest(edges.known_endpoints(resolved, releases, releases)).select(*EDGE, F.lit(True).alias("written"))
+    return known.unionByName(edges.unwritten_targets(resolved, releases).select(*EDGE, F.lit(False).alias("written")))
 
 
-def build(
-    documents: DataFrame, services: DataFrame, files: DataFrame, advisories: DataFrame, dev_packages: DataFrame | None = None,
-    versions_kept: int = S.VERSIONS_KEPT, windows_kept: int = S.WINDOWS_PER_DEPENDENCY,
-) -> Ingested:
-    """documents: document (package metadata). services: name, repo, criticality. files: service,
-    path, document, manifest, committed_at. advisories: value (JSON text). dev_packages: the packages
-    whose development dependencies count, all where there is none."""
-    releases = written(packuments.recent(packuments.releases(documents), versions_kept), "releases")
-    packages = written(packuments.packages(documents), "packages")
-    people = written(packuments.maintainers(documents), "people")
+def assemble(tables: dict[str, DataFrame], services: DataFrame, files: DataFrame, advisories: DataFrame) -> Ingested:
+    """The graph and the counters. tables: those of ``reduced``, and facts, judged, edges."""
+    releases, packages, people = tables["releases"], tables["packages"], tables["people"]
     publishers = releases.where("publisher <> ''")
     accounts = people.select("username", "email").unionByName(publishers.select(F.col("publisher").alias("username"), F.lit("").alias("email")))
     maintainers = accounts.groupBy("username").agg(F.max("email").alias("email")).select("username", F.lit("npm").alias("ecosystem"), "email")
-    dependencies, counters = _dependencies(documents, releases, dev_packages, windows_kept)
+    dependencies = tables["edges"].where("written").drop("written")
 
     path = F.concat_ws(":", "service", "path")
     read = written(lockfiles.pins(files), "pins")
@@ -93,7 +102,11 @@ def build(
         pins=pinned, dependencies=dependencies, affects=affects,
     )
     ids = parsed.select("osv_id").distinct()
-    counters += [
+    judged = tables["judged"]
+    counters = [
+        _counted("declared", tables["facts"]), _counted("unresolvable_ranges", judged, ~F.col("parses")), _counted("unsatisfied_ranges", judged, F.col("parses") & ~F.col("met")),
+        _counted("unwritten_targets", tables["edges"], ~F.col("written")),
+        _counted("depends_on", dependencies, F.col("rel_type") == S.DEPENDS_ON), _counted("dev_depends_on", dependencies, F.col("rel_type") == S.DEV_DEPENDS_ON),
         _counted("packages", packages), _counted("releases", releases), _counted("maintainers", maintainers), _counted("services", services), _counted("lockfiles", lock),
         _counted("pins", pinned), _counted("direct_pins", read, F.col("direct")), _counted("unmatched_pins", unmatched),
         _counted("advisory_records", advisories), _counted("advisory_malformed", advisories, A.malformed(F.col("value"))), _counted("advisories_parsed", ids),
@@ -102,9 +115,36 @@ def build(
     return Ingested(graph, reduce(DataFrame.unionByName, counters), unmatched)
 
 
-def from_folders(spark: SparkSession, documents: str, organisation: str, repositories: str, archive: str, **options) -> Ingested:
+def build(
+    documents: DataFrame, services: DataFrame, files: DataFrame, advisories: DataFrame, dev_packages: DataFrame | None = None,
+    versions_kept: int = S.VERSIONS_KEPT, windows_kept: int = S.WINDOWS_PER_DEPENDENCY,
+) -> Ingested:
+    """documents: document (package metadata). services: name, repo, criticality. files: service,
+    path, document, manifest, committed_at. advisories: value (JSON text). dev_packages: the packages
+    whose development dependencies count, all where there is none."""
+    tables = {name: table if name == "declared" else written(table, name) for name, table in reduced(documents, versions_kept).items()}
+    tables["facts"] = written(facts_of(tables, dev_packages), "declared")
+    windows, judged = windows_of(tables["facts"], tables["timeline"])
+    tables["judged"] = written(judged, "judged")
+    tables["edges"] = written(linked(tables["facts"], windows, tables["releases"], windows_kept), "dependencies")
+    return assemble(tables, services, files, advisories)
+
+
+def crawl(documents: DataFrame, seeds: DataFrame, depth: int, budget: int | None = None, dev_horizon: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(documents of the packages that a crawl from the seeds takes; those of them within the horizon, whose
+    development dependencies count). seeds: package, and place where they have an order."""
+    named = documents.select(F.get_json_object("document", "$.name").alias("package"), "document")
+    declared = packuments.dependencies(documents).select("package", "dependency", "kind")
+    taken = written(traverse.discover(seeds, declared, named.select("package").distinct(), depth, budget), "crawled")
+    return named.join(taken.select("package"), "package", "left_semi").select("document"), taken.where(F.col("depth") <= dev_horizon).select("package")
+
+
+def from_folders(
+    spark: SparkSession, documents: str, organisation: str, repositories: str, archive: str, seeds: list[str] | None = None, depth: int = 3, budget: int | None = None, folder: str | None = None, **options,
+) -> Ingested:
     """The same from files: package documents (JSON, one per file), an organisation manifest, the
-    folder its services' paths are under, and an archive or folder of advisories."""
+    folder its services' paths are under, and an archive or folder of advisories. With seeds only what a crawl from
+    them takes; with a folder in stages that are taken up again and brought up to date (``snapshots``)."""
     from .sources import archives, org
 
     services = written(org.read(spark, organisation), "services")
@@ -112,4 +152,12 @@ def from_folders(spark: SparkSession, documents: str, organisation: str, reposit
     at = F.regexp_replace(F.concat(F.lit(repositories.rstrip("/") + "/"), "path"), "^file:/*", "/")
     owner = services.select(F.col("name").alias("service"), at.alias("folder"), "committed_at")
     files = found.withColumn("folder", F.regexp_replace(F.col("folder"), "^file:/*", "/")).join(owner, "folder").select("service", "path", "document", "manifest", "committed_at")
-    return build(packuments.read(spark, documents), services, files, archives.read(spark, archive), **options)
+    read = packuments.read(spark, documents)
+    if seeds is not None:
+        order = spark.createDataFrame([(name, i) for i, name in enumerate(seeds)], "package string, place long")
+        read, options["dev_packages"] = crawl(read, order, depth, budget)
+    if folder is not None:
+        from .snapshots import refresh
+
+        return refresh(folder, read, services, files, archives.read(spark, archive), **options)
+    return build(read, services, files, archives.read(spark, archive), **options)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ingest, samples
+from . import ingest, samples, snapshots
 from . import oracle as O
 from . import schema as S
 from .functions import coordinates, distance, semver, times
@@ -14,6 +16,7 @@ from .operators import advisories, edges, names, pins, resolve, traverse
 from .plans import blast, compromise, evaluate, fix, people
 from .sources import lockfiles, packuments
 from .sources.projection import Projection, package_name
+from .storage import shared_folder
 
 #: Demonstration parameters: a moment, the typosquat radar's threshold, the share for chain lists.
 AS_OF = 915_148_800
@@ -719,6 +722,19 @@ def ingest_graph(p):
     return _ingested(p).graph.dependencies
 
 
+@query(samples.SQL + "SELECT * FROM mdep")
+def ingest_refresh(p):
+    """The same edges, brought up to date: first a tenth of the packages had other documents and another tenth none."""
+    number = F.regexp_extract(F.get_json_object("document", "$.name"), r"(\d+)$", 1).cast("long")
+    now = samples.packuments(p)
+    before = now.where(number % 10 != 5).withColumn("document", F.when(number % 10 == 4, F.regexp_replace("document", "2\\.1\\.0", "3.0.0")).otherwise(F.col("document")))
+    folder = f"{shared_folder(p.spark)}/refresh-{uuid.uuid4().hex}"
+    rest = (p.services, samples.lockfiles(p), samples.advisories(p))
+    for documents in (before, now):
+        made = snapshots.refresh(folder, documents, *rest, versions_kept=samples.KEPT, windows_kept=samples.WINDOWS)
+    return made.graph.dependencies
+
+
 @query(samples.SQL + "SELECT service || ':' || path AS source, r.key AS target, name AS package, m.version, direct FROM mpins m JOIN kept r ON r.package = name AND r.version = m.version")
 def ingest_pins(p):
     return _ingested(p).graph.pins.select("source", "target", "package", "version", "direct")
