@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..graph import Graph
 from ..operators import edges, resolve, traverse
-from ..storage import written
+from ..storage import path_of, written
 
 WINDOWS = 2
 EVENT = "k int"
@@ -35,11 +35,19 @@ def _seconds(stamp: str) -> Column:
     return F.unix_timestamp(F.col(stamp).cast("timestamp"))
 
 
-def _state(spark: SparkSession, folder: str) -> tuple:
-    """Names, sizes and times of a folder's files: what is built from them is right as long as these stay."""
+def _files(spark: SparkSession, folder: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of all files below a folder: what is built from them is right as long as these stay."""
+    system, path = _files(spark, folder)
+    found, out = system.listFiles(path, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 class Projection:
@@ -47,7 +55,7 @@ class Projection:
     and again (releases, dependencies, dependents) is written when first asked for; ``of`` gives all
     questions of a session over the same files the same Projection, so it is written once."""
 
-    _known: dict[tuple, Projection] = {}
+    _known: dict[tuple, tuple[tuple, Projection]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -55,10 +63,18 @@ class Projection:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Projection:
-        key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir, _state(spark, sf_dir))
-        if key not in cls._known:
-            cls._known[key] = cls(spark, sf_dir)
-        return cls._known[key]
+        key, state = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir), _state(spark, sf_dir)
+        known = cls._known.get(key)
+        if known is None or known[0] != state or not known[1].whole():
+            cls._known[key] = (state, cls(spark, sf_dir))
+        return cls._known[key][1]
+
+    def whole(self) -> bool:
+        """Whether all tables that were written for it are still there."""
+        kept = [self.__dict__.get("raw_releases"), self.__dict__.get("dependencies"), *self._shared.values()]
+        tables = [t for x in kept for t in (vars(x.graph).values() if hasattr(x, "graph") else [x])]
+        paths = [p for p in (path_of(t) for t in tables if isinstance(t, DataFrame)) if p]
+        return all(system.exists(path) for system, path in (_files(self.spark, p) for p in paths))
 
     def shared(self, name: str, make: Callable):
         """What ``make`` gave when it was first asked for under this name."""

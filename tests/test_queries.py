@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from blastgraph import cli, queries
+from blastgraph import cli, queries, storage
 from blastgraph import ingest as load
 from blastgraph.graph import Graph, census
 from blastgraph.operators import traverse
@@ -39,6 +39,21 @@ def test_query_equals_sql(name, spark, sf, duck):
     assert plain(queries.QUERIES[name](spark, sf).toPandas()) == plain(duck.execute(queries.ORACLE_SQL[name]).df())
 
 
+def test_projections_follow_their_files_and_tables(spark, sf, tmp_path):
+    import shutil
+
+    for name in ("lineitem", "part"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(500).write.parquet(str(tmp_path / f"{name}.parquet"))
+    one = Projection.of(spark, str(tmp_path))
+    n = one.raw_releases.count()
+    assert Projection.of(spark, str(tmp_path)) is one
+    shutil.rmtree(storage.path_of(one.raw_releases).removeprefix("file://"))
+    two = Projection.of(spark, str(tmp_path))
+    assert two is not one and two.raw_releases.count() == n
+    spark.read.parquet(f"{sf}/lineitem.parquet").limit(100).write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
+    assert Projection.of(spark, str(tmp_path)).raw_releases.count() < n
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 
