@@ -1,6 +1,7 @@
 """Command line: questions over a saved graph.
 
     python -m blastgraph.cli GRAPH doctor [--edges]
+    python -m blastgraph.cli GRAPH probe
     python -m blastgraph.cli GRAPH blast --package lodash [--versions SPEC] [--as-of DATE] [--runtime-only]
     python -m blastgraph.cli GRAPH fix | reach | pivot | typosquat | evaluate ...
     python -m blastgraph.cli GRAPH project TABLES
@@ -17,11 +18,12 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ingest
+from . import ingest, storage
 from .functions.times import moment
 from .graph import Graph, census, census_edges, census_totals
 from .plans import blast, compromise, evaluate, fix, people
 from .sources.projection import Projection
+from .sources.seeds import SEEDS
 
 
 def _bad(graph: Graph, args) -> DataFrame:
@@ -45,10 +47,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--json", help="folder to write the answer to, as JSON lines")
     commands = p.add_subparsers(dest="command", required=True)
     commands.add_parser("doctor").add_argument("--edges", action="store_true")
+    commands.add_parser("probe")
     commands.add_parser("overview").add_argument("--advisories", action="store_true")
     c = commands.add_parser("ingest")
     for name in ("documents", "organisation", "repositories", "advisories"):
         c.add_argument(f"--{name}", required=True)
+    c.add_argument("--seeds", nargs="*", help="crawl from these packages; without names from popular ones")
+    c.add_argument("--depth", type=int, default=3)
+    c.add_argument("--max-packages", type=int)
+    c.add_argument("--state", help="folder that keeps stages between runs")
     commands.add_parser("project").add_argument("tables")
     for name in ("blast", "fix", "reach"):
         c = commands.add_parser(name)
@@ -74,9 +81,12 @@ def answer(spark: SparkSession, args) -> DataFrame:
         Projection(spark, args.tables).snapshot().save(args.graph)
         return census(Graph.load(spark, args.graph))
     if args.command == "ingest":
-        made = ingest.from_folders(spark, args.documents, args.organisation, args.repositories, args.advisories)
+        seeds = list(SEEDS) if args.seeds == [] else args.seeds
+        made = ingest.from_folders(spark, args.documents, args.organisation, args.repositories, args.advisories, seeds, args.depth, args.max_packages, args.state)
         made.graph.save(args.graph)
         return made.counters
+    if args.command == "probe":
+        return storage.round_trip(spark)
     graph = Graph.load(spark, args.graph)
     if args.command == "doctor":
         rows = census_edges(graph).withColumnRenamed("rel_type", "label") if args.edges else census(graph)

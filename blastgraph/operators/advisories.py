@@ -47,6 +47,11 @@ def fold_events(events: Column) -> Column:
     return F.coalesce(F.aggregate(events, start, step, finish), F.array().cast(INTERVALS))
 
 
+def unfixed(intervals: Column) -> Column:
+    """Whether some interval names no version that fixes it."""
+    return F.exists(intervals, lambda i: F.coalesce(i["fixed"], F.lit("")) == "")
+
+
 def malformed(value: Column) -> Column:
     """Whether a text is no JSON."""
     return F.try_parse_json(value).isNull()

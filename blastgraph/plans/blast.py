@@ -68,6 +68,17 @@ def first_paths(graph: Graph, bad: DataFrame, as_of: int | None = None, include_
     return truncated(reduce(DataFrame.unionByName, found), cap)
 
 
+def open_ended() -> Column:
+    """Whether a path's window has no end yet."""
+    return F.col("valid_to") >= S.OPEN_END
+
+
+def shortened(found: DataFrame, asked: int = S.BLAST_HOPS) -> DataFrame:
+    """One row over counted chains: depth reached, and whether it is less than was asked for."""
+    depth = F.coalesce(F.max("hops"), F.lit(0)).cast("bigint")
+    return found.agg(depth.alias("depth")).withColumn("shortened", (F.col("depth") > 0) & (F.col("depth") < asked))
+
+
 def radius(found: DataFrame) -> DataFrame:
     """One row over counted chains: paths, services, deepest."""
     return found.agg(

@@ -34,6 +34,13 @@ def header(graph: Graph, osv_id: str) -> DataFrame:
     return graph.advisories.where(F.col("osv_id") == osv_id).select("osv_id", "summary", "severity", "published_at")
 
 
+def answer(graph: Graph, osv_id: str) -> DataFrame:
+    """``summary`` of what an advisory affects under its header: osv_id, summary, severity, published_at, and
+    unfixed, whether it names no fix at all for the package."""
+    found = summary(bad_by_advisory(graph, osv_id))
+    return header(graph, osv_id).join(F.broadcast(found)).withColumn("unfixed", F.col("fixed_in") == "")  # one row and those of one advisory
+
+
 def known(bad: DataFrame, what: str) -> DataFrame:
     """``bad`` itself, or NothingKnown where it is empty."""
     if bad.isEmpty():

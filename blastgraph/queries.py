@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -248,6 +249,58 @@ def compromise_advisory(p):
     return compromise.summary(compromise.bad_by_advisory(graph, first))
 
 
+@query(O.plain("""SELECT f.osv_id, 'defect in ' || a.package AS summary, any_value(f.severity) AS severity, any_value(f.published_at) AS published_at, a.package,
+    array_to_string(list_sort(list(DISTINCT a.version)), ',') AS versions, any_value(a.fixed_in) AS fixed_in,
+    (SELECT min(r.published_at) FROM rel r JOIN affects b ON b.target = r.key WHERE b.osv_id = f.osv_id) AS introduced_at, count(*) AS releases, FALSE AS unfixed
+    FROM affects a JOIN adv f USING (osv_id) WHERE f.osv_id = (SELECT max(osv_id) FROM affects) GROUP BY f.osv_id, a.package"""))
+def compromise_answer(p):
+    """What an advisory is about, and what it affects."""
+    graph = p.graph()
+    return compromise.answer(graph, graph.affects.agg(F.max("osv_id").alias("m")).first().m)
+
+
+@query(samples.SQL + f"""SELECT osv_id, {O.name('part')} AS package, event_id % 3 = 1 AS unfixed, CASE WHEN event_id % 3 = 2 THEN 2 ELSE 1 END AS intervals FROM madv""")
+def advisory_unfixed(p):
+    """Whether some interval of an advisory has no fix; events as in ``advisory_events``."""
+    rows = p.table("events").where("event_type = 'error'").withColumn("k", F.from_json("props", "k int")["k"])
+    number, parts = F.col("event_id"), p.table("part").agg(F.count(F.lit(1)).alias("parts"))
+    kind = F.when(number % 3 == 0, "fixed").when(number % 3 == 1, "last_affected").otherwise("introduced")
+    second = F.when(number % 3 == 2, F.array(F.create_map(F.lit("fixed"), F.lit("1.1.0")), F.create_map(F.lit("introduced"), F.lit("2.0.0")), F.create_map(F.lit("fixed"), F.lit("2.1.0"))))
+    events = F.coalesce(second, F.array(F.create_map(kind, samples._at(samples.VERSIONS, 2 + F.col("k") % 5))))
+    whole = F.to_json(F.concat(F.array(F.create_map(F.lit("introduced"), F.lit("1.0.0"))), events))
+    folded = advisories.fold_events(F.from_json(whole, f"array<{advisories.EVENT}>"))
+    found = rows.crossJoin(F.broadcast(parts)).select(F.concat(F.lit("A-"), number).alias("osv_id"), package_name(number % F.col("parts")).alias("package"), folded.alias("intervals"))  # one row
+    return found.select("osv_id", "package", advisories.unfixed(F.col("intervals")).alias("unfixed"), F.size("intervals").alias("intervals"))
+
+
+@query(O.blast() + f"SELECT valid_to = {O.OPEN_END} AS open_ended, count(*) AS paths FROM paths GROUP BY 1")
+def blast_open_ended(p):
+    """Chains whose window is still open, and others."""
+    return blast.paths(p.graph(), bad_of(p)).groupBy(blast.open_ended().alias("open_ended")).agg(F.count(F.lit(1)).alias("paths"))
+
+
+@query(O.blast() + "SELECT CAST(coalesce(max(hops), 0) AS BIGINT) AS depth, coalesce(max(hops), 0) BETWEEN 1 AND 7 AS shortened FROM paths")
+def blast_shortened(p):
+    return blast.shortened(blast.ways(p.graph(), bad_of(p)))
+
+
+@query(O.blast() + """SELECT p.service, count(*) AS paths, CASE WHEN any_value(c_custkey) % 3 = 0 OR any_value(c_custkey) % 3 = 1 THEN 'unknown' ELSE any_value(c_mktsegment) END AS criticality
+    FROM paths p JOIN customer ON c_name = p.service GROUP BY p.service""")
+def blast_criticality(p):
+    """Services of which a third have no criticality and a third an empty one."""
+    number = F.col("c_custkey") % 3
+    named = p.table("customer").select(F.col("c_name").alias("name"), F.when(number == 1, "").when(number == 2, F.col("c_mktsegment")).alias("criticality"))
+    graph = p.graph()
+    found = blast.services(SimpleNamespace(services=named), blast.ways(graph, bad_of(p)))
+    return found.select("service", "paths", "criticality")
+
+
+@query(O.plain("SELECT key, package, version FROM rel"))
+def release_keys(p):
+    """The two halves of every release's key."""
+    return p.releases.select("key", coordinates.package_of(F.col("key")).alias("package"), coordinates.version_of(F.col("key")).alias("version"))
+
+
 @query(O.blast() + O.SHOWN)
 def blast_paths(p):
     return blast.shown(blast.paths(p.graph(), bad_of(p)))
@@ -341,6 +394,19 @@ def chokepoint_candidates(p):
     return fix.changes(fix.numbered(_chains(p))).select("rel_type", "holder", "depends_on", "version", "severs", "mine")
 
 
+@query(O.blast(share=NEAR) + _NUMBERED + """, widest AS (SELECT rel_type, holder, depends_on, version, count(DISTINCT path_id) AS n FROM hops_on GROUP BY ALL),
+    avoided AS (SELECT * FROM widest WHERE n = (SELECT max(n) FROM widest))
+    SELECT CASE rel_type WHEN 'PINS' THEN concat_ws(' ', 'move our pin of', depends_on, 'in', holder) ELSE concat_ws(' ', 'ask', holder, 'to move off', depends_on) END AS description,
+        count(DISTINCT path_id) AS severs FROM hops_on ANTI JOIN avoided USING (rel_type, holder, depends_on, version) GROUP BY rel_type, holder, depends_on, version""")
+def fix_offered(p):
+    """Every change in words, without those that cut most chains, which are ruled out."""
+    paths = fix.written(fix.numbered(_chains(p)), "fix-paths")
+    every = fix.written(fix.changes(paths), "fix-changes")
+    most = every.agg(F.max("severs").alias("severs"))
+    offered = fix.offered(paths, every.join(most, "severs", "left_semi"))
+    return offered.select(fix.description().alias("description"), "severs")
+
+
 @query(O.blast() + "SELECT count(*) AS naive FROM (SELECT DISTINCT service, target FROM paths)")
 def naive_cost(p):
     return fix.naive_cost(blast.ways(p.graph(), bad_of(p)))

@@ -111,6 +111,7 @@ def test_fix_chooses_the_fewest_changes_and_own_pins_first(spark):
 
 def test_command_line(spark, saved, capsys):
     assert cli.main([saved, "doctor"]) == 0
+    assert cli.main([saved, "probe"]) == 0
     assert cli.main([saved, "reach", "--package", "pkg20"]) == 0
     assert cli.main([saved, "blast", "--package", "no-such-package"]) == 1
     with pytest.raises(SystemExit):
@@ -121,6 +122,15 @@ def test_command_line(spark, saved, capsys):
     assert "Release" in capsys.readouterr().out
 
 
+def test_probe(spark, monkeypatch, tmp_path):
+    row = storage.round_trip(spark).first()
+    assert row.readable and row.deletable and row.healthy and row.elapsed_ms > 0
+    (tmp_path / "file").write_text("no folder")
+    monkeypatch.setattr(storage, "shared_folder", lambda _: f"file://{tmp_path}/file")
+    row = storage.round_trip(spark).first()
+    assert not (row.readable or row.deletable or row.healthy)
+
+
 def test_ingest_from_files(spark, tmp_path):
     doc = {"name": "left", "time": {"1.0.0": "2020-01-01T00:00:00Z"}, "versions": {"1.0.0": {"_npmUser": {"name": "ann"}}}}
     right = {"name": "right", "time": {"2.0.0": "2021-01-01T00:00:00Z"}, "versions": {"2.0.0": {"dependencies": {"left": "^1.0.0", "gone": "*"}}}}
@@ -136,6 +146,9 @@ def test_ingest_from_files(spark, tmp_path):
     made = load.from_folders(spark, str(tmp_path / "docs"), str(tmp_path / "org.json"), str(tmp_path / "repos"), str(tmp_path / "adv"))
     counters = {r.counter: r.n for r in made.counters.collect()}
     assert (counters["releases"], counters["depends_on"], counters["pins"], counters["affects"], counters["unmatched_pins"]) == (2, 1, 1, 1, 0)
+    args = [str(tmp_path / "graph"), "ingest", "--documents", str(tmp_path / "docs"), "--organisation", str(tmp_path / "org.json"), "--repositories", str(tmp_path / "repos"), "--advisories", str(tmp_path / "adv")]
+    assert cli.main([*args, "--seeds", "right", "--max-packages", "1", "--state", str(tmp_path / "state")]) == 0
+    assert [r.package for r in Graph.load(spark, str(tmp_path / "graph")).releases.collect()] == ["right"]
     bad = compromise.bad_by_advisory(made.graph, "A")
     assert [(r.service, r.entry, r.hops) for r in blast.paths(made.graph, bad).collect()] == [("shop", "right@2.0.0", 3)]
 
