@@ -9,58 +9,74 @@ gives an empty result.
 
 from __future__ import annotations
 
+import threading
+import time
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from blastgraph.llm import exact_dedup, mixing, packing, similar, simhash, toxicity
 from blastgraph.llm.common import Scratch, scratch_path
 
-#: Intermediate tables of the stages so far.
-_stages: list[Scratch] = []
+#: For each thread and folder of tables: stage, when its result was given, and its intermediate tables.
+_made: dict[tuple[int, str], list[tuple[int, float, Scratch]]] = {}
+
+
+def _written_at(docs: DataFrame) -> float:
+    """When the last file of a table was written; the beginning of time for one without files."""
+    spark, latest = docs.sparkSession, 0.0
+    for file in docs.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        latest = max(latest, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime() / 1e3)
+    return latest
 
 
-def _scratch(spark: SparkSession, docs: DataFrame) -> Scratch:
-    """Keeps track of a stage's intermediate tables. Those of the stages before it, whose results lie
-    in ``docs`` by now, are deleted, but for what ``docs`` itself still reads."""
-    for earlier in _stages:
-        earlier.clear(docs)
-    _stages[:] = [s for s in _stages if s.paths]
-    _stages.append(Scratch(spark))
-    return _stages[-1]
+@contextmanager
+def _scratch(stage: int, docs: DataFrame, sf_dir: str):
+    """Keeps track of a stage's intermediate tables. Those of an earlier stage of this thread over the same
+    folder go once its result can't be needed: ``docs`` was written after it was given, and reads none of them."""
+    mine = _made.setdefault((threading.get_ident(), sf_dir), [])
+    written_at = _written_at(docs)
+    for entry in [e for e in mine if e[0] < stage and e[1] <= written_at]:
+        entry[2].clear(docs)
+        mine.remove(entry)
+    with Scratch(docs.sparkSession) as tables:
+        yield
+    mine.append((stage, time.time(), tables))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model trained on the labelled documents doesn't reject; an empty text is
-    scored as one."""
-    _stages.clear()  # those of another run, whose result may still be read
+    scored as one. Labels without an id or a value are left out, and null ids have none."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     source = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    with _scratch(spark, docs):
+    with _scratch(0, docs, sf_dir):
         return toxicity.drop_toxic(docs, toxicity.train(source, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text, the one with the smallest id, ids before null."""
-    with _scratch(spark, docs):
+    with _scratch(1, docs, sf_dir):
         return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of fingerprints or of five-word shingles at least 0.8 similar join,
     the one with the smallest id, ids before null."""
-    with _scratch(spark, docs):
+    with _scratch(2, docs, sf_dir):
         return similar.similar_dedup(docs, more=simhash.row_links)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; one without words never, a null source is a
     source of its own."""
-    with _scratch(spark, docs):
+    with _scratch(3, docs, sf_dir):
         return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences."""
-    with _scratch(spark, docs):
+    with _scratch(4, docs, sf_dir):
         return packing.pack(docs)
 
 
