@@ -6,9 +6,11 @@ elements, ``br`` among them, continue a block; any other tag ends it. What scrip
 comments, the head and form controls hold is no text of the page. Character references are
 decoded once, in each run of text between two tags; white space inside a block becomes one space.
 
-A quote opens an attribute value only right after "=", and only if its closing quote is followed
-by white space, "/" or ">"; any other quote is an ordinary character, so the tag ends at the next
-">" and no text is lost to a stray or unclosed one. Time is linear in a page's length.
+The head ends where HTML ends it: at its end tag, at text, or at any element that can't lie in it. A form
+control is a hole in its block: it goes on to its end tag, or, where the next tag of its kind is none, to the
+next border of a block. A quote opens an attribute value only right after "=", and only if its closing quote
+is followed by white space, "/" or ">", or comes before any "<"; any other quote is an ordinary character, so
+the tag ends at the next ">" and no text is lost to a stray or unclosed one. Time is linear in a page's length.
 """
 
 from __future__ import annotations
@@ -29,21 +31,24 @@ INLINE = frozenset(
 RAW = frozenset("script style template noscript textarea title iframe svg xmp noembed noframes".split())
 #: Of these the ones that an end tag must close; the others count as absent where it is missing.
 TO_THE_END = frozenset("script style textarea title xmp".split())
-HIDDEN = frozenset("head select option button datalist".split())
+CONTROLS = frozenset("select option button datalist".split())
+IN_HEAD = frozenset("html head base link meta title style script noscript template".split())
 CLOSES = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
-    "th": {"td", "th"}, "option": {"option"}, "body": {"head"},
+    "th": {"td", "th"},
 }
 #: Block elements end an open paragraph; list items and cells close only inside their own list or table.
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
-KEEPS_P = INLINE | {"option"}
+KEEPS_P = INLINE | CONTROLS
 _NAME = r"[^\s/>][^\s/>=]*+"
-_VALUE = r"""(?:"([^"]*+)"(?=[\s/>]|\Z)|'([^']*+)'(?=[\s/>]|\Z)|([^\s>]++))"""
+_VALUE = r"""(?:"([^"<]*+(?=")|[^"]*+(?="(?:[\s/>]|\Z)))"|'([^'<]*+(?=')|[^']*+(?='(?:[\s/>]|\Z)))'|([^\s>]++))"""
 ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+{_VALUE})?+")
 _PLAIN = re.sub(r"(?<!\\)\((?!\?)", "(?:", ATTRIBUTE.pattern)
 TAG = re.compile(
     rf"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_PLAIN})*+)(?:>|\Z))", re.S
 )
+#: The next tag of a control's kind, an end tag or not.
+_CONTROL = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in sorted(CONTROLS)}
 NAMES = re.compile(r"[a-z]+|\d+")
 #: Places of the names on a path, and how many of its innermost names are kept in order.
 PLACES, INNERMOST = 64, 3
@@ -110,7 +115,8 @@ def blocks(html: str) -> list[Block]:
     opened: Counter[str] = Counter()
     never_closed: set[str] = set()
     parts: list[str] = []
-    linked = hidden = 0
+    linked = 0
+    hole = False
 
     def end() -> None:
         nonlocal linked
@@ -122,19 +128,30 @@ def blocks(html: str) -> list[Block]:
 
     def said(text: str) -> None:
         nonlocal linked
-        if text and not hidden:
+        if opened["head"] and text.strip():
+            close_head()
+        if text and not hole and not opened["head"]:
             parts.append(text)
             linked += len(text) if opened["a"] else 0
 
     def pop(to: int) -> None:
-        nonlocal hidden
         if any(e.tag not in INLINE for e in stack[to:]):
             end()
         for e in stack[to:]:
-            hidden -= e.tag in HIDDEN
             opened[e.tag] -= 1
         del stack[to:]
 
+    def close_head() -> None:
+        pop(next(i for i, e in enumerate(stack) if e.tag == "head"))
+
+    def control_end(tag: str, at: int) -> int | None:
+        """Behind the end tag of a control that began before ``at``; None where none is its own."""
+        found = _CONTROL[tag].search(html, at)
+        if found is None or not found[1]:
+            return None
+        stop = html.find(">", found.end())
+        return size if stop < 0 else stop + 1
+
     def close(names: set[str], fence: set[str] = frozenset()) -> None:
         if not any(opened[n] for n in names):
             return
@@ -167,12 +184,22 @@ def blocks(html: str) -> list[Block]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if tag not in INLINE:
+            hole = False
         if m[1]:
+            if tag in CONTROLS:
+                continue
             if opened[tag]:
                 pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
             elif tag not in INLINE:
                 end()
             continue
+        if opened["head"] and tag not in IN_HEAD:
+            close_head()
+        if tag in CONTROLS:
+            stop = control_end(tag, at)
+            hole, at = (True, at) if stop is None else (hole, stop)
+            continue
         if tag not in KEEPS_P:
             close({"p"})
         if tag in CLOSES:
@@ -195,8 +222,5 @@ def blocks(html: str) -> list[Block]:
             continue
         stack.append(Element(stack[-1] if stack else None, tag, _names(tag, m[3])))
         opened[tag] += 1
-        hidden += tag in HIDDEN
-        if tag == "body":
-            hidden = 0
     end()
     return out
