@@ -76,13 +76,19 @@ def _counted(batches):
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
-    """Profiles of the languages of at most ``sample`` rows; none gives no language ("und")."""
+    """Profiles of the languages of at most ``sample`` rows; none gives no language ("und"). Rows without an id,
+    a language or a text don't train. Of ids with many rows, those with the smallest hashes count."""
     arrow_limits(docs.sparkSession)
     rows = pick(docs, "doc_id", "lang", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("lang").cast("string")).alias("lang"), text_or_empty().alias("text"))
     known = rows.where("lang is not null and lang <> '' and doc_id is not null")
     ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` ids: a bounded broadcast.
     texts = known.join(F.broadcast(ids), "doc_id").select("lang", "text")
+    if texts.count() > sample:  # ids with many rows, each different one once
+        place = F.xxhash64("lang", "text")
+        texts = texts.distinct()
+        last = texts.select(place.alias("h")).orderBy("h").limit(sample).agg(F.max("h").alias("h")).first().h
+        texts = texts.where(place <= last)
     counts = texts.mapInArrow(_counted, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(counts["lang"].unique()))
     table = np.full((PLACES, len(languages)), 0.5)

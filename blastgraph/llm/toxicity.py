@@ -207,7 +207,7 @@ def _lexicon(counted: list, toxic: int, clean: int, candidates: int) -> dict[str
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = ()) -> Model:
     """The model from at most ``sample`` labelled training rows. Labels without an id or a value are
     left out; of repeated ones for an id toxic stands; every row of ``docs`` with a chosen id counts,
-    copies once. Without toxic or without clean rows the lexicon is empty and every score the same."""
+    copies once, up to ``sample`` rows with the smallest hashes of their texts. Without toxic or without clean rows the lexicon is empty and every score the same."""
     arrow_limits(docs.sparkSession)
     known = pick(labels, "doc_id", "toxic").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
@@ -220,6 +220,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
     sketched = rows.mapInArrow(_sketched, "text string, toxic int, sketch array<long>")
     single = sketched.groupBy("sketch", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = written(single.select("text", "toxic"), "toxic-sample")
+    if rows.count() > sample:  # ids with many texts
+        place = F.xxhash64("text")
+        last = rows.select(place.alias("h")).orderBy("h").limit(sample).agg(F.max("h").alias("h")).first().h
+        rows = written(rows.where(place <= last), "toxic-sample")
     classes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = classes.get(1, 0), classes.get(0, 0)
     if not toxic or not clean:
