@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import gc
 import uuid
+from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
+from ..operators import ranks
+from ..operators.ranks import partitions  # noqa: F401
 from ..storage import shared_folder
 
 #: The white space that every contract names: blank, tab, line feed, vertical tab, form feed, return.
@@ -26,7 +29,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: its lineage ends there,
     so a lost executor costs one task's read and never a recomputation of what lies before."""
     out = storage.written(df, name, "zstd")
-    for scope in _SCOPES:
+    for scope in _SCOPES.get():
         scope.add(out)
     return out
 
@@ -44,21 +47,21 @@ def dropped(df: DataFrame) -> None:
 
 
 class Scratch:
-    """The tables that ``written`` makes inside a ``with`` block. ``clear`` deletes them all but those
-    that the given results still read; tables of other queries in the session are never touched."""
+    """The tables that ``written`` makes inside a ``with`` block of this thread. ``clear`` deletes them all but
+    those that the given results still read; tables of other queries in the session are never touched."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self._before = spark, [], None
 
     def add(self, df: DataFrame) -> None:
         self.paths.append(storage.path_of(df))
 
     def __enter__(self) -> Scratch:
-        _SCOPES.append(self)
+        self._before = _SCOPES.set((*_SCOPES.get(), self))
         return self
 
     def __exit__(self, *_) -> None:
-        _SCOPES.remove(self)
+        _SCOPES.reset(self._before)
 
     def clear(self, *but: DataFrame) -> None:
         read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in but for f in df.inputFiles()}
@@ -68,7 +71,7 @@ class Scratch:
         free_shuffles(self.spark)
 
 
-_SCOPES: list[Scratch] = []
+_SCOPES: ContextVar[tuple[Scratch, ...]] = ContextVar("scopes", default=())
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -111,21 +114,9 @@ def with_rid(df: DataFrame, name: str) -> DataFrame:
     return written(df.withColumn("_rid", F.monotonically_increasing_id()), name)
 
 
-def partitions(spark: SparkSession) -> int:
-    """Tasks to deal rows to by hand."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def ranked(rows: DataFrame, *order: Column, name: str) -> DataFrame:
-    """``rows`` as a table with ``_rank``, their place from 0 in the given order. Ranges of the order are
-    sorted apart, and only the sizes of the ranges meet, a row for each. What the order leaves open
-    is laid down once, by the table."""
-    laid = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
-    laid = written(laid.withColumn("_at", F.monotonically_increasing_id()), name).withColumn("_part", F.shiftright("_at", 33))
-    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
-    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return laid.join(F.broadcast(starts), "_part").withColumn("_rank", place).drop("_part", "_start", "_at")
+    """``operators.ranks.ranked`` with its table tracked by scope."""
+    return ranks.ranked(rows, *order, name=name, write=written)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -462,6 +462,21 @@ def test_toxicity_training_takes_any_labels(spark, none):
     assert 0 <= toxicity.score_documents(long, model).first().score <= 1
 
 
+def test_training_is_bounded_in_rows(spark, monkeypatch):
+    """Many texts under one id are no way around the bound of the sample."""
+    draw = random.Random(5)
+    texts = [" ".join(draw.choices(["good", "fine", "vile", "crud", "word", "more"], k=12)) + f" {i}" for i in range(3_000)]
+    docs = spark.createDataFrame([(1 if i % 2 else 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    sizes = []
+    whole = toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, name: (lambda out: (sizes.append((name, out.count())), out)[1])(whole(df, name)))
+    toxicity.train(docs, labels, sample=100)
+    assert [n for name, n in sizes if name == "toxic-sample"][-1] == 100
+    many = spark.createDataFrame([(1, f"l{i}", f"text {i}") for i in range(500)], "doc_id long, lang string, text string")
+    assert len(langid.train(many, sample=40).languages) == 40
+
+
 def test_toxicity_held_out_accuracy(spark, none):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -573,6 +588,10 @@ def test_html_blocks():
     ('<p title="open>one</p><p>two</p>', ["one", "two"]), ("<a title=Don't>x</a> y", ["x y"]), ('<p class="a"">q</p><p>r "s"</p>', ["q", 'r "s"']),
     ('<p title="a > b">c</p>', ["c"]), ("<p data-x = '1 > 2' a=>d</p>", ["d"]), ('<p title="<i>">e</p>', ["e"]), ("&am<b>p;</b> &amp;lt;", ["&amp; &lt;"]),
     ("a < b <p>c", ["a < b", "c"]), ("<p>x<math><mi>y</mi></math>z<object><p>w</p></object>", ["xyz", "w"]), ("<xmp><b>&amp;</xmp>t", ["<b>&amp;", "t"]),
+    ('<a title="a>b"c>d</a> e', ["d e"]), ("<html><head><title>t</title><nav>n</nav><article><p>a</p>", ["n", "a"]), ("<head><meta charset=u>lost? <p>a", ["lost?", "a"]),
+    ("<head><style>x</style><svg></svg>s<p>a", ["s", "a"]), ("<article><button>Share<p>a<p>b<p>c</article>", ["a", "b", "c"]), ("<p>c <button>x<b>y</b><p>d", ["c", "d"]),
+    ("<p>on <select><option>Mon<option>Tue</select>today.</p>", ["on today."]), ("<p>a<button><div>x</div></button>b</p>", ["ab"]), ("<option>x</option>y<select>z<p>w", ["y", "w"]),
+    ("<BUTTON>x</BUTTON >y<buttons>z</buttons>", ["y", "z"]), ("<p>e</button> f</select>", ["e f"]),
     ("<svg><p>a</p>", ["a"]), ("<p>a</nope>b", ["a", "b"]), ("<!-- open <p>a", []), ("<a b='\"'>c</a>", ["c"]),
 ])
 def test_odd_markup_loses_no_text(html, want):
@@ -736,22 +755,35 @@ def test_pipeline_takes_odd_rows_and_empty_tables(spark, odd, none, tmp_path):
 
 def test_pipeline_deletes_its_own_tables_only(spark):
     import os
+    import threading
 
     import corpus_pipeline
-    from blastgraph.llm.common import written
+    from blastgraph.llm.common import Scratch, written
     from blastgraph.storage import path_of
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     mine = written(docs.select("doc_id"), "mine")
     waiting = secrets_scan.scan(docs)  # still lazy while the pipeline runs
-    corpus_pipeline._stages.clear()
+    corpus_pipeline._made.clear()
     first = corpus_pipeline.drop_copies(spark, docs, sf)
-    made = list(corpus_pipeline._stages[-1].paths)
+    second = corpus_pipeline.drop_copies(spark, docs.limit(50), sf)  # another run's, of the same stage
+    made = list(corpus_pipeline._made[threading.get_ident(), sf][0][2].paths)
+    early = corpus_pipeline.mix_sources(spark, mine.join(docs, "doc_id"), sf)  # its documents are older than the first result
+    assert made and first.count() > 150 and second.count() > 0 and early.count() > 0
     kept = written(first, "kept")
     mixed = corpus_pipeline.mix_sources(spark, kept, sf)
-    assert made and not any(os.path.exists(p.removeprefix("file://")) for p in made)
+    assert not any(os.path.exists(p.removeprefix("file://")) for p in made)
     assert mixed.count() > 0 and mine.count() == waiting.count() == docs.count() and path_of(mine)
+    with Scratch(spark) as own:
+        other = []
+        thread = threading.Thread(target=lambda: other.append(written(docs.select("doc_id"), "other")))
+        thread.start()
+        thread.join()
+        written(docs.select("doc_id"), "own")
+    assert len(own.paths) == 1
+    own.clear()
+    assert other[0].count() == docs.count()
 
 
 def test_every_operator_is_registered():
