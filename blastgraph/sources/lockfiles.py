@@ -1,29 +1,22 @@
 """Lockfiles of npm, yarn and pnpm as pins, in column expressions.
 
 A file is one row. The JSON formats are opened one level at a time: maps come out as keys with
-their values as JSON text, so odd entries drop out and never break a schema. The YAML formats are
-turned into JSON text first, the only step in Python. A classic yarn.lock is read as lines, which
-a window gives the header they stand under. Malformed files have no pins.
+their values as JSON text, so odd entries drop out and never break a schema. The others are read as
+lines, which a window gives the keys they stand under. Of YAML that is what these files are written in: a
+key to a line, evenly indented, quoted or plain; what stands deeper than the keys that are asked for may be
+anything. Malformed files have no pins.
 """
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions.coordinates import from_module_path, split_coordinate
 from ..storage import written
 
-try:
-    import yaml
-except ImportError:  # the npm formats and classic yarn work without it
-    yaml = None
-
 #: File names in order of precedence, further ones that are read, and the blocks of
 #: a manifest that declare a direct pin.
 PRECEDENCE = ("package-lock.json", "pnpm-lock.yaml", "yarn.lock")
@@ -34,7 +27,7 @@ FILE = ("service", "path", "kind", "format_version")
 
 
 class UnknownLockfile(ValueError):
-    """A file name that no parser knows, or a format whose parser isn't installed."""
+    """A file name that no parser knows."""
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -96,21 +89,6 @@ def _direct(name: Column) -> Column:
     return F.coalesce(F.array_contains(F.col("declared"), name), F.lit(False))
 
 
-@F.pandas_udf(StringType())
-def yaml_as_json(documents: pd.Series) -> pd.Series:
-    """YAML documents as JSON text; null where one can't be read."""
-    if yaml is None:
-        raise UnknownLockfile("this format needs PyYAML")
-
-    def of(document: str) -> str | None:
-        try:
-            return json.dumps(yaml.safe_load(document), default=str)
-        except (yaml.YAMLError, TypeError, ValueError):
-            return None
-
-    return documents.map(of, na_action="ignore")
-
-
 def npm_flat(files: DataFrame) -> DataFrame:
     """Pins of the flat ``packages`` map of versions 2 and 3, keyed by install path. Links to
     workspaces aren't pins; only what is installed at the top can be direct."""
@@ -157,12 +135,43 @@ def yarn_classic(files: DataFrame) -> DataFrame:
     return named.select(*FILE, "name", "version", _direct(F.col("name")).alias("direct"))
 
 
+#: A line of YAML: its key, quoted or up to the first colon before white space, and its value.
+_LINE = r"""^(?:\? )?('(?:[^']|'')*'|"(?:[^"\\]|\\.)*"|[^'"\s:#][^#]*?)(?:\s*$|:(?:\s+(.*?))?\s*$)"""
+WHOSE = ("service", "path", "kind")
+
+
+def _unquoted(text: Column) -> Column:
+    inner = F.substring(text, F.lit(2), F.length(text) - 2)
+    return F.when(text.startswith("'"), F.replace(inner, F.lit("''"), F.lit("'"))).when(text.startswith('"'), F.regexp_replace(inner, r"\\(.)", "$1")).otherwise(text)
+
+
+def yaml_keys(files: DataFrame) -> DataFrame:
+    """A row for each line with a key: ..., id, declared, at, depth (from 0), key, value, and the keys k0, k1, k2 that it
+    stands under, or is, at these depths."""
+    file = [*WHOSE, "id"]
+    lines = files.withColumn("id", F.xxhash64("document")).select(*file, "declared", F.posexplode(F.split("document", "\r?\n")).alias("at", "line")).where(r"line not rlike '^\\s*(#|$)'")
+    text = F.ltrim("line")
+    parts = lines.select(*file, "declared", "at", (F.length("line") - F.length(text)).alias("indent"), F.regexp_extract(text, _LINE, 1).alias("key"), F.regexp_extract(text, _LINE, 2).alias("value"))
+    step = F.coalesce(F.min(F.when(F.col("indent") > 0, F.col("indent"))).over(Window.partitionBy(*file)), F.lit(1))
+    keyed = parts.withColumn("depth", F.floor(F.col("indent") / step)).where("key <> ''").withColumn("key", _unquoted(F.col("key"))).withColumn("value", _unquoted(F.col("value")))
+    before = Window.partitionBy(*file).orderBy("at")
+    above = [F.last(F.when(F.col("depth") == d, F.col("key")), ignorenulls=True).over(before).alias(f"k{d}") for d in range(3)]
+    return keyed.select("*", *above)
+
+
 def yarn_berry(files: DataFrame) -> DataFrame:
     """Pins of a newer yarn.lock: keys are lists of specs; workspaces aren't pins."""
-    each = files.select(*FILE, "declared", F.explode(_entries(F.col("body"))).alias("specs", "entry"))
-    resolution = F.coalesce(F.get_json_object("entry", "$.resolution"), F.lit(""))
-    real = each.where((F.col("specs") != "__metadata") & ~F.contains(F.concat("specs", resolution), F.lit("workspace:")))
-    spec = real.select(*FILE, "declared", F.get_json_object("entry", "$.version").alias("version"), F.explode(F.split("specs", ",")).alias("spec"))
+    lines = yaml_keys(files)
+    file = [*WHOSE, "id", "declared"]
+
+    def value(key: str) -> Column:
+        return F.min_by(F.when((F.col("depth") == 1) & (F.col("key") == key), F.col("value")), F.when((F.col("depth") == 1) & (F.col("key") == key), F.col("at")))
+
+    entries = lines.groupBy(*file, F.col("k0").alias("specs")).agg(value("version").alias("version"), F.coalesce(value("resolution"), F.lit("")).alias("resolution"))
+    form = F.coalesce(F.max(F.when(F.col("specs") == "__metadata", F.col("version"))).over(Window.partitionBy(*WHOSE, "id")), F.lit(""))
+    each = entries.withColumn("format_version", form)
+    real = each.where((F.col("specs") != "__metadata") & ~F.contains(F.concat("specs", "resolution"), F.lit("workspace:")))
+    spec = real.select(*FILE, "declared", "version", F.explode(F.split("specs", ",")).alias("spec"))
     named = spec.withColumn("name", split_coordinate(F.col("spec"))["name"])
     return named.select(*FILE, "name", "version", _direct(F.col("name")).alias("direct"))
 
@@ -170,11 +179,14 @@ def yarn_berry(files: DataFrame) -> DataFrame:
 def pnpm(files: DataFrame) -> DataFrame:
     """Pins of a pnpm-lock.yaml: the keys of packages and snapshots are coordinates. Direct is what
     the manifest, else the file's own importers, declare, in any version."""
-    blocks = [_keys(F.col("body"), f"$.{b}") for b in DECLARING]
-    importers = F.transform(F.map_values(_entries(F.col("body"), "$.importers")), lambda i: F.concat(*[_keys(i, f"$.{b}") for b in DECLARING]))
-    own = F.coalesce("declared", F.concat(*blocks, F.flatten(importers)))
-    keys = F.concat(_keys(F.col("body"), "$.packages"), _keys(F.col("body"), "$.snapshots"))
-    each = files.select(*FILE, own.alias("declared"), F.explode(keys).alias("key")).withColumn("c", split_coordinate(F.col("key")))
+    lines = yaml_keys(files)
+    file = [*WHOSE, "id"]
+    of_importer = (F.col("k0") == "importers") & (F.col("depth") == 3) & F.col("k2").isin(*DECLARING)
+    own = F.when(of_importer | (F.col("k0").isin(*DECLARING) & (F.col("depth") == 1)), F.col("key"))
+    form = F.when((F.col("depth") == 0) & (F.col("key") == "lockfileVersion"), F.col("value"))
+    coordinate = F.when((F.col("depth") == 1) & F.col("k0").isin("packages", "snapshots"), F.col("key"))
+    whole = lines.groupBy(*file, "declared").agg(F.collect_set(own).alias("own"), F.coalesce(F.max(form), F.lit("")).alias("format_version"), F.collect_set(coordinate).alias("keys"))  # of one file
+    each = whole.select(*FILE, F.coalesce("declared", "own").alias("declared"), F.explode("keys").alias("key")).withColumn("c", split_coordinate(F.col("key")))
     return each.select(*FILE, "c.name", "c.version", _direct(F.col("c.name")).alias("direct"))
 
 
@@ -189,9 +201,6 @@ def pins(files: DataFrame) -> DataFrame:
     npm = json_files.withColumn("format_version", F.coalesce(F.get_json_object("body", "$.lockfileVersion"), F.lit("")))
     parts += [npm_flat(npm), npm_nested(npm)]
     parts.append(yarn_classic(opened.where((F.col("kind") == "yarn") & ~berry).withColumn("format_version", F.lit("1"))))
-    newer = opened.where(berry).withColumn("body", yaml_as_json("document"))
-    parts.append(yarn_berry(newer.withColumn("format_version", F.coalesce(F.get_json_object("body", "$.__metadata.version"), F.lit("")))))
-    pnpm_files = opened.where("kind = 'pnpm'").withColumn("body", yaml_as_json("document"))
-    parts.append(pnpm(pnpm_files.withColumn("format_version", F.coalesce(F.get_json_object("body", "$.lockfileVersion"), F.lit("")))))
+    parts += [yarn_berry(opened.where(berry)), pnpm(opened.where("kind = 'pnpm'"))]
     found = reduce(DataFrame.unionByName, parts).where("coalesce(name, '') <> '' and coalesce(version, '') <> ''")
     return found.groupBy(*FILE, "name", "version").agg(F.bool_or("direct").alias("direct"))

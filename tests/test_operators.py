@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import random
+import re
 from itertools import combinations
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -294,6 +297,31 @@ def test_lockfiles_tolerate_and_merge(spark):
     assert parsed(spark, "pnpm-lock.yaml", importers) == [("pnpm", "6.0", "y", "2.0.0", False), ("pnpm", "6.0", "z", "3.1.0", True)]
 
 
+def test_yaml_lines_give_what_a_yaml_parser_gives(spark):
+    yaml = pytest.importorskip("yaml")
+    r = random.Random(14)
+
+    def name():
+        return r.choice(["", "@s/"]) + "".join(r.choices("abc-", k=3)).strip("-") + r.choice(["x", "y"])
+
+    def write(document):
+        return yaml.safe_dump(document, sort_keys=False, width=10**6, default_style=r.choice([None, "'", '"']) if r.random() < 0.5 else None)
+
+    for _ in range(4):
+        packages = {f"{r.choice(['', '/'])}{name()}@{r.randint(0, 9)}.{r.randint(0, 9)}.0{r.choice(['', '(peer@1.0.0)'])}": r.choice([{}, {"dev": True, "version": "9", "dependencies": {name(): "1.0.0"}}]) for _ in range(6)}
+        named = [re.sub(r"^/", "", k).split("(")[0].rpartition("@") for k in packages]
+        declared = r.sample([n for n, _, _ in named], 2)
+        importers = {r.choice([".", "apps/web"]): {"dependencies": {declared[0]: {"specifier": "^1", "version": "1.0.0"}}, "devDependencies": {declared[1]: {"version": "2.0.0"}}}}
+        document = {"lockfileVersion": "9.0", "importers": importers, "packages": packages, "note": "a: b # c"}
+        want = {("pnpm", "9.0", n, v, n in declared) for n, _, v in named}
+        assert set(parsed(spark, "pnpm-lock.yaml", write(document))) == want
+        top = {"lockfileVersion": 5.4, "dependencies": {declared[0]: "1.0.0"}, "packages": packages}
+        assert set(parsed(spark, "pnpm-lock.yaml", yaml.safe_dump(top, sort_keys=False, width=10**6))) == {("pnpm", "5.4", n, v, n == declared[0]) for n, _, v in named}
+        berry = {"__metadata": {"version": 6, "cacheKey": 8}, "own@workspace:.": {"version": "0.0.0-use.local", "resolution": "own@workspace:."}}
+        berry |= {f"{n}@npm:^{i}, {n}@npm:{v}": {"version": v, "resolution": f"{n}@npm:{v}", "dependencies": {"version": "^7"}} for i, (n, _, v) in enumerate(named)}
+        assert set(parsed(spark, "yarn.lock", write(berry), json.dumps({"dependencies": {declared[0]: "*"}}))) == {("yarn", "6", n, v, n == declared[0]) for n, _, v in named}
+
+
 def test_unknown_lockfiles_fail(spark):
     for call in (lambda: lockfiles.kind_of("Cargo.lock"), lambda: parsed(spark, "Cargo.lock", "")):
         try:
