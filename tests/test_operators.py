@@ -347,6 +347,25 @@ def test_archives_count_what_is_no_json(spark, tmp_path):
     assert (row.osv_id, row.summary, row.severity, row.published_at) == ("A", "head ", "S", 0)
 
 
+def test_archives_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    import zipfile
+
+    want = {}
+    for a in ("one", "two"):
+        with zipfile.ZipFile(tmp_path / f"{a}.zip", "w") as z:
+            for i in range(4_000):
+                text = json.dumps({"id": f"{a}-{i}", "filler": str(i) * 20})
+                z.writestr(f"d{i % 7}/{i}é.json", text, zipfile.ZIP_DEFLATED if i % 3 else zipfile.ZIP_STORED)
+                want[f"{a}-{i}"] = text
+    (tmp_path / "three.json").write_text('{"id":"three"}')
+    found = archives.read(spark, str(tmp_path), block=20_000)
+    got = found.select("value", F.spark_partition_id().alias("p"), F.get_json_object("value", "$.id").alias("id")).collect()
+    assert {r.id: r.value for r in got} == want | {"three": '{"id":"three"}'} and len(got) == len(want) + 1
+    assert len({r.p for r in got if r.id.startswith("one")}) > 1
+    monkeypatch.setattr(archives, "_opens", lambda path: False)
+    assert {r.value for r in archives.read(spark, str(tmp_path)).collect()} == {r.value for r in got}
+
+
 def test_pins_and_recent(spark):
     p = spark.createDataFrame([("l", "a", "1", True), ("l", "x", "9", False)], "source string, package string, version string, direct boolean")
     r = spark.createDataFrame([("a", "1", "a@1", 5), ("a", "2", "a@2", 9)], "package string, version string, key string, published_at long")
