@@ -9,7 +9,8 @@ Pairs that pass the bound are settled by intersecting the sorted arrays of 64-bi
 * Which pairs meet is exact: by the prefix filter, two sets that are similar enough share one of their first
   ``n - ceil(s n) + 1`` shingles in any order common to all. The order here puts shingles of rarely
   hit cells of a table of ``CELLS`` counters first; it is counted over all documents, and what many
-  documents have in common (lines, passages) comes last and is in few prefixes.
+  documents have in common (lines, passages) comes last and is in few prefixes. A pair is looked at
+  only where what is left of both sets from their first common shingle on is enough.
 * First, classes that share a minimum hash are each compared with one of them, which joins large
   groups of near copies at linear cost. Prefix keys whose classes are all joined by then are done with.
 * The classes of another key are a tile, cut into size bands (a factor of ``100 / s``, so partners are
@@ -17,33 +18,41 @@ Pairs that pass the bound are settled by intersecting the sorted arrays of 64-bi
   hold partners are compared once. A first round passes bitmaps and keeps the classes that have a
   partner within the bound; only those get their sets in the second, which gives the links that join them.
 
-Texts are read anew where sets are needed, all names follow from contents, so a lost task costs
-its own work. Nothing is capped or sampled: components are those of all links.
+A shingle's hash mixes the hashes of its words in 64 bits. Texts are read anew where sets are needed, all
+names follow from contents, so a lost task costs its own work. Nothing is capped or sampled:
+components are those of all links.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, free_shuffles, numbered_columns, partitions, pick, text_or_empty, with_rid, written
+from .common import arrow_limits, dropped, free_shuffles, numbered_columns, partitions, pick, text_or_empty, with_rid, written
 from .components import components
-from .simhash import distance
-from .similar import MIXERS, SHINGLE, shingle_hashes
+from .simhash import LOWER, distance
+from .similar import MIXERS, SHINGLE
 
 #: Percent of the union that the intersection holds at least.
 SIMILAR = 80
 #: Counters of the table that orders shingles, and counters of a row in which they travel.
-CELLS, CHUNK = 1 << 18, 1 << 12
+CELLS, CHUNK = 1 << 20, 1 << 14
+CELL_SHIFT = np.uint64(64 - 20)
 #: Minimum hashes of a class.
 MINS = 4
 #: Rows, and bytes of shingle hashes, of a block of a tile.
 BLOCK_ROWS, BLOCK_BYTES = 2048, 16 << 20
 #: Classes whose keys a task remembers to have given, so that copies give none again.
 SEEN = 200_000
+#: Bytes of a text for which powers are kept, and their odd base.
+PIECE, BASE = 1 << 16, MIXERS[3]
+#: Rows of a key that are looked at together; those of larger keys all go on.
+KEY_ROWS, LAGS = 4096, 16
 DESCRIBED = "doc_id long, a long, b long, mins array<long>, bits binary, chunk int, cells binary"
 
 
@@ -52,9 +61,54 @@ def least_overlap(a, b, similar: int = SIMILAR):
     return -(-similar * (a + b) // (100 + similar))
 
 
-def shingle_set(text: str, words: int = SHINGLE) -> np.ndarray:
-    """Distinct shingle hashes of a whole text in ascending order."""
-    return np.unique(shingle_hashes(text, words))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(MIXERS[1])
+    return h ^ (h >> np.uint64(29))
+
+
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit value for each byte; which bytes are no white space; powers of BASE and of its inverse."""
+    values = _mixed(_mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(MIXERS[2])))
+    powers, back = np.full(PIECE, BASE, np.uint64), np.full(PIECE, pow(BASE, -1, 1 << 64), np.uint64)
+    powers[0] = back[0] = 1
+    powers, back = np.cumprod(powers), np.cumprod(back)
+    return values, np.array([b not in b" \t\n\v\f\r" for b in range(256)]), powers, back
+
+
+def word_hashes(low: bytes) -> np.ndarray:
+    """64-bit hash of each word of a whole text, in order: a polynomial over the values of its bytes, read
+    off the text's running sums."""
+    values, wordly, powers, back = _tables()
+    raw = np.frombuffer(low, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    word = np.concatenate([[False], wordly[raw], [False]])
+    starts, ends = np.flatnonzero(word[1:] != word[:-1]).reshape(-1, 2).T
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    for block, at in enumerate(range(0, len(raw), PIECE)):
+        part = values[raw[at : at + PIECE]]
+        part *= powers[: len(part)]
+        part *= np.uint64(pow(BASE, PIECE * block, 1 << 64))
+        np.cumsum(part, out=sums[at + 1 : at + 1 + len(part)])
+        sums[at + 1 : at + 1 + len(part)] += sums[at]
+    far = np.array([pow(BASE, -PIECE * block, 1 << 64) for block in range(len(raw) // PIECE + 1)], np.uint64)
+    h = (sums[ends] - sums[starts]) * back[starts % PIECE] * far[starts // PIECE]
+    return _mixed(h + (ends - starts).astype(np.uint64))
+
+
+def shingle_set(text: bytes, words: int = SHINGLE) -> np.ndarray:
+    """Distinct shingle hashes of a whole text in UTF-8, in ascending order; fewer words: one for all; none: empty."""
+    h = word_hashes(text.translate(LOWER))
+    if not len(h):
+        return h
+    k = min(words, len(h))
+    out = np.full(len(h) - k + 1, k, np.uint64)
+    for j in range(k):
+        out = (out ^ h[j : len(out) + j]) * np.uint64(MIXERS[0])
+        out ^= out >> np.uint64(31)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def named(hashes: np.ndarray) -> tuple[int, int]:
@@ -96,7 +150,7 @@ def _described(words: int):
     """(doc_id, text): each text's class, minimum hashes and bitmap; at the end the task's counters."""
 
     def run(batches):
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(CELLS, np.uint32)
         kinds = {"doc_id": pa.int64(), "a": pa.int64(), "b": pa.int64(), "mins": pa.list_(pa.int64()), "bits": pa.binary(), "chunk": pa.int32(), "cells": pa.binary()}
 
         def table(rows):
@@ -113,9 +167,9 @@ def _described(words: int):
                 a, b = named(own)
                 mins = [int((own * np.uint64(m) ^ own >> np.uint64(29)).min().view(np.int64)) for m in MIXERS[:MINS]]
                 out.append((doc_id, a, b, mins, signature(own).tobytes(), None, None))
-                hit.append(own >> np.uint64(46))
+                hit.append(own >> CELL_SHIFT)
             if hit:
-                cells += np.bincount(np.concatenate(hit).astype(np.int64), minlength=CELLS)
+                cells += np.bincount(np.concatenate(hit).astype(np.int64), minlength=CELLS).astype(np.uint32)
             yield table(out)
         yield table([(None, None, None, None, None, i // CHUNK, cells[i : i + CHUNK].tobytes()) for i in range(0, CELLS, CHUNK)])
 
@@ -132,7 +186,7 @@ def _cell_sums(batches):
                 if total is not None:
                     out.append((chunk, total.tobytes()))
                 chunk, total = i, np.zeros(CHUNK, np.int64)
-            total += np.frombuffer(cells, np.int64)
+            total += np.frombuffer(cells, np.uint32)
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([x[0] for x in out], pa.int32()), "cells": pa.array([x[1] for x in out], pa.binary())})
     out = [(chunk, total.tobytes())] if total is not None else []
     yield pa.RecordBatch.from_pydict({"chunk": pa.array([x[0] for x in out], pa.int32()), "cells": pa.array([x[1] for x in out], pa.binary())})
@@ -151,11 +205,11 @@ def _cells(found: DataFrame) -> np.ndarray:
 def prefix(hashes: np.ndarray, cells: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
     """The shingles of a set of which similar sets have one in common: its first ones in the order of all."""
     length = len(hashes) - -(-similar * len(hashes) // 100) + 1
-    return hashes[np.lexsort((hashes, cells[(hashes >> np.uint64(46)).astype(np.int64)]))[:length]]
+    return hashes[np.lexsort((hashes, cells[(hashes >> CELL_SHIFT).astype(np.int64)]))[:length]]
 
 
 def _keyed(cells: np.ndarray, similar: int, words: int):
-    """Texts: key, a, b for each shingle of a class's prefix, once for copies that a task meets."""
+    """Texts: key, a, b, pos for each shingle of a class's prefix, once for copies that a task meets."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -173,36 +227,65 @@ def _keyed(cells: np.ndarray, similar: int, words: int):
                 counts.append(len(keys[-1]))
             a, b = (np.repeat(np.array([x[i] for x in names], np.int64), counts) for i in range(2))
             key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b)], ["key", "a", "b"])
+            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in counts]) if counts else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b), pa.array(pos)], ["key", "a", "b", "pos"])
 
     return run
 
 
-def _shared(similar: int):
-    """(key, a, b) in order of key, b, a: the rows that have another class of a possible partner's size in their key."""
+def possible(n, pos, m, pos_m, similar: int):
+    """Whether sets of sizes n and m >= n can be similar enough if the first shingle they have in common has these places in them."""
+    return (100 * n >= similar * m) & (np.minimum(n - pos, m - pos_m) >= least_overlap(n, m, similar))
 
-    def run(batches):
-        held, partner = np.zeros((0, 3), np.int64), False  # the last row, and whether it has a partner before it
 
-        def table(rows):
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], ["key", "a", "b"])
+def _shared(similar: int):
+    """(key, a, b, pos) in order of key, b, a: the rows that may have a partner in their key. Keys of many
+    rows are not looked into here."""
+    names = ["key", "a", "b", "pos"]
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(3)), pa.array(rows[:, 3].astype(np.int32))], names)
+
+    def meeting(rows):
+        """Of whole keys."""
+        n, pos, key = rows[:, 2] >> 32, rows[:, 3], rows[:, 0]
+        has = np.zeros(len(rows), bool)
+        for lag in range(1, min(LAGS, len(rows) - 1) + 1):
+            same = np.flatnonzero(key[lag:] == key[:-lag])
+            if not len(same):
+                break
+            if lag == LAGS:  # more rows than are looked at pair by pair
+                has |= np.isin(key, key[same])
+                break
+            ok = same[possible(n[same], pos[same], n[same + lag], pos[same + lag], similar)]
+            has[ok] = True
+            has[ok + lag] = True
+        return rows[has]
 
+    def run(batches):
+        held, large = np.zeros((0, 4), np.int64), None  # rows of the last key; a key that is too large to be held
         for batch in batches:
-            rows = np.concatenate([held, np.column_stack([c.to_numpy() for c in batch.columns])])
+            rows = np.concatenate([held, np.column_stack([c.to_numpy() for c in batch.columns]).astype(np.int64)])
             if not len(rows):
                 continue
             first = np.ones(len(rows), bool)
-            first[1:] = (rows[1:] != rows[:-1]).any(1)
+            first[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
             rows = rows[first]
-            n = rows[:, 2] >> 32
-            near = (rows[1:, 0] == rows[:-1, 0]) & (100 * n[:-1] >= similar * n[1:])
-            has = np.zeros(len(rows), bool)
-            has[0] = partner
-            has[1:] |= near
-            has[:-1] |= near
-            held, partner = rows[-1:], bool(has[-1])
-            yield table(rows[:-1][has[:-1]])
-        yield table(held if partner else held[:0])
+            if large is not None:
+                more = rows[:, 0] == large
+                yield table(rows[more])
+                rows = rows[~more]
+                if not len(rows):
+                    held = rows
+                    continue
+                large = None
+            last = rows[:, 0] == rows[-1, 0]
+            yield table(meeting(rows[~last]))
+            held = rows[last]
+            if len(held) > KEY_ROWS:
+                yield table(held)
+                large, held = int(held[0, 0]), held[:0]
+        yield table(meeting(held))
 
     return run
 
@@ -213,7 +296,7 @@ class Tile:
     def __init__(self, columns: dict[str, list], similar: int):
         order = np.lexsort((columns["cid"], columns["n"]))
         self.similar, self.order = similar, order
-        self.cid, self.n, self.side, self.label = (np.array(columns[c], np.int64)[order] for c in ("cid", "n", "side", "label"))
+        self.cid, self.n, self.pos, self.side, self.label = (np.array(columns[c], np.int64)[order] for c in ("cid", "n", "pos", "side", "label"))
         self.bits = [np.frombuffer(columns["bits"][i], np.uint64) for i in order]
         self.words = np.array([len(x) for x in self.bits])
         self.by_width = {w: (at, np.stack([self.bits[i] for i in at])) for w in np.unique(self.words).tolist() for at in [np.flatnonzero(self.words == w)]}
@@ -229,7 +312,7 @@ class Tile:
             rows = at[some]
             if not len(rows) or w > self.words[x]:
                 continue
-            ok = self.label[rows] != self.label[x]
+            ok = (self.label[rows] != self.label[x]) & possible(self.n[rows], self.pos[rows], n, self.pos[x], self.similar)
             if self.pair:
                 ok &= self.side[rows] != self.side[x]
             rows, table = rows[ok], table[some][ok]
@@ -260,7 +343,8 @@ class Tile:
 
 
 TILE = ["key", "low", "low_block", "high", "high_block"]
-IN_TILE = ["side", "cid", "n", "label", "bits"]
+FLAGGED = [pa.int64(), *[pa.int32()] * 4, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+IN_TILE = ["side", "cid", "n", "pos", "label", "bits"]
 TILE_SCHEMA = "key long, low int, low_block int, high int, high_block int"
 
 
@@ -298,14 +382,75 @@ def _per_tile(work, schema: list[tuple[str, pa.DataType]]):
     return run
 
 
+def within_bound(p: bytes, q: bytes, n: int, m: int, similar: int) -> bool:
+    """Whether two bitmaps and their sets' sizes leave enough overlap possible."""
+    x, y = int.from_bytes(p, "little"), int.from_bytes(q, "little")
+    wide, narrow = 8 * max(len(p), len(q)), 8 * min(len(p), len(q))
+    if len(p) < len(q):
+        x, y = y, x
+    while wide > narrow:
+        wide //= 2
+        x = (x >> wide) ^ (x & ((1 << wide) - 1))
+    return (n + m - (x ^ y).bit_count()) // 2 >= least_overlap(n, m, similar)
+
+
 def _flagged(similar: int):
+    """Rows in order of TILE, n: those with a partner within the bound. Tiles of a few rows are looked
+    at together, pair by pair."""
     kept = [*TILE, *IN_TILE]
+    whole = _per_tile(lambda rows: [tuple(rows[c][i] for c in kept) for i in Tile(rows, similar).flagged().tolist()], list(zip(kept, FLAGGED)))
+
+    def small(rows: pa.Table) -> pa.Table:
+        tile = np.column_stack([rows[c].to_numpy() for c in TILE])
+        side, n, pos, label = (rows[c].to_numpy() for c in ("side", "n", "pos", "label"))
+        bits, hit = rows["bits"].to_pylist(), np.zeros(len(n), bool)
+        sides = np.maximum.reduceat(side, first := np.concatenate([[0], np.flatnonzero((tile[1:] != tile[:-1]).any(1)) + 1])) > 0
+        pair = np.repeat(sides, np.diff(np.append(first, len(n))))
+        for lag in range(1, min(LAGS, len(n) - 1) + 1):
+            at = np.flatnonzero((tile[lag:] == tile[:-lag]).all(1))
+            if not len(at):
+                break
+            to = at + lag
+            ok = (label[at] != label[to]) & (~pair[at] | (side[at] != side[to])) & possible(n[at], pos[at], n[to], pos[to], similar)
+            for x, y in zip(at[ok].tolist(), to[ok].tolist()):
+                if not (hit[x] and hit[y]) and within_bound(bits[x], bits[y], int(n[x]), int(n[y]), similar):
+                    hit[x] = hit[y] = True
+        return rows.take(np.flatnonzero(hit))
 
-    def work(rows):
-        return [tuple(rows[c][i] for c in kept) for i in Tile(rows, similar).flagged().tolist()]
+    def run(batches):
+        held: list[pa.RecordBatch] = []
 
-    kinds = [pa.int64(), *[pa.int32()] * 4, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return _per_tile(work, list(zip(kept, kinds)))
+        def parted(rows: pa.Table):
+            """Small tiles, then the others one by one."""
+            if not len(rows):
+                return
+            tile = np.column_stack([rows[c].to_numpy() for c in TILE])
+            starts = np.concatenate([[0], np.flatnonzero((tile[1:] != tile[:-1]).any(1)) + 1])
+            size = np.diff(np.append(starts, len(rows)))
+            few = np.repeat(size <= LAGS, size)
+            if few.any():
+                yield from small(rows.take(np.flatnonzero(few))).to_batches()
+            yield from whole(rows.take(np.flatnonzero(~few)).combine_chunks().to_batches())
+
+        def last_tile(rows: pa.Table) -> int:
+            """Where the last tile begins."""
+            tile = np.column_stack([rows[c].to_numpy() for c in TILE])
+            other = np.flatnonzero((tile != tile[-1]).any(1))
+            return int(other[-1]) + 1 if len(other) else 0
+
+        schema = pa.schema(list(zip(kept, FLAGGED)))
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows = pa.Table.from_batches(held)
+                cut = last_tile(pa.Table.from_batches([batch]))
+                if cut or len(held) > 1 and any(batch.column(i)[0].as_py() != held[-2].column(i)[-1].as_py() for i in range(len(TILE))):
+                    cut += len(rows) - batch.num_rows
+                    yield from parted(rows.slice(0, cut))
+                    held = rows.slice(cut).to_batches()
+        yield from parted(pa.Table.from_batches(held, schema=schema if not held else None))
+
+    return run
 
 
 def _linked(similar: int):
@@ -313,7 +458,7 @@ def _linked(similar: int):
 
 
 def _tiles(rows: DataFrame, similar: int) -> DataFrame:
-    """rows: key, cid, n, label, of keys with different labels. Each with the tiles it is compared in."""
+    """rows: key, cid, n, pos, label, of keys with different labels. Each with the tiles it is compared in."""
     size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), (8 * F.sum("n")).alias("bytes"))
     whole = (F.col("rows") <= BLOCK_ROWS) & (F.col("bytes") <= 2 * BLOCK_BYTES)
     # Partners' sizes differ by a factor below two bands' width, whatever rounding does to a border.
@@ -340,7 +485,7 @@ def _tiles(rows: DataFrame, similar: int) -> DataFrame:
         pairs("above", lambda j: pair(here, block, here + 1, j, F.lit(False))),
         pairs("below", lambda j: pair(here - 1, j, here, block, F.lit(True))),
     )
-    return dealt.select("key", "cid", "n", "label", F.explode(each).alias("t")).select("key", "t.low", "t.low_block", "t.high", "t.high_block", "t.side", "cid", "n", "label")
+    return dealt.select("key", "cid", "n", "pos", "label", F.explode(each).alias("t")).select("key", "t.low", "t.low_block", "t.high", "t.high_block", "t.side", "cid", "n", "pos", "label")
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -369,13 +514,7 @@ def _within(similar: int):
     def run(batches):
         for batch in batches:
             x, y, n, m, p, q = (c.to_pylist() for c in batch.columns)
-            ok = []
-            for i in range(len(x)):
-                one, other = np.frombuffer(p[i], np.uint64), np.frombuffer(q[i], np.uint64)
-                width = min(len(one), len(other))
-                most = bound(folded(one, width), folded(other, width)[None], n[i], np.array([m[i]]))[0]
-                if most >= least_overlap(n[i], m[i], similar):
-                    ok.append(i)
+            ok = [i for i in range(len(x)) if within_bound(p[i], q[i], n[i], m[i], similar)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok, pa.int64())), batch.column(1).take(pa.array(ok, pa.int64()))], ["x", "y"])
 
     return run
@@ -417,21 +556,23 @@ def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _meetings(texts: DataFrame, cells: np.ndarray, similar: int, words: int) -> DataFrame:
-    """key, a, b of the prefix keys in which classes of possible partners' sizes meet."""
-    keyed = texts.select("text").mapInArrow(_keyed(cells, similar, words), "key long, a long, b long")
+    """key, a, b, pos of the prefix keys in which possible partners meet."""
+    keyed = texts.select("text").mapInArrow(_keyed(cells, similar, words), "key long, a long, b long, pos int")
     laid = keyed.repartition(partitions(texts.sparkSession), "key").sortWithinPartitions("key", "b", "a")
-    return written(laid.mapInArrow(_shared(similar), "key long, a long, b long"), "jaccard-met")
+    return written(laid.mapInArrow(_shared(similar), "key long, a long, b long, pos int"), "jaccard-met")
 
 
-def _tile_links(texts: DataFrame, met: DataFrame, classes: DataFrame, similar: int, words: int) -> DataFrame:
-    """met: key, a, b; classes: cid, a, b, n, least, label, bits. Links between classes of different labels."""
+def _tile_links(texts: DataFrame, met: DataFrame, classes: DataFrame, bits: DataFrame, similar: int, words: int) -> DataFrame:
+    """met: key, a, b, pos; classes: cid, a, b, n, least, label; bits: cid, bits. Links between classes of different labels."""
     n = partitions(texts.sparkSession)
-    rows = written(met.join(classes.select("cid", "a", "b", "n", "label"), ["a", "b"]).select("key", "cid", "n", "label"), "jaccard-meeting")
+    rows = written(met.join(classes.select("cid", "a", "b", "n", "label"), ["a", "b"]).select("key", "cid", "n", "pos", "label"), "jaccard-meeting")
+    dropped(met)
     mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     tiles = _tiles(written(rows.join(mixed, "key", "left_semi"), "jaccard-mixed"), similar)
-    whole = tiles.join(classes.select("cid", "bits"), "cid").select(*TILE, *IN_TILE)
-    laid = whole.repartition(n, *TILE).sortWithinPartitions(*TILE)
-    flagged = written(laid.mapInArrow(_flagged(similar), f"{TILE_SCHEMA}, side int, cid long, n long, label long, bits binary"), "jaccard-flagged")
+    whole = tiles.join(bits, "cid").select(*TILE, *IN_TILE)
+    laid = whole.repartition(n, *TILE).sortWithinPartitions(*TILE, "n", "cid")
+    flagged = written(laid.mapInArrow(_flagged(similar), f"{TILE_SCHEMA}, side int, cid long, n long, pos int, label long, bits binary"), "jaccard-flagged")
+    free_shuffles(texts.sparkSession)
     wanted = classes.join(flagged.select("cid").distinct(), "cid", "left_semi").select("cid", "a", "b", "least")
     sets = _sets(texts, wanted, words)
     again = flagged.join(sets, "cid").select(*TILE, *IN_TILE, "hashes").repartition(n, *TILE).sortWithinPartitions(*TILE)
@@ -442,7 +583,7 @@ def _joined(docs: DataFrame, similar: int, words: int) -> DataFrame:
     """docs: doc_id, text. doc_id, n_shingles, a, b, component (null without shingles), component_id."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    texts = docs.select("doc_id", text_or_empty().cast("binary").alias("text"))
     found = written(texts.mapInArrow(_described(words), DESCRIBED), "jaccard-rows")
     cells = _cells(found)
     rows = found.where("chunk is null")
@@ -450,10 +591,10 @@ def _joined(docs: DataFrame, similar: int, words: int) -> DataFrame:
     classes = written(grouped.select(F.monotonically_increasing_id().alias("cid"), "a", "b", F.shiftright("b", 32).alias("n"), "least", "mins", "bits"), "jaccard-classes")
     stars = _stars(texts, classes, similar, words)
     free_shuffles(spark)
-    labelled = written(_labelled(classes.drop("mins"), stars), "jaccard-labelled")
+    labelled = written(_labelled(classes.drop("mins", "bits"), stars), "jaccard-labelled")
     met = _meetings(texts, cells, similar, words)
     free_shuffles(spark)
-    more = _tile_links(texts, met, labelled, similar, words)
+    more = _tile_links(texts, met, labelled, classes.select("cid", "bits"), similar, words)
     named_ = written(_labelled(classes.select("cid", "a", "b", "least"), stars.unionByName(more)), "jaccard-named")
     smallest = named_.groupBy("label").agg(F.min("least").alias("component_id"))
     members = written(named_.join(smallest, "label").select("a", "b", F.col("label").alias("component"), "component_id"), "jaccard-members")

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from blastgraph.llm import conversation_trie, importance, jaccard_join, similar
+from blastgraph.llm import conversation_trie, importance, jaccard_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
@@ -216,13 +216,34 @@ def test_bitmaps_never_bound_too_low_and_prefixes_meet():
         p, q = jaccard_join.signature(x), jaccard_join.signature(y)
         w = min(len(p), len(q))
         assert jaccard_join.bound(jaccard_join.folded(p, w), jaccard_join.folded(q, w)[None], len(x), np.array([len(y)]))[0] >= both
+        assert jaccard_join.within_bound(p.tobytes(), q.tobytes(), len(x), len(y), 80) == (
+            jaccard_join.bound(jaccard_join.folded(p, w), jaccard_join.folded(q, w)[None], len(x), np.array([len(y)]))[0] >= jaccard_join.least_overlap(len(x), len(y))
+        )
         if 100 * both >= 80 * (len(x) + len(y) - both):
             assert both >= jaccard_join.least_overlap(len(x), len(y))
-            assert len(np.intersect1d(jaccard_join.prefix(x, cells), jaccard_join.prefix(y, cells)))
+            p, q = jaccard_join.prefix(x, cells).tolist(), jaccard_join.prefix(y, cells).tolist()
+            first = next(h for h in p if h in set(q))
+            small, large = sorted(((len(x), p.index(first)), (len(y), q.index(first))))
+            assert jaccard_join.possible(np.array(small[0]), np.array(small[1]), np.array(large[0]), np.array(large[1]), 80)
         else:
             assert both < jaccard_join.least_overlap(len(x), len(y))
 
 
+def test_word_hashes_follow_the_words_alone(monkeypatch):
+    draw = random.Random(11)
+    words = ["".join(draw.choices("abž漢\x00", k=draw.randint(1, 30))).encode() for _ in range(300)] + [b"a", b"a\x00", b"\x00", b"ab" * 300]
+    for piece in (1 << 16, 16):
+        monkeypatch.setattr(jaccard_join, "PIECE", piece)
+        jaccard_join._tables.cache_clear()
+        alone = [int(jaccard_join.word_hashes(w)[0]) for w in words]
+        text = b"".join(w + draw.choice([b" ", b"\n\t", b"\r\x0b\x0c "]) for w in words)
+        assert jaccard_join.word_hashes(b"  " + text).tolist() == alone == jaccard_join.word_hashes(text.strip()).tolist()
+        assert len(set(alone)) == len(set(words))
+    monkeypatch.undo()
+    jaccard_join._tables.cache_clear()
+    assert len(jaccard_join.word_hashes(b" \n ")) == len(jaccard_join.word_hashes(b"")) == 0
+
+
 def test_jaccard_dedup_keeps_one_row_of_each_component(odd, docs):
     for df in (odd, docs):
         found = jaccard_join.jaccard_dedup(clashing(df))
@@ -234,8 +255,7 @@ def test_jaccard_dedup_keeps_one_row_of_each_component(odd, docs):
 
 def test_shingle_sets_are_those_of_the_contract(docs):
     texts = [r.text for r in docs.limit(50).collect()] + [x[1] for x in ODD]
-    assert [len(jaccard_join.shingle_set(x or "")) for x in texts] == [len(s) for s in brute_sets(texts)]
-    assert similar.SHINGLE == 5
+    assert [len(jaccard_join.shingle_set((x or "").encode())) for x in texts] == [len(s) for s in brute_sets(texts)]
 
 
 # Conversation trie
