@@ -14,6 +14,9 @@ from .operators import traverse as T
 from .storage import written
 
 
+DEPENDENCIES = "source string, target string, range string, resolved_to string, kind string, valid_from long, valid_to long, rel_type string"
+
+
 @dataclass
 class Graph:
     """packages(name, ecosystem, first_published), releases(key, package, version, published_at,
@@ -46,7 +49,9 @@ class Graph:
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Graph:
-        return cls(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(cls)})
+        """A snapshot of ``save``. Dependencies have no files where there are none, so their columns are named here."""
+        typed = spark.read.schema(DEPENDENCIES)
+        return cls(**{f.name: (typed if f.name == "dependencies" else spark.read).parquet(f"{folder}/{f.name}") for f in fields(cls)})
 
     def loops(self) -> DataFrame:
         """package of those that may lie on a cycle of dependencies; found once."""
