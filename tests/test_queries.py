@@ -211,21 +211,18 @@ def test_first_paths_and_chains_build_no_more_than_they_show(spark, saved, monke
     levels = []
     whole = traverse.prefix_levels
     monkeypatch.setattr(traverse, "prefix_levels", lambda *a, **k: (levels.append(x) or x for x in whole(*a, **k)))
-    order = ["hops", "service", "target", "chain"]
-    for cap in (1, 7, 40, 10**6):
+    for cap in (7, 10**6):
         levels.clear()
         found = blast.shown(blast.first_paths(graph, bad, cap=cap), "truncated")
         want = blast.shown(blast.truncated(every, cap), "truncated")
         assert plain(found.toPandas()) == plain(want.toPandas())
-        last = max(x.hops for x in found.collect())
-        assert len(levels) + 1 <= last + 1 or cap > every.count() or found.count() < cap + 1 == len(levels)
-    assert len(levels) <= deepest - 1 + 1
-    for cap in (3, 25, 10**6):
+        enough = [h for h in range(2, deepest + 1) if every.where(F.col("hops") <= h).count() > cap]
+        assert not enough or len(levels) == enough[0] - 1
+    for cap in (25, 10**6):
         columns = ["path_id", "service", "hops", "target", "chain", "truncated"]
         few = fix.chains(graph, bad, cap=cap)
         assert plain(fix.numbered(few, cap).select(columns).toPandas()) == plain(fix.numbered(every, cap).select(columns).toPandas())
         assert cap > 100 or few.select("service").distinct().count() <= cap + 1
-    assert order
 
 
 def test_streaming_advisories(spark, tmp_path):

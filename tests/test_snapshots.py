@@ -44,7 +44,7 @@ OPTIONS = {"versions_kept": 3, "windows_kept": 2}
 def test_refresh_equals_a_build_of_what_there_is_now(spark, tmp_path):
     folder, others = str(tmp_path / "store"), rest(spark)
     seeds = dict.fromkeys(NAMES[:10], 0)
-    for change in ({}, {"p3": 1, "p11": 0}, {"p1": None, "p5": 2}):
+    for change in ({}, {"p3": 1, "p11": 0, "p1": None}):
         seeds = {n: s for n, s in (seeds | change).items() if s is not None}
         given = docs(spark, seeds)
         made = snapshots.refresh(folder, given, *others, **OPTIONS)
