@@ -17,7 +17,7 @@ from .operators import advisories, edges, names, pins, resolve, traverse
 from .plans import blast, compromise, evaluate, fix, people
 from .sources import lockfiles, packuments
 from .sources.projection import Projection, package_name
-from .storage import shared_folder
+from .storage import shared_folder, written
 
 #: Demonstration parameters: a moment, the typosquat radar's threshold, the share for chain lists.
 AS_OF = 915_148_800
@@ -582,9 +582,13 @@ def eval_baseline_releases(p):
     return evaluate.service_by_service(p.graph(), _case(p, 40), cap=10**9).releases.select("release")
 
 
+def _evaluated(p: Projection) -> DataFrame:
+    return p.shared("evaluated", lambda: written(evaluate.evaluate(p.graph()), "evaluated"))
+
+
 @query(O.EVALUATED + "SELECT * FROM cases")
 def evaluate_incidents(p):
-    return evaluate.evaluate(p.graph())
+    return _evaluated(p)
 
 
 @query(O.EVALUATED + """SELECT count(*) AS cases, avg(CAST(agrees AS INTEGER)) AS agreement, max(exposed) FILTER (place = n // 2) AS median_exposed,
@@ -592,7 +596,7 @@ def evaluate_incidents(p):
     FROM (SELECT *, row_number() OVER (ORDER BY exposed) - 1 AS place, count(*) OVER () AS n FROM cases)""")
 def evaluate_summary(p):
     """The upper median, which the reports take of speed-ups, here of the numbers of exposed services."""
-    cases = evaluate.evaluate(p.graph()).withColumn("size", F.col("exposed").cast("double"))
+    cases = _evaluated(p).withColumn("size", F.col("exposed").cast("double"))
     found = evaluate.summary(cases, "size")
     return found.withColumn("median_exposed", F.col("median_speedup").cast("bigint")).drop("median_speedup")
 
