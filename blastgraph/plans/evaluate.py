@@ -110,20 +110,22 @@ class Walks:
     releases: DataFrame
 
 
-def _sources(graph: Graph) -> DataFrame:
-    """entry, source, pins: the releases that a service's lockfiles pin, and in how many places."""
-    pins = graph.pins.select(F.col("source").alias("key"), F.col("target").alias("entry"))
+def _sources(graph: Graph, near: DataFrame) -> DataFrame:
+    """entry, source, pins: the releases that a service's lockfiles pin, and in how many places; of those in near (head)."""
+    pins = graph.pins.select(F.col("source").alias("key"), F.col("target").alias("entry")).join(near.select(F.col("head").alias("entry")), "entry", "left_semi")
     return pins.join(graph.lockfiles.select("key", F.col("service").alias("source")), "key").groupBy("entry", "source").agg(F.count(F.lit(1)).alias("pins"))
 
 
 def service_by_service(graph: Graph, bad: DataFrame, cap: int = S.BASELINE_PATHS, max_hops: int = S.BLAST_HOPS) -> Walks:
     """What asking for each service alone would show: a walk forward from what it pins, along dependencies
     whose windows meet, to the bad releases; shortest chains first, no further than the hop at which the service has
-    ``cap`` chains. bad: case, key. Services that share a pinned release share its walk."""
-    sources = written(_sources(graph), "sources")
-    entries = sources.select(F.col("entry").alias("key")).distinct()
+    ``cap`` chains. bad: case, key. Services that share a pinned release share its walk, and a walk leaves out what no bad
+    release can be reached from."""
     labels = Labels.of(bad)
-    hits, passed = traverse.forward(entries, graph.dependencies, labels.releases, max_hops - 2, sources, cap, graph.loops())
+    near = traverse.nearness(labels.releases, graph.dependencies, max_hops - 2)
+    sources = written(_sources(graph, near), "sources")
+    entries = sources.select(F.col("entry").alias("key")).distinct()
+    hits, passed = traverse.forward(entries, graph.dependencies, labels.releases, max_hops - 2, sources, cap, graph.loops(), near)
     met = written(hits.join(sources, "entry").join(labels.cases, "label").groupBy("case", "source", "hops").agg(F.sum(F.col("ways") * F.col("pins")).alias("n")), "met")
     found = met.groupBy("case", F.col("source").alias("service")).agg(F.least(F.sum("n"), F.lit(cap)).cast("bigint").alias("paths"))
     return Walks(found, passed.join(labels.cases, "label").select("case", "release").distinct())

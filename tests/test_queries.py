@@ -203,6 +203,22 @@ def test_walks_service_by_service_equal_brute_force(spark):
         assert {(x.case, x.source): x.n for x in counted.collect()} == {k: min(v, 2) for k, v in want.items()}
 
 
+def test_walks_leave_out_what_no_bad_release_can_be_reached_from(spark, monkeypatch):
+    links = [("in@1", "mid@1", 0, 9), ("mid@1", "bad@1", 0, 9), ("mid@1", "side0@1", 0, 9), ("late@1", "in@1", 9, 12), ("far@1", "late@1", 0, 12)]
+    links += [(f"side{i}@1", f"side{i + 1}@1", 0, 9) for i in range(4)] + [(f"other{i}@1", "side0@1", 0, 9) for i in range(20)]
+    edges = spark.createDataFrame([("DEPENDS_ON", s, d, "1", x, y) for s, d, x, y in links], "rel_type string, source string, target string, resolved_to string, valid_from long, valid_to long")
+    marks = evaluate.Labels.of(spark.createDataFrame([("one", "bad@1")], "case string, key string"))
+    asked = spark.createDataFrame([(e, "shop", 1) for e in ("in@1", "late@1", "far@1", *(f"other{i}@1" for i in range(20)))], "entry string, source string, pins long")
+    walked, write = [], traverse.written
+    monkeypatch.setattr(traverse, "written", lambda df, name, **more: (walked.append(write(df, name, **more)) if name == "forward" else None) or (walked[-1] if name == "forward" else write(df, name, **more)))
+    hits, passed = traverse.forward(asked.selectExpr("entry as key"), edges, marks.releases, 3, asked, 10)
+    assert [(x.entry, x.hops, x.ways) for x in hits.collect()] == [("in@1", 2, 1)]
+    assert {x.release for x in passed.collect()} == {"in@1", "mid@1", "bad@1"}
+    assert {(x.entry, x["head"]) for level in walked for x in level.collect()} == {("in@1", "in@1"), ("in@1", "mid@1"), ("in@1", "bad@1"), ("late@1", "late@1"), ("late@1", "in@1")}
+    least = {x["head"]: x.least for x in traverse.nearness(marks.releases, edges, 3).collect()}
+    assert least == {"bad@1": 0, "mid@1": 1, "in@1": 2, "late@1": 3}
+
+
 def test_first_paths_and_chains_build_no_more_than_they_show(spark, saved, monkeypatch):
     graph = Graph.load(spark, saved)
     bad = compromise.bad_by_range(graph, "pkg20")
