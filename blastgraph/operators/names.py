@@ -2,7 +2,8 @@
 
 The comparison is three equi-joins instead of all pairs: scoped copies by the bare name,
 punctuation tricks by the stripped name, and edits by shared deletion variants (two names within
-k edits share a form with at most k characters deleted), each pair then verified.
+k edits share a form with at most k characters deleted), each pair then verified. Forms of names are
+never broadcast: what Spark knows of their size is that of the names.
 """
 
 from __future__ import annotations
@@ -36,6 +37,25 @@ def deletions(name: Column, k: int) -> Column:
     return forms(name)
 
 
+def one_edit(names: DataFrame) -> DataFrame:
+    """names: name. a, b of all different names that one edit turns into each other, both ways round. Names of one
+    length meet by the place that differs and what is left without it, others by the shorter one, swaps by the swapped
+    name: a pair meets once, and only pairs of one edit do."""
+    each = names.select("name").distinct()
+    at, length = F.col("at"), F.length("name")
+    placed = each.where(length > 0).select("name", F.explode(F.sequence(F.lit(1), length)).alias("at"))
+    left = placed.select("name", "at", F.concat(F.substr("name", F.lit(1), at - 1), F.substr("name", at + 1)).alias("form"))
+    changed = left.withColumnRenamed("name", "a").join(left.withColumnRenamed("name", "b").hint("merge"), ["at", "form"]).where("a <> b").select("a", "b")
+    # In a run of equal characters any place leaves the same: the last one stands for it.
+    one, two = F.substr("name", at, F.lit(1)), F.substr("name", at + 1, F.lit(1))
+    shorter = left.where(one != two).select(F.col("name").alias("a"), F.col("form").alias("b"), F.lit(True).alias("shorter"))
+    turned = F.concat(F.substr("name", F.lit(1), at - 1), two, one, F.substr("name", at + 2))
+    swapped = left.where((at < length) & (one != two)).select(F.col("name").alias("a"), turned.alias("b"), F.lit(False).alias("shorter"))
+    known = shorter.unionByName(swapped).join(each.select(F.col("name").alias("b")).hint("merge"), "b")
+    back = known.where("shorter").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return changed.unionByName(known.select("a", "b")).unionByName(back)
+
+
 def suspects(packages: DataFrame, owners: DataFrame, popular_at: int = 25, max_distance: int = 1) -> DataFrame:
     """packages: package, dependents. owners: package, maintainer. One row for each suspect pair:
     name, resembles, trick, distance, dependents, target_dependents, shares_maintainer, ratio."""
@@ -45,7 +65,7 @@ def suspects(packages: DataFrame, owners: DataFrame, popular_at: int = 25, max_d
     scoped = rest.where("name like '@%'").withColumn("k", F.substring_index("name", "/", -1)).join(popular.withColumn("k", F.col("resembles")), "k")
     punct = rest.withColumn("k", stripped(F.col("name"))).join(popular.withColumn("k", stripped(F.col("resembles"))), "k")
     near = rest.withColumn("k", F.explode(deletions(F.col("name"), max_distance))).join(
-        popular.withColumn("k", F.explode(deletions(F.col("resembles"), max_distance))), "k"
+        popular.withColumn("k", F.explode(deletions(F.col("resembles"), max_distance))).hint("merge"), "k"
     )
     columns = ("name", "resembles", "dependents", "target_dependents")
     edits = near.select(*columns).distinct().withColumn("d", distance(F.col("name"), F.col("resembles"), max_distance)).where(F.col("d") <= max_distance)
