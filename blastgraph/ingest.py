@@ -1,13 +1,13 @@
 """From documents to a graph: package documents, lockfiles with their services, advisories.
 
 ``build`` is one declarative plan from parsed tables to a Graph; what several later tables read is
-written once. ``snapshots.refresh`` takes the same steps in stages that survive a crash and are brought up to date. ``Ingested.counters`` counts what came in and what was left out, and why.
+written once, when one of them is first asked for: who asks for edges parses no lockfile. ``snapshots.refresh`` takes the same steps in stages that survive a crash and are brought up to date. ``Ingested.counters`` counts what came in and what was left out, and why.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Callable
+from functools import cache, cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +20,44 @@ from .sources import lockfiles, packuments
 from .storage import written
 
 
-@dataclass
+class Tables(dict):
+    """Tables by name, each made when it is first asked for."""
+
+    def __init__(self, make: dict[str, Callable[[], DataFrame]]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.make[name]()
+        return self[name]
+
+
+class LateGraph(Graph):
+    """A graph whose tables are made when they are first asked for."""
+
+    def __init__(self, make: dict[str, Callable[[], DataFrame]]):
+        self._make = make
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in self.__dict__.get("_make", ()):
+            raise AttributeError(name)
+        self.__dict__[name] = self._make[name]()
+        return self.__dict__[name]
+
+
 class Ingested:
     """The graph; counters: counter, n; unmatched: coordinates pinned by lockfiles but not known."""
 
-    graph: Graph
-    counters: DataFrame
-    unmatched: DataFrame
+    def __init__(self, graph: Graph, counters: Callable[[], DataFrame], unmatched: Callable[[], DataFrame]):
+        self.graph, self._counters, self._unmatched = graph, counters, unmatched
+
+    @cached_property
+    def counters(self) -> DataFrame:
+        return self._counters()
+
+    @cached_property
+    def unmatched(self) -> DataFrame:
+        return self._unmatched()
 
 
 def _counted(name: str, rows: DataFrame, what: Column | None = None) -> DataFrame:
@@ -34,6 +65,10 @@ def _counted(name: str, rows: DataFrame, what: Column | None = None) -> DataFram
     return rows.agg(n.cast("bigint").alias("n")).select(F.lit(name).alias("counter"), "n")
 
 
+#: The tables of ``reduced``.
+REDUCED = ("releases", "packages", "people", "timeline", "declared")
+
+
 def reduced(documents: DataFrame, versions_kept: int = S.VERSIONS_KEPT) -> dict[str, DataFrame]:
     """What later steps need of package documents, each package's rows from its own documents alone: releases (the
     latest ``versions_kept``), packages, people, timeline, declared."""
@@ -75,44 +110,65 @@ def linked(facts: DataFrame, windows: DataFrame, releases: DataFrame, windows_ke
 
 
 def assemble(tables: dict[str, DataFrame], services: DataFrame, files: DataFrame, advisories: DataFrame) -> Ingested:
-    """The graph and the counters. tables: those of ``reduced``, and facts, judged, edges."""
-    releases, packages, people = tables["releases"], tables["packages"], tables["people"]
-    publishers = releases.where("publisher <> ''")
-    accounts = people.select("username", "email").unionByName(publishers.select(F.col("publisher").alias("username"), F.lit("").alias("email")))
-    maintainers = accounts.groupBy("username").agg(F.max("email").alias("email")).select("username", F.lit("npm").alias("ecosystem"), "email")
-    dependencies = tables["edges"].where("written").drop("written")
-
-    path = F.concat_ws(":", "service", "path")
-    read = written(lockfiles.pins(files), "pins")
-    found = read.select(path.alias("source"), F.col("name").alias("package"), "version", "direct")
-    lock = files.select(path.alias("key"), "path", "service", "committed_at").distinct()
-    pinned = pins.matched(found, releases)
-    unmatched = written(pins.unmatched(found, releases).select(F.concat_ws("@", "package", "version").alias("coordinate")).distinct(), "unmatched")
-
-    parsed = written(A.parse(A.read_documents(advisories)), "advisories")
-    affects = written(A.affected_releases(parsed, releases), "affects")
-    hit = parsed.join(affects.select("osv_id").distinct(), "osv_id", "left_semi")
-    kept = edges.last_written(hit.select("osv_id", "severity", "published_at", "summary", "cwe", "aliases"), "osv_id", "published_at")
-
-    graph = Graph(
-        packages=packages, releases=releases.drop("publisher"), maintainers=maintainers,
-        services=services.select("name", "repo", "criticality"), lockfiles=lock, advisories=kept,
-        can_publish=people.select(F.col("username").alias("maintainer"), "package").distinct(),
-        published=publishers.select(F.col("publisher").alias("maintainer"), F.col("key").alias("release"), F.col("published_at").alias("at")),
-        pins=pinned, dependencies=dependencies, affects=affects,
-    )
-    ids = parsed.select("osv_id").distinct()
-    judged = tables["judged"]
-    counters = [
-        _counted("declared", tables["facts"]), _counted("unresolvable_ranges", judged, ~F.col("parses")), _counted("unsatisfied_ranges", judged, F.col("parses") & ~F.col("met")),
-        _counted("unwritten_targets", tables["edges"], ~F.col("written")),
-        _counted("depends_on", dependencies, F.col("rel_type") == S.DEPENDS_ON), _counted("dev_depends_on", dependencies, F.col("rel_type") == S.DEV_DEPENDS_ON),
-        _counted("packages", packages), _counted("releases", releases), _counted("maintainers", maintainers), _counted("services", services), _counted("lockfiles", lock),
-        _counted("pins", pinned), _counted("direct_pins", read, F.col("direct")), _counted("unmatched_pins", unmatched),
-        _counted("advisory_records", advisories), _counted("advisory_malformed", advisories, A.malformed(F.col("value"))), _counted("advisories_parsed", ids),
-        _counted("advisories", kept), _counted("advisories_out_of_scope", ids.join(kept, "osv_id", "left_anti")), _counted("affects", affects),
-    ]
-    return Ingested(graph, reduce(DataFrame.unionByName, counters), unmatched)
+    """The graph and the counters, each made when it is asked for. tables: those of ``reduced``, and facts, judged, edges."""
+    lock = files.select(_path().alias("key"), "path", "service", "committed_at").distinct()
+
+    def publishers() -> DataFrame:
+        return tables["releases"].where("publisher <> ''")
+
+    def maintainers() -> DataFrame:
+        accounts = tables["people"].select("username", "email").unionByName(publishers().select(F.col("publisher").alias("username"), F.lit("").alias("email")))
+        return accounts.groupBy("username").agg(F.max("email").alias("email")).select("username", F.lit("npm").alias("ecosystem"), "email")
+
+    def dependencies() -> DataFrame:
+        return tables["edges"].where("written").drop("written")
+
+    @cache
+    def read() -> DataFrame:
+        return written(lockfiles.pins(files), "pins")
+
+    def found() -> DataFrame:
+        return read().select(_path().alias("source"), F.col("name").alias("package"), "version", "direct")
+
+    @cache
+    def unmatched() -> DataFrame:
+        return written(pins.unmatched(found(), tables["releases"]).select(F.concat_ws("@", "package", "version").alias("coordinate")).distinct(), "unmatched")
+
+    @cache
+    def parsed() -> DataFrame:
+        return written(A.parse(A.read_documents(advisories)), "advisories")
+
+    def kept() -> DataFrame:
+        hit = parsed().join(graph.affects.select("osv_id").distinct(), "osv_id", "left_semi")
+        return edges.last_written(hit.select("osv_id", "severity", "published_at", "summary", "cwe", "aliases"), "osv_id", "published_at")
+
+    graph = LateGraph({
+        "packages": lambda: tables["packages"], "releases": lambda: tables["releases"].drop("publisher"), "maintainers": maintainers,
+        "services": lambda: services.select("name", "repo", "criticality"), "lockfiles": lambda: lock, "advisories": kept,
+        "can_publish": lambda: tables["people"].select(F.col("username").alias("maintainer"), "package").distinct(),
+        "published": lambda: publishers().select(F.col("publisher").alias("maintainer"), F.col("key").alias("release"), F.col("published_at").alias("at")),
+        "pins": lambda: pins.matched(found(), tables["releases"]), "dependencies": dependencies,
+        "affects": lambda: written(A.affected_releases(parsed(), tables["releases"]), "affects"),
+    })
+
+    def counters() -> DataFrame:
+        ids = parsed().select("osv_id").distinct()
+        judged, rel = tables["judged"], F.col("rel_type")
+        return reduce(DataFrame.unionByName, [
+            _counted("declared", tables["facts"]), _counted("unresolvable_ranges", judged, ~F.col("parses")), _counted("unsatisfied_ranges", judged, F.col("parses") & ~F.col("met")),
+            _counted("unwritten_targets", tables["edges"], ~F.col("written")),
+            _counted("depends_on", graph.dependencies, rel == S.DEPENDS_ON), _counted("dev_depends_on", graph.dependencies, rel == S.DEV_DEPENDS_ON),
+            _counted("packages", graph.packages), _counted("releases", tables["releases"]), _counted("maintainers", graph.maintainers), _counted("services", services), _counted("lockfiles", lock),
+            _counted("pins", graph.pins), _counted("direct_pins", read(), F.col("direct")), _counted("unmatched_pins", unmatched()),
+            _counted("advisory_records", advisories), _counted("advisory_malformed", advisories, A.malformed(F.col("value"))), _counted("advisories_parsed", ids),
+            _counted("advisories", graph.advisories), _counted("advisories_out_of_scope", ids.join(graph.advisories, "osv_id", "left_anti")), _counted("affects", graph.affects),
+        ])
+
+    return Ingested(graph, counters, unmatched)
+
+
+def _path() -> Column:
+    return F.concat_ws(":", "service", "path")
 
 
 def build(
@@ -122,11 +178,18 @@ def build(
     """documents: document (package metadata). services: name, repo, criticality. files: service,
     path, document, manifest, committed_at. advisories: value (JSON text). dev_packages: the packages
     whose development dependencies count, all where there is none."""
-    tables = {name: table if name == "declared" else written(table, name) for name, table in reduced(documents, versions_kept).items()}
-    tables["facts"] = written(facts_of(tables, dev_packages), "declared")
-    windows, judged = windows_of(tables["facts"], tables["timeline"])
-    tables["judged"] = written(judged, "judged")
-    tables["edges"] = written(linked(tables["facts"], windows, tables["releases"], windows_kept), "dependencies")
+    documents = written(documents, "documents")  # each of the tables below reads them
+    made = reduced(documents, versions_kept)
+    tables = Tables({name: (lambda name=name: made[name] if name == "declared" else written(made[name], name)) for name in made})
+
+    @cache
+    def resolved() -> tuple[DataFrame, DataFrame]:
+        return windows_of(tables["facts"], tables["timeline"])
+
+    tables.make |= {
+        "facts": lambda: written(facts_of(tables, dev_packages), "declared"), "judged": lambda: written(resolved()[1], "judged"),
+        "edges": lambda: written(linked(tables["facts"], resolved()[0], tables["releases"], windows_kept), "dependencies"),
+    }
     return assemble(tables, services, files, advisories)
 
 

@@ -92,7 +92,7 @@ def _direct(name: Column) -> Column:
 def npm_flat(files: DataFrame) -> DataFrame:
     """Pins of the flat ``packages`` map of versions 2 and 3, keyed by install path. Links to
     workspaces aren't pins; only what is installed at the top can be direct."""
-    opened = files.withColumn("packages", _entries(F.col("body"), "$.packages")).where(F.size("packages") > 0)
+    opened = files.where(F.size("packages") > 0)
     own = F.coalesce("declared", declared_names(F.try_element_at("packages", F.lit(""))))
     each = opened.select(*FILE, own.alias("declared"), F.explode("packages").alias("at", "entry")).where("at <> ''")
     linked = F.coalesce(F.get_json_object("entry", "$.link"), F.lit("")).isin("", "false")
@@ -103,7 +103,7 @@ def npm_flat(files: DataFrame) -> DataFrame:
 
 def npm_nested(files: DataFrame) -> DataFrame:
     """Pins of the nested tree of version 1, level by level; only the first level can be direct."""
-    closed = files.where(F.size(_entries(F.col("body"), "$.packages")) == 0)
+    closed = files.where(F.size("packages") == 0)
     level = closed.select(*FILE, "declared", F.get_json_object("body", "$.dependencies").alias("tree"), F.lit(True).alias("top")).where("tree is not null")
     found = []
     while True:
@@ -193,8 +193,9 @@ def pnpm(files: DataFrame) -> DataFrame:
 def pins(files: DataFrame) -> DataFrame:
     """files: service, path, document, manifest (null: none). A row for each (name, version) of a
     lockfile, direct if any of its entries is: service, path, kind, format_version, name, version,
-    direct. A file name that no format has fails the job."""
-    opened = written(files.select("service", "path", "document", _kind().alias("kind"), declared_names(F.col("manifest")).alias("declared")), "lockfiles")
+    direct. A file name that no format has fails the job. The map of a JSON lockfile is read out of its text once, and written."""
+    named = files.select("service", "path", "document", _kind().alias("kind"), declared_names(F.col("manifest")).alias("declared"))
+    opened = written(named.withColumn("packages", F.when(F.col("kind") == "npm", _entries(F.col("document"), "$.packages"))), "lockfiles")
     berry = (F.col("kind") == "yarn") & F.contains(F.col("document"), F.lit("__metadata:"))
     parts = []
     json_files = opened.where("kind = 'npm'").withColumn("body", F.col("document"))

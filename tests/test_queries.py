@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from blastgraph import cli, queries, storage
+from blastgraph import cli, queries, samples, storage
 from blastgraph import ingest as load
 from blastgraph.graph import Graph, census
 from blastgraph.operators import traverse
@@ -203,6 +203,16 @@ def test_walks_service_by_service_equal_brute_force(spark):
         assert {(x.case, x.source): x.n for x in counted.collect()} == {k: min(v, 2) for k, v in want.items()}
 
 
+def test_ingest_makes_only_the_tables_that_are_asked_for(spark, sf, monkeypatch):
+    p, made, write = Projection.of(spark, sf), [], load.written
+    monkeypatch.setattr(load, "written", lambda df, name: (made.append(name), write(df, name))[1])
+    found = load.build(samples.packuments(p), p.services, samples.lockfiles(p), samples.advisories(p), versions_kept=samples.KEPT, windows_kept=samples.WINDOWS)
+    assert found.graph.affects.count() and made == ["documents", "advisories", "releases", "affects"]
+    assert found.graph.dependencies.count() and "pins" not in made and "unmatched" not in made
+    assert found.graph.pins.count() and {r.counter: r.n for r in found.counters.collect()}["pins"] == found.graph.pins.count()
+    assert made.count("documents") == 1 and not hasattr(found.graph, "nothing")
+
+
 def test_walks_leave_out_what_no_bad_release_can_be_reached_from(spark, monkeypatch):
     links = [("in@1", "mid@1", 0, 9), ("mid@1", "bad@1", 0, 9), ("mid@1", "side0@1", 0, 9), ("late@1", "in@1", 9, 12), ("far@1", "late@1", 0, 12)]
     links += [(f"side{i}@1", f"side{i + 1}@1", 0, 9) for i in range(4)] + [(f"other{i}@1", "side0@1", 0, 9) for i in range(20)]
