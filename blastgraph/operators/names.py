@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distance import distance
+from .ranks import partitions
 
 
 def stripped(name: Column) -> Column:
@@ -41,7 +42,7 @@ def one_edit(names: DataFrame) -> DataFrame:
     """names: name. a, b of all different names that one edit turns into each other, both ways round. Names of one
     length meet by the place that differs and what is left without it, others by the shorter one, swaps by the swapped
     name: a pair meets once, and only pairs of one edit do."""
-    each = names.select("name").distinct()
+    each = names.select("name").repartition(partitions(names.sparkSession), "name").distinct()  # a name makes many forms
     at, length = F.col("at"), F.length("name")
     placed = each.where(length > 0).select("name", F.explode(F.sequence(F.lit(1), length)).alias("at"))
     left = placed.select("name", "at", F.concat(F.substr("name", F.lit(1), at - 1), F.substr("name", at + 1)).alias("form"))
