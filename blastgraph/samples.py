@@ -63,8 +63,8 @@ def packuments(p: Projection) -> DataFrame:
 
 def _entries(p: Projection) -> DataFrame:
     """An order's line items as entries of its lockfile: source, ln, name, version, declared; top:
-    whether it is the first entry of its name."""
-    rows = p.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_returnflag").alias("flag"))
+    whether it is the first entry of its name. Line items are dealt by order once, for all that is gathered by it."""
+    rows = p.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").repartition(p.tasks, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_returnflag").alias("flag"))
     first = F.min("l_linenumber").over(Window.partitionBy("l_orderkey", "part")) == F.col("l_linenumber")
     return rows.select(
         F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("ln"), package_name(F.col("part")).alias("name"), _at(VERSIONS, F.col("l_linenumber") - 1).alias("version"),

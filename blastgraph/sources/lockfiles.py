@@ -1,8 +1,8 @@
 """Lockfiles of npm, yarn and pnpm as pins, in column expressions.
 
 A file is one row. The JSON formats are opened one level at a time: maps come out as keys with
-their values as JSON text, so odd entries drop out and never break a schema. The others are read as
-lines, which a window gives the keys they stand under. Of YAML that is what these files are written in: a
+their values as JSON text, so odd entries drop out and never break a schema. The others are cut at
+their unindented keys within the file's row, and the lines below a key are read there. Of YAML that is what these files are written in: a
 key to a line, evenly indented, quoted or plain; what stands deeper than the keys that are asked for may be
 anything. Malformed files have no pins.
 """
@@ -119,25 +119,45 @@ def npm_nested(files: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found) if found else level.select(*FILE, "name", "version", "direct")
 
 
+def _once(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _merged(entries: Column, key: str, *fields: str) -> Column:
+    """Entries of a file, one for each key, its fields from the first that has them. No package manager repeats
+    a key; only where one does are entries compared with each other. To be taken apart with ``explode_outer``: for
+    ``explode`` Spark infers a filter on the size, which reads every file a second time and more."""
+
+    def first(k: Column, field: str) -> Column:
+        return F.get(F.transform(F.filter(entries, lambda e: (e[key] == k) & e[field].isNotNull()), lambda e: e[field]), F.lit(0)).alias(field)
+
+    keys = F.array_distinct(F.transform(entries, lambda e: e[key]))
+    return F.when(F.size(keys) < F.size(entries), F.transform(keys, lambda k: F.struct(k.alias(key), *[first(k, f) for f in fields]))).otherwise(entries)
+
+
+#: A header of a classic yarn.lock and the rest of its line; where the next one begins; a version below it.
+_HEADER = r"([^\s#].*):[^\S\n]*(?:\n|\z)"
+_NEXT_HEADER = rf"\r?\n(?={_HEADER})"
+_VERSION = r'\n[^\S\n]+"?version"?(?::|[^\S\n])[^\S\n]*"?([^"\s]+)"?[^\S\n]*(?:\n|\z)'
+
+
 def yarn_classic(files: DataFrame) -> DataFrame:
     """Pins of a classic yarn.lock: unindented lines that end in a colon are headers, each a list of
     specs; the first indented version below binds to all of them."""
-    file = [*FILE, "id"]
-    lines = files.withColumn("id", F.xxhash64("document")).select(*file, "declared", F.posexplode(F.split("document", "\r?\n")).alias("at", "line")).where(r"line not rlike '^\\s*(#|$)'")
-    header = F.regexp_extract("line", r"^(\S.*):\s*$", 1)
-    version = F.regexp_extract("line", r'^\s+"?version"?[:\s]\s*"?([^"\s]+)"?\s*$', 1)
-    read_lines = lines.select(*file, "declared", "at", F.nullif(header, F.lit("")).alias("header"), F.nullif(version, F.lit("")).alias("version"))
-    above = F.last("header", ignorenulls=True).over(Window.partitionBy(*file).orderBy("at"))
-    pinned = read_lines.withColumn("header", above).where("header is not null and version is not null")
-    first = pinned.groupBy(*file, "declared", "header").agg(F.min_by("version", "at").alias("version"))
-    spec = first.select(*FILE, "declared", "version", F.explode(F.split("header", ",")).alias("spec"))
-    named = spec.withColumn("name", split_coordinate(F.col("spec"))["name"])
+    entry = lambda b: F.struct(F.regexp_extract(b, f"^{_HEADER}", 1).alias("header"), F.regexp_extract(b, _VERSION, 1).alias("version"))
+    entries = F.filter(F.transform(F.split("document", _NEXT_HEADER), entry), lambda e: (e["header"] != "") & (e["version"] != ""))
+    opened = files.select(*FILE, "declared", entries.alias("entries"))
+    each = opened.select(*FILE, "declared", F.explode_outer(_merged(F.col("entries"), "header", "version")).alias("e"))
+    named = each.select(*FILE, "declared", "e.version", F.explode_outer(F.transform(F.split("e.header", ","), split_coordinate)).alias("c")).withColumn("name", F.col("c.name"))
     return named.select(*FILE, "name", "version", _direct(F.col("name")).alias("direct"))
 
 
-#: A line of YAML: its key, quoted or up to the first colon before white space, and its value.
-_LINE = r"""^(?:\? )?('(?:[^']|'')*'|"(?:[^"\\]|\\.)*"|[^'"\s:#][^#]*?)(?:\s*$|:(?:\s+(.*?))?\s*$)"""
-WHOSE = ("service", "path", "kind")
+#: A line of YAML behind its indentation: its key, quoted or up to the first colon before white space, and its value.
+_LINE = r"""(?:\? )?('(?:[^'\n]|'')*'|"(?:[^"\\\n]|\\.)*"|[^'"\s:#][^#\n]*?)(?:[^\S\n]*(?:\n|\z)|:(?:[^\S\n]+(.*?))?[^\S\n]*(?:\n|\z))"""
+_NEXT_KEY = rf"\r?\n(?={_LINE})"
+#: The indentation of a line that is neither empty nor a comment.
+_INDENT = r"(?:^|\n)( ++)(?![^\S\n]*(?:#|\n|\z))"
 
 
 def _unquoted(text: Column) -> Column:
@@ -145,48 +165,70 @@ def _unquoted(text: Column) -> Column:
     return F.when(text.startswith("'"), F.replace(inner, F.lit("''"), F.lit("'"))).when(text.startswith('"'), F.regexp_replace(inner, r"\\(.)", "$1")).otherwise(text)
 
 
-def yaml_keys(files: DataFrame) -> DataFrame:
-    """A row for each line with a key: ..., id, declared, at, depth (from 0), key, value, and the keys k0, k1, k2 that it
-    stands under, or is, at these depths."""
-    file = [*WHOSE, "id"]
-    lines = files.withColumn("id", F.xxhash64("document")).select(*file, "declared", F.posexplode(F.split("document", "\r?\n")).alias("at", "line")).where(r"line not rlike '^\\s*(#|$)'")
-    text = F.ltrim("line")
-    parts = lines.select(*file, "declared", "at", (F.length("line") - F.length(text)).alias("indent"), F.regexp_extract(text, _LINE, 1).alias("key"), F.regexp_extract(text, _LINE, 2).alias("value"))
-    step = F.coalesce(F.min(F.when(F.col("indent") > 0, F.col("indent"))).over(Window.partitionBy(*file)), F.lit(1))
-    keyed = parts.withColumn("depth", F.floor(F.col("indent") / step)).where("key <> ''").withColumn("key", _unquoted(F.col("key"))).withColumn("value", _unquoted(F.col("value")))
-    before = Window.partitionBy(*file).orderBy("at")
-    above = [F.last(F.when(F.col("depth") == d, F.col("key")), ignorenulls=True).over(before).alias(f"k{d}") for d in range(3)]
-    return keyed.select("*", *above)
+def _key(line: Column) -> Column:
+    return _once(F.regexp_extract(F.ltrim(line), f"^{_LINE}", 1), _unquoted)
+
+
+def _value(line: Column) -> Column:
+    return _once(F.regexp_extract(F.ltrim(line), f"^{_LINE}", 2), _unquoted)
+
+
+def _depth(line: Column) -> Column:
+    """From 0, in steps of the file's smallest indentation."""
+    return F.floor((F.length(line) - F.length(F.ltrim(line))) / F.col("step"))
+
+
+def yaml_blocks(files: DataFrame) -> DataFrame:
+    """``files`` with blocks, an array for each: top, the key of an unindented line, value, what stands behind it, and
+    lines, those that follow up to the next one. A file is cut where it lies: its lines never leave its row."""
+    steps = F.array_min(F.transform(F.regexp_extract_all("document", F.lit(_INDENT), F.lit(1)), lambda i: F.length(i)))
+    lines = lambda b: F.filter(F.split(b, "\n"), lambda line: ~line.rlike(r"^\s*(#|$)"))
+    block = lambda b: F.struct(_key(b).alias("top"), _value(b).alias("value"), lines(b).alias("lines"))
+    cut = F.transform(F.split("document", _NEXT_KEY), lambda b: F.when(b.startswith(" "), F.concat(F.lit("\n"), b)).otherwise(b))
+    blocks = F.filter(F.transform(cut, block), lambda b: b["top"] != "")
+    return files.select("*", F.coalesce(steps, F.lit(1)).alias("step"), blocks.alias("blocks"))
 
 
 def yarn_berry(files: DataFrame) -> DataFrame:
     """Pins of a newer yarn.lock: keys are lists of specs; workspaces aren't pins."""
-    lines = yaml_keys(files)
-    file = [*WHOSE, "id", "declared"]
-
-    def value(key: str) -> Column:
-        return F.min_by(F.when((F.col("depth") == 1) & (F.col("key") == key), F.col("value")), F.when((F.col("depth") == 1) & (F.col("key") == key), F.col("at")))
-
-    entries = lines.groupBy(*file, F.col("k0").alias("specs")).agg(value("version").alias("version"), F.coalesce(value("resolution"), F.lit("")).alias("resolution"))
-    form = F.coalesce(F.max(F.when(F.col("specs") == "__metadata", F.col("version"))).over(Window.partitionBy(*WHOSE, "id")), F.lit(""))
-    each = entries.withColumn("format_version", form)
-    real = each.where((F.col("specs") != "__metadata") & ~F.contains(F.concat("specs", "resolution"), F.lit("workspace:")))
-    spec = real.select(*FILE, "declared", "version", F.explode(F.split("specs", ",")).alias("spec"))
-    named = spec.withColumn("name", split_coordinate(F.col("spec"))["name"])
+
+    def value(block: Column, key: str) -> Column:
+        found = F.filter(block["lines"], lambda line: F.contains(line, F.lit(key)) & (_depth(line) == 1) & (_key(line) == key))
+        return _once(F.get(found, F.lit(0)), _value)
+
+    whose = [c for c in FILE if c != "format_version"]
+    entry = lambda b: F.struct(b["top"].alias("specs"), value(b, "version").alias("version"), value(b, "resolution").alias("resolution"))
+    read_files = yaml_blocks(files).select(*whose, "declared", F.transform("blocks", entry).alias("entries"))
+    once = read_files.select(*whose, "declared", _merged(F.col("entries"), "specs", "version", "resolution").alias("entries"))
+    form = F.get(F.filter("entries", lambda e: e["specs"] == "__metadata"), F.lit(0))["version"]
+    each = once.select(*whose, "declared", F.coalesce(form, F.lit("")).alias("format_version"), F.explode_outer("entries").alias("e")).select(*FILE, "declared", "e.*")
+    real = each.where((F.col("specs") != "__metadata") & ~F.contains(F.concat("specs", F.coalesce("resolution", F.lit(""))), F.lit("workspace:")))
+    named = real.select(*FILE, "declared", "version", F.explode_outer(F.transform(F.split("specs", ","), split_coordinate)).alias("c")).withColumn("name", F.col("c.name"))
     return named.select(*FILE, "name", "version", _direct(F.col("name")).alias("direct"))
 
 
 def pnpm(files: DataFrame) -> DataFrame:
     """Pins of a pnpm-lock.yaml: the keys of packages and snapshots are coordinates. Direct is what
     the manifest, else the file's own importers, declare, in any version."""
-    lines = yaml_keys(files)
-    file = [*WHOSE, "id"]
-    of_importer = (F.col("k0") == "importers") & (F.col("depth") == 3) & F.col("k2").isin(*DECLARING)
-    own = F.when(of_importer | (F.col("k0").isin(*DECLARING) & (F.col("depth") == 1)), F.col("key"))
-    form = F.when((F.col("depth") == 0) & (F.col("key") == "lockfileVersion"), F.col("value"))
-    coordinate = F.when((F.col("depth") == 1) & F.col("k0").isin("packages", "snapshots"), F.col("key"))
-    whole = lines.groupBy(*file, "declared").agg(F.collect_set(own).alias("own"), F.coalesce(F.max(form), F.lit("")).alias("format_version"), F.collect_set(coordinate).alias("keys"))  # of one file
-    each = whole.select(*FILE, F.coalesce("declared", "own").alias("declared"), F.explode("keys").alias("key")).withColumn("c", split_coordinate(F.col("key")))
+
+    def below(*tops: str) -> Column:
+        """Keys right below these."""
+        found = F.transform(F.filter("blocks", lambda b: b["top"].isin(*tops)), lambda b: F.transform(F.filter(b["lines"], lambda line: _depth(line) == 1), _key))
+        return F.filter(F.flatten(found), lambda k: k != "")
+
+    def importer(seen: Column, line: Column) -> Column:
+        second = F.when((_depth(line) == 2) & (_key(line) != ""), _key(line)).otherwise(seen["second"])
+        own = F.when((_depth(line) == 3) & seen["second"].isin(*DECLARING) & (_key(line) != ""), F.array_append(seen["own"], _key(line))).otherwise(seen["own"])
+        return F.struct(second.alias("second"), own.alias("own"))
+
+    none = F.struct(F.lit("").alias("second"), F.array().cast("array<string>").alias("own"))
+    imported = F.flatten(F.transform(F.filter("blocks", lambda b: b["top"] == "importers"), lambda b: F.aggregate(b["lines"], none, importer)["own"]))
+    form = F.array_max(F.transform(F.filter("blocks", lambda b: b["top"] == "lockfileVersion"), lambda b: b["value"]))
+    whose = [c for c in FILE if c != "format_version"]
+    whole = yaml_blocks(files).select(
+        *whose, "declared", F.coalesce(form, F.lit("")).alias("format_version"), F.array_distinct(F.concat(imported, below(*DECLARING))).alias("own"), F.array_distinct(below("packages", "snapshots")).alias("keys")
+    )
+    each = whole.select(*FILE, F.coalesce("declared", "own").alias("declared"), F.explode_outer(F.transform("keys", split_coordinate)).alias("c"))
     return each.select(*FILE, "c.name", "c.version", _direct(F.col("c.name")).alias("direct"))
 
 
