@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
+from blastgraph.functions.coordinates import package_of
 from blastgraph.operators import edges, resolve, traverse
+from blastgraph.plans import blast, fix
+from blastgraph.queries import bad_of
 from blastgraph.sources import lockfiles, projection
 from blastgraph.sources.projection import Projection
 
@@ -61,3 +66,54 @@ def test_larger_tables_are_dealt_to_more_tasks(spark, sf, monkeypatch):
     known = edges.known_endpoints(many.dependencies, many.releases, many.releases, tasks=many.tasks)
     assert "hashpartitioning(source#" in physical(known) and f", {many.tasks})" in physical(known)
     assert many.dependencies.count() == few.dependencies.count()
+
+
+def test_only_dependencies_that_lead_to_bad_releases_are_resolved(spark, sf):
+    p = Projection(spark, sf)
+    bad = bad_of(p, 10)
+    found, links = p.leading(bad.select("key"), 6)
+    counted = blast.ways(p, bad).groupBy("service", "target", "hops", "build_time").agg(F.sum("ways"))
+    assert "dependencies" not in p.__dict__
+    ends = links.select(F.col("target").alias("t")).distinct()
+    every = p.dependencies.join(ends, package_of(F.col("target")) == F.col("t"), "left_semi")
+    assert found.count() and sorted(map(tuple, found.collect())) == sorted(map(tuple, every.select(*found.columns).collect()))
+    prefix = traverse.ways(bad.select("key"), p.dependencies, 6)
+    whole = traverse.service_ways(prefix, p.pins, p.lockfiles).groupBy("service", "target", "hops", "build_time").agg(F.sum("ways"))
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_dependencies_of_a_graph_that_lead_to_targets(spark, sf):
+    p = Projection(spark, sf)
+    graph, bad = p.snapshot(), bad_of(p, 10).select("key")
+    ours, theirs = (sorted(map(tuple, g.leading(bad, 6)[0].select("source", "target", "valid_from").collect())) for g in (graph, p))
+    assert ours == theirs
+    few, _ = graph.leading(bad, 1)
+    assert {r.package for r in few.select(package_of(F.col("target")).alias("package")).collect()} == {r.package for r in bad_of(p, 10).collect()}
+
+
+def test_pins_are_put_together_only_where_chains_begin(spark, sf, monkeypatch):
+    p, found = Projection(spark, sf), {}
+    keep = traverse.written
+    monkeypatch.setattr(traverse, "written", lambda df, name: (found.setdefault(name, []).append(plan(df)), keep(df, name))[1])
+    traverse.service_ways(traverse.ways(bad_of(p, 10).select("key"), p.dependencies, 6), p.pins, p.lockfiles).count()
+    (met,) = found["pinned"]
+    assert met.index("Aggregate") < met.index("Join LeftSemi")
+
+
+def test_versions_are_parsed_for_the_packages_of_changes_only(spark, sf):
+    p = Projection(spark, sf)
+    links = spark.createDataFrame([("c", "pkg1", "1.1.0")], "change string, package string, version string")
+    found = plan(fix.upgrades(p, links, bad_of(p)))
+    releases = found[found.index("Join Inner") :]
+    parsed = [i for i, line in enumerate(releases.splitlines()) if "regexp_extract" in line]
+    semi = [i for i, line in enumerate(releases.splitlines()) if "Join LeftSemi" in line]
+    assert semi and min(semi) > min(parsed)
+
+
+def test_plans_look_once_for_what_leads_back(spark, sf, monkeypatch):
+    p, asked = Projection(spark, sf), []
+    keep = fix.tainted
+    monkeypatch.setattr(fix, "tainted", lambda *a: (asked.append(a), keep(*a))[1])
+    bad = bad_of(p, 10)
+    made = fix.plan(p, fix.chains(p, bad), bad)
+    assert made.totals.first().rounds > 1 and len(asked) == 1
