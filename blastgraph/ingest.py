@@ -70,7 +70,7 @@ REDUCED = ("releases", "packages", "people", "timeline", "declared")
 
 
 def reduced(documents: DataFrame, versions_kept: int = S.VERSIONS_KEPT) -> dict[str, DataFrame]:
-    """What later steps need of package documents, each package's rows from its own documents alone: releases (the
+    """What later steps need of package documents (opened or not), each package's rows from its own documents alone: releases (the
     latest ``versions_kept``), packages, people, timeline, declared."""
     return {
         "releases": packuments.recent(packuments.releases(documents), versions_kept), "packages": packuments.packages(documents), "people": packuments.maintainers(documents),
@@ -178,7 +178,7 @@ def build(
     """documents: document (package metadata). services: name, repo, criticality. files: service,
     path, document, manifest, committed_at. advisories: value (JSON text). dev_packages: the packages
     whose development dependencies count, all where there is none."""
-    documents = written(documents, "documents")  # each of the tables below reads them
+    documents = written(packuments.opened(documents), "documents")  # each of the tables below reads them
     made = reduced(documents, versions_kept)
     tables = Tables({name: (lambda name=name: made[name] if name == "declared" else written(made[name], name)) for name in made})
 

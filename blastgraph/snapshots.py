@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from . import ingest
 from . import schema as S
 from .functions.coordinates import package_of
+from .sources import packuments
 from .storage import written
 
 VERSION = 1
@@ -137,7 +138,7 @@ def refresh(
     named = documents.withColumn("package", F.get_json_object("document", "$.name"))
     changed = named.join(touched, "package", "left_semi").select("document")
     if any(name not in ledger.run["stages"] for name in ingest.REDUCED):
-        changed = ledger.stage("documents", lambda changed=changed: changed)  # each of the tables below reads them
+        changed = ledger.stage("documents", lambda changed=changed: packuments.opened(changed))  # each of the tables below reads them
     parsed = ingest.reduced(changed, versions_kept)
     tables = {name: ledger.stage(name, lambda name=name: _taken_over(ledger.before(name), touched, "name" if name == "packages" else "package", parsed[name])) for name in parsed}
     facts = tables["facts"] = ledger.stage("facts", lambda: ingest.facts_of(tables, dev_packages))

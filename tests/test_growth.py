@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import functions as F
 
+from blastgraph import ingest
 from blastgraph.functions.coordinates import package_of
 from blastgraph.operators import edges, resolve, traverse
 from blastgraph.plans import blast, fix
 from blastgraph.queries import bad_of
-from blastgraph.sources import lockfiles, projection
+from blastgraph.sources import lockfiles, packuments, projection
 from blastgraph.sources.projection import Projection
+from blastgraph.storage import written
 
 
 def plan(df) -> str:
@@ -117,3 +120,28 @@ def test_plans_look_once_for_what_leads_back(spark, sf, monkeypatch):
     bad = bad_of(p, 10)
     made = fix.plan(p, fix.chains(p, bad), bad)
     assert made.totals.first().rounds > 1 and len(asked) == 1
+
+
+def metadata(name, **other):
+    body = {"dependencies": {"a": "^1", "b": 5, "c": None, "d": {"x": 1}}, "dist": {"integrity": "", "shasum": "q"}, "deprecated": False, "_npmUser": {"name": "ann"}}
+    times = {"1.0.0": "2020-01-01T00:00:00Z", "created": "2019-01-01T00:00:00Z", "bad": "some day", "unpublished": {"a": 1}}
+    return {"name": name, "time": times, "versions": {"1.0.0": body, "2.0.0": {}}, "maintainers": [{"name": "bob"}, "tim <t@x>", ""], **other}
+
+
+def test_documents_are_read_once_whatever_they_hold(spark):
+    odd = [
+        metadata("list", versions={"1.0.0": {"dependencies": ["x"]}, "2.0.0": {"dependencies": {"a": "*"}, "dist": "text"}}), metadata("text", time="x"), metadata("one", maintainers={"name": "x"}),
+        metadata("bodies", versions={"1.0.0": "text", "2.0.0": None, "3.0.0": [1], "4.0.0": {"devDependencies": {"k": "~1"}}}), [metadata("inside")], "text", 7,
+    ]
+    usual = [metadata("plain"), metadata("plain"), metadata("none", time=None), metadata(5), metadata(None), metadata(""), {}, metadata("null", versions={"1.0.0": {"dependencies": None, "dist": None}})]
+    whole = json.dumps(metadata("cut"))
+    texts = [*map(json.dumps, odd), whole[:-1], whole[:90], "nonsense", "", *map(json.dumps, usual), " \n" + whole]
+    given = spark.createDataFrame([(t,) for t in texts], "document string")
+    opened = written(packuments.opened(given), "opened")
+    assert opened.where("document is null").count() == len(usual) + 1
+    for keep in (0, 1):
+        ours, theirs = ingest.reduced(opened, keep), ingest.reduced(given, keep)
+        for name in ingest.REDUCED:
+            assert sorted(map(repr, ours[name].collect())) == sorted(map(repr, theirs[name].collect())), name
+    usually = plan(ingest.reduced(opened)["declared"]).split("\n")
+    assert sum("from_json" in line for line in usually if "get_json_object" not in line) == 0
