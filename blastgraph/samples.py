@@ -64,24 +64,24 @@ def packuments(p: Projection) -> DataFrame:
 def _entries(p: Projection) -> DataFrame:
     """An order's line items as entries of its lockfile: source, ln, name, version, declared; top:
     whether it is the first entry of its name. Line items are dealt by order once, for all that is gathered by it."""
-    rows = p.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").repartition(p.tasks, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_returnflag").alias("flag"))
+    least = F.bool_or(F.col("l_returnflag") == "A") & ~F.bool_or(F.col("l_returnflag") < "A")  # min(l_returnflag) is A: the least of texts would take a sort
+    rows = p.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").repartition(p.tasks, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), least.alias("declared"))
     first = F.min("l_linenumber").over(Window.partitionBy("l_orderkey", "part")) == F.col("l_linenumber")
     return rows.select(
         F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("ln"), package_name(F.col("part")).alias("name"), _at(VERSIONS, F.col("l_linenumber") - 1).alias("version"),
-        (F.col("flag") == "A").alias("declared"), first.alias("top"),
+        "declared", first.alias("top"),
     )
 
 
-def _files(p: Projection, path: str, document: Column, manifest: Column, where: str = "true") -> DataFrame:
+def _files(p: Projection, path: str | Column, document: Column, manifest: Column) -> DataFrame:
     """service, path, document, manifest, committed_at: a lockfile for each order. ``document`` reads
     ``items``, its entries by line number; ``manifest`` the ``names`` that are declared."""
-    entries = _entries(p).where(where)
-    found = entries.groupBy("source").agg(
-        F.array_sort(F.collect_list(F.struct("ln", "name", "version", "top"))).alias("items"), F.array_sort(F.collect_set(F.when(F.col("declared"), F.col("name")))).alias("names")
+    found = _entries(p).groupBy("source").agg(
+        F.sort_array(F.collect_list(F.struct("ln", "name", "version", "top"))).alias("items"), F.sort_array(F.collect_set(F.when(F.col("declared"), F.col("name")))).alias("names")
     )
     owners = p.lockfiles.select(F.col("key").cast("long").alias("source"), "service", "committed_at")
     return found.join(owners, "source").select(
-        "service", F.concat(F.lit("orders/"), F.col("source").cast("string"), F.lit("/" + path)).alias("path"), document.alias("document"), manifest.alias("manifest"), "committed_at"
+        "service", F.concat(F.lit("orders/"), F.col("source").cast("string"), F.lit("/"), F.lit(path)).alias("path"), document.alias("document"), manifest.alias("manifest"), "committed_at"
     )
 
 
@@ -98,12 +98,15 @@ def manifest() -> Column:
     return F.concat(F.lit('{"devDependencies":'), _block(F.col("names")), F.lit("}"))
 
 
-def npm(p: Projection, where: str = "true") -> DataFrame:
-    """Flat package-lock.json files that declare their direct dependencies themselves."""
+def _npm_text() -> Column:
     place = lambda i: F.when(i["top"], "node_modules/").otherwise(F.concat(F.lit("node_modules/host"), i["ln"].cast("string"), F.lit("/node_modules/")))
     entries = _joined(lambda i: F.concat(F.lit(',"'), place(i), i["name"], F.lit('":{"version":"'), i["version"], F.lit('"}')), "")
-    document = F.concat(F.lit('{"lockfileVersion":3,"packages":{"":{"dependencies":'), _block(F.col("names")), F.lit('},"node_modules/own":{"link":true,"version":"1.0.0"}'), entries, F.lit("}}"))
-    return _files(p, "package-lock.json", document, F.lit(None).cast("string"), where)
+    return F.concat(F.lit('{"lockfileVersion":3,"packages":{"":{"dependencies":'), _block(F.col("names")), F.lit('},"node_modules/own":{"link":true,"version":"1.0.0"}'), entries, F.lit("}}"))
+
+
+def npm(p: Projection) -> DataFrame:
+    """Flat package-lock.json files that declare their direct dependencies themselves."""
+    return _files(p, "package-lock.json", _npm_text(), F.lit(None).cast("string"))
 
 
 def npm_nested(p: Projection) -> DataFrame:
@@ -116,10 +119,14 @@ def npm_nested(p: Projection) -> DataFrame:
     return _files(p, "package-lock.json", F.concat(F.lit('{"lockfileVersion":1,"dependencies":'), tree, F.lit("}")), manifest())
 
 
-def yarn(p: Projection, where: str = "true") -> DataFrame:
-    """Classic yarn.lock files with two specs to a header."""
+def _yarn_text() -> Column:
     entry = _joined(lambda i: F.concat(F.lit('"'), i["name"], F.lit('@^1.0.0", "'), i["name"], F.lit("@"), i["version"], F.lit('":\n  version "'), i["version"], F.lit('"\n  dependencies:\n    other "^7"\n')), "\n")
-    return _files(p, "yarn.lock", F.concat(F.lit("# yarn lockfile v1\n\n"), entry), manifest(), where)
+    return F.concat(F.lit("# yarn lockfile v1\n\n"), entry)
+
+
+def yarn(p: Projection) -> DataFrame:
+    """Classic yarn.lock files with two specs to a header."""
+    return _files(p, "yarn.lock", _yarn_text(), manifest())
 
 
 def berry(p: Projection) -> DataFrame:
@@ -137,7 +144,9 @@ def pnpm(p: Projection) -> DataFrame:
 
 def lockfiles(p: Projection) -> DataFrame:
     """A file of npm or yarn for each order."""
-    return npm(p, "source % 2 = 0").unionByName(yarn(p, "source % 2 = 1"))
+    even = F.col("source") % 2 == 0
+    path = F.when(even, "package-lock.json").otherwise("yarn.lock")
+    return _files(p, path, F.when(even, _npm_text()).otherwise(_yarn_text()), F.when(~even, manifest()))
 
 
 def advisories(p: Projection) -> DataFrame:
@@ -158,7 +167,8 @@ def advisories(p: Projection) -> DataFrame:
         _stamp(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")))).alias("published"), F.when(number % 11 == 0, "2020-01-01T00:00:00Z").alias("withdrawn"),
         F.when(number % 3 != 0, rated).alias("database_specific"), F.when(number % 3 == 0, scored).alias("severity"), F.array(affected).alias("affected"),
     ))
-    return rows.select(F.when(number % 17 == 0, F.left(document, F.lit(20))).otherwise(document).alias("value"))
+    # Through ``explode_outer`` a text is made once, not again for each filter on it.
+    return rows.select(F.explode_outer(F.array(F.when(number % 17 == 0, F.left(document, F.lit(20))).otherwise(document))).alias("value"))
 
 
 _VERSION = "['" + "','".join(VERSIONS) + "']"

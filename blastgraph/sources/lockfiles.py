@@ -1,7 +1,8 @@
 """Lockfiles of npm, yarn and pnpm as pins, in column expressions.
 
 A file is one row. The JSON formats are opened one level at a time: maps come out as keys with
-their values as JSON text, so odd entries drop out and never break a schema. The others are cut at
+their values as JSON text, so odd entries drop out and never break a schema. A file whose parts all have their usual types
+is read in one pass instead, to the same pins. The others are cut at
 their unindented keys within the file's row, and the lines below a key are read there. Of YAML that is what these files are written in: a
 key to a line, evenly indented, quoted or plain; what stands deeper than the keys that are asked for may be
 anything. Malformed files have no pins.
@@ -24,6 +25,10 @@ KINDS = {"package-lock.json": "npm", "npm-shrinkwrap.json": "npm", "yarn.lock":
 DECLARING = ("dependencies", "devDependencies", "optionalDependencies")
 TEXTS = "map<string,string>"
 FILE = ("service", "path", "kind", "format_version")
+#: The usual types of the parts of a JSON lockfile; ``odd`` is set where one has another, or the text is no JSON.
+USUAL = "lockfileVersion string, packages map<string,struct<name:string,version:string,link:string," + ",".join(f"{b}:string" for b in DECLARING) + ">>, odd string"
+MANIFEST = ", ".join(f"{b} {TEXTS}" for b in DECLARING) + ", odd string"
+OBJECT = r"^\s*\{"
 
 
 class UnknownLockfile(ValueError):
@@ -82,7 +87,10 @@ def _entries(json_text: Column, path: str = "$") -> Column:
 def declared_names(manifest: Column) -> Column:
     """Names that a manifest declares; null without a readable manifest, which isn't the same as none."""
     found = F.array_distinct(F.concat(*[_keys(manifest, f"$.{block}") for block in DECLARING]))
-    return F.when(F.json_object_keys(manifest).isNotNull(), found)
+    text = F.when(F.json_object_keys(manifest).isNotNull(), found)
+    usual = lambda m: F.array_distinct(F.concat(*[F.coalesce(F.map_keys(m[block]), F.array().cast("array<string>")) for block in DECLARING]))
+    opened = F.from_json(manifest, MANIFEST, {"columnNameOfCorruptRecord": "odd"})
+    return _once(opened, lambda m: F.when(m["odd"].isNotNull() | ~manifest.rlike(OBJECT), text).when(manifest.isNotNull(), usual(m)))
 
 
 def _direct(name: Column) -> Column:
@@ -92,15 +100,30 @@ def _direct(name: Column) -> Column:
 def npm_flat(files: DataFrame) -> DataFrame:
     """Pins of the flat ``packages`` map of versions 2 and 3, keyed by install path. Links to
     workspaces aren't pins; only what is installed at the top can be direct."""
-    opened = files.where(F.size("packages") > 0)
     own = F.coalesce("declared", declared_names(F.try_element_at("packages", F.lit(""))))
-    each = opened.select(*FILE, own.alias("declared"), F.explode("packages").alias("at", "entry")).where("at <> ''")
+    opened = files.where(F.size("packages") > 0).select(*FILE, own.alias("declared"), "packages")  # once for a file, not for each of its entries
+    each = opened.select(*FILE, "declared", F.explode("packages").alias("at", "entry")).where("at <> ''")
     linked = F.coalesce(F.get_json_object("entry", "$.link"), F.lit("")).isin("", "false")
     name = F.coalesce(F.nullif(F.get_json_object("entry", "$.name"), F.lit("")), from_module_path(F.col("at")))
     inner = each.where(linked).withColumn("name", name).withColumn("top", F.regexp_count("at", F.lit("node_modules/")) == 1)
     return inner.select(*FILE, "name", F.get_json_object("entry", "$.version").alias("version"), (F.col("top") & _direct(F.col("name"))).alias("direct"))
 
 
+def npm_usual(opened: Column, declared: Column) -> Column:
+    """The pins of ``npm_flat`` as an array of name, version, direct, of a file that was read by ``USUAL``."""
+    own = F.try_element_at(opened["packages"], F.lit(""))
+    names = F.array_distinct(F.concat(*[F.coalesce(F.json_object_keys(own[block]), F.array().cast("array<string>")) for block in DECLARING]))
+    direct = F.coalesce(declared, F.when(own.isNotNull(), names), F.array().cast("array<string>"))
+
+    def pin(e: Column, direct: Column) -> Column:
+        at, name = e["key"], F.coalesce(F.nullif(e["value"]["name"], F.lit("")), from_module_path(e["key"]))
+        top = F.contains(at, F.lit("node_modules/")) & (F.substring_index(at, "node_modules/", 2) == at)
+        return _once(name, lambda n: F.struct(n.alias("name"), e["value"]["version"].alias("version"), (top & F.array_contains(direct, n)).alias("direct")))
+
+    entries = F.filter(F.map_entries(opened["packages"]), lambda e: (e["key"] != "") & F.coalesce(e["value"]["link"], F.lit("")).isin("", "false"))
+    return _once(direct, lambda d: F.transform(entries, lambda e: pin(e, d)))
+
+
 def npm_nested(files: DataFrame) -> DataFrame:
     """Pins of the nested tree of version 1, level by level; only the first level can be direct."""
     closed = files.where(F.size("packages") == 0)
@@ -235,15 +258,21 @@ def pnpm(files: DataFrame) -> DataFrame:
 def pins(files: DataFrame) -> DataFrame:
     """files: service, path, document, manifest (null: none). A row for each (name, version) of a
     lockfile, direct if any of its entries is: service, path, kind, format_version, name, version,
-    direct. A file name that no format has fails the job. The map of a JSON lockfile is read out of its text once, and written."""
+    direct. A file name that no format has fails the job. A JSON lockfile is read out of its text once, and written."""
     named = files.select("service", "path", "document", _kind().alias("kind"), declared_names(F.col("manifest")).alias("declared"))
-    opened = written(named.withColumn("packages", F.when(F.col("kind") == "npm", _entries(F.col("document"), "$.packages"))), "lockfiles")
+    read = named.withColumn("f", F.when(F.col("kind") == "npm", F.from_json("document", USUAL, {"columnNameOfCorruptRecord": "odd"})))
+    flat = F.col("f.odd").isNull() & F.col("document").rlike(OBJECT) & (F.size("f.packages") > 0)
+    judged = read.select("service", "path", "kind", "declared", "document", F.when(flat, F.col("f")).alias("f"))
+    opened = written(judged.select(
+        "service", "path", "kind", "declared", F.when(F.col("f").isNull(), F.col("document")).alias("document"), F.coalesce("f.lockfileVersion", F.lit("")).alias("format_version"),
+        F.when(F.col("f").isNotNull(), npm_usual(F.col("f"), F.col("declared"))).alias("pins"),
+    ), "lockfiles")
     berry = (F.col("kind") == "yarn") & F.contains(F.col("document"), F.lit("__metadata:"))
-    parts = []
-    json_files = opened.where("kind = 'npm'").withColumn("body", F.col("document"))
-    npm = json_files.withColumn("format_version", F.coalesce(F.get_json_object("body", "$.lockfileVersion"), F.lit("")))
+    parts = [opened.where("pins is not null").select(*FILE, F.explode_outer("pins").alias("p")).select(*FILE, "p.*")]
+    json_files = opened.where("kind = 'npm' and document is not null").withColumn("body", F.col("document"))
+    npm = json_files.withColumns({"format_version": F.coalesce(F.get_json_object("body", "$.lockfileVersion"), F.lit("")), "packages": _entries(F.col("body"), "$.packages")})
     parts += [npm_flat(npm), npm_nested(npm)]
     parts.append(yarn_classic(opened.where((F.col("kind") == "yarn") & ~berry).withColumn("format_version", F.lit("1"))))
-    parts += [yarn_berry(opened.where(berry)), pnpm(opened.where("kind = 'pnpm'"))]
+    parts += [yarn_berry(opened.where(berry).drop("format_version")), pnpm(opened.where("kind = 'pnpm'").drop("format_version"))]
     found = reduce(DataFrame.unionByName, parts).where("coalesce(name, '') <> '' and coalesce(version, '') <> ''")
     return found.groupBy(*FILE, "name", "version").agg(F.bool_or("direct").alias("direct"))

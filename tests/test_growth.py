@@ -7,9 +7,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from blastgraph import ingest
+from blastgraph import ingest, samples
 from blastgraph.functions.coordinates import package_of
-from blastgraph.operators import edges, resolve, traverse
+from blastgraph.operators import advisories, edges, resolve, traverse
 from blastgraph.plans import blast, fix
 from blastgraph.queries import bad_of
 from blastgraph.sources import lockfiles, packuments, projection
@@ -145,3 +145,26 @@ def test_documents_are_read_once_whatever_they_hold(spark):
             assert sorted(map(repr, ours[name].collect())) == sorted(map(repr, theirs[name].collect())), name
     usually = plan(ingest.reduced(opened)["declared"]).split("\n")
     assert sum("from_json" in line for line in usually if "get_json_object" not in line) == 0
+
+
+def test_lockfiles_are_read_once_whatever_they_hold(spark, monkeypatch):
+    packages = {
+        "": {"dependencies": {"a": "1", "b": "2"}, "devDependencies": {"@s/c": "1"}, "optionalDependencies": ["x"]}, "node_modules/a": {"version": "1.0.0", "dependencies": {"q": "1"}},
+        "node_modules/a/node_modules/b": {"version": "2.0.0"}, "node_modules/b": {"version": "2.0.0", "link": False}, "node_modules/l": {"link": True, "version": "9"},
+        "node_modules/@s/c/": {"version": 3}, "node_modules/al": {"name": "b", "version": "4"}, "node_modules/none": {}, "node_modules/null": None,
+    }
+    kinds = [packages, {k: v for k, v in packages.items() if k}, packages | {"": None}, packages | {"": {}}, packages | {"": "text"}]
+    manifests = [None, '{"dependencies":{"b":"1"}}', '{"dependencies":["b"],"devDependencies":{"a":"1"}}', "{}", "bad"]
+    rows = [(str(odd), f"{i}-{j}/package-lock.json", json.dumps({"lockfileVersion": 3, "packages": p | odd}), m) for i, p in enumerate(kinds) for j, m in enumerate(manifests) for odd in ({}, {"node_modules/odd": 5})]
+    counted = []
+    monkeypatch.setattr(lockfiles, "written", lambda df, name: (counted.append((name, written(df, name))), counted[-1][1])[1])
+    found = lockfiles.pins(spark.createDataFrame(rows, "service string, path string, document string, manifest string")).collect()
+    pins = {odd: sorted(tuple(r)[1:] for r in found if r.service == odd) for odd in {r[0] for r in rows}}
+    assert len(pins) == 2 and len({tuple(x) for x in pins.values()}) == 1 and any(r.direct for r in found)
+    opened = dict(counted)["lockfiles"]
+    assert opened.where("pins is not null").count() == (len(kinds) - 1) * len(manifests)  # in one pass, but for odd ones
+
+
+def test_advisories_are_made_and_read_once(spark, sf):
+    found = plan(advisories.parse(advisories.read_documents(samples.advisories(Projection(spark, sf)))))
+    assert found.count("from_json(StructField(id") == 1 and found.count("CVE-") == 2  # whole, or cut off
