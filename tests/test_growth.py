@@ -11,7 +11,7 @@ from blastgraph import ingest, samples
 from blastgraph.functions.coordinates import package_of
 from blastgraph.operators import advisories, edges, resolve, traverse
 from blastgraph.plans import blast, fix
-from blastgraph.queries import bad_of
+from blastgraph.queries import QUERIES, bad_of
 from blastgraph.sources import lockfiles, packuments, projection
 from blastgraph.sources.projection import Projection
 from blastgraph.storage import written
@@ -168,3 +168,28 @@ def test_lockfiles_are_read_once_whatever_they_hold(spark, monkeypatch):
 def test_advisories_are_made_and_read_once(spark, sf):
     found = plan(advisories.parse(advisories.read_documents(samples.advisories(Projection(spark, sf)))))
     assert found.count("from_json(StructField(id") == 1 and found.count("CVE-") == 2  # whole, or cut off
+
+
+def test_plans_are_made_for_all_chains(spark, sf, monkeypatch):
+    asked = []
+    monkeypatch.setattr(fix, "plan", lambda graph, found, bad, cap=4000: (asked.append(cap), fix.Plan(found, found))[1])
+    every = QUERIES["fix_plan"](spark, sf)  # here the chains that it plans for
+    n = every.count()
+    whole = written(fix.numbered(every, None), "whole")
+    assert asked == [None] and n == blast.paths(Projection.of(spark, sf), bad_of(Projection.of(spark, sf), 10)).count()
+    few = fix.numbered(every, 25)
+    assert n > 25 and few.first().truncated and (whole.count(), whole.where("truncated").count()) == (n, 0)
+    assert [tuple(r) for r in few.select("path_id", "chain").orderBy("path_id").collect()] == [tuple(r) for r in whole.select("path_id", "chain").orderBy("path_id").limit(25).collect()]
+
+
+def test_smallest_choices_in_tasks_equal_those_on_the_driver(spark, monkeypatch):
+    sets = [[0], [0, 1], [2, 3], [3, 4], [2, 4], [5, 6], [6, 7], [8, 9, 5], [10, 11], []]
+    rows = spark.createDataFrame(list(enumerate(sets)), "row long, set array<long>")
+    pairs = rows.select("row", F.explode("set").alias("change"))
+    found = []
+    for kernel in (100, 0):
+        monkeypatch.setattr(fix, "KERNEL", kernel)
+        picked, proven = fix._smallest(rows, pairs)
+        found.append((sorted(r.change for r in picked.collect()), proven))
+    assert found[0] == found[1] and found[0][1] and len(found[0][0]) == 6
+    assert all(set(found[0][0]) & set(s) for s in sets if s)
